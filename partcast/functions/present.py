@@ -13,6 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIGITS = 6
+BIG = 1e6          # from here on, round to SIG_DIGITS significant digits
+SIG_DIGITS = 10
+
+
+def canonical_double(c):
+    """Round to 6 decimals; values >= 1e6 in magnitude additionally to 10
+    significant digits (float noise of sums in a different order would
+    otherwise show at the 6th decimal of a huge value)."""
+    r = F.round(c.cast("double"), DIGITS)
+    mag = F.abs(r)
+    # 10^k parsed from text: correctly rounded in every engine, unlike pow().
+    e = F.concat(F.lit("1e"), F.floor(F.log10(mag)).cast("bigint").cast("string")).cast("double")
+    big = (mag >= BIG) & (mag < float("inf"))
+    return F.when(big, F.round(r / e, SIG_DIGITS - 1) * e).otherwise(r)
 
 
 def present(df: DataFrame) -> DataFrame:
@@ -21,7 +35,7 @@ def present(df: DataFrame) -> DataFrame:
         c = F.col(f"`{f.name}`")
         dt = f.dataType
         if isinstance(dt, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), DIGITS)
+            c = canonical_double(c)
         elif isinstance(dt, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):

@@ -13,53 +13,59 @@ BA, CB = 1 - A, 1 - CA
 SBA_F = 1 - CA / 2
 W = "PARTITION BY item_id ORDER BY ds"
 
-cte("fc_series", "SELECT item_id, ds, qty, rn, n FROM parts_fixed_pos", "parts_fixed_pos")
-cte("fc_train", f"""
-SELECT item_id, ds, qty, rn, n - {H} AS n FROM fc_series WHERE rn < n - {H} AND n - {H} >= {P.min_train}""",
-    "fc_series")
-cte("fc_test", f"""
-SELECT item_id, ds, qty FROM fc_series WHERE rn >= n - {H} AND n - {H} >= {P.min_train}""", "fc_series")
-cte("fc_ann", f"""
+def forecast_ctes(prefix: str, series: str) -> None:
+    """Register {prefix}_train / _test / _ann / _raw / _const over a dense
+    series CTE with (item_id, ds, qty, rn, n)."""
+    cte(f"{prefix}_train", f"""
+SELECT item_id, ds, qty, rn, n - {H} AS n FROM {series} WHERE rn < n - {H} AND n - {H} >= {P.min_train}""",
+        series)
+    cte(f"{prefix}_test", f"""
+SELECT item_id, ds, qty FROM {series} WHERE rn >= n - {H} AND n - {H} >= {P.min_train}""", series)
+    cte(f"{prefix}_ann", f"""
 SELECT *, count_if(qty > 0) OVER (PARTITION BY item_id) AS k,
        CASE WHEN qty > 0 THEN sum(CASE WHEN qty > 0 THEN 1 ELSE 0 END)
             OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS pr,
        CASE WHEN qty > 0 THEN rn - COALESCE(last_value(CASE WHEN qty > 0 THEN rn END IGNORE NULLS)
             OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) END AS gap
-FROM fc_train""", "fc_train")
-_season = ", ".join(f"max(CASE WHEN rn = n - {8 - j} THEN qty END) AS s{j}" for j in range(1, 8))
-cte("fc_raw", f"""
+FROM {prefix}_train""", f"{prefix}_train")
+    season = ", ".join(f"max(CASE WHEN rn = n - {8 - j} THEN qty END) AS s{j}" for j in range(1, 8))
+    cte(f"{prefix}_raw", f"""
 SELECT item_id, max(ds) AS train_end, max(n) AS n, max(k) AS k,
        avg(CASE WHEN rn >= n - 7 THEN qty END) AS MA_7, avg(CASE WHEN rn >= n - 14 THEN qty END) AS MA_14,
        avg(CASE WHEN rn >= n - 30 THEN qty END) AS MA_30,
        CASE WHEN max(n) >= 7 THEN sum(CASE WHEN rn >= n - 7 THEN qty * (rn - n + 8) END) / 28.0 END AS WMA_7,
-       max(CASE WHEN rn = n - 1 THEN qty END) AS Naive, {_season},
+       max(CASE WHEN rn = n - 1 THEN qty END) AS Naive, {season},
        COALESCE(sum(CASE WHEN rn <= n - 2 THEN {A!r} * pow({BA!r}, n - 2 - rn) * qty END), 0.0)
          + pow({BA!r}, max(n) - 1) * max(CASE WHEN rn = 0 THEN qty END) AS ExpSmooth,
        sum(sw * qty) AS z, sum(sw * gap) AS p, max(CASE WHEN pr = 1 THEN rn END) AS t1,
        sum(CASE WHEN qty > 0 THEN {CA!r} * pow({CB!r}, n - 1 - rn) END) AS pos_w,
        avg(CASE WHEN pr > k - 3 THEN qty END) AS last3, avg(qty) AS Mean
 FROM (SELECT *, CASE WHEN pr = 1 THEN pow({CB!r}, k - 1) WHEN pr >= 2 THEN {CA!r} * pow({CB!r}, k - pr) END AS sw
-      FROM fc_ann) a
-GROUP BY item_id""", "fc_ann")
-cte("fc_const", f"""
+      FROM {prefix}_ann) a
+GROUP BY item_id""", f"{prefix}_ann")
+    cte(f"{prefix}_const", f"""
 SELECT *, Croston * {SBA_F!r} AS SBA,
        CASE WHEN k = 0 THEN 0.0
             ELSE greatest((pow({CB!r}, n) / (t1 + 1) + COALESCE(pos_w, 0.0)) * z, 0.0) END AS TSB,
        CASE WHEN k = 0 THEN 0.0 ELSE last3 * k / n END AS MA_NonZero
-FROM (SELECT *, CASE WHEN k = 0 THEN 0.0 WHEN p > 0 THEN z / p ELSE 0.0 END AS Croston FROM fc_raw) c""",
-    "fc_raw")
+FROM (SELECT *, CASE WHEN k = 0 THEN 0.0 WHEN p > 0 THEN z / p ELSE 0.0 END AS Croston FROM {prefix}_raw) c""",
+        f"{prefix}_raw")
+
+
+forecast_ctes("fc", "parts_fixed_pos")
+forecast_ctes("fco", "parts_dense_pos")
 
 
 def _season_expr() -> str:
     return "CASE " + " ".join(f"WHEN h = {j} THEN s{j}" for j in range(1, 8)) + " ELSE Naive END"
 
 
-def long_body(methods) -> str:
+def long_body(methods, prefix: str = "fc") -> str:
     parts = []
     for m in methods:
         expr = _season_expr() if m == "Seasonal_7" else m
         parts.append(f"SELECT item_id, '{m}' AS method, h, CAST(train_end + CAST(h AS INTEGER) AS DATE) AS ds, "
-                     f"CAST({expr} AS DOUBLE) AS yhat FROM fc_const, generate_series(1, {H}) AS g(h)")
+                     f"CAST({expr} AS DOUBLE) AS yhat FROM {prefix}_const, generate_series(1, {H}) AS g(h)")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -68,6 +74,7 @@ def long_sql(methods) -> str:
 
 
 cte("fc_all", long_body(B.METHODS), "fc_const")
+cte("fco_all", long_body(B.METHODS, "fco"), "fco_const")
 
 
 def _fc(t, methods):

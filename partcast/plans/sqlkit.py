@@ -7,7 +7,7 @@ from __future__ import annotations
 import functools
 import os
 
-from partcast.functions.present import DIGITS
+from partcast.functions.present import BIG, DIGITS, SIG_DIGITS
 
 _CTES: dict[str, tuple[str, tuple[str, ...]]] = {}
 
@@ -56,7 +56,10 @@ def _wrap_col(name: str, typ: str) -> str:
     q = '"' + name.replace('"', '""') + '"'
     t = typ.upper()
     if t in ("DOUBLE", "FLOAT", "REAL") or t.startswith("DECIMAL"):
-        return f"round(CAST({q} AS DOUBLE), {DIGITS}) + 0.0 AS {q}"
+        r = f"(round(CAST({q} AS DOUBLE), {DIGITS}) + 0.0)"
+        e = f"CAST('1e' || CAST(CAST(floor(log10(abs({r}))) AS BIGINT) AS VARCHAR) AS DOUBLE)"
+        return (f"CASE WHEN abs({r}) >= {BIG} AND isfinite({r}) "
+                f"THEN round({r} / {e}, {SIG_DIGITS - 1}) * {e} ELSE {r} END AS {q}")
     if t == "DATE":
         return f"strftime({q}, '%Y-%m-%d') AS {q}"
     if t.startswith("TIMESTAMP"):
