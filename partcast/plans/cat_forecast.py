@@ -13,12 +13,16 @@ BA, CB = 1 - A, 1 - CA
 SBA_F = 1 - CA / 2
 W = "PARTITION BY item_id ORDER BY ds"
 
-def forecast_ctes(prefix: str, series: str) -> None:
+def forecast_ctes(prefix: str, series: str, holdout: bool = True) -> None:
     """Register {prefix}_train / _test / _ann / _raw / _const over a dense
-    series CTE with (item_id, ds, qty, rn, n)."""
-    cte(f"{prefix}_train", f"""
+    series CTE with (item_id, ds, qty, rn, n); without hold-out the whole
+    series is the training set."""
+    if holdout:
+        cte(f"{prefix}_train", f"""
 SELECT item_id, ds, qty, rn, n - {H} AS n FROM {series} WHERE rn < n - {H} AND n - {H} >= {P.min_train}""",
-        series)
+            series)
+    else:
+        cte(f"{prefix}_train", f"SELECT item_id, ds, qty, rn, n FROM {series}", series)
     cte(f"{prefix}_test", f"""
 SELECT item_id, ds, qty FROM {series} WHERE rn >= n - {H} AND n - {H} >= {P.min_train}""", series)
     cte(f"{prefix}_ann", f"""
@@ -54,6 +58,7 @@ FROM (SELECT *, CASE WHEN k = 0 THEN 0.0 WHEN p > 0 THEN z / p ELSE 0.0 END AS C
 
 forecast_ctes("fc", "parts_fixed_pos")
 forecast_ctes("fco", "parts_dense_pos")
+forecast_ctes("fut", "parts_fixed_pos", holdout=False)
 
 
 def _season_expr() -> str:
