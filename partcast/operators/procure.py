@@ -53,14 +53,16 @@ def warning_orders(fc: DataFrame, as_of: dt.date, urgent_days: int = 2, warning_
 
 def procurement_summary(fc: DataFrame, horizon: int) -> DataFrame:
     """Items, horizon, total demand, mean daily total, peak day (earliest on
-    ties) and items with any demand -- two small aggregations joined as scalars."""
+    ties) and items with any demand; the per-day figures are scalar subqueries."""
     daily = fc.groupBy("ds").agg(F.sum("predicted_demand").alias("day_total"))
     per_item = fc.groupBy("item_id").agg(F.sum("predicted_demand").alias("item_total"))
-    d = daily.agg(F.avg("day_total").alias("avg_daily_demand"),
-                  F.min_by("ds", F.struct(-F.col("day_total"), F.col("ds"))).alias("peak_demand_date"))
     i = per_item.agg(F.count(F.lit(1)).alias("total_items"), F.sum("item_total").alias("total_predicted_demand"),
                      F.sum(F.when(F.col("item_total") > 0, 1).otherwise(0)).cast("bigint").alias("items_with_demand"))
-    return i.crossJoin(d).withColumn("forecast_horizon", F.lit(horizon))
+    return i.withColumns({
+        "avg_daily_demand": daily.agg(F.avg("day_total")).scalar(),
+        "peak_demand_date": daily.agg(F.min_by("ds", F.struct(-F.col("day_total"), F.col("ds")))).scalar(),
+        "forecast_horizon": F.lit(horizon),
+    })
 
 
 def row_urgency(fc: DataFrame, as_of: dt.date, urgent_days: int = 2, warning_days: int = 7) -> DataFrame:
