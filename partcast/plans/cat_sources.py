@@ -1 +1,54 @@
-"""Registered queries."""
+"""Registered queries: sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from partcast.operators import extract as X
+from partcast.operators import reshape as R
+from partcast.plans import cat_reshape  # noqa: F401  (top_fixed CTE)
+from partcast.plans.registry import P, register
+from partcast.plans.sqlkit import sql
+from partcast.sources import files as IO
+
+LOGICAL = ("jo_txn", "jo_item", "sorder_txn", "sorder_item", "porder_txn", "porder_item", "product_code")
+
+
+@register("scan_tables", sql("\nUNION ALL\n".join(
+    f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in LOGICAL), *LOGICAL))
+def _scan_tables(t):
+    out = None
+    for n in LOGICAL:
+        part = getattr(t, n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("scan_coerce", sql("""
+SELECT i.txn_id, i.item_id, COALESCE(TRY_CAST(CAST(i.qty AS VARCHAR) AS DOUBLE), 0.0) AS qty,
+       COALESCE(TRY_CAST(t.doc_ref AS DOUBLE), 0.0) AS doc_ref, CAST(CAST(t.txn_date AS VARCHAR) AS DATE) AS txn_date
+FROM jo_item i JOIN jo_txn t ON i.txn_id = t.txn_id""", "jo_item", "jo_txn"))
+def _scan_coerce(t):
+    # Cursor-style text rows: quantities and document refs arrive as text.
+    rows = (t.jo_item.select("txn_id", "item_id", F.col("qty").cast("string").alias("qty"))
+            .join(t.jo_txn.select("txn_id", "doc_ref", F.col("txn_date").cast("string").alias("txn_date")), "txn_id"))
+    return IO.parse_dates(IO.coerce_numeric(rows, ["qty", "doc_ref"]), ["txn_date"])
+
+
+@register("csv_roundtrip", sql("SELECT item_id, ds, qty FROM parts_dense", "parts_dense"))
+def _csv_roundtrip(t):
+    return IO.csv_roundtrip(X.jo_series(t, P), "jo_series")
+
+
+@register("wide_import", sql("SELECT item_id, ds, qty FROM top_fixed", "top_fixed"))
+def _wide_import(t):
+    wide = R.pivot_top(t, P)
+    path = IO.write_csv(wide, IO.io_path(t.spark, "pivot_top"))
+    return IO.wide_import(t.spark, path)
+
+
+@register("sample_export", sql("""
+SELECT item_id, ds, txn_id AS job_id, COALESCE(sum(qty), 0.0) AS consumption
+FROM win_lines GROUP BY item_id, ds, txn_id ORDER BY ds, item_id, job_id LIMIT 100""", "win_lines"))
+def _sample_export(t):
+    return IO.sample_export(X.jo_consumption(t, P), ["ds", "item_id", "job_id"], 100, "jo_consumption")

@@ -23,7 +23,7 @@ EP = EVENTS_PARAMS
 class Entry:
     name: str
     build: Callable[[Tables], DataFrame]
-    sql: str | None
+    sql: object | None
     normalise: bool = True
 
 
@@ -62,7 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from partcast.plans.sqlkit import normalise
+    from partcast.plans.sqlkit import normalise, render
 
     _load_all()
-    return {k: (normalise(e.sql) if e.normalise else e.sql) for k, e in REGISTRY.items() if e.sql}
+    return {k: (normalise(e.sql) if e.normalise else render(e.sql)) for k, e in REGISTRY.items() if e.sql}

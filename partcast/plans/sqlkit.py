@@ -16,8 +16,30 @@ def cte(name: str, body: str, *deps: str) -> None:
     _CTES[name] = (body.strip(), deps)
 
 
-def sql(body: str, *names: str) -> str:
+class SqlRef:
+    """Oracle SQL whose CTEs are resolved when rendered, so catalog modules
+    may register CTEs in any import order."""
+
+    def __init__(self, body: str, names: tuple[str, ...]):
+        self.body, self.names = body, names
+
+    def render(self) -> str:
+        return _build(self.body, *self.names)
+
+    def __str__(self) -> str:
+        return self.render()
+
+
+def sql(body: str, *names: str) -> SqlRef:
     """``WITH`` clause holding ``names`` and everything they depend on, then ``body``."""
+    return SqlRef(body, names)
+
+
+def render(q) -> str:
+    return q.render() if isinstance(q, SqlRef) else q
+
+
+def _build(body: str, *names: str) -> str:
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -70,11 +92,12 @@ def _wrap_col(name: str, typ: str) -> str:
     return q
 
 
-def normalise(query: str) -> str:
+def normalise(query) -> str:
     """Wrap ``query`` so doubles are rounded, dates are ISO strings and integers
     are BIGINT.  Column types come from DuckDB's DESCRIBE (binding only, no
     execution) on the smallest fixture; on any failure the query is returned
     unchanged."""
+    query = render(query)
     try:
         rows = _describe_con().execute(f"DESCRIBE ({query})").fetchall()
     except Exception:
