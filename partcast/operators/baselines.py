@@ -16,13 +16,11 @@ whole forecaster adds no exchange beyond the one that built the series.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("item_id").orderBy("ds")
-W_ALL = Window.partitionBy("item_id")
-W_BEFORE = W.rowsBetween(Window.unboundedPreceding, -1)
-W_UPTO = W.rowsBetween(Window.unboundedPreceding, 0)
+from partcast.functions.windows import before, by_item, item_all, upto
+
 
 # Method names as reported.
 METHODS = ("MA_7", "MA_14", "MA_30", "WMA_7", "Naive", "Seasonal_7", "ExpSmooth",
@@ -34,12 +32,12 @@ def annotate(train: DataFrame) -> DataFrame:
     gap (distance to the previous positive day; rn + 1 for the first)."""
     pos = F.col("qty") > 0
     df = train.withColumns({
-        "rn": (F.row_number().over(W) - 1).cast("int"),
-        "n": F.count(F.lit(1)).over(W_ALL).cast("int"),
-        "k": F.sum(F.when(pos, 1).otherwise(0)).over(W_ALL).cast("int"),
-        "pr": F.when(pos, F.sum(F.when(pos, 1).otherwise(0)).over(W_UPTO)).cast("int"),
+        "rn": (F.row_number().over(by_item()) - 1).cast("int"),
+        "n": F.count(F.lit(1)).over(item_all()).cast("int"),
+        "k": F.sum(F.when(pos, 1).otherwise(0)).over(item_all()).cast("int"),
+        "pr": F.when(pos, F.sum(F.when(pos, 1).otherwise(0)).over(upto())).cast("int"),
     })
-    prev_pos = F.last(F.when(F.col("qty") > 0, F.col("rn")), ignorenulls=True).over(W_BEFORE)
+    prev_pos = F.last(F.when(F.col("qty") > 0, F.col("rn")), ignorenulls=True).over(before())
     return df.withColumn("gap", F.when(pos, F.col("rn") - F.coalesce(prev_pos, F.lit(-1))))
 
 
@@ -110,8 +108,8 @@ def to_long(consts: DataFrame, methods=METHODS, horizon: int = 14) -> DataFrame:
 def same_weekday_fitted(series: DataFrame, weeks: int = 4) -> DataFrame:
     """In-sample mean of the same weekday over the previous ``weeks`` weeks,
     defined from row 7*weeks on (NULL before)."""
-    rn = F.row_number().over(W) - 1
-    mean = sum(F.lag("qty", 7 * w).over(W) for w in range(1, weeks + 1)) / float(weeks)
+    rn = F.row_number().over(by_item()) - 1
+    mean = sum(F.lag("qty", 7 * w).over(by_item()) for w in range(1, weeks + 1)) / float(weeks)
     return series.withColumn("_rn", rn).withColumn(
         "fitted", F.when(F.col("_rn") >= 7 * weeks, mean)).drop("_rn")
 
@@ -139,7 +137,7 @@ SELECT_RULES = ((30.0, "MA_7"), (60.0, "Croston"), (85.0, "SBA"))
 def baseline_select(dense: DataFrame, p, validation_share: float = 0.2) -> DataFrame:
     """Pick a baseline per item by its share of zero days (MA_7 / Croston / SBA /
     ensemble of the three), fit on the first 80% of rows and score the last 20%."""
-    pos = dense.withColumns({"_rn": F.row_number().over(W) - 1, "_n": F.count(F.lit(1)).over(W_ALL)})
+    pos = dense.withColumns({"_rn": F.row_number().over(by_item()) - 1, "_n": F.count(F.lit(1)).over(item_all())})
     cut = F.floor(F.col("_n") * (1 - validation_share))
     train = pos.where(F.col("_rn") < cut).drop("_rn", "_n")
     valid = pos.where(F.col("_rn") >= cut).drop("_rn", "_n")

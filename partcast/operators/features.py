@@ -11,26 +11,21 @@ recurrences of the reference (time since / until demand, run lengths) become
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partcast.functions.windows import after, by_item, frame, upto
+
 from partcast.functions import calendar as C
 
-W = Window.partitionBy("item_id").orderBy("ds")
 LAGS = (1, 7, 14, 30)
 ROLL = (7, 14, 30)
 
 
-def frame(k: int):
-    return W.rowsBetween(-(k - 1), 0)
-
-
-UPTO = W.rowsBetween(Window.unboundedPreceding, 0)
-AFTER = W.rowsBetween(1, Window.unboundedFollowing)
 
 
 def _rn() -> Column:
-    return (F.row_number().over(W) - 1)
+    return (F.row_number().over(by_item()) - 1)
 
 
 def with_rn(df: DataFrame) -> DataFrame:
@@ -40,7 +35,7 @@ def with_rn(df: DataFrame) -> DataFrame:
 def lag_cols(q: str = "qty") -> dict[str, Column]:
     out = {}
     for k in LAGS:
-        lg = F.lag(q, k).over(W)
+        lg = F.lag(q, k).over(by_item())
         out[f"lag_{k}"] = lg
         out[f"had_demand_lag_{k}"] = F.when(lg > 0, 1).otherwise(0)
     return out
@@ -65,20 +60,20 @@ def rolling_cols(q: str = "qty", windows=ROLL, counts: bool = True, stats: bool
 
 def since_col(q: str = "qty") -> Column:
     """Rows since the last qty > 0 (0 on demand days and before the first demand)."""
-    last_pos = F.last(F.when(F.col(q) > 0, F.col("_rn")), ignorenulls=True).over(UPTO)
+    last_pos = F.last(F.when(F.col(q) > 0, F.col("_rn")), ignorenulls=True).over(upto())
     return F.coalesce(F.col("_rn") - last_pos, F.lit(0))
 
 
 def until_col(q: str = "qty", default: int = 30) -> Column:
     """Rows until the next qty > 0 strictly after this row; ``default`` if none.
     Reads the future -- never a training feature."""
-    nxt = F.first(F.when(F.col(q) > 0, F.col("_rn")), ignorenulls=True).over(AFTER)
+    nxt = F.first(F.when(F.col(q) > 0, F.col("_rn")), ignorenulls=True).over(after())
     return F.coalesce(nxt - F.col("_rn"), F.lit(default))
 
 
 def run_cols(q: str = "qty") -> dict[str, Column]:
-    brk_zero = F.last(F.when(F.col(q) != 0, F.col("_rn")), ignorenulls=True).over(UPTO)
-    brk_dem = F.last(F.when(F.col(q) <= 0, F.col("_rn")), ignorenulls=True).over(UPTO)
+    brk_zero = F.last(F.when(F.col(q) != 0, F.col("_rn")), ignorenulls=True).over(upto())
+    brk_dem = F.last(F.when(F.col(q) <= 0, F.col("_rn")), ignorenulls=True).over(upto())
     return {
         "zero_run_length": F.col("_rn") - F.coalesce(brk_zero, F.lit(-1)),
         "demand_run_length": F.col("_rn") - F.coalesce(brk_dem, F.lit(-1)),

@@ -16,11 +16,12 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partcast.functions.windows import by_item
+
 from partcast.operators.extract import daily_consumption, window_start
 from partcast.params import Params
 from partcast.sources.tables import Tables
 
-BY_ITEM = Window.partitionBy("item_id").orderBy("ds")
 
 
 # -- demand sources --------------------------------------------------------------------
@@ -65,7 +66,7 @@ def demand_source(t: Tables, p: Params, name: str) -> DataFrame:
 # -- densification ---------------------------------------------------------------------
 def densify_own_span(daily: DataFrame, value: str = "qty") -> DataFrame:
     """Fill missing days with 0 between each item's own first and last day."""
-    nxt = F.lead("ds").over(BY_ITEM)
+    nxt = F.lead("ds").over(by_item())
     return (daily.where(F.col("item_id").isNotNull() & F.col("ds").isNotNull())
             .select("item_id", "ds", value, F.coalesce(F.date_sub(nxt, 1), F.col("ds")).alias("seg_end"))
             .select("item_id", "ds", value, F.explode(F.sequence(F.col("ds"), F.col("seg_end"))).alias("d"))
@@ -77,8 +78,8 @@ def densify_fixed_window(daily: DataFrame, start: dt.date, end: dt.date, value:
     """Re-index every item onto the same [start, end] calendar (days outside dropped)."""
     lo, hi = F.lit(start), F.lit(end)
     inside = daily.where(F.col("item_id").isNotNull() & (F.col("ds") >= lo) & (F.col("ds") <= hi))
-    prv = F.lag("ds").over(BY_ITEM)
-    nxt = F.lead("ds").over(BY_ITEM)
+    prv = F.lag("ds").over(by_item())
+    nxt = F.lead("ds").over(by_item())
     return (inside.select("item_id", "ds", value,
                           F.when(prv.isNull(), lo).otherwise(F.col("ds")).alias("seg_start"),
                           F.coalesce(F.date_sub(nxt, 1), hi).alias("seg_end"))
@@ -157,7 +158,7 @@ def unpivot_wide(wide: DataFrame, id_col: str = "ds") -> DataFrame:
 def with_position(dense: DataFrame) -> DataFrame:
     """Adds rn (0-based day index) and n (series length) per item."""
     w_all = Window.partitionBy("item_id")
-    return (dense.withColumn("rn", (F.row_number().over(BY_ITEM) - 1).cast("int"))
+    return (dense.withColumn("rn", (F.row_number().over(by_item()) - 1).cast("int"))
                  .withColumn("n", F.count(F.lit(1)).over(w_all).cast("int")))
 
 

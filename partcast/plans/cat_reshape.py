@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from partcast.operators import reshape as R
-from partcast.operators.extract import window_start
 from partcast.plans.oracle_base import AS_OF, START, fixed_window
 from partcast.plans.registry import P, register
 from partcast.plans.sqlkit import cte, sql
