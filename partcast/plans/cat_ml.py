@@ -1 +1,212 @@
-"""Registered queries."""
+"""Registered queries: Spark ML forecasters, back-test, loss comparison, model
+and report sinks (SURVEY 2.9, 2.1 sinks, 2.10 ``compare_loss``).
+
+ML results depend on the fitting algorithm, so these keys are rows-only checks
+-- except the baseline back-test, which has an exact oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from partcast.operators import backtest as BT
+from partcast.operators import classify as K
+from partcast.operators import evaluate as E
+from partcast.operators import ml as M
+from partcast.operators import procure as Q
+from partcast.operators import quality as D
+from partcast.operators import reshape as R
+from partcast.plans.registry import EP, P, register
+from partcast.plans.sqlkit import cte, sql
+from partcast.sources import files as IO
+
+TRAIN = F.col("split") == "train"
+
+
+def _fam(t):
+    return R.dense_series(t, P, "family", "fixed")
+
+
+def _sup(t):
+    return M.supervised(_fam(t), P.n_lags, P.horizon)
+
+
+def _holdout_model(t):
+    sup = _sup(t)
+    model = M.cached_model(("gbt_ar_holdout", t.sf_dir, P), lambda: M.fit_global_gbt(sup.where(TRAIN), P))
+    return model, sup
+
+
+def _full_model(t):
+    sup = M.supervised(_fam(t), P.n_lags, 0)
+    model = M.cached_model(("gbt_ar_full", t.sf_dir, P), lambda: M.fit_global_gbt(sup, P))
+    return model, sup
+
+
+def _train_all(t):
+    return M.cached_model(("train_all", t.sf_dir, P),
+                          lambda: M.train_all(R.dense_series(t, P, "parts", "own"), P, t.product_code))
+
+
+@register("ml_multiseries")
+def _ml_multiseries(t):
+    model, sup = _holdout_model(t)
+    fc = M.recursive_forecast(model, sup, P, TRAIN)
+    return fc.join(_fam(t).select("item_id", "ds", F.col("qty").alias("y")), ["item_id", "ds"], "left")
+
+
+@register("ml_multiseries_subset")
+def _ml_multiseries_subset(t):
+    cats = K.volume_class(R.demand_family(t, P), P.days_back + 1)
+    dense = M.select_subset(_fam(t), cats, 100)
+    sup = M.supervised(dense, P.n_lags, P.horizon)
+    model = M.cached_model(("gbt_ar_subset", t.sf_dir, P), lambda: M.fit_global_gbt(sup.where(TRAIN), P))
+    fc = M.recursive_forecast(model, sup, P, TRAIN)
+    return fc.join(dense.select("item_id", "ds", F.col("qty").alias("y")), ["item_id", "ds"], "left")
+
+
+@register("ml_single_series")
+def _ml_single_series(t):
+    """Per-item quality of the global boosted model, for items with >= 30 demand days."""
+    model, sup = _holdout_model(t)
+    eligible = M.eligible_nonzero(_fam(t), 30).select("item_id").distinct()
+    fc = M.recursive_forecast(model, sup.join(eligible, "item_id", "left_semi"), P, TRAIN)
+    ev = fc.join(_fam(t).select("item_id", "ds", F.col("qty").alias("y")), ["item_id", "ds"])
+    return E.error_metrics(ev, ("item_id",))
+
+
+@register("ml_tweedie")
+def _ml_tweedie(t):
+    return M.tweedie_by_route(R.dense_series(t, EP, "events_all", "own"), EP)
+
+
+@register("ml_two_stage")
+def _ml_two_stage(t):
+    feats, names = M.lagged_features(_fam(t))
+    data = M.split_80_20(feats)
+    models = M.cached_model(("two_stage", t.sf_dir, P),
+                            lambda: M.fit_two_stage_on(data.where(TRAIN), names, P))
+    return M.score(models, data.where(F.col("split") == "validation").select("item_id", "ds", "qty", *names))
+
+
+@register("ml_asymmetric")
+def _ml_asymmetric(t):
+    model, sup = _holdout_model(t)
+    asym = M.cached_model(("gbt_ar_asym", t.sf_dir, P),
+                          lambda: M.fit_asymmetric(sup.where(TRAIN), P, 3.0, 1, base_model=model))
+    std = M.one_step(model, sup).withColumnRenamed("yhat", "yhat_standard")
+    pen = M.one_step(asym, sup).select("item_id", "ds", F.col("yhat").alias("yhat_asymmetric"))
+    return std.join(pen, ["item_id", "ds"])
+
+
+@register("ml_train_all")
+def _ml_train_all(t):
+    results, _ = _train_all(t)
+    return results
+
+
+@register("ml_importance")
+def _ml_importance(t):
+    _, models = _train_all(t)
+    feats_names = [c for c in M.lagged_features(_fam(t))[0].columns if c not in ("item_id", "ds", "qty")]
+    imp = M.importances_of(models, feats_names, t.spark)
+    g_model, _ = _holdout_model(t)
+    g = M.importances_of({"global_gbt": g_model}, M.feature_names(P.n_lags)[:-1], t.spark)
+    return M.importance_summary(imp.unionByName(g), 20)
+
+
+@register("ml_forecast_future")
+def _ml_forecast_future(t):
+    model, sup = _full_model(t)
+    return M.bounds(M.recursive_forecast(model, sup, P, F.lit(True)))
+
+
+@register("ml_forecast_flat")
+def _ml_forecast_flat(t):
+    model, sup = _full_model(t)
+    items = _fam(t).select("item_id").distinct()
+    return M.forecast_flat(model, sup, items, P.horizon, P.as_of)
+
+
+@register("compare_loss")
+def _compare_loss(t):
+    """Standard vs stock-out-penalised linear fits (exact asymmetric least squares),
+    penalties 1, 2, 3, 5; metrics on the hold-out and change against penalty 1."""
+    sup = _sup(t)
+    vec = VectorAssembler(inputCols=M.lag_names(P.n_lags) + list(M.CAL_COLS), outputCol="features")
+    data = vec.transform(sup).select("item_id", "ds", "qty", "y", "mu", "sd", "split", "features")
+    train, test = data.where(TRAIN), data.where(F.col("split") == "test")
+    evs = None
+    for pen in (1.0, 2.0, 3.0, 5.0):
+        m = M.fit_expectile_linear(train, "features", "y", pen)
+        ev = m.transform(test).select(
+            F.lit(pen).alias("penalty"), F.col("qty").alias("y"),
+            F.greatest(F.col("prediction") * F.col("sd") + F.col("mu"), F.lit(0.0)).alias("yhat"))
+        evs = ev if evs is None else evs.unionByName(ev)
+    met = E.asymmetric_metrics(evs, ("penalty",), 3.0)
+    base = met.where(F.col("penalty") == 1.0).select(
+        F.col("stockout_rate").alias("_so"), F.col("total_cost").alias("_tc"), F.col("mae").alias("_mae"))
+    eps = E.EPS_CHANGE
+    return met.join(base, how="left").select(   # base is one row
+        "*",
+        ((F.col("_so") - F.col("stockout_rate")) / (F.col("_so") + eps) * 100).alias("stockout_reduction"),
+        ((F.col("_tc") - F.col("total_cost")) / (F.col("_tc") + eps) * 100).alias("cost_reduction"),
+        ((F.col("mae") - F.col("_mae")) / (F.col("_mae") + eps) * 100).alias("mae_change"),
+    ).drop("_so", "_tc", "_mae")
+
+
+@register("model_io")
+def _model_io(t):
+    """Save the global model and the training results (partitioned by status) to
+    the shared folder, load the model back and score with both copies."""
+    model, sup = _holdout_model(t)
+    path = M.save_model(model, IO.io_path(t.spark, "model"))
+    loaded = M.load_model(path)
+    results = E.training_results_baseline(R.dense_series(t, P, "parts", "own"), P, "MA_7")
+    M.save_results(results, IO.io_path(t.spark, "training_results"))
+    a = M.one_step(model, sup).withColumnRenamed("yhat", "yhat_in_memory")
+    b = M.one_step(loaded, sup).select("item_id", "ds", F.col("yhat").alias("yhat_loaded"))
+    return a.join(b, ["item_id", "ds"])
+
+
+@register("report_tables")
+def _report_tables(t):
+    fc = Q.safety_stock(Q.future_forecast(R.dense_series(t, P, "parts", "fixed"), P), P.safety_factor)
+    sheets = {
+        "urgent_orders": Q.urgent_orders(fc, P.as_of, P.urgent_days),
+        "warning_orders": Q.warning_orders(fc, P.as_of, P.urgent_days, P.warning_days),
+        "summary": Q.procurement_summary(fc, P.horizon),
+        "historical_analysis": D.historical_summary(R.dense_series(t, P, "parts", "own")),
+        "forecasts": fc,
+    }
+    return IO.report_tables(sheets, "procurement_report")
+
+
+W = "PARTITION BY item_id ORDER BY ds"
+cte("bt_pos", """
+SELECT *, CASE WHEN rn >= floor(n * 0.8) THEN CAST(floor((rn - floor(n * 0.8)) / 7) AS BIGINT) END AS fold,
+       rn >= floor(n * 0.8) AND (rn - floor(n * 0.8)) % 7 = 0 AS at_cut
+FROM parts_fixed_pos""", "parts_fixed_pos")
+_cut = {
+    "MA_7": f"avg(qty) OVER ({W} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)",
+    "MA_14": f"avg(qty) OVER ({W} ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)",
+    "MA_30": f"avg(qty) OVER ({W} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)",
+    "Naive": f"lag(qty, 1) OVER ({W})",
+    "Mean": f"avg(qty) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+}
+cte("bt_cut", "SELECT *, " + ", ".join(f"CASE WHEN at_cut THEN {e} END AS c_{m}" for m, e in _cut.items())
+    + " FROM bt_pos", "bt_pos")
+cte("bt_rows", "\nUNION ALL\n".join(
+    f"SELECT item_id, fold, qty, '{m}' AS method, last_value(c_{m} IGNORE NULLS) OVER "
+    f"({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS yhat FROM bt_cut" for m in _cut), "bt_cut")
+
+
+@register("backtest", sql("""
+SELECT item_id, method, count(*) AS n_folds, avg(fold_mae) AS mae_mean, stddev_samp(fold_mae) AS mae_std,
+       min(fold_mae) AS mae_min, max(fold_mae) AS mae_max
+FROM (SELECT item_id, method, fold, avg(abs(qty - yhat)) AS fold_mae FROM bt_rows WHERE fold IS NOT NULL
+      GROUP BY item_id, method, fold) f
+GROUP BY item_id, method""", "bt_rows"))
+def _backtest(t):
+    return BT.backtest_baselines(R.dense_series(t, P, "parts", "fixed"))
