@@ -27,8 +27,8 @@ def analytics_summary(results: DataFrame, urgency: DataFrame, k: int = 10) -> Da
     acc = F.when(F.col("_mae") < 1, F.lit(1.0) - F.col("_mae")).otherwise(F.lit(0.95))
     return base.select(
         "total_parts_monitored", acc.alias("average_model_accuracy"),
-        risky.agg(count_if(F.col("urgency") == "critical")).scalar().alias("critical_alerts"),
-        top.scalar().alias("high_risk_parts"), "high_intermittency")
+        F.coalesce(risky.agg(count_if(F.col("urgency") == "critical")).scalar(), F.lit(0)).alias("critical_alerts"),
+        F.coalesce(top.scalar(), F.lit("")).alias("high_risk_parts"), "high_intermittency")
 
 
 def model_status(results: DataFrame) -> DataFrame:

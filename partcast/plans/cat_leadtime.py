@@ -143,9 +143,9 @@ SELECT *, CASE WHEN performance_score IS NOT NULL THEN
             CAST(rank() OVER (PARTITION BY performance_score IS NOT NULL ORDER BY performance_score DESC) AS DOUBLE)
             + (count(*) OVER (PARTITION BY performance_score IS NOT NULL, performance_score) - 1) / 2.0
           END AS supplier_rank
-FROM (SELECT *, least(greatest(on_time_rate * 50 + (1.0 - lead_time_std / greatest(avg_lead_time, 1.0)) * 30
-                               + (1.0 - greatest(avg_delay, 0.0) / greatest(avg_lead_time, 1.0)) * 20, 0.0),
-                      100.0) AS performance_score
+FROM (SELECT * EXCLUDE (raw), CASE WHEN raw IS NOT NULL THEN least(greatest(raw, 0.0), 100.0) END AS performance_score
+      FROM (SELECT *, on_time_rate * 50 + (1.0 - lead_time_std / greatest(avg_lead_time, 1.0)) * 30
+                      + (1.0 - greatest(avg_delay, 0.0) / greatest(avg_lead_time, 1.0)) * 20 AS raw
       FROM (SELECT supplier_id, avg(CAST(actual_lead_days AS DOUBLE)) AS avg_lead_time,
                    stddev_samp(CAST(actual_lead_days AS DOUBLE)) AS lead_time_std,
                    min(CAST(actual_lead_days AS DOUBLE)) AS min_lead_time,
@@ -153,7 +153,7 @@ FROM (SELECT *, least(greatest(on_time_rate * 50 + (1.0 - lead_time_std / greate
                    avg(CAST(delivery_delay AS DOUBLE)) AS avg_delay,
                    stddev_samp(CAST(delivery_delay AS DOUBLE)) AS delay_std,
                    avg(CAST(on_time AS DOUBLE)) AS on_time_rate, count(order_date) AS total_orders
-            FROM lt WHERE supplier_id IS NOT NULL GROUP BY supplier_id) s) p""", "lt"))
+            FROM lt WHERE supplier_id IS NOT NULL GROUP BY supplier_id) s) r) p""", "lt"))
 def _supplier_performance(t):
     return L.supplier_performance(_lt(t))
 

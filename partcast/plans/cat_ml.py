@@ -21,7 +21,10 @@ from partcast.plans.registry import EP, P, register
 from partcast.plans.sqlkit import cte, sql
 from partcast.sources import files as IO
 
-TRAIN = F.col("split") == "train"
+
+
+def _train():
+    return F.col("split") == "train"
 
 
 def _fam(t):
@@ -34,7 +37,7 @@ def _sup(t):
 
 def _holdout_model(t):
     sup = _sup(t)
-    model = M.cached_model(("gbt_ar_holdout", t.sf_dir, P), lambda: M.fit_global_gbt(sup.where(TRAIN), P))
+    model = M.cached_model(("gbt_ar_holdout", t.sf_dir, P), lambda: M.fit_global_gbt(sup.where(_train()), P))
     return model, sup
 
 
@@ -52,7 +55,7 @@ def _train_all(t):
 @register("ml_multiseries")
 def _ml_multiseries(t):
     model, sup = _holdout_model(t)
-    fc = M.recursive_forecast(model, sup, P, TRAIN)
+    fc = M.recursive_forecast(model, sup, P, _train())
     return fc.join(_fam(t).select("item_id", "ds", F.col("qty").alias("y")), ["item_id", "ds"], "left")
 
 
@@ -61,8 +64,8 @@ def _ml_multiseries_subset(t):
     cats = K.volume_class(R.demand_family(t, P), P.days_back + 1)
     dense = M.select_subset(_fam(t), cats, 100)
     sup = M.supervised(dense, P.n_lags, P.horizon)
-    model = M.cached_model(("gbt_ar_subset", t.sf_dir, P), lambda: M.fit_global_gbt(sup.where(TRAIN), P))
-    fc = M.recursive_forecast(model, sup, P, TRAIN)
+    model = M.cached_model(("gbt_ar_subset", t.sf_dir, P), lambda: M.fit_global_gbt(sup.where(_train()), P))
+    fc = M.recursive_forecast(model, sup, P, _train())
     return fc.join(dense.select("item_id", "ds", F.col("qty").alias("y")), ["item_id", "ds"], "left")
 
 
@@ -71,7 +74,7 @@ def _ml_single_series(t):
     """Per-item quality of the global boosted model, for items with >= 30 demand days."""
     model, sup = _holdout_model(t)
     eligible = M.eligible_nonzero(_fam(t), 30).select("item_id").distinct()
-    fc = M.recursive_forecast(model, sup.join(eligible, "item_id", "left_semi"), P, TRAIN)
+    fc = M.recursive_forecast(model, sup.join(eligible, "item_id", "left_semi"), P, _train())
     ev = fc.join(_fam(t).select("item_id", "ds", F.col("qty").alias("y")), ["item_id", "ds"])
     return E.error_metrics(ev, ("item_id",))
 
@@ -86,7 +89,7 @@ def _ml_two_stage(t):
     feats, names = M.lagged_features(_fam(t))
     data = M.split_80_20(feats)
     models = M.cached_model(("two_stage", t.sf_dir, P),
-                            lambda: M.fit_two_stage_on(data.where(TRAIN), names, P))
+                            lambda: M.fit_two_stage_on(data.where(_train()), names, P))
     return M.score(models, data.where(F.col("split") == "validation").select("item_id", "ds", "qty", *names))
 
 
@@ -94,7 +97,7 @@ def _ml_two_stage(t):
 def _ml_asymmetric(t):
     model, sup = _holdout_model(t)
     asym = M.cached_model(("gbt_ar_asym", t.sf_dir, P),
-                          lambda: M.fit_asymmetric(sup.where(TRAIN), P, 3.0, 1, base_model=model))
+                          lambda: M.fit_asymmetric(sup.where(_train()), P, 3.0, 1, base_model=model))
     std = M.one_step(model, sup).withColumnRenamed("yhat", "yhat_standard")
     pen = M.one_step(asym, sup).select("item_id", "ds", F.col("yhat").alias("yhat_asymmetric"))
     return std.join(pen, ["item_id", "ds"])
@@ -136,7 +139,7 @@ def _compare_loss(t):
     sup = _sup(t)
     vec = VectorAssembler(inputCols=M.lag_names(P.n_lags) + list(M.CAL_COLS), outputCol="features")
     data = vec.transform(sup).select("item_id", "ds", "qty", "y", "mu", "sd", "split", "features")
-    train, test = data.where(TRAIN), data.where(F.col("split") == "test")
+    train, test = data.where(_train()), data.where(F.col("split") == "test")
     evs = None
     for pen in (1.0, 2.0, 3.0, 5.0):
         m = M.fit_expectile_linear(train, "features", "y", pen)

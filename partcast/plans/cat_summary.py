@@ -32,11 +32,11 @@ def _urgency(t):
 @register("analytics_summary", sql("""
 SELECT count(*) AS total_parts_monitored,
        CASE WHEN avg(mae) < 1 THEN 1.0 - avg(mae) ELSE 0.95 END AS average_model_accuracy,
-       (SELECT count_if(urgency = 'critical') FROM fut_part_urgency WHERE urgency IN ('critical', 'high'))
-         AS critical_alerts,
-       (SELECT string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY o, item_id) FROM (
+       COALESCE((SELECT count_if(urgency = 'critical') FROM fut_part_urgency
+                 WHERE urgency IN ('critical', 'high')), 0) AS critical_alerts,
+       COALESCE((SELECT string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY o, item_id) FROM (
           SELECT item_id, CASE WHEN urgency = 'critical' THEN 0 ELSE 1 END AS o FROM fut_part_urgency
-          WHERE urgency IN ('critical', 'high') ORDER BY o, item_id LIMIT 10) h) AS high_risk_parts,
+          WHERE urgency IN ('critical', 'high') ORDER BY o, item_id LIMIT 10) h), '') AS high_risk_parts,
        count_if(zero_pct > 90) AS high_intermittency
 FROM train_results WHERE status = 'success'""", "train_results", "fut_part_urgency"))
 def _analytics_summary(t):
