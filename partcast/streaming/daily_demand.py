@@ -26,7 +26,9 @@ EVENT_SCHEMA = T.StructType([
 
 def daily_sums(stream: DataFrame, key: str, ts: str, value: str, late: str = "2 days") -> DataFrame:
     """Watermarked per-key daily sums of a streaming frame: (item_id, ds, qty)."""
+    # event time must be a (local) TIMESTAMP; sources often carry TIMESTAMP_NTZ
     return (stream.where(F.col(key).isNotNull())
+            .withColumn(ts, F.col(ts).cast("timestamp"))
             .withWatermark(ts, late)
             .groupBy(F.col(key).alias("item_id"), F.window(ts, "1 day"))
             .agg(F.sum(value).alias("qty"))
