@@ -27,41 +27,48 @@ METHODS = ("MA_7", "MA_14", "MA_30", "WMA_7", "Naive", "Seasonal_7", "ExpSmooth"
            "Croston", "SBA", "TSB", "MA_NonZero", "Mean")
 
 
-def annotate(train: DataFrame) -> DataFrame:
-    """Adds rn (0-based), n, k (positive days), pr (positive rank, 1-based) and
-    gap (distance to the previous positive day; rn + 1 for the first)."""
+def annotate(series: DataFrame, holdout: int = 0) -> DataFrame:
+    """Adds rn (0-based), n (training length = rows - holdout), k (positive
+    training days), pr (positive rank, 1-based) and gap (distance to the previous
+    positive day; rn + 1 for the first).  Rows with rn >= n are hold-out rows."""
     pos = F.col("qty") > 0
-    df = train.withColumns({
+    df = series.withColumns({
         "rn": (F.row_number().over(by_item()) - 1).cast("int"),
-        "n": F.count(F.lit(1)).over(item_all()).cast("int"),
-        "k": F.sum(F.when(pos, 1).otherwise(0)).over(item_all()).cast("int"),
-        "pr": F.when(pos, F.sum(F.when(pos, 1).otherwise(0)).over(upto())).cast("int"),
+        "n": (F.count(F.lit(1)).over(item_all()) - holdout).cast("int"),
     })
-    prev_pos = F.last(F.when(F.col("qty") > 0, F.col("rn")), ignorenulls=True).over(before())
-    return df.withColumn("gap", F.when(pos, F.col("rn") - F.coalesce(prev_pos, F.lit(-1))))
+    tpos = pos & (F.col("rn") < F.col("n"))
+    df = df.withColumns({
+        "k": F.sum(F.when(tpos, 1).otherwise(0)).over(item_all()).cast("int"),
+        "pr": F.when(tpos, F.sum(F.when(pos, 1).otherwise(0)).over(upto())).cast("int"),
+    })
+    prev_pos = F.last(F.when(pos, F.col("rn")), ignorenulls=True).over(before())
+    return df.withColumn("gap", F.when(tpos, F.col("rn") - F.coalesce(prev_pos, F.lit(-1))))
 
 
 def _pw(base: float, e: Column) -> Column:
     return F.pow(F.lit(base), e.cast("double"))
 
 
-def forecast_constants(train: DataFrame, ses_alpha: float = 0.3, croston_alpha: float = 0.1) -> DataFrame:
+def forecast_constants(series: DataFrame, ses_alpha: float = 0.3, croston_alpha: float = 0.1,
+                       holdout: int = 0) -> DataFrame:
     """One row per item: every method's forecast (flat methods) and the seven
-    seasonal values.  Columns are the method names plus ``season`` (array of 7),
-    ``train_end`` (last training day) and ``n``."""
+    seasonal values, fitted on all but the last ``holdout`` rows.  Columns are the
+    method names plus ``season`` (array of 7), ``train_end``, ``n`` and -- when
+    ``holdout`` > 0 -- ``actuals``, the hold-out values in day order."""
     a, b = ses_alpha, 1 - ses_alpha
     ca, cb = croston_alpha, 1 - croston_alpha
     q, rn, n, k, pr = F.col("qty"), F.col("rn"), F.col("n"), F.col("k"), F.col("pr")
+    qt = F.when(rn < n, q)          # training values only
 
     def last_w(w):
-        return F.avg(F.when(rn >= n - w, q))
+        return F.avg(F.when(rn >= n - w, qt))
 
     size_w = F.when(pr == 1, _pw(cb, k - 1)).when(pr >= 2, F.lit(ca) * _pw(cb, k - pr))
-    g = annotate(train).groupBy("item_id").agg(
-        F.max("ds").alias("train_end"),
+    aggs = [
+        F.max(F.when(rn < n, F.col("ds"))).alias("train_end"),
         F.max("n").alias("n"), F.max("k").alias("k"),
         last_w(7).alias("MA_7"), last_w(14).alias("MA_14"), last_w(30).alias("MA_30"),
-        (F.sum(F.when(rn >= n - 7, q * (rn - n + 8))) / 28.0).alias("_wma"),
+        (F.sum(F.when(rn >= n - 7, qt * (rn - n + 8))) / 28.0).alias("_wma"),
         F.max(F.when(rn == n - 1, q)).alias("Naive"),
         F.array(*[F.max(F.when(rn == n - 8 + j, q)) for j in range(1, 8)]).alias("season"),
         (F.coalesce(F.sum(F.when(rn <= n - 2, F.lit(a) * _pw(b, n - 2 - rn) * q)), F.lit(0.0))
@@ -69,13 +76,17 @@ def forecast_constants(train: DataFrame, ses_alpha: float = 0.3, croston_alpha:
         F.sum(size_w * q).alias("_z"),
         F.sum(size_w * F.col("gap")).alias("_p"),
         F.max(F.when(pr == 1, rn)).alias("_t1"),
-        F.sum(F.when(q > 0, F.lit(ca) * _pw(cb, n - 1 - rn))).alias("_pos_w"),
+        F.sum(F.when(qt > 0, F.lit(ca) * _pw(cb, n - 1 - rn))).alias("_pos_w"),
         F.avg(F.when(pr > k - 3, q)).alias("_last3"),
-        F.avg(q).alias("Mean"),
-    )
+        F.avg(qt).alias("Mean"),
+    ]
+    if holdout:
+        aggs.append(F.array(*[F.max(F.when(rn == n + j, q)) for j in range(holdout)]).alias("actuals"))
+    g = annotate(series, holdout).groupBy("item_id").agg(*aggs)
     k, n = F.col("k"), F.col("n")
     croston = F.when(k == 0, F.lit(0.0)).when(F.col("_p") > 0, F.col("_z") / F.col("_p")).otherwise(F.lit(0.0))
     tsb_p = _pw(cb, n) / (F.col("_t1") + 1) + F.coalesce(F.col("_pos_w"), F.lit(0.0))
+    extra = ["actuals"] if holdout else []
     return g.select(
         "item_id", "train_end", "n", "MA_7", "MA_14", "MA_30",
         F.when(n >= 7, F.col("_wma")).alias("WMA_7"),
@@ -84,7 +95,7 @@ def forecast_constants(train: DataFrame, ses_alpha: float = 0.3, croston_alpha:
         (croston * (1 - croston_alpha / 2)).alias("SBA"),
         F.when(k == 0, F.lit(0.0)).otherwise(F.greatest(tsb_p * F.col("_z"), F.lit(0.0))).alias("TSB"),
         F.when(k == 0, F.lit(0.0)).otherwise(F.col("_last3") * k / n).alias("MA_NonZero"),
-        "Mean",
+        "Mean", *extra,
     )
 
 
@@ -96,13 +107,15 @@ def to_long(consts: DataFrame, methods=METHODS, horizon: int = 14) -> DataFrame:
     has_season = "Seasonal_7" in methods
     if has_season:
         entries.append(F.struct(F.lit("Seasonal_7").alias("method"), F.lit(None).cast("double").alias("v")))
-    out = (consts.select("item_id", "train_end", "season", "Naive", F.explode(F.array(*entries)).alias("m"))
-           .select("item_id", "train_end", "season", "Naive", "m.method", "m.v",
+    carry = ["actuals"] if "actuals" in consts.columns else []
+    out = (consts.select("item_id", "train_end", "season", "Naive", *carry, F.explode(F.array(*entries)).alias("m"))
+           .select("item_id", "train_end", "season", "Naive", *carry, "m.method", "m.v",
                    F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")))
     season_val = F.when(F.col("h") <= 7, F.element_at("season", F.col("h"))).otherwise(F.col("Naive"))
     yhat = F.when(F.col("method") == "Seasonal_7", season_val).otherwise(F.col("v")) if has_season else F.col("v")
+    y = [F.element_at("actuals", F.col("h")).alias("y")] if carry else []
     return out.select("item_id", "method", F.col("h").cast("int").alias("h"),
-                      F.date_add("train_end", F.col("h")).alias("ds"), yhat.alias("yhat"))
+                      F.date_add("train_end", F.col("h")).alias("ds"), *y, yhat.alias("yhat"))
 
 
 def same_weekday_fitted(series: DataFrame, weeks: int = 4) -> DataFrame:
@@ -124,10 +137,27 @@ def train_test(dense: DataFrame, horizon: int, min_train: int) -> tuple[DataFram
     return train, test
 
 
+def eligible(dense: DataFrame, horizon: int, min_train: int) -> DataFrame:
+    """Items whose series leaves at least ``min_train`` rows before the hold-out."""
+    n = F.count(F.lit(1)).over(item_all())
+    return dense.withColumn("_n", n).where(F.col("_n") - horizon >= min_train).drop("_n")
+
+
+def holdout_constants(dense: DataFrame, p) -> DataFrame:
+    """Constants fitted on all but the last ``p.horizon`` rows of every eligible
+    item, carrying the hold-out actuals -- one grouped pass, no join."""
+    return forecast_constants(eligible(dense, p.horizon, p.min_train), p.ses_alpha, p.croston_alpha, p.horizon)
+
+
 def forecasts(dense: DataFrame, p, methods=METHODS) -> DataFrame:
     """Fit on all but the last ``p.horizon`` rows and forecast them."""
-    train, _ = train_test(dense, p.horizon, p.min_train)
-    return to_long(forecast_constants(train, p.ses_alpha, p.croston_alpha), methods, p.horizon)
+    return to_long(holdout_constants(dense, p), methods, p.horizon).drop("y")
+
+
+def evaluation_rows(dense: DataFrame, p, methods=METHODS) -> DataFrame:
+    """(item_id, method, h, ds, y, yhat) for the hold-out: forecasts and actuals
+    come out of the same per-item aggregate, so no join is needed."""
+    return to_long(holdout_constants(dense, p), methods, p.horizon)
 
 
 # Inferred selection thresholds on the share of zero days.

@@ -36,10 +36,7 @@ SELECT item_id, method AS best_method, mae AS best_mae FROM (
 
 
 def _ev(t, span="fixed"):
-    dense = R.dense_series(t, P, "parts", span)
-    train, test = B.train_test(dense, P.horizon, P.min_train)
-    fc = B.to_long(B.forecast_constants(train, P.ses_alpha, P.croston_alpha), B.METHODS, P.horizon)
-    return E.evaluation_table(fc, test)
+    return B.evaluation_rows(R.dense_series(t, P, "parts", span), P)
 
 
 @register("metrics_mae_rmse", sql("SELECT item_id, method, mae, rmse FROM fc_metrics", "fc_metrics"))
