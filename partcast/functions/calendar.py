@@ -61,8 +61,14 @@ def holiday(ds: Column, holidays: tuple[dt.date, ...], default: int = 999, cap:
 
 
 def business_day_of_month(ds: Column) -> Column:
-    """Mon-Fri days from the 1st of the month up to and including ``ds``."""
-    return F.size(F.filter(F.sequence(F.trunc(ds, "month"), ds), lambda x: F.weekday(x) < 5))
+    """Mon-Fri days from the 1st of the month up to and including ``ds``, in
+    closed form: 5 per full week plus the weekdays among the remaining
+    ``day % 7`` days that start on the weekday of the 1st (no per-row arrays)."""
+    day = F.dayofmonth(ds)
+    first_dow = F.weekday(F.trunc(ds, "month"))
+    rest = day % 7
+    extra = sum(F.when((F.lit(j) < rest) & (((first_dow + j) % 7) < 5), 1).otherwise(0) for j in range(7))
+    return (F.floor(day / 7) * 5 + extra).cast("int")
 
 
 def bday_flags(ds: Column) -> dict[str, Column]:

@@ -238,17 +238,21 @@ def bounds(fc: DataFrame, low: float = 0.8, high: float = 1.2) -> DataFrame:
 
 # -- intermittent-feature models (train-all, Tweedie, two-stage) ----------------------
 def lagged_features(dense: DataFrame) -> tuple[DataFrame, list[str]]:
-    """The intermittent feature set without look-ahead, shifted one day so that a
-    row only sees information up to the previous day; NULLs become 0 (as the
-    reference's ``fillna(0)``).  Returns the frame and the feature names."""
+    """The intermittent feature set without look-ahead, as known the day before:
+    features are computed on the demand shifted by one day (so row t sees
+    demand up to t-1; calendar columns describe day t, which is known in
+    advance).  NULLs become 0, as the reference's ``fillna(0)``.  One ``lag``
+    instead of one per feature keeps the projection small enough for
+    whole-stage code generation.  Returns the frame and the feature names."""
     from partcast.operators.features import all_features
 
-    feats = all_features(dense, include_lookahead=False)
-    names = [c for c in feats.columns if c not in ("item_id", "ds", "qty")]
-    shifted = feats.select("item_id", "ds", "qty",
-                           *[F.coalesce(F.lag(F.col(c).cast("double")).over(by_item()), F.lit(0.0)).alias(c)
-                             for c in names])
-    return shifted, names
+    shifted = dense.select("item_id", "ds", F.col("qty").alias("_target"),
+                           F.coalesce(F.lag("qty").over(by_item()), F.lit(0.0)).alias("qty"))
+    feats = all_features(shifted, include_lookahead=False)
+    names = [c for c in feats.columns if c not in ("item_id", "ds", "qty", "_target")]
+    out = feats.select("item_id", "ds", F.col("_target").alias("qty"),
+                       *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+    return out, names
 
 
 def _feature_stages(names: list[str]) -> list:
