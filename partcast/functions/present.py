@@ -17,16 +17,27 @@ BIG = 1e6          # from here on, round to SIG_DIGITS significant digits
 SIG_DIGITS = 10
 
 
+def _round_float(x, digits: int):
+    """round(x, digits) the way DuckDB rounds doubles: scale by 10^digits, round
+    half away from zero, scale back -- cheap float arithmetic (Spark's own
+    ``round`` goes through BigDecimal).  Magnitudes beyond 1e12 are returned as
+    is (the significant-digit branch handles them)."""
+    m = float(10 ** digits)
+    scaled = F.floor(F.abs(x) * m + 0.5).cast("double")
+    return F.when(F.abs(x) < 1e12, F.signum(x) * scaled / m + F.lit(0.0)).otherwise(x)
+
+
 def canonical_double(c):
     """Round to 6 decimals; values >= 1e6 in magnitude additionally to 10
     significant digits (float noise of sums in a different order would
     otherwise show at the 6th decimal of a huge value)."""
-    r = F.round(c.cast("double"), DIGITS)
+    x = c.cast("double")
+    r = _round_float(x, DIGITS)
     mag = F.abs(r)
+    big = (mag >= BIG) & (mag < float("inf"))
     # 10^k parsed from text: correctly rounded in every engine, unlike pow().
     e = F.concat(F.lit("1e"), F.floor(F.log10(mag)).cast("bigint").cast("string")).cast("double")
-    big = (mag >= BIG) & (mag < float("inf"))
-    return F.when(big, F.round(r / e, SIG_DIGITS - 1) * e).otherwise(r)
+    return F.when(F.isnan(x), x).when(big, _round_float(r / e, SIG_DIGITS - 1) * e).otherwise(r)
 
 
 def present(df: DataFrame) -> DataFrame:

@@ -119,9 +119,12 @@ def compare_vs_baseline(candidate: DataFrame, baselines: DataFrame) -> DataFrame
 
 def multiseries_metrics(ev: DataFrame, categories: DataFrame) -> DataFrame:
     """Three grains in one table: overall (all points), per series (MAE, MAPE),
-    and the mean series MAE per volume category (and over all series)."""
-    per = error_metrics(ev, ("item_id",))
-    overall = ev.agg(F.avg(F.abs(_err())).alias("mae")).select(
+    and the mean series MAE per volume category (and over all series).  The
+    per-series table feeds three branches and is checkpointed once."""
+    from partcast.session import cut_lineage
+
+    per = cut_lineage(error_metrics(ev, ("item_id",)))
+    overall = per.agg((F.sum(F.col("mae") * F.col("n_points")) / F.sum("n_points")).alias("mae")).select(
         F.lit("overall").alias("grain"), F.lit(None).cast("string").alias("key"), "mae",
         F.lit(None).cast("double").alias("mape"), F.lit(None).cast("bigint").alias("n_items"))
     series = per.select(F.lit("series").alias("grain"), F.col("item_id").cast("string").alias("key"), "mae",

@@ -2,11 +2,15 @@
 
 Input: a dense series (item_id, ds, qty).  Every feature is a window function
 over ``partitionBy(item_id).orderBy(ds)``; frames are row frames with partial
-frames allowed at the start (pandas ``min_periods=1``).  All frames share one
-exchange and one sort; the only second pass is the 30-day mean of
-``time_since_last_demand`` (a window over a window column).  Row-loop
-recurrences of the reference (time since / until demand, run lengths) become
-``last`` / ``first`` with ``ignoreNulls`` over row indices.
+frames allowed at the start (pandas ``min_periods=1``).  All windows share one
+exchange and one sort.  Row-loop recurrences of the reference (time since /
+until demand, run lengths) become ``last`` / ``first`` with ``ignoreNulls``
+over row indices.
+
+Spark evaluates a bounded sliding frame by re-aggregating the whole frame for
+every row (O(rows x w)).  Sums, means, counts and shares are therefore taken
+from running totals instead -- ``cum(t) - cum(t - w)``, O(1) per row -- and
+only the non-invertible statistics (std, min, max, Gini) use sliding frames.
 """
 
 from __future__ import annotations
@@ -14,15 +18,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partcast.functions.windows import after, by_item, frame, upto
-
 from partcast.functions import calendar as C
+from partcast.functions.windows import after, by_item, frame, upto
 
 LAGS = (1, 7, 14, 30)
 ROLL = (7, 14, 30)
+RUNNING = ("_cs_q", "_cs_zero", "_cs_pos")
+
+
+def with_running(df: DataFrame, q: str = "qty") -> DataFrame:
+    """Adds the row index and running totals used by the rolling sums."""
+    w = upto()
+    return df.withColumns({
+        "_rn": F.row_number().over(by_item()) - 1,
+        "_cs_q": F.sum(F.col(q)).over(w),
+        "_cs_zero": F.sum(F.when(F.col(q) == 0, 1).otherwise(0)).over(w),
+        "_cs_pos": F.sum(F.when(F.col(q) > 0, 1).otherwise(0)).over(w),
+    })
+
 
+def roll_sum(cum: str, k: int) -> Column:
+    """Sum over the last k rows from a running total column."""
+    return F.col(cum) - F.coalesce(F.lag(cum, k).over(by_item()), F.lit(0))
 
 
+def rows_in(k: int) -> Column:
+    """Rows in a partial frame of length k ending at the current row."""
+    return F.least(F.col("_rn") + 1, F.lit(k))
+
 
 def _rn() -> Column:
     return (F.row_number().over(by_item()) - 1)
@@ -41,19 +64,26 @@ def lag_cols(q: str = "qty") -> dict[str, Column]:
     return out
 
 
-def rolling_cols(q: str = "qty", windows=ROLL, counts: bool = True, stats: bool = True) -> dict[str, Column]:
+def rolling_cols(q: str = "qty", windows=ROLL, counts: bool = True, stats: bool = True,
+                 running: bool = True) -> dict[str, Column]:
+    """Rolling statistics; with ``running`` the sums / means / counts read the
+    running totals of :func:`with_running` (which must have been applied)."""
     out = {}
     for k in windows:
         f = frame(k)
         if stats:
-            out[f"rolling_mean_{k}"] = F.avg(q).over(f)
+            out[f"rolling_mean_{k}"] = (roll_sum("_cs_q", k) / rows_in(k)) if running else F.avg(q).over(f)
             out[f"rolling_std_{k}"] = F.stddev_samp(q).over(f)
             out[f"rolling_max_{k}"] = F.max(q).over(f)
             out[f"rolling_min_{k}"] = F.min(q).over(f)
         if counts:
-            zc = F.sum(F.when(F.col(q) == 0, 1).otherwise(0)).over(f)
+            if running:
+                zc, nz = roll_sum("_cs_zero", k), roll_sum("_cs_pos", k)
+            else:
+                zc = F.sum(F.when(F.col(q) == 0, 1).otherwise(0)).over(f)
+                nz = F.sum(F.when(F.col(q) > 0, 1).otherwise(0)).over(f)
             out[f"rolling_zero_count_{k}"] = zc
-            out[f"rolling_nonzero_count_{k}"] = F.sum(F.when(F.col(q) > 0, 1).otherwise(0)).over(f)
+            out[f"rolling_nonzero_count_{k}"] = nz
             out[f"intermittency_ratio_{k}"] = zc / F.lit(float(k))
     return out
 
@@ -91,9 +121,14 @@ def gini_col(q: str, k: int) -> Column:
 
 
 def probability_cols(q: str = "qty") -> dict[str, Column]:
-    pos = F.when(F.col(q) > 0, 1.0).otherwise(0.0)
-    return {"demand_probability_7d": F.avg(pos).over(frame(7)),
-            "demand_probability_30d": F.avg(pos).over(frame(30))}
+    """Rolling share of demand days (needs :func:`with_running`)."""
+    return {"demand_probability_7d": roll_sum("_cs_pos", 7) / rows_in(7),
+            "demand_probability_30d": roll_sum("_cs_pos", 30) / rows_in(30)}
+
+
+def interval_col() -> Column:
+    """30-row mean of ``time_since_last_demand`` (needs its running total ``_cs_since``)."""
+    return roll_sum("_cs_since", 30) / rows_in(30)
 
 
 def intermittent_cols(q: str = "qty", include_lookahead: bool = True) -> dict[str, Column]:
@@ -110,17 +145,21 @@ def _add(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return df.withColumns(cols)
 
 
+def _clean(df: DataFrame) -> DataFrame:
+    return df.drop("_rn", "_cs_since", *RUNNING)
+
+
 # -- public operators (DataFrame -> DataFrame) --------------------------------------
 def lags(dense: DataFrame) -> DataFrame:
     return _add(dense, lag_cols())
 
 
 def rolling_stats(dense: DataFrame) -> DataFrame:
-    return _add(dense, rolling_cols(counts=False))
+    return _clean(_add(with_running(dense), rolling_cols(counts=False)))
 
 
 def rolling_counts(dense: DataFrame) -> DataFrame:
-    return _add(dense, rolling_cols(stats=False))
+    return _clean(_add(with_running(dense), rolling_cols(stats=False)))
 
 
 def time_since_demand(dense: DataFrame) -> DataFrame:
@@ -141,38 +180,38 @@ def concentration(dense: DataFrame) -> DataFrame:
 
 
 def demand_prob(dense: DataFrame) -> DataFrame:
-    out = _add(with_rn(dense), {"time_since_last_demand": since_col(), **probability_cols()})
-    return (out.withColumn("avg_demand_interval_30d", F.avg("time_since_last_demand").over(frame(30)))
-               .drop("_rn"))
+    out = _add(with_running(dense), {"time_since_last_demand": since_col(), **probability_cols()})
+    out = out.withColumn("_cs_since", F.sum("time_since_last_demand").over(upto()))
+    return _clean(out.withColumn("avg_demand_interval_30d", interval_col()))
 
 
 def all_features(dense: DataFrame, include_lookahead: bool = True) -> DataFrame:
     """Lags (8) + rolling (21) + intermittent (9) + business-day (17) = 55 columns.
     ``include_lookahead=False`` drops ``time_until_next_demand`` (it leaks the target)."""
-    df = with_rn(dense)
+    df = with_running(dense)
     cols: dict[str, Column] = {}
     cols.update(lag_cols())
     cols.update(rolling_cols())
     cols.update(intermittent_cols(include_lookahead=include_lookahead))
     df = df.withColumns(cols)
-    df = df.withColumns({"avg_demand_interval_30d": F.avg("time_since_last_demand").over(frame(30)),
-                         **probability_cols()})
+    df = df.withColumn("_cs_since", F.sum("time_since_last_demand").over(upto()))
+    df = df.withColumns({"avg_demand_interval_30d": interval_col(), **probability_cols()})
     df = df.withColumns(C.business_features(F.col("ds")))
-    return df.drop("_rn")
+    return _clean(df)
 
 
 def light_features(dense: DataFrame) -> DataFrame:
     """dow/dom/week/month + cyclic dow and month + rolling mean 7, std 7 (NULL -> 0), mean 30."""
     ds = F.col("ds")
     d, m = C.dow(ds), F.month(ds)
-    return dense.withColumns({
+    return _clean(with_running(dense).withColumns({
         "dayofweek": d, "day": F.dayofmonth(ds), "week": F.weekofyear(ds), "month": m,
         "dayofweek_sin": C.cyc(d, 7, F.sin), "dayofweek_cos": C.cyc(d, 7, F.cos),
         "month_sin": C.cyc(m, 12, F.sin), "month_cos": C.cyc(m, 12, F.cos),
-        "rolling_mean_7": F.avg("qty").over(frame(7)),
+        "rolling_mean_7": roll_sum("_cs_q", 7) / rows_in(7),
         "rolling_std_7": F.coalesce(F.stddev_samp("qty").over(frame(7)), F.lit(0.0)),
-        "rolling_mean_30": F.avg("qty").over(frame(30)),
-    })
+        "rolling_mean_30": roll_sum("_cs_q", 30) / rows_in(30),
+    }))
 
 
 # -- calendar operators over the rows of a series ------------------------------------

@@ -75,7 +75,12 @@ def results_overview(results: DataFrame, suppliers: DataFrame, lead_stats: DataF
 
 def pipeline_summary(comparison: DataFrame, k: int = 3) -> DataFrame:
     """Mean candidate / baseline MAE and improvement mean / max / min, plus the
-    k best and k worst items by improvement."""
+    k best and k worst items by improvement.  The comparison (one row per item)
+    feeds three branches, so it is checkpointed once instead of recomputing the
+    whole evaluation per branch."""
+    from partcast.session import cut_lineage
+
+    comparison = cut_lineage(comparison)
     c = comparison.where(F.col("improvement_pct").isNotNull())
     summ = comparison.agg(
         F.lit("summary").alias("kind"), F.lit(None).cast("bigint").alias("item_id"),

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partcast.operators import baselines as B
-from partcast.operators import features as Fe
 from partcast.operators import reshape as R
 from partcast.params import Params
 from partcast.sources.tables import Tables
@@ -29,15 +28,18 @@ STATE = ("time_since_last_demand", "rolling_mean_7", "rolling_std_7", "rolling_m
 
 def daily_plan(t: Tables, p: Params) -> DataFrame:
     dense = R.dense_series(t, p, "parts", "fixed")
-    ann = B.annotate(dense).withColumn("_rn", F.col("rn"))
-    roll = Fe.rolling_cols(windows=(7, 30), counts=False)
-    ann = ann.withColumns({"time_since_last_demand": Fe.since_col(),
-                           **{c: roll[c] for c in STATE if c in roll}})
     q, rn, n, k, pr = F.col("qty"), F.col("rn"), F.col("n"), F.col("k"), F.col("pr")
-    per_item = ann.groupBy("item_id").agg(
+    # The plan needs the *latest* demand state only, so the rolling statistics are
+    # conditional aggregates over the last w rows -- no per-row sliding frames.
+    last_pos = F.max(F.when(q > 0, rn))
+    per_item = B.annotate(dense).groupBy("item_id").agg(
         F.max("n").alias("n"), F.max("k").alias("k"),
         F.avg(F.when(pr > k - 3, q)).alias("_last3"),
-        *[F.max(F.when(rn == n - 1, F.col(c))).alias(c) for c in STATE])
+        F.coalesce(F.max("n") - 1 - last_pos, F.lit(0)).alias("time_since_last_demand"),
+        F.avg(F.when(rn >= n - 7, q)).alias("rolling_mean_7"),
+        F.stddev_samp(F.when(rn >= n - 7, q)).alias("rolling_std_7"),
+        F.avg(F.when(rn >= n - 30, q)).alias("rolling_mean_30"),
+        F.max(F.when(rn >= n - 30, q)).alias("rolling_max_30"))
     forecast = F.when(F.col("k") == 0, F.lit(0.0)).otherwise(F.col("_last3") * F.col("k") / F.col("n"))
     per_item = per_item.withColumn("forecast_daily", forecast)
 

@@ -15,3 +15,28 @@ def test_flagship_plan_has_two_exchanges(spark):
     initial = E.entry(spark)._jdf.queryExecution().sparkPlan().toString()
     assert initial.count("Exchange hashpartitioning") + initial.count("Exchange ") <= 4
     assert "AdaptiveSparkPlan" in plan or "Exchange" in plan
+
+
+def test_flagship_state_equals_window_features(spark):
+    """The plan's latest-state aggregates equal the per-row window features at the last day."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from partcast.operators import features as Fe
+    from partcast.operators import reshape as R
+    from partcast.params import Params
+    from partcast.plans.daily import STATE, daily_plan
+    from partcast.sources.tables import Tables
+    from tests.conftest import SMALL
+
+    t, p = Tables(spark, SMALL), Params()
+    dense = R.dense_series(t, p, "parts", "fixed")
+    f = Fe.rolling_stats(Fe.time_since_demand(dense))
+    last = (f.withColumn("_r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("ds"))))
+            .where("_r = 1").select("item_id", *[F.col(c).alias(f"w_{c}") for c in STATE]))
+    j = daily_plan(t, p).join(last, "item_id").collect()
+    assert len(j) > 0
+    for r in j:
+        for c in STATE:
+            a, b = r[c], r[f"w_{c}"]
+            assert (a is None and b is None) or abs(a - b) < 1e-9, (c, a, b)
