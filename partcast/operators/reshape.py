@@ -113,9 +113,8 @@ def aggregate_demand(t: Tables, p: Params) -> DataFrame:
     items = (sales.select("item_id").union(cons.select("item_id")).union(purch_items)
              .where(F.col("item_id").isNotNull()).distinct())
     days = sales.select("ds").union(cons.select("ds"))
-    lo = days.agg(F.min("ds")).scalar()
-    hi = days.agg(F.max("ds")).scalar()
-    grid = items.select("item_id", F.explode(F.sequence(lo, hi)).alias("ds"))
+    span = days.agg(F.struct(F.min("ds").alias("lo"), F.max("ds").alias("hi"))).scalar()
+    grid = items.select("item_id", F.explode(F.sequence(span["lo"], span["hi"])).alias("ds"))
     out = (grid.join(sales, ["item_id", "ds"], "left")
            .join(cons, ["item_id", "ds"], "left")
            .select("ds", "item_id",
