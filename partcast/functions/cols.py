@@ -24,14 +24,5 @@ def ts_between_days(col: Column, start: dt.date | None, end: dt.date | None) ->
     return cond
 
 
-def safe_div(num: Column, den: Column) -> Column:
-    """NULL instead of an error (ANSI mode) when the denominator is 0."""
-    return F.try_divide(num, F.nullif(den, F.lit(0)))
-
-
-def as_long(c: Column) -> Column:
-    return c.cast("bigint")
-
-
 def count_if(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")

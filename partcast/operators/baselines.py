@@ -127,16 +127,6 @@ def same_weekday_fitted(series: DataFrame, weeks: int = 4) -> DataFrame:
         "fitted", F.when(F.col("_rn") >= 7 * weeks, mean)).drop("_rn")
 
 
-def train_test(dense: DataFrame, horizon: int, min_train: int) -> tuple[DataFrame, DataFrame]:
-    """Hold-out split of a dense series: the last ``horizon`` rows are the test."""
-    from partcast.operators.reshape import split_holdout
-
-    s = split_holdout(dense, horizon, min_train)
-    train = s.where(F.col("split") == "train").drop("split")
-    test = s.where(F.col("split") == "test").drop("split")
-    return train, test
-
-
 def eligible(dense: DataFrame, horizon: int, min_train: int) -> DataFrame:
     """Items whose series leaves at least ``min_train`` rows before the hold-out."""
     n = F.count(F.lit(1)).over(item_all())

@@ -17,11 +17,6 @@ EPS_MAPE = 1e-8
 EPS_CHANGE = 1e-10
 
 
-def evaluation_table(forecasts: DataFrame, actuals: DataFrame) -> DataFrame:
-    a = actuals.select("item_id", "ds", F.col("qty").alias("y"))
-    return forecasts.join(a, ["item_id", "ds"])
-
-
 def _err() -> Column:
     return F.col("y") - F.col("yhat")
 

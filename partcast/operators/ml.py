@@ -125,16 +125,6 @@ def recursive_forecast(model: PipelineModel, sup: DataFrame, p, upto: Column, ho
                       F.greatest(F.col("z") * F.col("sd") + F.col("mu"), F.lit(0.0)).alias("yhat"))
 
 
-def multiseries(dense: DataFrame, p) -> tuple[PipelineModel, DataFrame]:
-    """Global GBT on all items, trained on all but the last ``horizon`` days and
-    rolled forward over them: (item_id, h, ds, y, yhat)."""
-    sup = supervised(dense, p.n_lags, p.horizon)
-    model = fit_global_gbt(sup.where(F.col("split") == "train"), p)
-    fc = recursive_forecast(model, sup, p, F.col("split") == "train")
-    actual = dense.select("item_id", "ds", F.col("qty").alias("y"))
-    return model, fc.join(actual, ["item_id", "ds"], "left")
-
-
 def select_subset(dense: DataFrame, categories: DataFrame, limit: int = 100) -> DataFrame:
     """Training items: high_volume + regular (at most ``limit``, largest first); if
     there are none, the ``limit`` items with the largest total demand."""
@@ -151,41 +141,6 @@ def eligible_nonzero(dense: DataFrame, min_nonzero: int = 30) -> DataFrame:
     return dense.withColumn("_nz", nz).where(F.col("_nz") >= min_nonzero).drop("_nz")
 
 
-def fit_tweedie(train: DataFrame, power: float, n_lags: int, label: str = "qty") -> PipelineModel:
-    """Tweedie GLM (log link) on raw demand with lag / calendar features."""
-    glm = GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, labelCol=label,
-                                      featuresCol="features", maxIter=50, regParam=1e-3)
-    return Pipeline(stages=_assembler(n_lags) + [glm]).fit(with_key(train))
-
-
-def raw_lags(dense: DataFrame, n_lags: int, holdout: int) -> DataFrame:
-    """Unscaled lag features (for the Tweedie and two-stage models)."""
-    pos = dense.withColumns({"rn": F.row_number().over(by_item()) - 1, "n": F.count(F.lit(1)).over(item_all())})
-    pos = pos.withColumns({f"lag_{k}": F.lag("qty", k).over(by_item()) for k in range(1, n_lags + 1)})
-    pos = pos.withColumns(calendar_cols(F.col("ds")))
-    return (pos.where(F.col("rn") >= n_lags)
-            .withColumn("split", F.when(F.col("rn") < F.col("n") - holdout, "train").otherwise("test")))
-
-
-def fit_two_stage(train: DataFrame, p, n_lags: int) -> tuple[PipelineModel, PipelineModel]:
-    """P(demand > 0) classifier and a quantity regressor fitted on positive days."""
-    lab = train.withColumn("has_demand", (F.col("qty") > 0).cast("double"))
-    clf = GBTClassifier(featuresCol="features", labelCol="has_demand", maxIter=p.gbt_trees, maxDepth=p.gbt_depth,
-                        stepSize=p.gbt_lr, seed=p.seed)
-    reg = GBTRegressor(featuresCol="features", labelCol="qty", maxIter=p.gbt_trees, maxDepth=p.gbt_depth,
-                       stepSize=p.gbt_lr, seed=p.seed)
-    m1 = Pipeline(stages=_assembler(n_lags) + [clf]).fit(with_key(lab))
-    m2 = Pipeline(stages=_assembler(n_lags) + [reg]).fit(with_key(lab.where(F.col("qty") > 0)))
-    return m1, m2
-
-
-def predict_two_stage(models, df: DataFrame) -> DataFrame:
-    m1, m2 = models
-    a = m1.transform(with_key(df)).select(*df.columns, vector_to_array("probability")[1].alias("p_demand"))
-    b = m2.transform(with_key(a)).withColumnRenamed("prediction", "qty_if_demand")
-    return b.withColumn("yhat", F.greatest(F.col("p_demand") * F.col("qty_if_demand"), F.lit(0.0)))
-
-
 def fit_asymmetric(train: DataFrame, p, penalty: float = 3.0, refits: int = 1, label: str = "y",
                    base_model: PipelineModel | None = None) -> PipelineModel:
     """Approximates a stock-out-penalised squared loss: refit with weight
@@ -201,17 +156,6 @@ def fit_asymmetric(train: DataFrame, p, penalty: float = 3.0, refits: int = 1, l
     return model
 
 
-def feature_importance(models: dict[str, PipelineModel], n_lags: int, spark) -> DataFrame:
-    """(model, feature, importance, kind) from each fitted tree model; kind is
-    'lag' or 'exog'.  The rows are model metadata (one per feature), not data."""
-    names = feature_names(n_lags)
-    rows = []
-    for name, m in models.items():
-        imp = m.stages[-1].featureImportances.toArray().tolist()
-        rows += [(name, f, float(v), "lag" if f.startswith("lag_") else "exog") for f, v in zip(names, imp)]
-    return spark.createDataFrame(rows, "model string, feature string, importance double, kind string")
-
-
 def importance_summary(imp: DataFrame, k: int = 20) -> DataFrame:
     """Mean importance per feature across models, top k, with the lag / exog share."""
     per = imp.groupBy("feature", "kind").agg(F.avg("importance").alias("mean_importance"))
@@ -361,9 +305,11 @@ def train_all(dense: DataFrame, p, stock_codes: DataFrame | None = None) -> tupl
     return out, models
 
 
-def importances_of(models: dict, names: list[str], spark) -> DataFrame:
+def importances_of(models: dict, spark) -> DataFrame:
     """(model, feature, importance, kind) for every tree model in ``models``
-    (a two-stage entry contributes both of its trees)."""
+    (a two-stage entry contributes both of its trees).  Feature names come from
+    each fitted pipeline's own VectorAssembler, so they cannot drift from the
+    importance vector."""
     rows = []
     for name, m in models.items():
         parts = {f"{name}_classifier": m[0], f"{name}_regressor": m[1]} if isinstance(m, tuple) else {name: m}
@@ -371,7 +317,7 @@ def importances_of(models: dict, names: list[str], spark) -> DataFrame:
             est = pm.stages[-1]
             if not hasattr(est, "featureImportances"):
                 continue
-            cols = names + ["item_code"]
+            cols = next(st.getInputCols() for st in pm.stages if isinstance(st, VectorAssembler))
             imp = est.featureImportances.toArray().tolist()
             rows += [(pname, f, float(v), "lag" if f.startswith(("lag_", "had_demand_lag_")) else "exog")
                      for f, v in zip(cols, imp)]

@@ -104,15 +104,29 @@ def confidence_band(fc: DataFrame, low: float = 0.8, high: float = 1.2) -> DataF
     return fc.withColumns({"lower_bound": F.greatest(F.lit(0.0), p * low), "upper_bound": p * high})
 
 
-def alerts(fc: DataFrame, urgency: DataFrame, recommendation: DataFrame, master: DataFrame,
-           levels=("critical", "high")) -> DataFrame:
+def alerts(fc: DataFrame, history: DataFrame, master: DataFrame, as_of: dt.date, factor: float = 1.2,
+           lead_days: int = 7, horizon: int = 14, levels=("critical", "high")) -> DataFrame:
     """Critical / high parts with first day of positive demand, message, action
-    and mean daily rate; sorted critical first."""
-    first = fc.groupBy("item_id").agg(
-        F.min(F.when(F.col("predicted_demand") > 0, F.col("h"))).alias("days_until_stockout"),
-        F.avg("predicted_demand").alias("current_consumption_rate"))
-    u = urgency.where(F.col("urgency").isin(*levels)).select("item_id", "urgency")
-    j = (u.join(first, "item_id").join(recommendation, "item_id", "left")
+    and mean daily rate; sorted critical first.  Urgency, recommendation and the
+    alert fields come out of one aggregation of the forecast rows."""
+    p = F.col("predicted_demand")
+    f = fc.groupBy("item_id").agg(
+        F.sum(F.when(F.col("h") <= 7, p)).alias("next_7_days"),
+        F.sum(p).alias("_total"),
+        F.sum(F.when(F.col("h") <= horizon, p)).alias("_t"),
+        F.min(F.when(p > 0, F.col("h"))).alias("days_until_stockout"),
+        F.avg(p).alias("current_consumption_rate"))
+    hmean = history.groupBy("item_id").agg(F.avg("qty").alias("avg_consumption"))
+    n7, avg = F.col("next_7_days"), F.col("avg_consumption")
+    level = (F.when(F.col("_total") == 0, "normal").when(avg.isNull(), "normal")
+             .when(n7 > avg * 10, "critical").when(n7 > avg * 7, "high").when(n7 > avg * 5, "medium")
+             .otherwise("normal"))
+    has = F.col("_total") != 0
+    j = (f.join(hmean, "item_id", "left")
+         .withColumns({"urgency": level,
+                       "recommended_order_date": F.when(has, F.lit(as_of + dt.timedelta(days=lead_days))),
+                       "recommended_order_quantity": F.when(has, F.col("_t") * factor)})
+         .where(F.col("urgency").isin(*levels))
          .join(master.select("item_id", F.col("stk_code").alias("stock_code")), "item_id", "left"))
     label = F.coalesce(F.col("stock_code"), F.col("item_id").cast("string"))
     qty = F.col("recommended_order_quantity")

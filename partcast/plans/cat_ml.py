@@ -112,11 +112,8 @@ def _ml_train_all(t):
 @register("ml_importance")
 def _ml_importance(t):
     _, models = _train_all(t)
-    feats_names = [c for c in M.lagged_features(_fam(t))[0].columns if c not in ("item_id", "ds", "qty")]
-    imp = M.importances_of(models, feats_names, t.spark)
     g_model, _ = _holdout_model(t)
-    g = M.importances_of({"global_gbt": g_model}, M.feature_names(P.n_lags)[:-1], t.spark)
-    return M.importance_summary(imp.unionByName(g), 20)
+    return M.importance_summary(M.importances_of({**models, "global_gbt": g_model}, t.spark), 20)
 
 
 @register("ml_forecast_future")

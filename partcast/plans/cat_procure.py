@@ -130,10 +130,7 @@ JOIN (SELECT item_id, min(CASE WHEN predicted_demand > 0 THEN h END) AS days_unt
 LEFT JOIN fut_rec r ON u.item_id = r.item_id
 LEFT JOIN product_code m ON u.item_id = m.item_id""", "fut_part_urgency", "fut", "fut_rec", "product_code"))
 def _alerts(t):
-    fc = _fut(t)
-    urg = Q.part_urgency(fc, recent_part(t, P))
-    rec = Q.order_recommendation(fc, P.as_of, P.safety_factor, 7, P.horizon)
-    return Q.alerts(fc, urg, rec, t.product_code)
+    return Q.alerts(_fut(t), recent_part(t, P), t.product_code, P.as_of, P.safety_factor, 7, P.horizon)
 
 
 @register("critical_order_dates", sql(f"""

@@ -13,7 +13,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -144,10 +143,3 @@ class Tables:
     @cached_property
     def events(self) -> DataFrame:
         return self.raw("events")
-
-
-DEMAND_SCHEMA = T.StructType([
-    T.StructField("item_id", T.LongType()),
-    T.StructField("ds", T.DateType()),
-    T.StructField("qty", T.DoubleType()),
-])

@@ -90,3 +90,22 @@ def test_seasonal_quirk(spark):
     vals = [r["yhat"] for r in fc.orderBy("h").collect()]
     assert vals[:7] == [24, 25, 26, 27, 28, 29, 30]
     assert vals[7:] == [30] * 7        # h >= 8 repeats the last value
+
+
+def test_importance_names_follow_assembler(spark):
+    """Importance rows carry the assembler's own column names, in order."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from partcast.operators import ml as M
+
+    p = Params().with_(gbt_trees=3, gbt_depth=2, n_lags=3)
+    rows = [(i % 3, dt.date(2024, 1, 1) + dt.timedelta(days=d), float((d * (i + 1)) % 5))
+            for i in range(3) for d in range(40)]
+    dense = spark.createDataFrame(rows, "item_id long, ds date, qty double")
+    sup = M.supervised(dense, p.n_lags, 5)
+    model = M.fit_global_gbt(sup.where(F.col("split") == "train"), p)
+    imp = M.importances_of({"g": model}, spark).collect()
+    assert [r["feature"] for r in imp] == M.feature_names(p.n_lags)
+    assert {r["kind"] for r in imp if r["feature"].startswith("lag_")} == {"lag"}
