@@ -109,3 +109,17 @@ def test_importance_names_follow_assembler(spark):
     imp = M.importances_of({"g": model}, spark).collect()
     assert [r["feature"] for r in imp] == M.feature_names(p.n_lags)
     assert {r["kind"] for r in imp if r["feature"].startswith("lag_")} == {"lag"}
+
+
+def test_backtest_ml_small(spark):
+    import datetime as dt
+
+    from partcast.operators.backtest import backtest_ml
+
+    p = Params().with_(gbt_trees=2, gbt_depth=2, n_lags=3)
+    rows = [(i, dt.date(2024, 1, 1) + dt.timedelta(days=d), float((d * (i + 2)) % 4))
+            for i in range(3) for d in range(30)]
+    dense = spark.createDataFrame(rows, "item_id long, ds date, qty double")
+    res = {r["item_id"]: r for r in backtest_ml(dense, p, steps=3, max_folds=2).collect()}
+    assert set(res) == {0, 1, 2}
+    assert all(r["n_folds"] == 2 and r["mae_mean"] >= 0 for r in res.values())
