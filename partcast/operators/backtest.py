@@ -64,13 +64,13 @@ def backtest_ml(dense: DataFrame, p, steps: int = 7, initial_share: float = 0.8,
     lengths = dense.groupBy("item_id").count().agg(F.min("count")).first()[0]
     init = int(lengths * initial_share)
     cutoffs = list(range(init, lengths, steps))[: max_folds or None]
-    sup = M.supervised(dense, p.n_lags, 0).withColumn("pos", F.row_number().over(by_item()) - 1)
+    sup = M.supervised(dense, p.n_lags, 0)          # keeps the 0-based day index rn
     actual = dense.select("item_id", "ds", F.col("qty").alias("y"))
     out = None
     for fold, cut in enumerate(cutoffs):
-        train = sup.where(F.col("pos") < cut)
+        train = sup.where(F.col("rn") < cut)
         model = M.fit_global_gbt(train, p)
-        fc = M.recursive_forecast(model, sup, p, F.col("pos") < cut, horizon=steps)
+        fc = M.recursive_forecast(model, sup, p, F.col("rn") < cut, horizon=steps)
         err = (fc.join(actual, ["item_id", "ds"]).groupBy("item_id")
                .agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("fold_mae"))
                .withColumn("fold", F.lit(fold)))
