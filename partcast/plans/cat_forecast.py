@@ -13,11 +13,15 @@ BA, CB = 1 - A, 1 - CA
 SBA_F = 1 - CA / 2
 W = "PARTITION BY item_id ORDER BY ds"
 
-def forecast_ctes(prefix: str, series: str, holdout: bool = True) -> None:
+def forecast_ctes(prefix: str, series: str, holdout: bool = True, share: float | None = None) -> None:
     """Register {prefix}_train / _test / _ann / _raw / _const over a dense
     series CTE with (item_id, ds, qty, rn, n); without hold-out the whole
-    series is the training set."""
-    if holdout:
+    series is the training set; with ``share`` the first floor(share * n) rows are."""
+    if share is not None:
+        cte(f"{prefix}_train", f"""
+SELECT item_id, ds, qty, rn, CAST(floor(n * {share}) AS INTEGER) AS n FROM {series} WHERE rn < floor(n * {share})""",
+            series)
+    elif holdout:
         cte(f"{prefix}_train", f"""
 SELECT item_id, ds, qty, rn, n - {H} AS n FROM {series} WHERE rn < n - {H} AND n - {H} >= {P.min_train}""",
             series)
@@ -59,6 +63,7 @@ FROM (SELECT *, CASE WHEN k = 0 THEN 0.0 WHEN p > 0 THEN z / p ELSE 0.0 END AS C
 forecast_ctes("fc", "parts_fixed_pos")
 forecast_ctes("fco", "parts_dense_pos")
 forecast_ctes("fut", "parts_fixed_pos", holdout=False)
+forecast_ctes("bsel", "parts_fixed_pos", share=0.8)
 
 
 def _season_expr() -> str:
@@ -114,6 +119,27 @@ def _fc_same_weekday(t):
     return B.same_weekday_fitted(R.dense_series(t, P, "parts", "fixed"))
 
 
-@register("baseline_select")
+_RULES = B.SELECT_RULES
+
+
+@register("baseline_select", sql(f"""
+SELECT c.item_id, c.zero_pct, c.selected_method, c.yhat, v.validation_mae
+FROM (SELECT k.item_id, z.zero_pct,
+             CASE WHEN z.zero_pct < {_RULES[0][0]} THEN '{_RULES[0][1]}' WHEN z.zero_pct < {_RULES[1][0]} THEN '{_RULES[1][1]}'
+                  WHEN z.zero_pct < {_RULES[2][0]} THEN '{_RULES[2][1]}' ELSE 'Ensemble' END AS selected_method,
+             CASE WHEN z.zero_pct < {_RULES[0][0]} THEN k.MA_7 WHEN z.zero_pct < {_RULES[1][0]} THEN k.Croston
+                  WHEN z.zero_pct < {_RULES[2][0]} THEN k.SBA ELSE (k.MA_7 + k.Croston + k.SBA) / 3.0 END AS yhat
+      FROM bsel_const k
+      JOIN (SELECT item_id, avg(CASE WHEN qty = 0 THEN 1.0 ELSE 0.0 END) * 100 AS zero_pct FROM bsel_train
+            GROUP BY item_id) z ON k.item_id = z.item_id) c
+LEFT JOIN (SELECT s.item_id, avg(abs(s.qty - y.yhat)) AS validation_mae
+           FROM parts_fixed_pos s JOIN (
+             SELECT k.item_id, CASE WHEN z.zero_pct < {_RULES[0][0]} THEN k.MA_7 WHEN z.zero_pct < {_RULES[1][0]} THEN k.Croston
+                                    WHEN z.zero_pct < {_RULES[2][0]} THEN k.SBA ELSE (k.MA_7 + k.Croston + k.SBA) / 3.0 END AS yhat
+             FROM bsel_const k JOIN (SELECT item_id, avg(CASE WHEN qty = 0 THEN 1.0 ELSE 0.0 END) * 100 AS zero_pct
+                                     FROM bsel_train GROUP BY item_id) z ON k.item_id = z.item_id) y
+             ON s.item_id = y.item_id
+           WHERE s.rn >= floor(s.n * 0.8) GROUP BY s.item_id) v ON c.item_id = v.item_id""",
+    "bsel_const", "bsel_train", "parts_fixed_pos"))
 def _baseline_select(t):
     return B.baseline_select(R.dense_series(t, P, "parts", "fixed"), P)
