@@ -10,12 +10,20 @@ method in closed form.  The recursive smoothers unroll into weighted sums:
                  with p_1 = t_1 + 1 and p_j = t_j - t_{j-1}; forecast z / p
 * TSB:           p = (1-a)^n / (t_1 + 1) + sum_t a(1-a)^(n-1-t) [x_t > 0]; forecast max(p z, 0)
 
-The window and the aggregation share the ``item_id`` partitioning, so the
-whole forecaster adds no exchange beyond the one that built the series.
+Positions are *day indices* (days since the series start), so the input may
+be dense or sparse: a day without a row counts as zero demand.  Sums, means,
+counts and point look-ups are written for that (``sum / n`` instead of
+``avg``, ``coalesce(..., 0)`` for a missing day), which lets the forecasters
+run straight on the sparse daily sums -- for intermittent parts a small
+fraction of the densified rows.  The window and the aggregation share the
+``item_id`` partitioning, so a forecaster adds no exchange beyond the one that
+built the daily sums.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +35,20 @@ METHODS = ("MA_7", "MA_14", "MA_30", "WMA_7", "Naive", "Seasonal_7", "ExpSmooth"
            "Croston", "SBA", "TSB", "MA_NonZero", "Mean")
 
 
-def annotate(series: DataFrame, holdout: int = 0) -> DataFrame:
-    """Adds rn (0-based), n (training length = rows - holdout), k (positive
-    training days), pr (positive rank, 1-based) and gap (distance to the previous
-    positive day; rn + 1 for the first).  Rows with rn >= n are hold-out rows."""
+def annotate(series: DataFrame, holdout: int = 0, start: dt.date | None = None,
+             end: dt.date | None = None) -> DataFrame:
+    """Adds rn (day index from the series start), n (training length in days =
+    days in the span - holdout), k (positive training days), pr (positive rank,
+    1-based) and gap (days since the previous positive day; rn + 1 for the
+    first).  The span is [start, end] when given, else the item's own first to
+    last day.  Days with rn >= n are hold-out days."""
     pos = F.col("qty") > 0
-    df = series.withColumns({
-        "rn": (F.row_number().over(by_item()) - 1).cast("int"),
-        "n": (F.count(F.lit(1)).over(item_all()) - holdout).cast("int"),
+    first = F.lit(start) if start is not None else F.min("ds").over(item_all())
+    last = F.lit(end) if end is not None else F.max("ds").over(item_all())
+    df = series.withColumns({"_start": first, "_end": last})
+    df = df.withColumns({
+        "rn": F.datediff("ds", "_start").cast("int"),
+        "n": (F.datediff("_end", "_start") + 1 - holdout).cast("int"),
     })
     tpos = pos & (F.col("rn") < F.col("n"))
     df = df.withColumns({
@@ -50,39 +64,45 @@ def _pw(base: float, e: Column) -> Column:
 
 
 def forecast_constants(series: DataFrame, ses_alpha: float = 0.3, croston_alpha: float = 0.1,
-                       holdout: int = 0) -> DataFrame:
+                       holdout: int = 0, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
     """One row per item: every method's forecast (flat methods) and the seven
-    seasonal values, fitted on all but the last ``holdout`` rows.  Columns are the
-    method names plus ``season`` (array of 7), ``train_end``, ``n`` and -- when
-    ``holdout`` > 0 -- ``actuals``, the hold-out values in day order."""
+    seasonal values, fitted on all but the last ``holdout`` days of the span
+    (see :func:`annotate`).  Columns are the method names plus ``season``
+    (array of 7), ``train_end``, ``n`` and -- when ``holdout`` > 0 --
+    ``actuals``, the hold-out values in day order.  ``series`` may be dense or
+    sparse (absent days are zeros)."""
     a, b = ses_alpha, 1 - ses_alpha
     ca, cb = croston_alpha, 1 - croston_alpha
     q, rn, n, k, pr = F.col("qty"), F.col("rn"), F.col("n"), F.col("k"), F.col("pr")
     qt = F.when(rn < n, q)          # training values only
+    zero = F.lit(0.0)
+
+    def at(i):                      # value on day index i (0 when the day has no row)
+        return F.coalesce(F.max(F.when(rn == i, q)), zero)
 
-    def last_w(w):
-        return F.avg(F.when(rn >= n - w, qt))
+    def last_w(w):                  # mean of the last w training days, partial at the start
+        return F.coalesce(F.sum(F.when(rn >= n - w, qt)), zero) / F.least(F.max("n"), F.lit(w))
 
     size_w = F.when(pr == 1, _pw(cb, k - 1)).when(pr >= 2, F.lit(ca) * _pw(cb, k - pr))
     aggs = [
-        F.max(F.when(rn < n, F.col("ds"))).alias("train_end"),
+        F.date_add(F.min("_start"), F.max("n") - 1).alias("train_end"),
         F.max("n").alias("n"), F.max("k").alias("k"),
         last_w(7).alias("MA_7"), last_w(14).alias("MA_14"), last_w(30).alias("MA_30"),
-        (F.sum(F.when(rn >= n - 7, qt * (rn - n + 8))) / 28.0).alias("_wma"),
-        F.max(F.when(rn == n - 1, q)).alias("Naive"),
-        F.array(*[F.max(F.when(rn == n - 8 + j, q)) for j in range(1, 8)]).alias("season"),
-        (F.coalesce(F.sum(F.when(rn <= n - 2, F.lit(a) * _pw(b, n - 2 - rn) * q)), F.lit(0.0))
-         + _pw(b, F.max("n") - 1) * F.max(F.when(rn == 0, q))).alias("ExpSmooth"),
+        (F.coalesce(F.sum(F.when(rn >= n - 7, qt * (rn - n + 8))), zero) / 28.0).alias("_wma"),
+        at(n - 1).alias("Naive"),
+        F.array(*[at(n - 8 + j) for j in range(1, 8)]).alias("season"),
+        (F.coalesce(F.sum(F.when(rn <= n - 2, F.lit(a) * _pw(b, n - 2 - rn) * q)), zero)
+         + _pw(b, F.max("n") - 1) * at(F.lit(0))).alias("ExpSmooth"),
         F.sum(size_w * q).alias("_z"),
         F.sum(size_w * F.col("gap")).alias("_p"),
         F.max(F.when(pr == 1, rn)).alias("_t1"),
         F.sum(F.when(qt > 0, F.lit(ca) * _pw(cb, n - 1 - rn))).alias("_pos_w"),
         F.avg(F.when(pr > k - 3, q)).alias("_last3"),
-        F.avg(qt).alias("Mean"),
+        (F.coalesce(F.sum(qt), zero) / F.max("n")).alias("Mean"),
     ]
     if holdout:
-        aggs.append(F.array(*[F.max(F.when(rn == n + j, q)) for j in range(holdout)]).alias("actuals"))
-    g = annotate(series, holdout).groupBy("item_id").agg(*aggs)
+        aggs.append(F.array(*[at(n + j) for j in range(holdout)]).alias("actuals"))
+    g = annotate(series, holdout, start, end).groupBy("item_id").agg(*aggs)
     k, n = F.col("k"), F.col("n")
     croston = F.when(k == 0, F.lit(0.0)).when(F.col("_p") > 0, F.col("_z") / F.col("_p")).otherwise(F.lit(0.0))
     tsb_p = _pw(cb, n) / (F.col("_t1") + 1) + F.coalesce(F.col("_pos_w"), F.lit(0.0))
@@ -127,27 +147,25 @@ def same_weekday_fitted(series: DataFrame, weeks: int = 4) -> DataFrame:
         "fitted", F.when(F.col("_rn") >= 7 * weeks, mean)).drop("_rn")
 
 
-def eligible(dense: DataFrame, horizon: int, min_train: int) -> DataFrame:
-    """Items whose series leaves at least ``min_train`` rows before the hold-out."""
-    n = F.count(F.lit(1)).over(item_all())
-    return dense.withColumn("_n", n).where(F.col("_n") - horizon >= min_train).drop("_n")
-
-
-def holdout_constants(dense: DataFrame, p) -> DataFrame:
-    """Constants fitted on all but the last ``p.horizon`` rows of every eligible
-    item, carrying the hold-out actuals -- one grouped pass, no join."""
-    return forecast_constants(eligible(dense, p.horizon, p.min_train), p.ses_alpha, p.croston_alpha, p.horizon)
+def holdout_constants(series: DataFrame, p, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
+    """Constants fitted on all but the last ``p.horizon`` days of every item
+    whose training part has at least ``p.min_train`` days, carrying the hold-out
+    actuals -- one grouped pass, no join."""
+    c = forecast_constants(series, p.ses_alpha, p.croston_alpha, p.horizon, start, end)
+    return c.where(F.col("n") >= p.min_train)
 
 
-def forecasts(dense: DataFrame, p, methods=METHODS) -> DataFrame:
-    """Fit on all but the last ``p.horizon`` rows and forecast them."""
-    return to_long(holdout_constants(dense, p), methods, p.horizon).drop("y")
+def forecasts(series: DataFrame, p, methods=METHODS, start: dt.date | None = None,
+              end: dt.date | None = None) -> DataFrame:
+    """Fit on all but the last ``p.horizon`` days and forecast them."""
+    return to_long(holdout_constants(series, p, start, end), methods, p.horizon).drop("y")
 
 
-def evaluation_rows(dense: DataFrame, p, methods=METHODS) -> DataFrame:
+def evaluation_rows(series: DataFrame, p, methods=METHODS, start: dt.date | None = None,
+                    end: dt.date | None = None) -> DataFrame:
     """(item_id, method, h, ds, y, yhat) for the hold-out: forecasts and actuals
     come out of the same per-item aggregate, so no join is needed."""
-    return to_long(holdout_constants(dense, p), methods, p.horizon)
+    return to_long(holdout_constants(series, p, start, end), methods, p.horizon)
 
 
 # Inferred selection thresholds on the share of zero days.

@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def future_forecast(dense: DataFrame, p, method: str = "MA_NonZero") -> DataFrame:
-    """Fit ``method`` on the whole dense series and forecast the next
-    ``p.horizon`` days: (item_id, h, ds, predicted_demand)."""
+def future_forecast(series: DataFrame, p, method: str = "MA_NonZero", start: dt.date | None = None,
+                    end: dt.date | None = None) -> DataFrame:
+    """Fit ``method`` on the whole series (dense, or sparse daily sums with the
+    span given by ``start`` / ``end``) and forecast the next ``p.horizon`` days:
+    (item_id, h, ds, predicted_demand)."""
     from partcast.operators.baselines import forecast_constants, to_long
 
-    consts = forecast_constants(dense, p.ses_alpha, p.croston_alpha)
+    consts = forecast_constants(series, p.ses_alpha, p.croston_alpha, 0, start, end)
     return to_long(consts, (method,), p.horizon).select(
         "item_id", "h", "ds", F.col("yhat").alias("predicted_demand"))
 

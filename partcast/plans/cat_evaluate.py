@@ -8,6 +8,7 @@ from partcast.operators import baselines as B
 from partcast.operators import classify as K
 from partcast.operators import evaluate as E
 from partcast.operators import reshape as R
+from partcast.operators.extract import window_start
 from partcast.plans import cat_forecast  # noqa: F401  (registers the forecast CTEs)
 from partcast.plans.registry import P, register
 from partcast.plans.sqlkit import cte, sql
@@ -36,7 +37,11 @@ SELECT item_id, method AS best_method, mae AS best_mae FROM (
 
 
 def _ev(t, span="fixed"):
-    return B.evaluation_rows(R.dense_series(t, P, "parts", span), P)
+    """Hold-out evaluation rows computed on the sparse daily sums: the fixed
+    span is the trailing window, the own span each part's first to last day."""
+    if span == "fixed":
+        return B.evaluation_rows(R.demand_parts(t, P), P, start=window_start(P), end=P.as_of)
+    return B.evaluation_rows(R.demand_parts(t, P), P)
 
 
 @register("metrics_mae_rmse", sql("SELECT item_id, method, mae, rmse FROM fc_metrics", "fc_metrics"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from partcast.operators import baselines as B
 from partcast.operators import reshape as R
+from partcast.operators.extract import window_start
 from partcast.plans.registry import P, register
 from partcast.plans.sqlkit import cte, sql
 
@@ -88,8 +89,8 @@ cte("fco_all", long_body(B.METHODS, "fco"), "fco_const")
 
 
 def _fc(t, methods):
-    dense = R.dense_series(t, P, "parts", "fixed")
-    return B.forecasts(dense, P, methods)
+    # closed forms need only the non-empty days: run on the sparse daily sums
+    return B.forecasts(R.demand_parts(t, P), P, methods, window_start(P), P.as_of)
 
 
 def _reg(key: str, methods) -> None:

@@ -17,6 +17,7 @@ from partcast.operators import ml as M
 from partcast.operators import procure as Q
 from partcast.operators import quality as D
 from partcast.operators import reshape as R
+from partcast.operators.extract import window_start
 from partcast.plans.registry import EP, P, register
 from partcast.plans.sqlkit import cte, sql
 from partcast.sources import files as IO
@@ -172,7 +173,7 @@ def _model_io(t):
 
 @register("report_tables")
 def _report_tables(t):
-    fc = Q.safety_stock(Q.future_forecast(R.dense_series(t, P, "parts", "fixed"), P), P.safety_factor)
+    fc = Q.safety_stock(Q.future_forecast(R.demand_parts(t, P), P, "MA_NonZero", window_start(P), P.as_of), P.safety_factor)
     sheets = {
         "urgent_orders": Q.urgent_orders(fc, P.as_of, P.urgent_days),
         "warning_orders": Q.warning_orders(fc, P.as_of, P.urgent_days, P.warning_days),

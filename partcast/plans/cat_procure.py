@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from partcast.operators import leadtime as L
 from partcast.operators import procure as Q
 from partcast.operators import reshape as R
-from partcast.operators.extract import recent_part
+from partcast.operators.extract import recent_part, window_start
 from partcast.plans import cat_forecast  # noqa: F401  (forecast CTEs)
 from partcast.plans import cat_leadtime  # noqa: F401  (lead-time CTEs)
 from partcast.plans.oracle_base import AS_OF, d
@@ -50,7 +50,7 @@ FROM fut GROUP BY item_id""", "fut")
 
 
 def _fut(t):
-    return Q.future_forecast(R.dense_series(t, P, "parts", "fixed"), P, "MA_NonZero")
+    return Q.future_forecast(R.demand_parts(t, P), P, "MA_NonZero", window_start(P), P.as_of)
 
 
 def _ss(t):

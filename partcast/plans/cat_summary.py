@@ -11,6 +11,7 @@ from partcast.operators import leadtime as L
 from partcast.operators import procure as Q
 from partcast.operators import reshape as R
 from partcast.operators import summary as S
+from partcast.operators.extract import window_start
 from partcast.plans import cat_evaluate, cat_procure  # noqa: F401  (CTEs)
 from partcast.plans.cat_evaluate import CLASSIC, _ev
 from partcast.plans.registry import P, register
@@ -22,7 +23,7 @@ def _results(t):
 
 
 def _fut(t):
-    return Q.future_forecast(R.dense_series(t, P, "parts", "fixed"), P, "MA_NonZero")
+    return Q.future_forecast(R.demand_parts(t, P), P, "MA_NonZero", window_start(P), P.as_of)
 
 
 def _urgency(t):

@@ -1,12 +1,12 @@
 """The daily procurement flow -- the flagship plan behind ``entry``.
 
-consumption lines -> sparse daily sums -> dense trailing-window series ->
+consumption lines -> sparse daily sums over the trailing window ->
 demand state (time since demand, rolling stats) + MA-of-non-zero forecast ->
 safety stock -> per-part priority (URGENT / WARNING / NONE).
 
 Physical shape: the line/header join feeds a partial aggregation and one
-exchange on (item_id, ds); the densified series is then exchanged once on
-item_id and *everything else* -- the feature windows, the forecast, the
+exchange on (item_id, ds); the daily sums are then exchanged once on
+item_id and *everything else* -- the rank window, the forecast, the
 horizon rows and the order decision -- runs inside those partitions (one sort,
 one window group, one aggregation that reuses the partitioning).
 """
@@ -27,19 +27,31 @@ STATE = ("time_since_last_demand", "rolling_mean_7", "rolling_std_7", "rolling_m
 
 
 def daily_plan(t: Tables, p: Params) -> DataFrame:
-    dense = R.dense_series(t, p, "parts", "fixed")
+    start = p.as_of - dt.timedelta(days=p.days_back)
+    daily = R.demand_parts(t, p)          # sparse daily sums: absent days are zero demand
     q, rn, n, k, pr = F.col("qty"), F.col("rn"), F.col("n"), F.col("k"), F.col("pr")
+    zero = F.lit(0.0)
     # The plan needs the *latest* demand state only, so the rolling statistics are
-    # conditional aggregates over the last w rows -- no per-row sliding frames.
+    # conditional aggregates over the last w days -- no per-row sliding frames, and
+    # no densified rows: sums and counts over the day index treat absent days as 0.
     last_pos = F.max(F.when(q > 0, rn))
-    per_item = B.annotate(dense).groupBy("item_id").agg(
+
+    def wsum(w, v=q):
+        return F.coalesce(F.sum(F.when(rn >= n - w, v)), zero)
+
+    m7 = F.least(F.max("n"), F.lit(7)).cast("double")
+    s7, ss7 = wsum(7), wsum(7, q * q)
+    rows30 = F.sum(F.when(rn >= n - 30, 1).otherwise(0))
+    per_item = B.annotate(daily, 0, start, p.as_of).groupBy("item_id").agg(
         F.max("n").alias("n"), F.max("k").alias("k"),
         F.avg(F.when(pr > k - 3, q)).alias("_last3"),
         F.coalesce(F.max("n") - 1 - last_pos, F.lit(0)).alias("time_since_last_demand"),
-        F.avg(F.when(rn >= n - 7, q)).alias("rolling_mean_7"),
-        F.stddev_samp(F.when(rn >= n - 7, q)).alias("rolling_std_7"),
-        F.avg(F.when(rn >= n - 30, q)).alias("rolling_mean_30"),
-        F.max(F.when(rn >= n - 30, q)).alias("rolling_max_30"))
+        (s7 / m7).alias("rolling_mean_7"),
+        F.when(m7 > 1, F.sqrt(F.greatest((ss7 - s7 * s7 / m7) / (m7 - 1), zero))).alias("rolling_std_7"),
+        (wsum(30) / F.least(F.max("n"), F.lit(30))).alias("rolling_mean_30"),
+        F.when(rows30 < F.least(F.max("n"), F.lit(30)),
+               F.greatest(F.max(F.when(rn >= n - 30, q)), zero))
+        .otherwise(F.max(F.when(rn >= n - 30, q))).alias("rolling_max_30"))
     forecast = F.when(F.col("k") == 0, F.lit(0.0)).otherwise(F.col("_last3") * F.col("k") / F.col("n"))
     per_item = per_item.withColumn("forecast_daily", forecast)
 
