@@ -23,7 +23,6 @@ from partcast.plans.sqlkit import cte, sql
 from partcast.sources import files as IO
 
 
-
 def _train():
     return F.col("split") == "train"
 
