@@ -31,17 +31,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only set one when it is unset
     (local tests), never overriding what the cluster names."""
     current = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 -- no JVM context on this client (e.g. Spark Connect)
+        sc = None
     if current:
-        if sc.getCheckpointDir() is None:
+        if sc is not None and sc.getCheckpointDir() is None:
             sc.setCheckpointDir(current)
         return current
-    existing = sc.getCheckpointDir()
+    existing = sc.getCheckpointDir() if sc is not None else None
     if existing:
         return existing
     local = tempfile.mkdtemp(prefix="partcast-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
-    sc.setCheckpointDir(local)
+    if sc is not None:
+        sc.setCheckpointDir(local)
     return local
 
 
