@@ -128,9 +128,13 @@ def volume_class(daily: DataFrame, n_days: int) -> DataFrame:
         .when(freq > 0.1, "intermittent").otherwise("very_intermittent"))
 
 
-def zero_percentage(dense: DataFrame) -> DataFrame:
-    return dense.groupBy("item_id").agg(
-        (F.avg(F.when(F.col("qty") == 0, 1.0).otherwise(0.0)) * 100).alias("zero_pct"))
+def zero_percentage(series: DataFrame) -> DataFrame:
+    """Share of zero-demand days over each item's own first-to-last-day span.
+    Works on dense series and on sparse daily sums alike (a missing day is a
+    zero day), so callers need not densify."""
+    days = (F.datediff(F.max("ds"), F.min("ds")) + 1).cast("double")
+    nonzero = F.sum(F.when(F.col("qty") != 0, 1).otherwise(0))
+    return series.groupBy("item_id").agg(((days - nonzero) / days * 100).alias("zero_pct"))
 
 
 def model_route(zero_pct: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ SELECT item_id, zero_pct,
        CASE WHEN zero_pct < 50 THEN 1.3 WHEN zero_pct < 80 THEN 1.7 END AS tweedie_power
 FROM parts_zero_pct""", "parts_zero_pct"))
 def _model_route(t):
-    return K.model_route(K.zero_percentage(_dense(t)))
+    return K.model_route(K.zero_percentage(R.demand_parts(t, P)))
 
 
 cte("pts", "SELECT item_id, count(DISTINCT ds) AS data_points FROM hist_lines GROUP BY item_id", "hist_lines")
@@ -148,4 +148,4 @@ SELECT zero_bin, count(*) AS parts FROM (
               WHEN zero_pct > 90 AND zero_pct <= 100 THEN '(90, 100]' END AS zero_bin
   FROM parts_zero_pct) b WHERE zero_bin IS NOT NULL GROUP BY zero_bin""", "parts_zero_pct"))
 def _zero_bins(t):
-    return K.zero_bins(K.zero_percentage(_dense(t)))
+    return K.zero_bins(K.zero_percentage(R.demand_parts(t, P)))

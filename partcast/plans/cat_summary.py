@@ -81,7 +81,7 @@ SELECT 'coverage', m.metric, NULL, m.value FROM (
 def _results_overview(t):
     lt = L.lead_times(t.purchases, P.on_time_tolerance)
     return S.results_overview(_results(t), L.supplier_performance(lt), L.lead_time_stats(lt),
-                              K.zero_percentage(R.dense_series(t, P, "parts", "own")))
+                              K.zero_percentage(R.demand_parts(t, P)))
 
 
 cte("cmp", """
