@@ -14,7 +14,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # The item-partitioned stages (densify, 55 window features, forecasts) are
+        # compute-heavy relative to the bytes shuffled into them (sparse daily sums),
+        # so coalescing post-shuffle partitions by size would serialise them into a
+        # task or two on small local data.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
