@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 def day_start(d: dt.date) -> Column:
     """Timestamp literal for midnight of ``d`` (keeps predicates on raw
-    timestamp columns so they reach the parquet scan)."""
-    return F.lit(dt.datetime(d.year, d.month, d.day))
+    timestamp columns so they reach the parquet scan).  Built as a
+    TIMESTAMP_NTZ from ISO text, so no session or machine time zone is involved
+    (a Python ``datetime`` literal would be read in the local zone)."""
+    return F.lit(f"{d.isoformat()} 00:00:00").cast("timestamp_ntz")
 
 
 def ts_between_days(col: Column, start: dt.date | None, end: dt.date | None) -> Column:
