@@ -119,9 +119,10 @@ def multiseries_metrics(ev: DataFrame, categories: DataFrame) -> DataFrame:
     from partcast.session import cut_lineage
 
     per = cut_lineage(error_metrics(ev, ("item_id",)))
-    overall = per.agg((F.sum(F.col("mae") * F.col("n_points")) / F.sum("n_points")).alias("mae")).select(
+    overall = per.agg((F.sum(F.col("mae") * F.col("n_points")) / F.sum("n_points")).alias("mae"),
+                      F.count(F.lit(1)).alias("n_items")).select(
         F.lit("overall").alias("grain"), F.lit(None).cast("string").alias("key"), "mae",
-        F.lit(None).cast("double").alias("mape"), F.lit(None).cast("bigint").alias("n_items"))
+        F.lit(None).cast("double").alias("mape"), "n_items")
     series = per.select(F.lit("series").alias("grain"), F.col("item_id").cast("string").alias("key"), "mae",
                         "mape", F.lit(1).cast("bigint").alias("n_items"))
     mean_all = per.agg(F.avg("mae").alias("mae"), F.count(F.lit(1)).alias("n_items")).select(

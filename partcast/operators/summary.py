@@ -83,11 +83,13 @@ def pipeline_summary(comparison: DataFrame, k: int = 3) -> DataFrame:
     comparison = cut_lineage(comparison)
     c = comparison.where(F.col("improvement_pct").isNotNull())
     summ = comparison.agg(
-        F.lit("summary").alias("kind"), F.lit(None).cast("bigint").alias("item_id"),
+        F.lit("summary").alias("kind"), F.lit(None).cast("string").alias("item_id"),
         F.avg("candidate_mae").alias("candidate_mae"), F.avg("baseline_mae").alias("baseline_mae"),
         F.avg("improvement_pct").alias("improvement_pct"),
         F.max("improvement_pct").alias("max_improvement"), F.min("improvement_pct").alias("min_improvement"))
-    cols = ["item_id", "candidate_mae", "baseline_mae", "improvement_pct"]
+    # item_id as text: the summary row has none, and a NULL in an integer column
+    # converts differently to pandas across engines
+    cols = [F.col("item_id").cast("string").alias("item_id"), "candidate_mae", "baseline_mae", "improvement_pct"]
     best = c.orderBy(F.desc("improvement_pct"), "item_id").limit(k).select(F.lit("best").alias("kind"), *cols)
     worst = c.orderBy(F.asc("improvement_pct"), "item_id").limit(k).select(F.lit("worst").alias("kind"), *cols)
     extra = [F.lit(None).cast("double").alias("max_improvement"), F.lit(None).cast("double").alias("min_improvement")]

@@ -119,7 +119,7 @@ def _compare_vs_baseline(t):
 
 @register("multiseries_metrics", sql(f"""
 SELECT 'overall' AS grain, CAST(NULL AS VARCHAR) AS key, avg(abs(y - yhat)) AS mae, CAST(NULL AS DOUBLE) AS mape,
-       CAST(NULL AS BIGINT) AS n_items FROM fc_eval WHERE method = 'ExpSmooth'
+       count(DISTINCT item_id) AS n_items FROM fc_eval WHERE method = 'ExpSmooth'
 UNION ALL
 SELECT 'series', CAST(item_id AS VARCHAR), mae, mape, 1 FROM fc_metrics WHERE method = 'ExpSmooth'
 UNION ALL

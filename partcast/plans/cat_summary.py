@@ -92,14 +92,14 @@ FROM (SELECT item_id, mae FROM fc_metrics WHERE method = 'TSB') c JOIN best_clas
 
 
 @register("pipeline_summary", sql("""
-SELECT 'summary' AS kind, CAST(NULL AS BIGINT) AS item_id, avg(candidate_mae) AS candidate_mae,
+SELECT 'summary' AS kind, CAST(NULL AS VARCHAR) AS item_id, avg(candidate_mae) AS candidate_mae,
        avg(baseline_mae) AS baseline_mae, avg(improvement_pct) AS improvement_pct,
        max(improvement_pct) AS max_improvement, min(improvement_pct) AS min_improvement FROM cmp
 UNION ALL
-SELECT * FROM (SELECT 'best', item_id, candidate_mae, baseline_mae, improvement_pct, NULL, NULL FROM cmp
+SELECT * FROM (SELECT 'best', CAST(item_id AS VARCHAR), candidate_mae, baseline_mae, improvement_pct, NULL, NULL FROM cmp
                WHERE improvement_pct IS NOT NULL ORDER BY improvement_pct DESC, item_id LIMIT 3) b
 UNION ALL
-SELECT * FROM (SELECT 'worst', item_id, candidate_mae, baseline_mae, improvement_pct, NULL, NULL FROM cmp
+SELECT * FROM (SELECT 'worst', CAST(item_id AS VARCHAR), candidate_mae, baseline_mae, improvement_pct, NULL, NULL FROM cmp
                WHERE improvement_pct IS NOT NULL ORDER BY improvement_pct ASC, item_id LIMIT 3) w""", "cmp"))
 def _pipeline_summary(t):
     m = E.error_metrics(_ev(t))
