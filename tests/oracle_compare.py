@@ -30,6 +30,37 @@ def digest(columns, rows):
     return hashlib.sha256("\n".join(lines).encode()).hexdigest(), lines
 
 
+def spark_kinds(df):
+    from pyspark.sql import types as T
+
+    def kind(t):
+        if isinstance(t, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+            return "int"
+        if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
+            return "float"
+        if isinstance(t, T.BooleanType):
+            return "bool"
+        if isinstance(t, T.StringType):
+            return "str"
+        return t.simpleString()
+    return {f.name: kind(f.dataType) for f in df.schema.fields}
+
+
+def duck_kinds(cur):
+    def kind(t):
+        t = str(t).upper()
+        if t in ("BIGINT", "INTEGER", "SMALLINT", "TINYINT", "HUGEINT", "NUMBER"):
+            return "int"
+        if t in ("DOUBLE", "FLOAT", "REAL") or t.startswith("DECIMAL"):
+            return "float"
+        if t in ("BOOLEAN", "BOOL"):
+            return "bool"
+        if t in ("VARCHAR", "STRING"):
+            return "str"
+        return t.lower()
+    return {d[0]: kind(d[1]) for d in cur.description}
+
+
 def duck_run(sf_dir, query):
     con = duckdb.connect()
     from partcast.plans.sqlkit import TABLES
@@ -38,7 +69,8 @@ def duck_run(sf_dir, query):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     cur = con.execute(query)
     cols = [d[0] for d in cur.description]
-    return cols, cur.fetchall()
+    kinds = duck_kinds(cur)
+    return cols, cur.fetchall(), kinds
 
 
 def compare(spark, sf_dir, names=None, verbose=True):
@@ -53,6 +85,7 @@ def compare(spark, sf_dir, names=None, verbose=True):
         try:
             df = qs[name](spark, sf_dir)
             scols = df.columns
+            skinds = spark_kinds(df)
             srows = [tuple(r) for r in df.collect()]
         except Exception as e:  # noqa: BLE001
             results[name] = ("SPARK_ERROR", str(e)[:300])
@@ -66,7 +99,7 @@ def compare(spark, sf_dir, names=None, verbose=True):
                 print(f"{name:28s} rows-only n={len(srows)} spark={st:.1f}s")
             continue
         try:
-            dcols, drows = duck_run(sf_dir, ors[name])
+            dcols, drows, dkinds = duck_run(sf_dir, ors[name])
         except Exception as e:  # noqa: BLE001
             results[name] = ("DUCK_ERROR", str(e)[:300])
             if verbose:
@@ -74,12 +107,16 @@ def compare(spark, sf_dir, names=None, verbose=True):
             continue
         sh, sl = digest(scols, srows)
         dh, dl = digest(dcols, drows)
-        ok = sorted(scols) == sorted(dcols) and len(srows) == len(drows) and sh == dh
+        kinds_ok = skinds == dkinds
+        ok = sorted(scols) == sorted(dcols) and len(srows) == len(drows) and sh == dh and kinds_ok
         results[name] = ("OK" if ok else "MISMATCH", len(srows), len(drows))
         if verbose:
             print(f"{name:28s} {'OK' if ok else 'MISMATCH'} spark_n={len(srows)} duck_n={len(drows)} "
                   f"spark={st:.1f}s")
             if not ok:
+                if not kinds_ok:
+                    print("   kinds spark:", {k: v for k, v in skinds.items() if dkinds.get(k) != v},
+                          "\n   kinds duck: ", {k: v for k, v in dkinds.items() if skinds.get(k) != v})
                 if sorted(scols) != sorted(dcols):
                     print("   cols spark:", sorted(scols), "\n   cols duck: ", sorted(dcols))
                 else:
