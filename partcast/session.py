@@ -32,8 +32,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only set one when it is unset
-    (local tests), never overriding what the cluster names."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.  Where it is
+    unset, a local master (one machine, as in tests) gets a folder of its own; any other
+    raises, since executors would not see each other's files."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
@@ -46,6 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = sc.getCheckpointDir() if sc is not None else None
     if existing:
         return existing
+    master = sc.master if sc is not None else ""
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder shared by the driver and all executors")
     local = tempfile.mkdtemp(prefix="partcast-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     if sc is not None:
