@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from partcast.llm import mixing, packing, quality, token_counts, token_files
+from partcast.llm import (
+    embeddings, mixing, near_duplicates, packing, pii, quality, suffix_dedup, token_counts, token_files, urls,
+)
 from partcast.llm.base import table
 
 
@@ -12,14 +14,21 @@ def _documents(run):
 
 QUERIES = {
     "op1_quality_rules": _documents(quality.judge),
+    "op2_suffix_dedup": _documents(suffix_dedup.judge),
     "op3_source_mixing": _documents(mixing.mix),
     "op4_best_fit_packing": _documents(packing.pack_documents),
     "op5_token_files": _documents(token_files.round_trip),
+    "op6_url_filters": lambda spark, sf_dir: urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")),
+    "op7_minhash_near_dedup": _documents(near_duplicates.judge),
+    "op8_pii": _documents(pii.judge),
+    "op9_embedding_near_dedup": lambda spark, sf_dir: embeddings.judge(table(spark, sf_dir, "embeddings")),
     "op10_token_counts": _documents(lambda d: token_counts.with_sums(token_counts.histogram(d))),
 }
 
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
+    "op6_url_filters": urls.ORACLE,
+    "op9_embedding_near_dedup": embeddings.ORACLE,
 }
 
 
