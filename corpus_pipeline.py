@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partcast.llm import mixing, packing, quality
+from partcast.llm import mixing, near_duplicates, packing, pii, quality
 from partcast.llm.base import materialise, table
 
 
@@ -18,6 +18,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near_duplicates.keep(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data, and terms that give it away, are replaced by their kinds."""
+    return pii.sanitise(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per document and pass, with the words that the mix takes."""
     return mixing.mixed_documents(docs)
@@ -30,6 +40,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("personal_data", personal_data),
     ("mix_sources", mix_sources),
     ("best_fit_packing", pack),
 ]
