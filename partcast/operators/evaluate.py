@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partcast.functions.cols import count_if
+from partcast.operators.ranks import medians
 
 EPS_MAPE = 1e-8
 EPS_CHANGE = 1e-10
@@ -153,7 +154,8 @@ def training_summary(results: DataFrame) -> DataFrame:
     """Per status: parts, share of all parts, and MAE mean / median / min / max."""
     g = results.groupBy("status").agg(
         F.count(F.lit(1)).alias("parts"), F.avg("mae").alias("mean_mae"),
-        F.median("mae").alias("median_mae"), F.min("mae").alias("min_mae"), F.max("mae").alias("max_mae"))
+        F.min("mae").alias("min_mae"), F.max("mae").alias("max_mae"))
+    g = g.join(medians(results, "mae", "status").withColumnRenamed("median", "median_mae"), "status", "left")
     return g.withColumn("pct_of_parts", F.col("parts") / F.sum("parts").over(Window.partitionBy()) * 100)
 
 

@@ -160,17 +160,12 @@ def critical_order_dates(fc: DataFrame, as_of: dt.date, lead: DataFrame, master:
             .orderBy("date_needed", F.desc("forecast_qty"), "part_id"))
 
 
-def batch_predict_status(requested: DataFrame, fc: DataFrame, max_parts: int = 50) -> DataFrame:
-    """First ``max_parts`` requested parts (by request order); a part succeeds when
-    it has forecast rows.  Per part status plus success / failure counts."""
-    first = requested.orderBy("request_pos").limit(max_parts)
+def batch_predict_status(requested: DataFrame, fc: DataFrame) -> DataFrame:
+    """Every requested part (part_id): it succeeds when it has forecast rows.  Per part
+    status plus the success / failure counts, which one combined aggregate adds."""
     have = fc.select("item_id").distinct().withColumn("_ok", F.lit(True))
-    j = first.join(have, first.part_id == have.item_id, "left")
-    status = F.when(F.col("_ok"), "success").otherwise("failed")
-    per = j.select("part_id", status.alias("status"))
-    w = Window.partitionBy()
-    return per.withColumns({
-        "successful": F.sum(F.when(F.col("status") == "success", 1).otherwise(0)).over(w).cast("bigint"),
-        "failed": F.sum(F.when(F.col("status") == "failed", 1).otherwise(0)).over(w).cast("bigint"),
-        "total_parts": F.count(F.lit(1)).over(w),
-    })
+    j = requested.join(have, requested.part_id == have.item_id, "left")
+    per = j.select("part_id", F.when(F.col("_ok"), "success").otherwise("failed").alias("status"))
+    ok = F.sum(F.when(F.col("status") == "success", 1).otherwise(0)).cast("bigint")
+    totals = per.agg(ok.alias("successful"), (F.count(F.lit(1)) - ok).alias("failed"), F.count(F.lit(1)).alias("total_parts"))
+    return per.withColumns({c: totals.select(c).scalar() for c in ("successful", "failed", "total_parts")})

@@ -37,7 +37,7 @@ def dq_future(t: Tables, as_of: dt.date) -> DataFrame:
 
 def dq_orphan_items(t: Tables) -> DataFrame:
     items = t.jo_item.where(F.col("in_out") == "I").select("item_id")
-    orphans = items.join(t.product_code.select("item_id"), "item_id", "left_anti")
+    orphans = items.join(t.product_code_with_gaps.select("item_id"), "item_id", "left_anti")
     return orphans.agg(F.countDistinct("item_id").cast("bigint").alias("missing_product_codes"))
 
 

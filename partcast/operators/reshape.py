@@ -133,15 +133,29 @@ def series_union_dates(t: Tables, p: Params) -> DataFrame:
                     F.count(F.lit(1)).alias("n_dates"))
 
 
-def pivot_top(t: Tables, p: Params, n: int | None = None) -> DataFrame:
-    """Top-n items over the window, densified on the whole window, pivoted wide
-    (one row per day, one column per item).  The pivot width is bounded by n."""
-    n = n or p.top_n
+def _top_dense(t: Tables, p: Params, n: int) -> DataFrame:
+    """Top-n items over the window, ranked, each densified on the whole window."""
     daily = daily_consumption(t, p, window_start(p), p.as_of)
     top = (daily.groupBy("item_id").agg(F.sum("qty").alias("total"))
-           .orderBy(F.desc("total"), F.asc("item_id")).limit(n).select("item_id"))
+           .orderBy(F.desc("total"), F.asc("item_id")).limit(n))
+    rank = F.row_number().over(Window.orderBy(F.desc("total"), F.asc("item_id")))     # n rows
     dense = densify_fixed_window(daily.join(top, "item_id", "left_semi"), window_start(p), p.as_of)
-    return (dense.withColumn("item", F.col("item_id").cast("string"))
+    return dense.join(top.select("item_id", rank.alias("rank")), "item_id")
+
+
+def pivot_top(t: Tables, p: Params, n: int | None = None) -> DataFrame:
+    """One row per day, one column per rank (``top_01`` is the item with the largest
+    total).  The columns are known before any data is read."""
+    n = n or p.top_n
+    slots = [f"top_{k:02d}" for k in range(1, n + 1)]
+    dense = _top_dense(t, p, n).withColumn("slot", F.format_string("top_%02d", F.col("rank")))
+    return dense.groupBy("ds").pivot("slot", slots).agg(F.sum("qty")).fillna(0.0)
+
+
+def pivot_items(t: Tables, p: Params, n: int | None = None) -> DataFrame:
+    """The same with the items themselves as columns (wide export files); the pivot
+    width is bounded by n."""
+    return (_top_dense(t, p, n or p.top_n).withColumn("item", F.col("item_id").cast("string"))
             .groupBy("ds").pivot("item").agg(F.sum("qty")).fillna(0.0))
 
 

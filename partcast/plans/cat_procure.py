@@ -153,9 +153,8 @@ def _critical_order_dates(t):
 SELECT q.part_id, CASE WHEN h.item_id IS NOT NULL THEN 'success' ELSE 'failed' END AS status,
        count_if(h.item_id IS NOT NULL) OVER () AS successful, count_if(h.item_id IS NULL) OVER () AS failed,
        count(*) OVER () AS total_parts
-FROM (SELECT item_id AS part_id FROM product_code WHERE deleted = 'N' ORDER BY item_id LIMIT 50) q
+FROM (SELECT item_id AS part_id FROM product_code WHERE deleted = 'N') q
 LEFT JOIN (SELECT DISTINCT item_id FROM fut) h ON q.part_id = h.item_id""", "product_code", "fut"))
 def _batch_predict_status(t):
-    req = t.product_code.where(F.col("deleted") == "N").select(
-        F.col("item_id").alias("part_id"), F.col("item_id").alias("request_pos"))
-    return Q.batch_predict_status(req, _fut(t), 50).drop("request_pos")
+    req = t.product_code.where(F.col("deleted") == "N").select(F.col("item_id").alias("part_id"))
+    return Q.batch_predict_status(req, _fut(t))

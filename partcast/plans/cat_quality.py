@@ -38,8 +38,8 @@ def _dq_future(t):
 
 @register("dq_orphan_items", sql("""
 SELECT count(DISTINCT i.item_id) AS missing_product_codes FROM jo_item i
-WHERE i.in_out = 'I' AND NOT EXISTS (SELECT 1 FROM product_code p WHERE p.item_id = i.item_id)""",
-    "jo_item", "product_code"))
+WHERE i.in_out = 'I' AND NOT EXISTS (SELECT 1 FROM product_code_with_gaps p WHERE p.item_id = i.item_id)""",
+    "jo_item", "product_code_with_gaps"))
 def _dq_orphan_items(t):
     return D.dq_orphan_items(t)
 

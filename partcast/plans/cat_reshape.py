@@ -49,9 +49,14 @@ def _series_union_dates(t):
     return R.series_union_dates(t, P)
 
 
-@register("pivot_top", sql("""
-PIVOT (SELECT strftime(ds, '%Y-%m-%d') AS ds, CAST(item_id AS VARCHAR) AS item, round(qty, 6) + 0.0 AS qty
-       FROM top_fixed) ON item USING sum(qty) GROUP BY ds""", "top_fixed"), normalise=False)
+cte("top_ranks", f"""
+SELECT item_id, row_number() OVER (ORDER BY sum(qty) DESC, item_id) AS rank FROM parts_daily GROUP BY item_id
+QUALIFY rank <= {P.top_n}""", "parts_daily")
+
+
+@register("pivot_top", sql("SELECT ds, " + ", ".join(
+    f"coalesce(sum(CASE WHEN rank = {k} THEN qty END), 0.0) AS top_{k:02d}" for k in range(1, P.top_n + 1))
+    + " FROM top_fixed JOIN top_ranks USING (item_id) GROUP BY ds", "top_fixed", "top_ranks"))
 def _pivot_top(t):
     return R.pivot_top(t, P)
 

@@ -42,7 +42,7 @@ def _csv_roundtrip(t):
 
 @register("wide_import", sql("SELECT item_id, ds, qty FROM top_fixed", "top_fixed"))
 def _wide_import(t):
-    wide = R.pivot_top(t, P)
+    wide = R.pivot_items(t, P)
     path = IO.write_csv(wide, IO.io_path(t.spark, "pivot_top"))
     return IO.wide_import(t.spark, path)
 

@@ -59,7 +59,8 @@ FROM porder_item i JOIN porder_txn t ON i.txn_id = t.txn_id""", "porder_item", "
 cte("product_code", """
 SELECT p_partkey AS item_id, p_partkey AS stk_id, p_brand AS stk_code, p_name AS prod_name,
        CASE WHEN p_partkey % 17 = 0 THEN 'Y' ELSE 'N' END AS deleted
-FROM part WHERE p_partkey % 10 <> 3""")
+FROM part""")
+cte("product_code_with_gaps", "SELECT * FROM product_code WHERE item_id % 10 <> 3", "product_code")
 
 # consumption lines (in_out = 'I', header and line not void), all dates
 cte("jo_lines", """

@@ -132,7 +132,7 @@ class Tables:
     @cached_property
     def product_code(self) -> DataFrame:
         p = self.raw("part")
-        return p.where(p.p_partkey % 10 != 3).select(
+        return p.select(
             p.p_partkey.alias("item_id"),
             p.p_partkey.alias("stk_id"),
             p.p_brand.alias("stk_code"),
@@ -140,6 +140,11 @@ class Tables:
             F.when(p.p_partkey % 17 == 0, F.lit("Y")).otherwise(F.lit("N")).alias("deleted"),
         )
 
+    @cached_property
+    def product_code_with_gaps(self) -> DataFrame:
+        """product_code with every tenth item missing (fixture of the orphan check)."""
+        return self.product_code.where(F.col("item_id") % 10 != 3)
+
     @cached_property
     def events(self) -> DataFrame:
         return self.raw("events")
