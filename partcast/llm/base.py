@@ -34,6 +34,17 @@ def clean_text(text="text"):
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """The rows as one struct column ``doc``, so that no column added meets one of theirs."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("doc"))
+
+
+def unwrapped(df: DataFrame, columns: list[str], new: dict | None = None) -> DataFrame:
+    """The columns of ``doc`` again, some replaced."""
+    new = new or {}
+    return df.select(*[(new[c] if c in new else F.col(f"doc.`{c}`")).alias(c) for c in columns])
+
+
 def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, chunks: int) -> DataFrame:
     """Exclusive running total of ``value`` over each key in a fixed order, without a
     task that sees a whole key: rows fall into ``chunks`` hashed chunks of a key, each is

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from partcast.llm.base import SPACES, chunks_for, materialise, prefix_sums
+from partcast.llm.base import SPACES, chunks_for, materialise, prefix_sums, unwrapped, whole_rows
 from partcast.llm.quality import let, n_words
 
 WEIGHTS = (3, 1, 2)
@@ -142,17 +142,14 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 11) -> Data
     ranges = (passes.groupBy("key", "sid", "start").agg(F.collect_list(F.array_sort("ranges")).alias("_passes"))
               .withColumn("_nr", F.row_number().over(W.partitionBy("key").orderBy("start")))
               .select(F.col("key").alias("_rkey"), "_nr", "_passes"))
-    columns = docs.columns
-    source = docs.schema["source"].dataType
-    rows = (docs.withColumn("_size", n_words(F.col("text")))
-            .withColumn("_key", F.to_json(F.struct("doc_id", F.col("_size").alias("size"), F.col("source").cast(source).alias("source"))))
-            .withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64("text")))))
+    rows = (whole_rows(docs).withColumn("_size", n_words(F.col("doc.text")))
+            .withColumn("_key", F.to_json(F.struct("doc.doc_id", F.col("_size").alias("size"), "doc.source")))
+            .withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64("doc.text")))))
     # not an equality, so that the rows stay where the window has put them
     same = (F.col("_key") == F.col("_rkey")) & (F.col("_n") >= F.col("_nr")) & (F.col("_n") <= F.col("_nr"))
-    pieces = F.regexp_extract_all("text", F.lit(f"([^{SPACES}]+[{SPACES}]*)"), F.lit(1))
+    pieces = F.regexp_extract_all("doc.text", F.lit(f"([^{SPACES}]+[{SPACES}]*)"), F.lit(1))
     taken = F.aggregate("_pass", F.lit(0).cast("long"), lambda a, r: a + r["hi"] - r["lo"])
     cut = let(pieces, lambda w: F.array_join(F.flatten(F.transform("_pass", lambda r: F.slice(w, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), ""))
-    text = F.when(taken == F.col("_size"), F.col("text")).otherwise(cut)
-    out = rows.join(ranges, same).withColumn("_pass", F.explode("_passes")).withColumn("_text", text)
-    new = {"text": F.col("_text").alias("text"), "n_chars": F.length("_text").cast("long").alias("n_chars")}
-    return out.select(*[new.get(c, F.col(f"`{c}`")) for c in columns])
+    out = rows.join(ranges, same).withColumn("_pass", F.explode("_passes"))
+    out = out.withColumn("_text", F.when(taken == F.col("_size"), F.col("doc.text")).otherwise(cut))
+    return unwrapped(out, docs.columns, {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")})

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from partcast.llm.base import materialise
+from partcast.llm.base import materialise, unwrapped, whole_rows
 from partcast.llm.blocks import sides, split_groups
 from partcast.llm.components import components
 
@@ -232,10 +232,11 @@ def keep(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each component the one with the least doc_id, and of
     rows with one doc_id that whose text is first.  All columns as they are."""
     judged = judge(docs)
-    twice = judged.where("doc_id IS NOT NULL AND kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"))
-    gone = judged.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    twice = materialise(twice, "repeated-ids")
-    single = docs.join(gone.unionByName(twice), F.col("doc_id") == F.col("_id"), "left_anti")
-    first = W.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns))
-    one = docs.join(twice, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    return single.unionByName(one)
+    repeated = (judged.where("doc_id IS NOT NULL AND kept").groupBy("doc_id").agg(F.count("*").alias("n"))
+                .where("n > 1").select(F.col("doc_id").alias("id")))
+    repeated = materialise(repeated, "repeated-ids")
+    gone = judged.where("NOT kept").select(F.col("doc_id").alias("id")).distinct().unionByName(repeated)
+    rows, here = whole_rows(docs), F.col("doc.doc_id") == F.col("id")
+    first = W.partitionBy("doc.doc_id").orderBy("doc.text", F.xxhash64("doc"))
+    one = rows.join(repeated, here, "left_semi").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    return unwrapped(rows.join(gone, here, "left_anti").unionByName(one), docs.columns)

@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partcast.llm.base import materialise
+from partcast.llm.base import materialise, unwrapped, whole_rows
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of a mention that make its context.
@@ -242,13 +242,9 @@ def replaced(text: str, spans: list[tuple[int, str, int]]) -> str:
     return "".join(out) + text[last:]
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.monotonically_increasing_id())
-
-
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, counts, base_sha256 and all spans of each document."""
-    found = materialise(find(_numbered(docs.select("doc_id", "text"))), "found")
+    found = materialise(find(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")), "found")
     sha = F.sha2(F.col("base"), 256)
     columns = ["doc_id", *(f"n_{k}" for k in KINDS)]
 
@@ -268,8 +264,10 @@ def judge(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents, all columns as they are but for ``text`` with its spans replaced (and
     ``n_chars`` with its length)."""
-    rows = materialise(_numbered(docs), "numbered")
-    found = materialise(find(rows).where("mentions IS NOT NULL"), "found")
+    rows = materialise(whole_rows(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = find(rows.select("_row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")))
+    found = materialise(found.where("mentions IS NOT NULL"), "found")
+
     def run(batches):
         import pyarrow as pa
 
@@ -278,7 +276,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(new, pa.string())], names=["_row", "_text"])
 
     changed = _with_terms(found, docs, rows.count()).select("_row", "base", "text", "terms").mapInArrow(run, "_row long, _text string")
-    joined = rows.join(changed, "_row", "left")
-    text = F.coalesce("_text", F.col("text"))
-    new = {"text": text.alias("text"), "n_chars": F.when(F.col("_text").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")}
-    return joined.select(*[new.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    new = {"text": F.coalesce("_text", F.col("doc.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_text").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("doc.n_chars"))
+    return unwrapped(rows.join(changed, "_row", "left"), docs.columns, new)
