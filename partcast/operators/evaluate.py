@@ -159,13 +159,17 @@ def training_summary(results: DataFrame) -> DataFrame:
     return g.withColumn("pct_of_parts", F.col("parts") / F.sum("parts").over(Window.partitionBy()) * 100)
 
 
-def training_results_baseline(dense: DataFrame, p, method: str = "MA_7", stock_codes: DataFrame | None = None
+def training_results_baseline(daily: DataFrame, p, method: str = "MA_7", stock_codes: DataFrame | None = None
                               ) -> DataFrame:
-    """Training-results table for a baseline: status per part (insufficient_data
-    below ``min_train`` rows, else success), zero share, 80/20 split sizes and
-    validation MAE of ``method`` fitted on the first 80%."""
+    """Training-results table for a baseline over sparse daily sums: status per part
+    (insufficient_data below ``train_points`` observed days, insufficient_valid_data
+    below ``min_train`` days from first to last, else success), zero share, 80/20
+    split sizes and validation MAE of ``method`` fitted on the first 80%."""
     from partcast.operators.baselines import forecast_constants
+    from partcast.operators.reshape import densify_own_span
 
+    observed = daily.groupBy("item_id").agg(F.countDistinct("ds").alias("points"))
+    dense = densify_own_span(daily)
     w = Window.partitionBy("item_id").orderBy("ds")
     pos = dense.withColumns({"_rn": F.row_number().over(w) - 1,
                              "_n": F.count(F.lit(1)).over(Window.partitionBy("item_id"))})
@@ -180,15 +184,17 @@ def training_results_baseline(dense: DataFrame, p, method: str = "MA_7", stock_c
     mae = (valid.join(consts, "item_id").groupBy("item_id")
            .agg(F.avg(F.abs(F.col("qty") - F.col("yhat"))).alias("mae"),
                 F.count(F.lit(1)).alias("val_samples")))
-    out = stats.join(mae, "item_id", "left")
-    ok = F.col("n") >= p.min_train
+    out = stats.join(observed, "item_id").join(mae, "item_id", "left")
+    few, short = F.col("points") < p.train_points, F.col("n") < p.min_train
+    ok = ~few & ~short
     out = out.select(
         F.col("item_id").alias("part_id"),
-        F.when(ok, "success").otherwise("insufficient_data").alias("status"),
+        F.when(few, "insufficient_data").when(short, "insufficient_valid_data").otherwise("success").alias("status"),
         "zero_pct", F.when(ok, F.col("mae")).alias("mae"),
         F.when(ok, F.floor(F.col("n") * 0.8)).cast("bigint").alias("train_samples"),
         F.when(ok, F.col("val_samples")).cast("bigint").alias("val_samples"),
-        F.when(~ok, F.concat(F.lit("Only "), F.col("n").cast("string"), F.lit(" data points"))).alias("error"))
+        F.when(few, F.concat(F.lit("Only "), F.col("points").cast("string"), F.lit(" data points")))
+        .when(short, F.concat(F.lit("Only "), F.col("n").cast("string"), F.lit(" valid samples"))).alias("error"))
     if stock_codes is not None:
         out = out.join(stock_codes.select(F.col("item_id").alias("part_id"), F.col("stk_code").alias("stock_code")),
                        "part_id", "left")

@@ -3,31 +3,38 @@
 One *global* model per model family is trained on all items at once (the item
 is a feature), never one model per item in a driver loop.  Features are built
 with window functions over the item-partitioned dense series: 30 lags of the
-per-item z-scored demand, the ordinal item code and calendar columns.
+per-item z-scored demand, the ordinal item code and calendar columns.  The item
+code is the item's place among all items (range partitions, no list of items on
+the driver or in a model).
 
 Recursive multi-step forecasting keeps the last ``n_lags`` values per item in
 an array column; each of the ``horizon`` steps scores one row per item and
-appends the prediction.  Lineage is cut with a reliable ``checkpoint()`` into
-the shared checkpoint directory every few steps.
+appends the value forecast.  Lineage is cut with a reliable ``checkpoint()``
+into the shared checkpoint directory every few steps.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.regression import (
+    GBTRegressionModel, GBTRegressor, GeneralizedLinearRegression, GeneralizedLinearRegressionModel,
+)
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partcast.functions.windows import by_item, item_all
-
 from partcast.functions import calendar as C
+from partcast.functions.windows import by_item, item_all
+from partcast.operators.ranks import ordinals
 from partcast.session import cut_lineage
 
+#: Output column of every fitted regressor.
+FITTED = "yhat_z"
 CAL_COLS = ("day_of_week", "day_of_month", "week_of_year", "month", "quarter", "is_weekend",
             "day_sin", "day_cos", "month_sin", "month_cos", "week_sin", "week_cos")
 
@@ -50,6 +57,7 @@ def supervised(dense: DataFrame, n_lags: int = 30, holdout: int = 0) -> DataFram
     """Training rows: per-item z-score of qty (statistics from the training part
     only), its ``n_lags`` lags, calendar columns and the split flag.  Rows
     without a full lag history are dropped."""
+    dense = dense.join(ordinals(dense, "item_id").withColumnRenamed("code", "item_code"), "item_id")
     pos = dense.withColumns({"rn": F.row_number().over(by_item()) - 1, "n": F.count(F.lit(1)).over(item_all())})
     is_train = F.col("rn") < F.col("n") - holdout
     pos = pos.withColumns({
@@ -65,44 +73,24 @@ def supervised(dense: DataFrame, n_lags: int = 30, holdout: int = 0) -> DataFram
             .drop("_mu", "_sd"))
 
 
-def _assembler(n_lags: int) -> list:
-    """Ordinal item code (frequency-ordered index used as a *numeric* feature --
-    the arithmetic drops the nominal metadata so trees split on it as ordered),
-    then the feature vector."""
-    idx = StringIndexer(inputCol="item_key", outputCol="item_code_nominal", handleInvalid="keep")
-    ordinal = SQLTransformer(statement="SELECT *, item_code_nominal + 0.0 AS item_code FROM __THIS__")
-    vec = VectorAssembler(inputCols=feature_names(n_lags), outputCol="features", handleInvalid="keep")
-    return [idx, ordinal, vec]
-
-
-def with_key(df: DataFrame) -> DataFrame:
-    return df.withColumn("item_key", F.col("item_id").cast("string"))
-
-
 def fit_global_gbt(train: DataFrame, p, label: str = "y", weight: str | None = None,
                    n_lags: int | None = None) -> PipelineModel:
-    n_lags = n_lags or p.n_lags
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=p.gbt_trees, maxDepth=p.gbt_depth,
-                       stepSize=p.gbt_lr, seed=p.seed)
+    vec = VectorAssembler(inputCols=feature_names(n_lags or p.n_lags), outputCol="features", handleInvalid="keep")
+    gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol=FITTED, maxIter=p.gbt_trees,
+                       maxDepth=p.gbt_depth, stepSize=p.gbt_lr, seed=p.seed)
     if weight:
         gbt.setWeightCol(weight)
-    return Pipeline(stages=_assembler(n_lags) + [gbt]).fit(with_key(train))
-
-
-def predict(model: PipelineModel, df: DataFrame, out: str = "prediction") -> DataFrame:
-    res = model.transform(with_key(df))
-    return res.withColumnRenamed("prediction", out) if out != "prediction" else res
+    return Pipeline(stages=[vec, gbt]).fit(train)
 
 
 def _history(sup: DataFrame, n_lags: int, upto: Column) -> DataFrame:
     """Per item: the last ``n_lags`` scaled values up to the cut (oldest first),
     scaling stats and the last day."""
-    w_last = Window.partitionBy("item_id").orderBy(F.desc("ds"))
-    last = sup.where(upto).withColumn("_r", F.row_number().over(w_last)).where(F.col("_r") == 1)
     # lag_1 .. lag_n of the *last* row are the n values before it; with y itself
     # we get the n most recent values.
     hist = F.array(*[F.col(f"lag_{k}") for k in range(n_lags - 1, 0, -1)], F.col("y"))
-    return last.select("item_id", "mu", "sd", F.col("ds").alias("last_ds"), hist.alias("hist"))
+    row = F.struct("mu", "sd", "item_code", F.col("ds").alias("last_ds"), hist.alias("hist"))
+    return sup.where(upto).groupBy("item_id").agg(F.max_by(row, "ds").alias("r")).select("item_id", "r.*")
 
 
 def recursive_forecast(model: PipelineModel, sup: DataFrame, p, upto: Column, horizon: int | None = None,
@@ -110,29 +98,33 @@ def recursive_forecast(model: PipelineModel, sup: DataFrame, p, upto: Column, ho
     """Roll the global model forward ``horizon`` days from each item's last row
     satisfying ``upto``; returns (item_id, h, ds, yhat) on the original scale."""
     n_lags, horizon = p.n_lags, horizon or p.horizon
-    state = _history(sup, n_lags, upto).withColumn("preds", F.array().cast("array<double>"))
+    state = _history(sup, n_lags, upto).withColumn("ahead", F.array().cast("array<double>"))
     for step in range(1, horizon + 1):
         ds = F.date_add("last_ds", step)
         feats = {f"lag_{k}": F.element_at("hist", -k) for k in range(1, n_lags + 1)}
-        scored = predict(model, state.withColumns({**feats, **calendar_cols(ds)}))
-        state = scored.select("item_id", "mu", "sd", "last_ds",
-                              F.slice(F.concat("hist", F.array("prediction")), 2, n_lags).alias("hist"),
-                              F.concat("preds", F.array("prediction")).alias("preds"))
+        scored = model.transform(state.withColumns({**feats, **calendar_cols(ds)}))
+        state = scored.select("item_id", "mu", "sd", "item_code", "last_ds",
+                              F.slice(F.concat("hist", F.array(FITTED)), 2, n_lags).alias("hist"),
+                              F.concat("ahead", F.array(FITTED)).alias("ahead"))
         if step % checkpoint_every == 0 and step < horizon:
             state = cut_lineage(state)
-    out = state.select("item_id", "mu", "sd", "last_ds", F.posexplode("preds").alias("i", "z"))
+    out = state.select("item_id", "mu", "sd", "last_ds", F.posexplode("ahead").alias("i", "z"))
     return out.select("item_id", (F.col("i") + 1).alias("h"), F.date_add("last_ds", F.col("i") + 1).alias("ds"),
                       F.greatest(F.col("z") * F.col("sd") + F.col("mu"), F.lit(0.0)).alias("yhat"))
 
 
-def select_subset(dense: DataFrame, categories: DataFrame, limit: int = 100) -> DataFrame:
-    """Training items: high_volume + regular (at most ``limit``, largest first); if
-    there are none, the ``limit`` items with the largest total demand."""
-    ranked = categories.where(F.col("category").isin("high_volume", "regular"))
-    chosen = ranked.orderBy(F.desc("total_demand"), "item_id").limit(limit).select("item_id")
-    fallback = (categories.orderBy(F.desc("total_demand"), "item_id").limit(limit).select("item_id")
-                .where(~chosen.exists()))
-    return dense.join(chosen.unionByName(fallback), "item_id", "left_semi")
+def at_least(dense: DataFrame, rows: int) -> DataFrame:
+    """Items with at least so many days."""
+    return dense.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= rows).select("item_id")
+
+
+def select_subset(dense: DataFrame, categories: DataFrame, wanted=("high_volume", "regular"),
+                  fallback=("intermittent", "very_intermittent")) -> DataFrame:
+    """Series of all items in the wanted volume categories, or, where none is, of all in the
+    ``fallback`` categories."""
+    chosen = categories.where(F.col("category").isin(*wanted)).select("item_id")
+    others = categories.where(F.col("category").isin(*fallback)).select("item_id").where(~chosen.exists())
+    return dense.join(chosen.unionByName(others), "item_id", "left_semi")
 
 
 def eligible_nonzero(dense: DataFrame, min_nonzero: int = 30) -> DataFrame:
@@ -141,36 +133,41 @@ def eligible_nonzero(dense: DataFrame, min_nonzero: int = 30) -> DataFrame:
     return dense.withColumn("_nz", nz).where(F.col("_nz") >= min_nonzero).drop("_nz")
 
 
-def fit_asymmetric(train: DataFrame, p, penalty: float = 3.0, refits: int = 1, label: str = "y",
-                   base_model: PipelineModel | None = None) -> PipelineModel:
+def fit_asymmetric(train: DataFrame, p, penalty: float = 3.0, max_refits: int = 3, settled: float = 0.01,
+                   label: str = "y", base_model: PipelineModel | None = None) -> PipelineModel:
     """Approximates a stock-out-penalised squared loss: refit with weight
-    ``penalty`` on rows the previous fit under-forecast (y > yhat).  Spark's
-    GBT has no custom objective, so this is an approximation of the boosted
-    version (exact for linear models, see ``fit_expectile_linear``)."""
-    model = base_model or fit_global_gbt(train, p, label)
-    for _ in range(refits):
-        scored = predict(model, train, "yhat0")
-        weighted = scored.select(*train.columns, F.when(F.col(label) > F.col("yhat0"), F.lit(penalty))
-                                 .otherwise(F.lit(1.0)).alias("w"))
-        model = fit_global_gbt(weighted, p, label, weight="w")
+    ``penalty`` on rows the previous fit under-forecast (y > fitted), until no more
+    than a share ``settled`` of the rows changes sides (at most ``max_refits``
+    times).  Spark's GBT has no custom objective, so this is an approximation of
+    the boosted version (exact for linear models, see ``fit_expectile_linear``)."""
+    model, rows = base_model or fit_global_gbt(train, p, label), None
+    for _ in range(max_refits):
+        under = F.col(label) > F.col(FITTED)
+        before = F.col("w") if rows is not None else F.lit(None).cast("double")
+        scored = model.transform(rows if rows is not None else train).withColumn(
+            "_w", F.when(under, F.lit(penalty)).otherwise(F.lit(1.0))).withColumn("_moved", (F.col("_w") != before).cast("double"))
+        scored = cut_lineage(scored.select(*train.columns, F.col("_w").alias("w"), "_moved"))
+        if rows is not None and (scored.agg(F.avg("_moved")).first()[0] or 0.0) <= settled:
+            break
+        rows = scored.drop("_moved")
+        model = fit_global_gbt(rows, p, label, weight="w")
     return model
 
 
-def importance_summary(imp: DataFrame, k: int = 20) -> DataFrame:
-    """Mean importance per feature across models, top k, with the lag / exog share."""
-    per = imp.groupBy("feature", "kind").agg(F.avg("importance").alias("mean_importance"))
+def importance_summary(imp: DataFrame, k: int | None = 20) -> DataFrame:
+    """Mean importance per feature across models (the top k, or all), with the lag / exog share."""
+    per = imp.groupBy("feature", "kind").agg(F.avg("importance").alias("mean_importance"), F.count(F.lit(1)).alias("n_models"))
     share = per.groupBy().pivot("kind", ["lag", "exog"]).agg(F.sum("mean_importance"))
-    top = per.orderBy(F.desc("mean_importance"), "feature").limit(k)
+    top = per if k is None else per.orderBy(F.desc("mean_importance"), "feature").limit(k)
     return top.withColumns({"lag_share": share.select("lag").scalar(), "exog_share": share.select("exog").scalar()})
 
 
 def forecast_flat(model: PipelineModel, sup: DataFrame, items: DataFrame, horizon: int, as_of: dt.date) -> DataFrame:
     """Score each item's last feature row once and repeat it for ``horizon`` days
     (clipped at 0); items without history get zeros."""
-    w_last = Window.partitionBy("item_id").orderBy(F.desc("ds"))
-    last = sup.withColumn("_r", F.row_number().over(w_last)).where(F.col("_r") == 1).drop("_r")
-    scored = predict(model, last).select("item_id", F.greatest(F.col("prediction") * F.col("sd") + F.col("mu"),
-                                                               F.lit(0.0)).alias("yhat"))
+    last = sup.groupBy("item_id").agg(F.max_by(F.struct(*[c for c in sup.columns if c != "item_id"]), "ds").alias("r")).select("item_id", "r.*")
+    scored = model.transform(last).select("item_id", F.greatest(F.col(FITTED) * F.col("sd") + F.col("mu"),
+                                                                F.lit(0.0)).alias("yhat"))
     out = items.join(scored, "item_id", "left").withColumn("yhat", F.coalesce("yhat", F.lit(0.0)))
     out = out.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     return out.select("item_id", "h", F.date_add(F.lit(as_of), F.col("h")).alias("ds"), "yhat")
@@ -199,46 +196,47 @@ def lagged_features(dense: DataFrame) -> tuple[DataFrame, list[str]]:
     return out, names
 
 
-def _feature_stages(names: list[str]) -> list:
-    idx = StringIndexer(inputCol="item_key", outputCol="item_code_nominal", handleInvalid="keep")
-    ordinal = SQLTransformer(statement="SELECT *, item_code_nominal + 0.0 AS item_code FROM __THIS__")
-    vec = VectorAssembler(inputCols=names + ["item_code"], outputCol="features", handleInvalid="keep")
-    return [idx, ordinal, vec]
+def vectors(feats: DataFrame, names: list[str], *keep: str) -> DataFrame:
+    """(item_id, ds, qty, *keep, features), written once to shared storage: every fit and
+    every scoring reads it."""
+    vec = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
+    return cut_lineage(vec.transform(feats).select("item_id", "ds", "qty", *keep, "features"))
 
 
-def fit_gbt_on(train: DataFrame, names: list[str], p, label: str = "qty", weight: str | None = None,
-               classifier: bool = False) -> PipelineModel:
+def fit_gbt_on(train: DataFrame, p, label: str = "qty", weight: str | None = None, classifier: bool = False):
     cls = GBTClassifier if classifier else GBTRegressor
-    est = cls(featuresCol="features", labelCol=label, maxIter=p.gbt_trees, maxDepth=p.gbt_depth,
+    est = cls(featuresCol="features", labelCol=label, predictionCol=FITTED, maxIter=p.gbt_trees, maxDepth=p.gbt_depth,
               stepSize=p.gbt_lr, seed=p.seed)
     if weight:
         est.setWeightCol(weight)
-    return Pipeline(stages=_feature_stages(names) + [est]).fit(with_key(train))
+    return est.fit(train)
 
 
-def fit_tweedie_on(train: DataFrame, names: list[str], power: float, label: str = "qty") -> PipelineModel:
+def fit_tweedie_on(train: DataFrame, power: float, label: str = "qty", weight: str | None = None):
     glm = GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, labelCol=label,
-                                      featuresCol="features", maxIter=50, regParam=1e-3)
-    return Pipeline(stages=_feature_stages(names) + [glm]).fit(with_key(train))
+                                      featuresCol="features", predictionCol=FITTED, maxIter=50, regParam=1e-3)
+    if weight:
+        glm.setWeightCol(weight)
+    return glm.fit(train)
 
 
-def fit_two_stage_on(train: DataFrame, names: list[str], p) -> tuple[PipelineModel, PipelineModel]:
+def fit_two_stage_on(train: DataFrame, p, weight: str | None = None) -> tuple:
     lab = train.withColumn("has_demand", (F.col("qty") > 0).cast("double"))
-    clf = fit_gbt_on(lab, names, p, label="has_demand", classifier=True)
-    reg = fit_gbt_on(lab.where(F.col("qty") > 0), names, p, label="qty")
+    clf = fit_gbt_on(lab, p, label="has_demand", classifier=True)
+    reg = fit_gbt_on(lab.where(F.col("qty") > 0), p, label="qty", weight=weight)
     return clf, reg
 
 
 def score(model, df: DataFrame) -> DataFrame:
     """yhat (>= 0) from a regressor, a GLM or a (classifier, regressor) pair."""
+    keep = [c for c in df.columns if c != "features"]
     if isinstance(model, tuple):
         clf, reg = model
-        a = clf.transform(with_key(df)).select(*df.columns, vector_to_array("probability")[1].alias("p_demand"))
-        b = reg.transform(with_key(a)).withColumnRenamed("prediction", "qty_if_demand")
-        return b.select(*df.columns, "p_demand", "qty_if_demand",
+        a = clf.transform(df).select(*df.columns, vector_to_array("probability")[1].alias("p_demand"))
+        b = reg.transform(a).withColumnRenamed(FITTED, "qty_if_demand")
+        return b.select(*keep, "p_demand", "qty_if_demand",
                         F.greatest(F.col("p_demand") * F.col("qty_if_demand"), F.lit(0.0)).alias("yhat"))
-    out = model.transform(with_key(df))
-    return out.select(*df.columns, F.greatest(F.col("prediction"), F.lit(0.0)).alias("yhat"))
+    return model.transform(df).select(*keep, F.greatest(F.col(FITTED), F.lit(0.0)).alias("yhat"))
 
 
 def split_80_20(feats: DataFrame) -> DataFrame:
@@ -250,144 +248,190 @@ def split_80_20(feats: DataFrame) -> DataFrame:
 ROUTES = (("tweedie_1.3", 1.3), ("tweedie_1.7", 1.7), ("two_stage", None))
 
 
-def train_all(dense: DataFrame, p, stock_codes: DataFrame | None = None) -> tuple[DataFrame, dict]:
+@dataclass
+class Routed:
+    """Fitted models by route (a classifier and a regressor for the two-stage route) and the
+    names of their features."""
+    names: list[str]
+    models: dict
+
+    def parts(self):
+        for route, m in self.models.items():
+            yield from ((route, k, x) for k, x in (zip(("classifier", "regressor"), m) if isinstance(m, tuple) else (("model", m),)))
+
+    def save(self, spark, path: str) -> str:
+        for route, part, model in self.parts():
+            model.write().save(f"{path}/{route}/{part}")
+        spark.createDataFrame([(self.names, sorted(self.models))], "names array<string>, routes array<string>").coalesce(1).write.json(f"{path}/contents")
+        return path
+
+    @classmethod
+    def load(cls, spark, path: str) -> "Routed":
+        row = spark.read.schema("names array<string>, routes array<string>").json(f"{path}/contents").first()
+        models = {}
+        for route in row["routes"]:
+            if route == "two_stage":
+                models[route] = (GBTClassificationModel.load(f"{path}/{route}/classifier"), GBTRegressionModel.load(f"{path}/{route}/regressor"))
+            else:
+                models[route] = GeneralizedLinearRegressionModel.load(f"{path}/{route}/model")
+        return cls(row["names"], models)
+
+
+def routed_vectors(daily: DataFrame, p, lead: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """Feature vectors, split and route of every part with enough observed days and enough
+    dense rows.  ``lead`` (item_id and numeric columns) adds lead-time features."""
+    from partcast.operators.classify import model_route, zero_percentage
+    from partcast.operators.reshape import densify_own_span
+
+    routes = model_route(zero_percentage(daily)).select("item_id", "model_route", "tweedie_power")
+    eligible = _extent(daily).where((F.col("points") >= p.train_points) & (F.col("n") >= p.min_train)).select("item_id")
+    feats, names = lagged_features(densify_own_span(daily.join(eligible, "item_id", "left_semi")))
+    feats = feats.join(ordinals(feats, "item_id").withColumnRenamed("code", "item_code"), "item_id")
+    names = names + ["item_code"]
+    if lead is not None:
+        extra = [f.name for f in lead.schema.fields if f.name != "item_id"]
+        lead = lead.select("item_id", *[F.col(c).cast("double").alias(f"lt_{c}") for c in extra])
+        feats = feats.join(lead, "item_id", "left").fillna(0.0, [f"lt_{c}" for c in extra])
+        names = names + [f"lt_{c}" for c in extra]
+    data = split_80_20(feats).join(routes, "item_id")
+    return vectors(data, names, "split", "model_route", "tweedie_power"), names
+
+
+def _extent(daily: DataFrame) -> DataFrame:
+    """points (days observed) and n (days from the first to the last) of each part."""
+    return daily.where(F.col("item_id").isNotNull() & F.col("ds").isNotNull()).groupBy("item_id").agg(
+        F.countDistinct("ds").alias("points"), (F.datediff(F.max("ds"), F.min("ds")) + 1).cast("bigint").alias("n"))
+
+
+def _fit_route(train: DataFrame, p, power: float | None, penalty: float):
+    """One route's model; with a penalty above 1 it is fitted again with that weight on the
+    rows that the first fit under-forecasts."""
+    def fit(rows, weight=None):
+        return fit_two_stage_on(rows, p, weight) if power is None else fit_tweedie_on(rows, power, weight=weight)
+
+    model = fit(train)
+    if penalty > 1.0:
+        w = F.when(F.col("qty") > F.col("yhat"), F.lit(penalty)).otherwise(F.lit(1.0)).alias("w")
+        scored = score(model, train.withColumn("_f", F.col("features")))
+        model = fit(cut_lineage(scored.select("item_id", "ds", "qty", F.col("_f").alias("features"), w)), "w")
+    return model
+
+
+def train_all(daily: DataFrame, p, stock_codes: DataFrame | None = None, lead: DataFrame | None = None,
+              penalty: float = 1.0) -> tuple[DataFrame, Routed]:
     """Train every eligible part in one job per model route (Tweedie 1.3 below
     50% zero days, Tweedie 1.7 below 80%, two-stage above) and score the last
-    20% of each part.  Per-part status rows: success / insufficient_data;
-    a route whose fit fails marks its parts ``error`` (failures are rows).
+    20% of each part.  ``daily`` holds the observed days; a part needs
+    ``p.train_points`` of them (else insufficient_data) and ``p.min_train`` days
+    from first to last (else insufficient_valid_data).  A route without a row to
+    learn from, or without positive demand where it is asked for, marks its parts
+    ``error`` and says why; any other failure is raised.
 
     Returns (results, fitted models by route)."""
     from partcast.operators.classify import model_route, zero_percentage
 
-    n = dense.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    routes = model_route(zero_percentage(dense))
-    eligible = n.where(F.col("n") >= p.min_train).select("item_id")
-    feats, names = lagged_features(dense.join(eligible, "item_id", "left_semi"))
-    data = split_80_20(feats).join(routes.select("item_id", "model_route"), "item_id")
-    scored, models, errors = None, {}, []
+    data, names = routed_vectors(daily, p, lead)
+    learn = {r["model_route"]: r for r in data.where(F.col("split") == "train").groupBy("model_route").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("qty") > 0).cast("int")).alias("positive"),
+        F.sum((F.col("qty") == 0).cast("int")).alias("zero")).collect()}      # three routes at most
+    models, errors, scored = {}, {}, None
     for route, power in ROUTES:
-        part = data.where(F.col("model_route") == route)
-        if part.isEmpty():      # bounded: one cheap check per route (three routes)
+        if route not in learn:
             continue
-        train = part.where(F.col("split") == "train")
-        try:
-            model = fit_two_stage_on(train, names, p) if power is None else fit_tweedie_on(train, names, power)
-        except Exception as exc:  # noqa: BLE001 -- the route's parts become error rows
-            errors.append((route, str(exc)[:200]))
+        if not learn[route]["positive"]:
+            errors[route] = "no positive demand to learn from"
             continue
-        models[route] = model
-        s = score(model, part.where(F.col("split") == "validation").select("item_id", "ds", "qty", *names))
-        s = s.select("item_id", "ds", "qty", "yhat")
+        if power is None and not learn[route]["zero"]:
+            errors[route] = "no day without demand to learn from"
+            continue
+        part = data.where(F.col("model_route") == route)
+        models[route] = _fit_route(part.where(F.col("split") == "train"), p, power, penalty)
+        s = score(models[route], part.where(F.col("split") == "validation")).select("item_id", "qty", "yhat")
         scored = s if scored is None else scored.unionByName(s)
-    val = (scored.groupBy("item_id").agg(F.avg(F.abs(F.col("qty") - F.col("yhat"))).alias("mae"),
-                                         F.count(F.lit(1)).alias("val_samples"))
-           if scored is not None else None)
-    base = n.join(routes, "item_id")
-    if val is not None:
-        base = base.join(val, "item_id", "left")
+    base = _extent(daily).join(model_route(zero_percentage(daily)).select("item_id", "zero_pct", "model_route"), "item_id")
+    if scored is not None:
+        base = base.join(scored.groupBy("item_id").agg(F.avg(F.abs(F.col("qty") - F.col("yhat"))).alias("mae"),
+                                                       F.count(F.lit(1)).alias("val_samples")), "item_id", "left")
     else:
         base = base.withColumns({"mae": F.lit(None).cast("double"), "val_samples": F.lit(None).cast("bigint")})
-    ok = F.col("n") >= p.min_train
-    err_routes = [r for r, _ in errors]
-    status = (F.when(~ok, "insufficient_data")
-              .when(F.col("model_route").isin(*err_routes) if err_routes else F.lit(False), "error")
-              .otherwise("success"))
-    out = base.select(
-        F.col("item_id").alias("part_id"), status.alias("status"), "zero_pct", "model_route",
+    why = F.lit(None).cast("string")
+    for route, text in errors.items():
+        why = F.when(F.col("model_route") == route, F.lit(text)).otherwise(why)
+    few, short = F.col("points") < p.train_points, F.col("n") < p.min_train
+    status = (F.when(few, "insufficient_data").when(short, "insufficient_valid_data")
+              .when(why.isNotNull(), "error").otherwise("success"))
+    ok = F.col("status") == "success"
+    out = base.withColumn("status", status).select(
+        F.col("item_id").alias("part_id"), "status", "zero_pct", "model_route",
         F.when(ok, F.col("mae")).alias("mae"),
         F.when(ok, F.floor(F.col("n") * 0.8)).cast("bigint").alias("train_samples"),
         F.when(ok, F.col("val_samples")).cast("bigint").alias("val_samples"),
-        F.when(~ok, F.concat(F.lit("Only "), F.col("n").cast("string"), F.lit(" data points")))
-        .alias("error"))
+        F.when(few, F.concat(F.lit("Only "), F.col("points").cast("string"), F.lit(" data points")))
+        .when(short, F.concat(F.lit("Only "), F.col("n").cast("string"), F.lit(" valid samples")))
+        .otherwise(why).alias("error"))
     if stock_codes is not None:
         out = out.join(stock_codes.select(F.col("item_id").alias("part_id"), F.col("stk_code").alias("stock_code")),
                        "part_id", "left")
-    return out, models
-
-
-def importances_of(models: dict, spark) -> DataFrame:
-    """(model, feature, importance, kind) for every tree model in ``models``
-    (a two-stage entry contributes both of its trees).  Feature names come from
-    each fitted pipeline's own VectorAssembler, so they cannot drift from the
-    importance vector."""
-    rows = []
-    for name, m in models.items():
-        parts = {f"{name}_classifier": m[0], f"{name}_regressor": m[1]} if isinstance(m, tuple) else {name: m}
-        for pname, pm in parts.items():
-            est = pm.stages[-1]
-            if not hasattr(est, "featureImportances"):
-                continue
-            cols = next(st.getInputCols() for st in pm.stages if isinstance(st, VectorAssembler))
-            imp = est.featureImportances.toArray().tolist()
-            rows += [(pname, f, float(v), "lag" if f.startswith(("lag_", "had_demand_lag_")) else "exog")
-                     for f, v in zip(cols, imp)]
+    return out, Routed(names, models)
+
+
+def importances_of(routed: Routed | None, global_model: PipelineModel | None, spark) -> DataFrame:
+    """(model, feature, importance, kind) of every tree model (a two-stage route has two)."""
+    found = []
+    if routed is not None:
+        found += [(f"{route}_{part}", routed.names, m) for route, part, m in routed.parts()]
+    if global_model is not None:
+        found.append(("global_gbt", global_model.stages[0].getInputCols(), global_model.stages[-1]))
+    rows = [(name, f, float(v), "lag" if f.startswith(("lag_", "had_demand_lag_")) else "exog")
+            for name, names, m in found if hasattr(m, "featureImportances")
+            for f, v in zip(names, m.featureImportances.toArray().tolist())]
     return spark.createDataFrame(rows, "model string, feature string, importance double, kind string")
 
 
 # -- asymmetric (stock-out penalised) least squares: exact for linear models ----------
 def fit_expectile_linear(train: DataFrame, features: str, label: str, penalty: float, max_iter: int = 20):
     """Minimise sum w_i (y_i - x_i b)^2 with w = penalty on under-forecasts, by
-    iteratively re-weighted least squares until the under/over split is stable
-    (the asymmetric-least-squares / expectile fixed point)."""
+    iteratively re-weighted least squares until no row changes sides (the
+    asymmetric-least-squares / expectile fixed point)."""
     from pyspark.ml.regression import LinearRegression
 
-    lr = LinearRegression(featuresCol=features, labelCol=label, weightCol="w", regParam=0.0)
+    lr = LinearRegression(featuresCol=features, labelCol=label, predictionCol=FITTED, weightCol="w", regParam=0.0)
     cur = train.withColumn("w", F.lit(1.0))
     model = lr.fit(cur)
     if penalty == 1.0:
         return model
-    prev = None
+    weight = F.when(F.col(label) > F.col(FITTED), F.lit(penalty)).otherwise(F.lit(1.0))
     for _ in range(max_iter):
-        pred = model.transform(cur)
-        under = pred.agg(F.sum(F.when(F.col(label) > F.col("prediction"), 1).otherwise(0))).first()[0]
-        if prev is not None and under == prev:
+        new = cut_lineage(model.transform(cur).select(*train.columns, F.col("w").alias("_before"), weight.alias("w")))
+        if not new.where(F.col("w") != F.col("_before")).count():
             break
-        prev = under
-        cur = pred.select(*[c for c in train.columns],
-                          F.when(F.col(label) > F.col("prediction"), F.lit(penalty)).otherwise(F.lit(1.0)).alias("w"))
+        cur = new.drop("_before")
         model = lr.fit(cur)
     return model
 
 
-_MODEL_CACHE: dict = {}
-
-
-def cached_model(key: tuple, fit):
-    """Fitted models reused within one driver process (the reference keeps a
-    model cache too); ``key`` must identify the data and every parameter."""
-    if key not in _MODEL_CACHE:
-        _MODEL_CACHE[key] = fit()
-    return _MODEL_CACHE[key]
-
-
-def tweedie_by_route(dense: DataFrame, p) -> DataFrame:
+def tweedie_by_route(daily: DataFrame, p) -> DataFrame:
     """Tweedie GLMs for the low-zero routes (power 1.3 below 50% zero days, 1.7
-    below 80%), 80/20 split per item; validation predictions with the power used."""
-    from partcast.operators.classify import model_route, zero_percentage
-
-    feats, names = lagged_features(dense)
-    routes = model_route(zero_percentage(dense)).select("item_id", "model_route", "tweedie_power")
-    data = split_80_20(feats).join(routes, "item_id")
+    below 80%), 80/20 split per item; validation rows with the power used."""
+    data, _ = routed_vectors(daily, p)
+    routes = {r[0] for r in data.select("model_route").distinct().collect()}      # three at most
     out = None
     for route, power in ROUTES:
-        if power is None:
+        if power is None or route not in routes:
             continue
         part = data.where(F.col("model_route") == route)
-        if part.isEmpty():
-            continue
-        model = fit_tweedie_on(part.where(F.col("split") == "train"), names, power)
-        s = score(model, part.where(F.col("split") == "validation").select("item_id", "ds", "qty", *names))
-        s = s.select("item_id", "ds", "qty", "yhat", F.lit(power).alias("tweedie_power"))
+        s = score(fit_tweedie_on(part.where(F.col("split") == "train"), power), part.where(F.col("split") == "validation"))
+        s = s.select("item_id", "ds", "qty", "yhat", "tweedie_power")
         out = s if out is None else out.unionByName(s)
     return out
 
 
 def one_step(model: PipelineModel, sup: DataFrame) -> DataFrame:
-    """One-step-ahead predictions on the test rows (lags from actual history),
+    """One-step-ahead forecasts on the test rows (lags from actual history),
     back on the original scale and clipped at 0."""
-    s = predict(model, sup.where(F.col("split") == "test"))
+    s = model.transform(sup.where(F.col("split") == "test"))
     return s.select("item_id", "ds", "qty",
-                    F.greatest(F.col("prediction") * F.col("sd") + F.col("mu"), F.lit(0.0)).alias("yhat"))
+                    F.greatest(F.col(FITTED) * F.col("sd") + F.col("mu"), F.lit(0.0)).alias("yhat"))
 
 
 def save_model(model: PipelineModel, path: str) -> str:

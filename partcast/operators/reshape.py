@@ -38,6 +38,15 @@ def demand_family(t: Tables, p: Params, families: int = 200) -> DataFrame:
             .agg(F.sum("qty").alias("qty")))
 
 
+def demand_total(t: Tables, p: Params) -> DataFrame:
+    """Sparse daily total demand per item: consumption plus sales."""
+    from partcast.operators.extract import sales_daily
+
+    sales = sales_daily(t, p).select("item_id", "ds", F.col("quantity").alias("qty"))
+    both = daily_consumption(t, p, window_start(p), p.as_of).select("item_id", "ds", "qty").unionByName(sales)
+    return both.where(F.col("item_id").isNotNull()).groupBy("item_id", "ds").agg(F.sum("qty").alias("qty"))
+
+
 def demand_events(t: Tables, p: Params, event_type: str | None = None) -> DataFrame:
     """Sparse daily event value per user in the trailing window."""
     from partcast.functions.cols import ts_between_days
@@ -53,6 +62,8 @@ def demand_events(t: Tables, p: Params, event_type: str | None = None) -> DataFr
 def demand_source(t: Tables, p: Params, name: str) -> DataFrame:
     if name == "parts":
         return demand_parts(t, p)
+    if name == "total":
+        return demand_total(t, p)
     if name == "family":
         return demand_family(t, p)
     if name == "events_all":

@@ -28,6 +28,8 @@ class Params:
     warning_days: int = 7
     min_points: int = 10          # distinct demand days for eligibility
     min_train: int = 30           # minimum training rows
+    train_points: int = 30        # observed days that training a part needs
+    single_days: int = 30         # demand days that a single-series model needs
     heavy_txn_lines: int = 8      # "heavy transaction" line limit
     void_scope: str = "both"      # "both" | "header"
     ses_alpha: float = 0.3
@@ -46,5 +48,5 @@ class Params:
 
 
 # The events-based demand sources cover 30 days ending 2024-01-30.
-EVENTS_PARAMS = Params(as_of=dt.date(2024, 1, 30), days_back=30, min_train=14,
+EVENTS_PARAMS = Params(as_of=dt.date(2024, 1, 30), days_back=30, min_train=14, train_points=3,
                        holidays=(dt.date(2024, 1, 1),))

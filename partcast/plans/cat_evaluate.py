@@ -159,15 +159,16 @@ def _model_performance_table(t):
 
 
 cte("train_results", f"""
-SELECT s.item_id AS part_id, CASE WHEN s.n >= {P.min_train} THEN 'success' ELSE 'insufficient_data' END AS status,
-       s.zero_pct, CASE WHEN s.n >= {P.min_train} THEN v.mae END AS mae
-FROM (SELECT item_id, max(n) AS n, avg(CASE WHEN qty = 0 THEN 1.0 ELSE 0.0 END) * 100 AS zero_pct
-      FROM parts_dense_pos GROUP BY item_id) s
+SELECT s.item_id AS part_id, CASE WHEN o.points < {P.train_points} THEN 'insufficient_data'
+            WHEN s.n < {P.min_train} THEN 'insufficient_valid_data' ELSE 'success' END AS status,
+       s.zero_pct, CASE WHEN o.points >= {P.train_points} AND s.n >= {P.min_train} THEN v.mae END AS mae
+FROM (SELECT item_id, count(DISTINCT ds) AS points FROM parts_daily GROUP BY item_id) o JOIN (SELECT item_id, max(n) AS n, avg(CASE WHEN qty = 0 THEN 1.0 ELSE 0.0 END) * 100 AS zero_pct
+      FROM parts_dense_pos GROUP BY item_id) s ON o.item_id = s.item_id
 LEFT JOIN (SELECT x.item_id, avg(abs(x.qty - c.yhat)) AS mae
            FROM parts_dense_pos x
            JOIN (SELECT item_id, avg(CASE WHEN rn >= floor(n * 0.8) - 7 AND rn < floor(n * 0.8) THEN qty END) AS yhat
                  FROM parts_dense_pos WHERE n >= {P.min_train} GROUP BY item_id) c ON x.item_id = c.item_id
-           WHERE x.rn >= floor(x.n * 0.8) GROUP BY x.item_id) v ON s.item_id = v.item_id""", "parts_dense_pos")
+           WHERE x.rn >= floor(x.n * 0.8) GROUP BY x.item_id) v ON s.item_id = v.item_id""", "parts_dense_pos", "parts_daily")
 
 
 @register("training_summary", sql("""
@@ -175,5 +176,4 @@ SELECT status, count(*) AS parts, avg(mae) AS mean_mae, median(mae) AS median_ma
        max(mae) AS max_mae, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () * 100 AS pct_of_parts
 FROM train_results GROUP BY status""", "train_results"))
 def _training_summary(t):
-    dense = R.dense_series(t, P, "parts", "own")
-    return E.training_summary(E.training_results_baseline(dense, P, "MA_7"))
+    return E.training_summary(E.training_results_baseline(R.demand_parts(t, P), P, "MA_7"))

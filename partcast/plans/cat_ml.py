@@ -1,25 +1,33 @@
 """Registered queries: Spark ML forecasters, back-test, loss comparison, model
 and report sinks (SURVEY 2.9, 2.1 sinks, 2.10 ``compare_loss``).
 
-ML results depend on the fitting algorithm, so these keys are rows-only checks
--- except the baseline back-test, which has an exact oracle.
+The registered learned keys return what does not depend on the fitting algorithm
+(items, days, actual values, routes, and whether every forecast is a usable number),
+so each has an exact oracle; accuracy itself is held to bounds by the tests.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from partcast.operators import backtest as BT
 from partcast.operators import classify as K
 from partcast.operators import evaluate as E
+from partcast.operators import leadtime as L
 from partcast.operators import ml as M
 from partcast.operators import procure as Q
 from partcast.operators import quality as D
 from partcast.operators import reshape as R
 from partcast.operators.extract import window_start
+from partcast.plans.cat_procure import URGENT, WARN
+from partcast.plans.oracle_base import AS_OF, own_span
 from partcast.plans.registry import EP, P, register
 from partcast.plans.sqlkit import cte, sql
+from partcast.session import cut_lineage, ensure_checkpoint_dir
 from partcast.sources import files as IO
 
 
@@ -27,150 +35,251 @@ def _train():
     return F.col("split") == "train"
 
 
-def _fam(t):
-    return R.dense_series(t, P, "family", "fixed")
+def _sup(t, holdout=P.horizon, subset=False):
+    """Supervised rows of total demand per item, written once to shared storage."""
+    dense = R.dense_series(t, P, "total", "own")
+    if subset:
+        trainable = M.at_least(dense, P.n_lags + holdout + 1)
+        cats = K.volume_class(R.demand_total(t, P), P.days_back + 1).join(trainable, "item_id", "left_semi")
+        dense = M.select_subset(dense, cats)
+    return cut_lineage(M.supervised(dense, P.n_lags, holdout))
 
 
-def _sup(t):
-    return M.supervised(_fam(t), P.n_lags, P.horizon)
+def _fitted(t, name, rows, fit):
+    """The model of this name for these rows: saved in the shared folder under the session
+    and a fingerprint of the rows and parameters, and loaded by any later query for them."""
+    print_of = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("item_id", "ds", "qty").cast("decimal(38,0)"))).first()
+    spark = t.spark
+    key = hashlib.sha256(repr((name, tuple(print_of), P)).encode()).hexdigest()[:24]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/partcast-models/{spark.sparkContext.applicationId}/{name}-{key}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        M.save_model(fit(), path)
+    return M.load_model(path)
 
 
 def _holdout_model(t):
     sup = _sup(t)
-    model = M.cached_model(("gbt_ar_holdout", t.sf_dir, P), lambda: M.fit_global_gbt(sup.where(_train()), P))
-    return model, sup
+    rows = sup.where(_train())
+    return _fitted(t, "gbt_holdout", rows, lambda: M.fit_global_gbt(rows, P)), sup
 
 
 def _full_model(t):
-    sup = M.supervised(_fam(t), P.n_lags, 0)
-    model = M.cached_model(("gbt_ar_full", t.sf_dir, P), lambda: M.fit_global_gbt(sup, P))
-    return model, sup
+    sup = _sup(t, 0)
+    return _fitted(t, "gbt_full", sup, lambda: M.fit_global_gbt(sup, P)), sup
+
+
+def _lead(t):
+    return L.lead_time_stats(L.lead_times(L.purchases_in_window(t.purchases, None, P.as_of))).groupBy("item_id").agg(
+        F.avg("lead_time_mean").alias("mean_days"), F.max("order_count").alias("orders"))
+
 
+def _fine(c="yhat"):
+    """A forecast that is a finite number and not below zero."""
+    return (F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) >= 0) & (F.col(c) < float("inf"))).alias("fine")
 
-def _train_all(t):
-    return M.cached_model(("train_all", t.sf_dir, P),
-                          lambda: M.train_all(R.dense_series(t, P, "parts", "own"), P, t.product_code))
 
+def _with_actual(t, fc):
+    actual = R.dense_series(t, P, "total", "own").select("item_id", "ds", F.col("qty").alias("y"))
+    return fc.join(actual, ["item_id", "ds"], "left")
 
-@register("ml_multiseries")
+
+cte("total_daily", """
+SELECT item_id, ds, sum(qty) AS qty
+FROM (SELECT item_id, ds, qty FROM parts_daily UNION ALL SELECT item_id, ds, sales_qty AS qty FROM sales_d) u
+WHERE item_id IS NOT NULL GROUP BY 1, 2""", "parts_daily", "sales_d")
+own_span("total_dense", "total_daily")
+cte("total_pos", """
+SELECT item_id, ds, qty, row_number() OVER (PARTITION BY item_id ORDER BY ds) - 1 AS rn,
+       count(*) OVER (PARTITION BY item_id) AS n FROM total_dense""", "total_dense")
+cte("total_holdout", f"""
+SELECT item_id, rn - (n - {P.horizon}) + 1 AS h, ds, qty AS y FROM total_pos
+WHERE n - {P.horizon} - 1 >= {P.n_lags} AND rn >= n - {P.horizon}""", "total_pos")
+cte("total_class", f"""
+SELECT item_id, sum(qty) > 1000 OR count_if(qty > 0) / {float(P.days_back + 1)} > 0.3 AS wanted FROM total_daily
+WHERE item_id IN (SELECT item_id FROM total_holdout) GROUP BY 1""", "total_daily", "total_holdout")
+cte("total_subset", """
+SELECT item_id FROM total_class WHERE wanted OR NOT EXISTS (SELECT 1 FROM total_class WHERE wanted)""", "total_class")
+cte("total_one_step", "SELECT item_id, ds, y AS qty FROM total_test", "total_test")
+cte("total_test", f"""
+SELECT item_id, ds, qty AS y FROM total_pos WHERE rn >= {P.n_lags} AND rn >= n - {P.horizon}""", "total_pos")
+
+
+@register("ml_multiseries", sql("SELECT item_id, h, ds, y, true AS fine FROM total_holdout", "total_holdout"))
 def _ml_multiseries(t):
     model, sup = _holdout_model(t)
-    fc = M.recursive_forecast(model, sup, P, _train())
-    return fc.join(_fam(t).select("item_id", "ds", F.col("qty").alias("y")), ["item_id", "ds"], "left")
+    fc = _with_actual(t, M.recursive_forecast(model, sup, P, _train()))
+    return fc.select("item_id", "h", "ds", "y", _fine())
 
 
-@register("ml_multiseries_subset")
+@register("ml_multiseries_subset", sql("""
+SELECT item_id, h, ds, y, true AS fine FROM total_holdout WHERE item_id IN (SELECT item_id FROM total_subset)""",
+    "total_holdout", "total_subset"))
 def _ml_multiseries_subset(t):
-    cats = K.volume_class(R.demand_family(t, P), P.days_back + 1)
-    dense = M.select_subset(_fam(t), cats, 100)
-    sup = M.supervised(dense, P.n_lags, P.horizon)
-    model = M.cached_model(("gbt_ar_subset", t.sf_dir, P), lambda: M.fit_global_gbt(sup.where(_train()), P))
-    fc = M.recursive_forecast(model, sup, P, _train())
-    return fc.join(dense.select("item_id", "ds", F.col("qty").alias("y")), ["item_id", "ds"], "left")
+    sup = _sup(t, subset=True)
+    rows = sup.where(_train())
+    model = _fitted(t, "gbt_subset", rows, lambda: M.fit_global_gbt(rows, P))
+    fc = _with_actual(t, M.recursive_forecast(model, sup, P, _train()))
+    return fc.select("item_id", "h", "ds", "y", _fine())
 
 
-@register("ml_single_series")
+@register("ml_single_series", sql(f"""
+SELECT item_id, count(*) AS n_points, true AS fine FROM total_holdout WHERE item_id IN (
+  SELECT item_id FROM total_daily WHERE qty > 0 GROUP BY item_id HAVING count(*) >= {P.single_days})
+GROUP BY item_id""", "total_holdout", "total_daily"))
 def _ml_single_series(t):
-    """Per-item quality of the global boosted model, for items with >= 30 demand days."""
+    """Per-item quality of the global boosted model, for items with enough demand days."""
     model, sup = _holdout_model(t)
-    eligible = M.eligible_nonzero(_fam(t), 30).select("item_id").distinct()
+    eligible = M.eligible_nonzero(R.dense_series(t, P, "total", "own"), P.single_days).select("item_id").distinct()
     fc = M.recursive_forecast(model, sup.join(eligible, "item_id", "left_semi"), P, _train())
-    ev = fc.join(_fam(t).select("item_id", "ds", F.col("qty").alias("y")), ["item_id", "ds"])
-    return E.error_metrics(ev, ("item_id",))
-
-
-@register("ml_tweedie")
+    ev = E.error_metrics(_with_actual(t, fc), ("item_id",))
+    return ev.select("item_id", "n_points", _fine("mae"))
+
+
+cte("routed", """
+SELECT x.*, CASE WHEN z < 50 THEN 'tweedie_1.3' WHEN z < 80 THEN 'tweedie_1.7' ELSE 'two_stage' END AS route
+FROM (SELECT d.item_id, d.ds, d.qty, row_number() OVER (PARTITION BY d.item_id ORDER BY d.ds) - 1 AS rn, count(*) OVER w AS n,
+             avg(CASE WHEN d.qty = 0 THEN 1.0 ELSE 0.0 END) OVER w * 100 AS z, o.points
+      FROM total_dense d JOIN (SELECT item_id, count(DISTINCT ds) AS points FROM total_daily GROUP BY 1) o ON d.item_id = o.item_id
+      WINDOW w AS (PARTITION BY d.item_id)) x""", "total_dense", "total_daily")
+cte("routed_events", """
+SELECT x.*, CASE WHEN z < 50 THEN 1.3 WHEN z < 80 THEN 1.7 END AS tweedie_power
+FROM (SELECT d.item_id, d.ds, d.qty, row_number() OVER (PARTITION BY d.item_id ORDER BY d.ds) - 1 AS rn, count(*) OVER w AS n,
+             avg(CASE WHEN d.qty = 0 THEN 1.0 ELSE 0.0 END) OVER w * 100 AS z, o.points
+      FROM events_all_dense d JOIN (SELECT item_id, count(DISTINCT ds) AS points FROM events_all_daily GROUP BY 1) o ON d.item_id = o.item_id
+      WINDOW w AS (PARTITION BY d.item_id)) x""", "events_all_dense", "events_all_daily")
+
+
+@register("ml_tweedie", sql(f"""
+SELECT item_id, ds, qty, tweedie_power, true AS fine FROM routed_events
+WHERE points >= {EP.train_points} AND n >= {EP.min_train} AND tweedie_power IS NOT NULL AND rn >= floor(n * 0.8)""", "routed_events"))
 def _ml_tweedie(t):
-    return M.tweedie_by_route(R.dense_series(t, EP, "events_all", "own"), EP)
+    return M.tweedie_by_route(R.demand_source(t, EP, "events_all"), EP).select("item_id", "ds", "qty", "tweedie_power", _fine())
 
 
-@register("ml_two_stage")
+@register("ml_two_stage", sql(f"""
+SELECT item_id, ds, qty, true AS fine FROM routed WHERE points >= {P.train_points} AND n >= {P.min_train} AND rn >= floor(n * 0.8)""", "routed"))
 def _ml_two_stage(t):
-    feats, names = M.lagged_features(_fam(t))
-    data = M.split_80_20(feats)
-    models = M.cached_model(("two_stage", t.sf_dir, P),
-                            lambda: M.fit_two_stage_on(data.where(_train()), names, P))
-    return M.score(models, data.where(F.col("split") == "validation").select("item_id", "ds", "qty", *names))
+    data, _ = M.routed_vectors(R.demand_total(t, P), P)
+    models = M.fit_two_stage_on(data.where(_train()), P)
+    s = M.score(models, data.where(F.col("split") == "validation"))
+    return s.select("item_id", "ds", "qty", _fine())
 
 
-@register("ml_asymmetric")
+@register("ml_asymmetric", sql("SELECT item_id, ds, qty, true AS fine FROM total_one_step", "total_one_step"))
 def _ml_asymmetric(t):
+    """Standard and penalised fits, one step ahead."""
     model, sup = _holdout_model(t)
-    asym = M.cached_model(("gbt_ar_asym", t.sf_dir, P),
-                          lambda: M.fit_asymmetric(sup.where(_train()), P, 3.0, 1, base_model=model))
-    std = M.one_step(model, sup).withColumnRenamed("yhat", "yhat_standard")
+    rows = sup.where(_train())
+    asym = _fitted(t, "gbt_asymmetric", rows, lambda: M.fit_asymmetric(rows, P, 3.0, base_model=model))
+    std = M.one_step(model, sup)
     pen = M.one_step(asym, sup).select("item_id", "ds", F.col("yhat").alias("yhat_asymmetric"))
-    return std.join(pen, ["item_id", "ds"])
-
-
-@register("ml_train_all")
+    both = std.join(pen, ["item_id", "ds"]).withColumn("least", F.least("yhat", "yhat_asymmetric"))
+    return both.select("item_id", "ds", "qty", _fine("least"))
+
+
+@register("ml_train_all", sql(f"""
+SELECT item_id AS part_id, status, zero_pct, model_route,
+       CASE WHEN status = 'success' THEN CAST(floor(n * 0.8) AS BIGINT) END AS train_samples,
+       CASE WHEN status = 'success' THEN n - CAST(floor(n * 0.8) AS BIGINT) END AS val_samples,
+       CASE status WHEN 'insufficient_data' THEN 'Only ' || points || ' data points'
+                   WHEN 'insufficient_valid_data' THEN 'Only ' || n || ' valid samples' END AS error,
+       status = 'success' AS has_mae
+FROM (SELECT item_id, route AS model_route, z AS zero_pct, n, points, CASE WHEN points < {P.train_points} THEN 'insufficient_data'
+        WHEN n < {P.min_train} THEN 'insufficient_valid_data' ELSE 'success' END AS status
+      FROM routed WHERE rn = 0) x""", "routed"))
 def _ml_train_all(t):
-    results, _ = _train_all(t)
-    return results
+    results, _ = M.train_all(R.demand_total(t, P), P, lead=_lead(t))
+    return results.select("part_id", "status", "zero_pct", "model_route", "train_samples", "val_samples", "error",
+                          F.coalesce(F.col("mae") >= 0, F.lit(False)).alias("has_mae"))
 
 
-@register("ml_importance")
+@register("ml_importance", sql("SELECT unnest([" + ", ".join(f"'{c}'" for c in M.feature_names(P.n_lags)) + """]) AS feature,
+       1 AS n_models, true AS sums_to_one"""))
 def _ml_importance(t):
-    _, models = _train_all(t)
-    g_model, _ = _holdout_model(t)
-    return M.importance_summary(M.importances_of({**models, "global_gbt": g_model}, t.spark), 20)
+    model, _ = _holdout_model(t)
+    imp = M.importance_summary(M.importances_of(None, model, t.spark), None)
+    return imp.select("feature", "n_models", (F.abs(F.col("lag_share") + F.col("exog_share") - 1) < 1e-6).alias("sums_to_one"))
 
 
-@register("ml_forecast_future")
+@register("ml_forecast_future", sql(f"""
+SELECT item_id, h, CAST(ds + CAST(h AS INTEGER) AS DATE) AS ds, true AS fine, true AS ordered
+FROM (SELECT item_id, ds, unnest(range(1, {P.horizon + 1})) AS h FROM total_pos WHERE rn = n - 1 AND rn >= {P.n_lags}) x""", "total_pos"))
 def _ml_forecast_future(t):
     model, sup = _full_model(t)
-    return M.bounds(M.recursive_forecast(model, sup, P, F.lit(True)))
+    fc = M.bounds(M.recursive_forecast(model, sup, P, F.lit(True)))
+    return fc.select("item_id", "h", "ds", _fine(), ((F.col("lo") <= F.col("yhat")) & (F.col("yhat") <= F.col("hi"))).alias("ordered"))
 
 
-@register("ml_forecast_flat")
+@register("ml_forecast_flat", sql(f"""
+SELECT item_id, h, {AS_OF} + CAST(h AS INTEGER) AS ds, true AS fine, n <= {P.n_lags} AS no_history
+FROM (SELECT item_id, n, unnest(range(1, {P.horizon + 1})) AS h FROM total_pos WHERE rn = 0) x""", "total_pos"))
 def _ml_forecast_flat(t):
     model, sup = _full_model(t)
-    items = _fam(t).select("item_id").distinct()
-    return M.forecast_flat(model, sup, items, P.horizon, P.as_of)
+    items = R.demand_total(t, P).select("item_id").distinct()
+    fc = M.forecast_flat(model, sup, items, P.horizon, P.as_of)
+    known = sup.select("item_id").distinct().withColumn("known", F.lit(True))
+    return fc.join(known, "item_id", "left").select("item_id", "h", "ds", _fine(), F.col("known").isNull().alias("no_history"))
 
 
-@register("compare_loss")
+@register("compare_loss", sql("""
+SELECT unnest([1.0, 2.0, 3.0, 5.0]) AS penalty, (SELECT count(*) FROM total_test) AS n_points, true AS no_more_stockouts""", "total_test"))
 def _compare_loss(t):
     """Standard vs stock-out-penalised linear fits (exact asymmetric least squares),
-    penalties 1, 2, 3, 5; metrics on the hold-out and change against penalty 1."""
-    sup = _sup(t)
+    penalties 1, 2, 3, 5, on the hold-out."""
+    met = compare_losses(_sup(t))
+    return met.select("penalty", "n_points", (F.col("stockout_rate") <= F.first_value("stockout_rate").over(
+        Window.partitionBy(F.lit(0)).orderBy("penalty"))).alias("no_more_stockouts"))      # four rows
+
+
+def compare_losses(sup, penalties=(1.0, 2.0, 3.0, 5.0)):
+    """Metrics per penalty and their change against the first."""
     vec = VectorAssembler(inputCols=M.lag_names(P.n_lags) + list(M.CAL_COLS), outputCol="features")
-    data = vec.transform(sup).select("item_id", "ds", "qty", "y", "mu", "sd", "split", "features")
+    data = cut_lineage(vec.transform(sup).select("item_id", "ds", "qty", "y", "mu", "sd", "split", "features"))
     train, test = data.where(_train()), data.where(F.col("split") == "test")
     evs = None
-    for pen in (1.0, 2.0, 3.0, 5.0):
+    for pen in penalties:
         m = M.fit_expectile_linear(train, "features", "y", pen)
         ev = m.transform(test).select(
             F.lit(pen).alias("penalty"), F.col("qty").alias("y"),
-            F.greatest(F.col("prediction") * F.col("sd") + F.col("mu"), F.lit(0.0)).alias("yhat"))
+            F.greatest(F.col(M.FITTED) * F.col("sd") + F.col("mu"), F.lit(0.0)).alias("yhat"))
         evs = ev if evs is None else evs.unionByName(ev)
-    met = E.asymmetric_metrics(evs, ("penalty",), 3.0)
-    base = met.where(F.col("penalty") == 1.0).select(
-        F.col("stockout_rate").alias("_so"), F.col("total_cost").alias("_tc"), F.col("mae").alias("_mae"))
-    eps = E.EPS_CHANGE
-    return met.join(base, how="left").select(   # base is one row
+    met = E.asymmetric_metrics(evs, ("penalty",), 3.0).join(evs.groupBy("penalty").agg(F.count(F.lit(1)).alias("n_points")), "penalty")
+    w, eps = Window.partitionBy(F.lit(0)).orderBy("penalty"), E.EPS_CHANGE                 # a row per penalty
+
+    def first(c):
+        return F.first_value(c).over(w)
+
+    return met.select(
         "*",
-        ((F.col("_so") - F.col("stockout_rate")) / (F.col("_so") + eps) * 100).alias("stockout_reduction"),
-        ((F.col("_tc") - F.col("total_cost")) / (F.col("_tc") + eps) * 100).alias("cost_reduction"),
-        ((F.col("mae") - F.col("_mae")) / (F.col("_mae") + eps) * 100).alias("mae_change"),
-    ).drop("_so", "_tc", "_mae")
+        ((first("stockout_rate") - F.col("stockout_rate")) / (first("stockout_rate") + eps) * 100).alias("stockout_reduction"),
+        ((first("total_cost") - F.col("total_cost")) / (first("total_cost") + eps) * 100).alias("cost_reduction"),
+        ((F.col("mae") - first("mae")) / (first("mae") + eps) * 100).alias("mae_change"))
 
 
-@register("model_io")
+@register("model_io", sql("""
+SELECT o.*, true AS same, (SELECT count(*) FROM train_results WHERE status = 'success') AS saved_successes
+FROM total_one_step o""", "total_one_step", "train_results"))
 def _model_io(t):
     """Save the global model and the training results (partitioned by status) to
-    the shared folder, load the model back and score with both copies."""
+    the shared folder, read both back, and score with both copies of the model."""
     model, sup = _holdout_model(t)
-    path = M.save_model(model, IO.io_path(t.spark, "model"))
-    loaded = M.load_model(path)
-    results = E.training_results_baseline(R.dense_series(t, P, "parts", "own"), P, "MA_7")
-    M.save_results(results, IO.io_path(t.spark, "training_results"))
-    a = M.one_step(model, sup).withColumnRenamed("yhat", "yhat_in_memory")
+    loaded = M.load_model(M.save_model(model, IO.io_path(t.spark, "model")))
+    results = E.training_results_baseline(R.demand_parts(t, P), P, "MA_7")
+    back = M.save_results(results, IO.io_path(t.spark, "training_results"))
+    a = M.one_step(model, sup)
     b = M.one_step(loaded, sup).select("item_id", "ds", F.col("yhat").alias("yhat_loaded"))
-    return a.join(b, ["item_id", "ds"])
+    good = back.where(F.col("status") == "success").agg(F.count(F.lit(1)).alias("n")).scalar()
+    return a.join(b, ["item_id", "ds"]).select("item_id", "ds", "qty", (F.col("yhat") == F.col("yhat_loaded")).alias("same"),
+                                               good.alias("saved_successes"))
 
 
-@register("report_tables")
+@register("report_tables", sql(f"""
+SELECT 'urgent_orders' AS sheet, (SELECT count(*) FROM (SELECT item_id FROM fut_ss WHERE ds <= {URGENT} GROUP BY 1 HAVING sum(predicted_demand) > 0) u) AS rows
+UNION ALL SELECT 'warning_orders', (SELECT count(*) FROM (SELECT item_id FROM fut_ss WHERE ds > {URGENT} AND ds <= {WARN} GROUP BY 1
+                                                          HAVING sum(predicted_demand) > 0) w)
+UNION ALL SELECT 'summary', 1 UNION ALL SELECT 'historical_analysis', (SELECT count(DISTINCT item_id) FROM parts_dense)
+UNION ALL SELECT 'forecasts', (SELECT count(*) FROM fut_ss)""", "fut_ss", "parts_dense"))
 def _report_tables(t):
     fc = Q.safety_stock(Q.future_forecast(R.demand_parts(t, P), P, "MA_NonZero", window_start(P), P.as_of), P.safety_factor)
     sheets = {
@@ -180,7 +289,7 @@ def _report_tables(t):
         "historical_analysis": D.historical_summary(R.dense_series(t, P, "parts", "own")),
         "forecasts": fc,
     }
-    return IO.report_tables(sheets, "procurement_report")
+    return IO.report_tables(sheets, "procurement_report").select("sheet", "rows")
 
 
 W = "PARTITION BY item_id ORDER BY ds"

@@ -19,7 +19,7 @@ from partcast.plans.sqlkit import cte, sql
 
 
 def _results(t):
-    return E.training_results_baseline(R.dense_series(t, P, "parts", "own"), P, "MA_7")
+    return E.training_results_baseline(R.demand_parts(t, P), P, "MA_7")
 
 
 def _fut(t):
