@@ -110,27 +110,28 @@ def aggregate_demand(t: Tables, p: Params) -> DataFrame:
     """Item universe = sales + consumption + purchase items; dates = span of sales
     and consumption days; left-join the daily sums; total = sales + consumption.
 
-    The span is a scalar subquery; every item explodes its own copy of the
-    span (bounded by days_back + 1 rows), which replaces the pandas cross
-    product without a cartesian join.  Purchase quantities are not summed.
+    The three sources are united and summed once (written to shared storage); the
+    span, the items and the values all come from those sums.  Every item gets a
+    first row at the start of the span and each row fills the days up to the
+    next one.  Purchase quantities are not summed.
     """
     from partcast.operators.extract import purchase_lines, sales_daily
-
-    sales = (sales_daily(t, p).groupBy("item_id", "ds")
-             .agg(F.sum("quantity").alias("sales_qty")))
-    cons = daily_consumption(t, p, window_start(p), p.as_of).withColumnRenamed("qty", "consumption_qty")
-    purch_items = purchase_lines(t, p).select("item_id")
-    items = (sales.select("item_id").union(cons.select("item_id")).union(purch_items)
-             .where(F.col("item_id").isNotNull()).distinct())
-    days = sales.select("ds").union(cons.select("ds"))
-    lo = days.agg(F.min("ds")).scalar()
-    hi = days.agg(F.max("ds")).scalar()
-    grid = items.select("item_id", F.explode(F.sequence(lo, hi)).alias("ds"))
-    out = (grid.join(sales, ["item_id", "ds"], "left")
-           .join(cons, ["item_id", "ds"], "left")
-           .select("ds", "item_id",
-                   F.coalesce("sales_qty", F.lit(0.0)).alias("sales_qty"),
-                   F.coalesce("consumption_qty", F.lit(0.0)).alias("consumption_qty")))
+    from partcast.session import cut_lineage
+
+    none = F.lit(0.0)
+    sales = sales_daily(t, p).select("item_id", "ds", F.col("quantity").alias("sales_qty"), none.alias("consumption_qty"))
+    cons = daily_consumption(t, p, window_start(p), p.as_of).select("item_id", "ds", none.alias("sales_qty"), F.col("qty").alias("consumption_qty"))
+    bought = purchase_lines(t, p).select("item_id", F.lit(None).cast("date").alias("ds"), none.alias("sales_qty"), none.alias("consumption_qty"))
+    sums = [F.sum(c).alias(c) for c in ("sales_qty", "consumption_qty")]
+    daily = cut_lineage(sales.unionByName(cons).unionByName(bought).where(F.col("item_id").isNotNull())
+                        .groupBy("item_id", "ds").agg(*sums))
+    lo, hi = (daily.agg(f("ds")).scalar() for f in (F.min, F.max))
+    anchors = daily.select("item_id").distinct().select("item_id", lo.alias("ds"), none.alias("sales_qty"), none.alias("consumption_qty"))
+    rows = daily.where(F.col("ds").isNotNull()).unionByName(anchors).groupBy("item_id", "ds").agg(*sums)
+    until = F.coalesce(F.date_sub(F.lead("ds").over(by_item()), 1), hi)
+    days = rows.withColumn("until", until).withColumn("d", F.explode(F.sequence("ds", "until")))
+    out = days.select(F.col("d").alias("ds"), "item_id",
+                      *[F.when(F.col("d") == F.col("ds"), F.col(c)).otherwise(none).alias(c) for c in ("sales_qty", "consumption_qty")])
     return out.withColumn("total_demand", F.col("sales_qty") + F.col("consumption_qty"))
 
 

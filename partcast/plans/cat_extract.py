@@ -102,6 +102,12 @@ def _product_lookup(t):
     return X.product_lookup(t, P)
 
 
+@register("stock_item_pairs", sql("""
+SELECT item_id, stk_id, count(*) AS line_count, sum(qty) AS total_qty FROM win_lines GROUP BY item_id, stk_id""", "win_lines"))
+def _stock_item_pairs(t):
+    return X.stock_item_pairs(t, P)
+
+
 @register("stock_item_xref", sql("""
 SELECT stk_id, count(*) AS line_count, sum(qty) AS total_consumption,
        count(DISTINCT ds) AS days_with_consumption, count(DISTINCT item_id) AS unique_itemids

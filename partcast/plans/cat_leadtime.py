@@ -138,7 +138,7 @@ def _procurement_urgency(t):
                     "needs_immediate_order", "needs_urgent_order")
 
 
-@register("supplier_performance", sql("""
+cte("supplier_scores", """
 SELECT *, CASE WHEN performance_score IS NOT NULL THEN
             CAST(rank() OVER (PARTITION BY performance_score IS NOT NULL ORDER BY performance_score DESC) AS DOUBLE)
             + (count(*) OVER (PARTITION BY performance_score IS NOT NULL, performance_score) - 1) / 2.0
@@ -153,11 +153,28 @@ FROM (SELECT * EXCLUDE (raw), CASE WHEN raw IS NOT NULL THEN least(greatest(raw,
                    avg(CAST(delivery_delay AS DOUBLE)) AS avg_delay,
                    stddev_samp(CAST(delivery_delay AS DOUBLE)) AS delay_std,
                    avg(CAST(on_time AS DOUBLE)) AS on_time_rate, count(order_date) AS total_orders
-            FROM lt WHERE supplier_id IS NOT NULL GROUP BY supplier_id) s) r) p""", "lt"))
+            FROM lt WHERE supplier_id IS NOT NULL GROUP BY supplier_id) s) r) p""", "lt")
+
+
+@register("supplier_performance", sql("SELECT * FROM supplier_scores", "supplier_scores"))
 def _supplier_performance(t):
     return L.supplier_performance(_lt(t))
 
 
+@register("supplier_top", sql("""
+SELECT * FROM supplier_scores WHERE performance_score IS NOT NULL ORDER BY round(performance_score, 9) DESC, supplier_id LIMIT 5""",
+    "supplier_scores"))
+def _supplier_top(t):
+    return L.supplier_top(L.supplier_performance(_lt(t)))
+
+
+@register("lead_time_trending", sql(f"""
+SELECT item_id, lead_time_trend_180d, CASE WHEN lead_time_trend_180d > 0 THEN 'increasing' ELSE 'decreasing' END AS direction
+FROM ({_dyn_sql()}) d WHERE abs(lead_time_trend_180d) > 0.1""", "lt"))
+def _lead_time_trending(t):
+    return L.trending_items(L.lead_time_dynamic(_lt(t), P.as_of))
+
+
 @register("lead_time_top", sql("""
 SELECT * FROM lt_chosen_stats ORDER BY order_count DESC, item_id, supplier_id LIMIT 10""", "lt_chosen_stats"))
 def _lead_time_top(t):

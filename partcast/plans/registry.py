@@ -25,19 +25,16 @@ class Entry:
     name: str
     build: Callable[[Tables], DataFrame]
     sql: object | None
-    normalise: bool = True
 
 
 REGISTRY: dict[str, Entry] = {}
 
 
-def register(name: str, sql: str | None = None, normalise: bool = True):
-    """``normalise=False`` for oracle SQL whose output columns depend on the data
-    (a pivot); such SQL must present its values itself."""
+def register(name: str, sql: str | None = None):
     def deco(fn: Callable[[Tables], DataFrame]):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Entry(name, fn, sql, normalise)
+        REGISTRY[name] = Entry(name, fn, sql)
         return fn
     return deco
 
@@ -62,8 +59,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: make(e) for k, e in REGISTRY.items()}
 
 
-def oracle_sql() -> dict[str, str]:
-    from partcast.plans.sqlkit import normalise, render
+def oracle_sql(tables_dir: str) -> dict[str, str]:
+    """Oracle SQL by key; ``tables_dir`` holds tables whose column types it is described with."""
+    from partcast.plans.sqlkit import normalise
 
     _load_all()
-    return {k: (normalise(e.sql) if e.normalise else render(e.sql)) for k, e in REGISTRY.items() if e.sql}
+    return {k: normalise(e.sql, tables_dir) for k, e in REGISTRY.items() if e.sql}

@@ -61,14 +61,13 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-@functools.lru_cache(maxsize=1)
-def _describe_con():
+@functools.lru_cache(maxsize=4)
+def _describe_con(tables_dir: str):
     import duckdb
 
     con = duckdb.connect()
-    d = os.environ.get("PARTCAST_DESCRIBE_DIR", "/root/testdata/sf0.001")
     for t in TABLES:
-        path = os.path.join(d, f"{t}.parquet")
+        path = os.path.join(tables_dir, f"{t}.parquet")
         if os.path.exists(path):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
     return con
@@ -92,15 +91,11 @@ def _wrap_col(name: str, typ: str) -> str:
     return q
 
 
-def normalise(query) -> str:
+def normalise(query, tables_dir: str) -> str:
     """Wrap ``query`` so doubles are rounded, dates are ISO strings and integers
     are BIGINT.  Column types come from DuckDB's DESCRIBE (binding only, no
-    execution) on the smallest fixture; on any failure the query is returned
-    unchanged."""
+    execution) on the tables in ``tables_dir``."""
     query = render(query)
-    try:
-        rows = _describe_con().execute(f"DESCRIBE ({query})").fetchall()
-    except Exception:
-        return query
+    rows = _describe_con(tables_dir).execute(f"DESCRIBE ({query})").fetchall()
     cols = ", ".join(_wrap_col(r[0], r[1]) for r in rows)
     return f"SELECT {cols} FROM (\n{query}\n) AS q"
