@@ -45,3 +45,10 @@ def test_lags_flags(spark):
     out = Fe.lags(series(spark, MIXED))
     assert column(out, "lag_1")[:3] == [None, 0.0, 0.0]
     assert column(out, "had_demand_lag_1") == [0, 0, 0, 1, 0, 0, 1, 1]
+
+
+def test_rolling_means_after_a_huge_value(spark):
+    values = [1e9] + [0.1 * (k % 7) for k in range(60)]
+    out = column(Fe.all_features(series(spark, values)), "rolling_mean_7")
+    want = [sum(values[max(0, k - 6):k + 1]) / (min(k, 6) + 1) for k in range(len(values))]
+    assert all(abs(a - b) < 1e-6 for a, b in zip(out[7:], want[7:]))
