@@ -27,7 +27,9 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
+    "op2_suffix_dedup": suffix_dedup.ORACLE,
     "op6_url_filters": urls.ORACLE,
+    "op7_minhash_near_dedup": near_duplicates.ORACLE,
     "op9_embedding_near_dedup": embeddings.ORACLE,
 }
 
