@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 MATCH = 50
 GRAM = 16                       # bytes of a hashed string; a power of two
-BUCKET_BYTES = 16_000_000       # text of a bucket
-RANGE_KEYS = 2_000_000          # keys of a key range, from all buckets
+BUCKET_BYTES = 8_000_000       # text of a bucket
+RANGE_KEYS = 1_000_000          # keys of a key range, from all buckets
 HOT = 4000                      # segments of a key beyond which it is split by windows
 CHUNK = 250_000                 # bytes hashed at a time
 
@@ -202,7 +202,7 @@ def make_plan(total_bytes: int, match: int = MATCH) -> Plan:
     ranges = max(1, -(-keys // RANGE_KEYS))
     step = -(-(2**63 - 1) // ranges)
     kept = min(62, keys.bit_length() + 8)          # one key in 200 or so seems shared by chance
-    return Plan(max(1, -(-total_bytes // BUCKET_BYTES)), ranges, step, 63 - kept, max(16, 32 * ranges), match)
+    return Plan(max(1, -(-total_bytes // BUCKET_BYTES)), ranges, step, 63 - kept, max(16, 16 * ranges), match)
 
 
 def short_keys(plan: Plan):
