@@ -43,6 +43,8 @@ HELD = 50
 #: Code words of a part at most; more directions take more parts.
 WORDS = 1024
 SEED = 97
+#: A cap's height at most; in few dimensions a higher one would hold nothing.
+REACH = 0.8
 
 
 def cap(vectors: int) -> tuple[float, int, int]:
@@ -73,7 +75,7 @@ def decode(vector: np.ndarray, height: float, words: int, parts: int, which: int
     dims = len(vector)
     rotation, codes = _code(dims, words, parts, which)
     x = rotation @ vector
-    reach, at, scores = height / math.sqrt(dims), 0, []
+    reach, at, scores = min(height / math.sqrt(dims), REACH), 0, []
     for c in codes:
         scores.append(c @ x[at:at + c.shape[1]])
         at += c.shape[1]

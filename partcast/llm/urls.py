@@ -27,6 +27,9 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 MAX_RULES = 500
 #: Standard deviations below the posterior mean, and the share of bad pages it must exceed.
 DEVIATIONS, THRESHOLD = 1.645, 0.5
+#: Highest intra-group correlation used: a prior counts as two pages at least, so that one
+#: labelled page never blocks a host.
+MOST_CORRELATED = 0.333
 SALTS = 16
 
 
@@ -76,7 +79,7 @@ def _strength(groups: DataFrame) -> DataFrame:
     spread = F.col("S2") - F.col("N") * mean * mean
     size = F.col("N") - F.col("N2") / F.col("N") - (F.col("k") - 1)
     r = F.when((within > 0) & (size > 0), (spread / within - (F.col("k") - 1)) / size)
-    return sums.select(mean.alias("mean"), (1 / F.least(F.greatest(F.coalesce(r, F.lit(0.001)), F.lit(0.001)), F.lit(0.999)) - 1).alias("strength"))
+    return sums.select(mean.alias("mean"), (1 / F.least(F.greatest(F.coalesce(r, F.lit(0.001)), F.lit(0.001)), F.lit(MOST_CORRELATED)) - 1).alias("strength"))
 
 
 def _level(groups: DataFrame, prior: Column) -> Column:
@@ -142,7 +145,7 @@ s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY 1),
 g AS (SELECT 'h' AS lv, n, bad FROM h WHERE n > 0 UNION ALL SELECT 'd', n, bad FROM d WHERE n > 0 UNION ALL SELECT 's', n, bad FROM s WHERE n > 0),
 m AS (SELECT lv, count(*) AS k, sum(n) AS nn, sum(bad) / sum(n) AS mean, sum(n * n) AS n2, sum(bad * bad / n) AS s2 FROM g GROUP BY lv),
 z AS (SELECT lv, mean, mean * (1 - mean) AS wi, s2 - nn * mean * mean AS sp, nn - n2 / nn - (k - 1) AS sz, k FROM m),
-f AS (SELECT lv, mean, 1 / least(greatest(coalesce(CASE WHEN wi > 0 AND sz > 0 THEN (sp / wi - (k - 1)) / sz END, 0.001), 0.001), 0.999) - 1 AS st FROM z),
+f AS (SELECT lv, mean, 1 / least(greatest(coalesce(CASE WHEN wi > 0 AND sz > 0 THEN (sp / wi - (k - 1)) / sz END, 0.001), 0.001), 0.333) - 1 AS st FROM z),
 sp AS (SELECT suffix, (coalesce((SELECT st FROM f WHERE lv = 's'), 999) * coalesce((SELECT mean FROM f WHERE lv = 's'), 0) + bad)
                       / (coalesce((SELECT st FROM f WHERE lv = 's'), 999) + n) AS prior FROM s),
 dp AS (SELECT domain, (coalesce((SELECT st FROM f WHERE lv = 'd'), 999) * prior + bad) / (coalesce((SELECT st FROM f WHERE lv = 'd'), 999) + n) AS prior

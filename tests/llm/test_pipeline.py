@@ -9,7 +9,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_stages_follow_each_other(spark):
     text = prose(1, 200)
-    rows = EDGE + [(k, prose(k, 200), "ab"[k % 2]) for k in range(10, 60)] + [(70, text), (71, text.upper()), (72, text + " one more"), (73, "mail me: x@y.example.com " + prose(9, 90))]
+    rows = EDGE + [(k, prose(k, 200), "ab"[k % 2]) for k in range(10, 60)] + [(70, text), (71, text.title()), (72, text + " one more"), (73, "mail me: x@y.example.com " + prose(9, 90))]
     docs, kept = documents(spark, rows), {}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "personal_data", "mix_sources", "best_fit_packing"]
     for name, stage in corpus_pipeline.STAGES:
