@@ -5,12 +5,12 @@
    (by a digest of all its shingles) are one class from here on, its least doc_id standing
    for it, so copies, however many, are one row.
 2. Classes that share a band meet in its group.  Every member is compared with the group's
-   least; of those pairs whose signatures agree enough, each class's best is confirmed on
-   the full sets, and components are formed.
-3. Groups that still hold several components have all their cross pairs compared by
-   signature (in blocks of bounded size), and what agrees is confirmed on full sets, so a
-   group of near copies isn't expanded into pairs, and no link between components is lost.
-   Components are formed again.
+   least by signature; those that agree enough are tied, and the components of these ties are
+   clusters.  The full sets of a cluster come together (in blocks of bounded size), where an
+   inverted list of their shingles gives every pair's exact similarity; what leaves the task
+   is each class's least linked class, not its pairs.
+3. Pairs of different clusters that share a band group are compared by signature, again in
+   blocks; the few that agree are confirmed on full sets.
 
 At a similarity of 0.75 a pair misses all bands with a chance of 5e-6, and the signature
 bound (0.58) with one of 3e-6.
@@ -40,6 +40,8 @@ SIMILARITY = 75           # percent
 BANDS, ROWS = 32, 4
 SIGNATURE_BOUND = 0.58
 CHUNK = 4096
+#: Shingles that count as much as a class in a block's size.
+WEIGHT = 1000
 
 _rng = np.random.RandomState(20240501)
 _A = (_rng.randint(0, 2**63, BANDS * ROWS, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -124,18 +126,17 @@ def _matrix(column) -> np.ndarray:
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """a, b, agreement of the pairs whose signatures agree enough."""
+    """Those of the pairs (a, b) whose signatures agree enough."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             if batch.num_rows:
-                e = estimate(_matrix(batch.column(2)), _matrix(batch.column(3)))
-                keep = pa.array(e >= SIGNATURE_BOUND)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(e)], names=["a", "b", "agreement"]).filter(keep)
+                agree = estimate(_matrix(batch.column(2)), _matrix(batch.column(3))) >= SIGNATURE_BOUND
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(agree))
 
     x, y = (reps.select(F.col("rep").alias(k), F.col("signature").alias(f"s{k}")) for k in ("a", "b"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, agreement double")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, reps: DataFrame) -> DataFrame:
@@ -174,29 +175,86 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, label: str) -
     return materialise(pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), f"{label}-links")
 
 
-def _cross_pairs(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components that share a group and whose signatures agree."""
+def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (one of ``left``, a later one of ``right``) that are similar enough, by an
+    inverted list of the shingles that two sets or more have."""
+    size = np.array([len(s) for s in sets])
+    shingle, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = times[where] > 1
+    where, owner = where[shared], owner[shared]
+    first = np.searchsorted(owner, np.arange(len(sets) + 1))
+    lists = owner[np.argsort(where, kind="stable")]
+    count = np.bincount(where, minlength=len(shingle))
+    begin = np.cumsum(count) - count
+    later, x, y = np.zeros(len(sets), dtype=bool), [], []
+    later[right] = True
+    both_sides = np.isin(left, right).any()
+    for k in left:
+        mine = where[first[k]:first[k + 1]]
+        n = count[mine]
+        at = np.repeat(begin[mine] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        common = np.bincount(lists[at], minlength=len(sets))
+        near = (100 * common >= SIMILARITY * (size[k] + size - common)) & later
+        near[:k + 1] &= not both_sides
+        near[k] = False
+        near = np.flatnonzero(near)
+        x.append(np.full(len(near), k))
+        y.append(near)
+    return np.concatenate(x), np.concatenate(y)
+
+
+def _ties(clusters: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: per class of a cluster and task, the least class of its component there."""
+    def run(key, group):
+        import pyarrow as pa
+
+        rep, block = group.column("rep").to_numpy(), group.column("block").to_numpy()
+        least = rep.copy()
+        left, right = sides(block, key[1].as_py(), key[2].as_py())
+        if len(left) and len(right):
+            x, y = linked([np.frombuffer(v.as_py(), dtype=np.uint64) for v in group.column("shingles")], left, right)
+            while True:
+                before = least.copy()
+                np.minimum.at(least, x, least[y])
+                np.minimum.at(least, y, least[x])
+                if np.array_equal(before, least):
+                    break
+        some = np.flatnonzero(least != rep)
+        return pa.table({"a": pa.array(least[some], pa.int64()), "b": pa.array(rep[some], pa.int64())})
+
+    named = clusters.join(reps.select("rep", "n_shingles"), "rep")
+    sizes = named.groupBy("cluster").agg(F.greatest(F.count("*"), F.sum("n_shingles") / WEIGHT).alias("n"))
+    tasks = split_groups(named.select("rep", "cluster"), "cluster", "rep", sizes).join(sets, "rep")
+    flat = tasks.select(F.col("task.key").alias("cluster"), F.col("task.i").alias("i"), F.col("task.j").alias("j"), "rep", "block", "shingles")
+    return flat.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _cross_pairs(members: DataFrame, reps: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different clusters that share a group and whose signatures agree."""
     def run(key, group):
         import pyarrow as pa
 
         i, j = key[1].as_py(), key[2].as_py()
-        rep, comp, block = (group.column(c).to_numpy() for c in ("rep", "component", "block"))
+        rep, cluster, block = (group.column(c).to_numpy() for c in ("rep", "cluster", "block"))
         sig = _matrix(group.column("signature"))
         left, right = sides(block, i, j)
-        a, b = [], []
+        a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
         for k in left:
-            other = right[(rep[right] > rep[k]) & (comp[right] != comp[k])] if i == j else right[comp[right] != comp[k]]
+            other = right[cluster[right] != cluster[k]]
+            if i == j:
+                other = other[rep[other] > rep[k]]
             near = other[estimate(sig[other], sig[k]) >= SIGNATURE_BOUND]
             a.append(np.full(len(near), rep[k]))
             b.append(rep[near])
-        x, y = (np.concatenate(v) if v else np.empty(0, dtype=np.int64) for v in (a, b))
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        x, y = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
-    named = members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = (named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+    named = members.join(clusters, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
+    open_keys = (named.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.count("*").alias("n"))
                  .where("lo <> hi").select("key", "n"))
     tasks = split_groups(named, "key", "rep", open_keys).join(reps.select("rep", "signature"), "rep")
-    flat = tasks.select(F.col("task.key").alias("key"), F.col("task.i").alias("i"), F.col("task.j").alias("j"), "rep", "component", "block", "signature")
+    flat = tasks.select(F.col("task.key").alias("key"), F.col("task.i").alias("i"), F.col("task.j").alias("j"), "rep", "cluster", "block", "signature")
     return flat.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -204,23 +262,23 @@ def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
     rows = materialise(signed(docs), "signed")
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = materialise(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"),
+    reps = materialise(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"),
+                                                  F.min_by("bands", "doc_id").alias("bands"),
                                                   F.min_by("signature", "doc_id").alias("signature")), "classes")
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last")
     members = materialise(keyed.join(shared, "key").select("key", "rep", "pivot"), "band-groups")
 
-    first = _agreeing(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), reps)
-    best = first.groupBy("b").agg(F.max_by("a", F.struct("agreement", "a")).alias("a"))
-    links = _confirmed(best, docs, reps, "first")
+    stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    clusters = components(_agreeing(stars, reps), "clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    clusters = materialise(clusters, "clusters")
+    sets = materialise(_sets(docs, clusters.select("rep"), reps), "sets")
+    links = _ties(clusters, reps, sets)
+    links = links.unionByName(_confirmed(_cross_pairs(members.select("key", "rep"), reps, clusters), docs, reps, "cross"))
     # documents with several texts
     several = (some.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
                .join(some, "doc_id").join(reps.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    links = links.unionByName(several)
-    labels = components(links, "first-components").withColumnRenamed("node", "rep")
-    cross = materialise(_cross_pairs(members.select("key", "rep"), reps, labels), "cross-pairs")
-    more = _confirmed(cross, docs, reps, "cross")
-    labels = components(links.unionByName(more), "components").withColumnRenamed("node", "rep")
+    labels = components(links.unionByName(several), "components").withColumnRenamed("node", "rep")
 
     classes = reps.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return (rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
