@@ -22,7 +22,7 @@ QUERIES = {
     "op7_minhash_near_dedup": _documents(near_duplicates.judge),
     "op8_pii": _documents(pii.judge),
     "op9_embedding_near_dedup": lambda spark, sf_dir: embeddings.judge(table(spark, sf_dir, "embeddings")),
-    "op10_token_counts": _documents(lambda d: token_counts.with_sums(token_counts.histogram(d))),
+    "op10_token_counts": _documents(token_counts.context_table),
 }
 
 ORACLES = {

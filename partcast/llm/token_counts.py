@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from partcast.llm.base import materialise
 from partcast.llm.tokens import DEFAULT_TOKENIZER, encoded
 
 #: Lengths in a block of the two-level sums.
@@ -60,6 +61,11 @@ def with_sums(hist: DataFrame) -> DataFrame:
                     ((F.col("all_docs") - F.col("docs_ge") + F.col("n_docs")) / F.col("all_docs")).alias("share_le")))
 
 
+def context_table(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, end_tokens: int = 0) -> DataFrame:
+    """The histogram with its sums; the texts are encoded once."""
+    return with_sums(materialise(histogram(docs, tokenizer, end_tokens), "lengths"))
+
+
 def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
     """One row: docs_over (longer than ``limit``) and total tokens if cut at ``limit``
     (any limit, also one that is no document's length)."""
