@@ -5,9 +5,13 @@ falls into parts, each with a small code of random unit vectors, and every choic
 code word a part is a direction.  A vector is list-decoded to all directions on which its
 projection exceeds the cap, by sorting its projections in each part and dropping what can
 no longer reach it.  Vectors are joined on (label, direction), and pairs within a filter are
-verified by cosine in double precision.  The cap follows the number of vectors, so that a
-filter holds a few of unrelated ones at any size; filters that hold many are compared in
-blocks of bounded size.
+verified by cosine in double precision.  The cap follows the number of vectors, by the exact
+tail of a projection on the unit sphere of their dimensions, so that a filter holds a few of
+unrelated ones at any size; filters that hold many are compared in blocks of bounded size.
+
+Codes are independent, so a pair shares no filter in any of k codes with the chance that it
+shares none in one, to the power k.  That chance is measured on random pairs at the cosine
+itself, for the cap at hand, and as many codes are taken as bring the power below MISSED.
 
 Equal vectors of a label are one class.  A pair of classes is counted in the first filter
 that both pass, so links need no list of pairs; within a filter, components are formed at
@@ -34,10 +38,12 @@ from partcast.llm.blocks import sides, split_groups
 from partcast.llm.components import components
 
 COSINE = 0.98
-#: Filters that a vector passes on average, in each of so many independent codes.  At these
-#: settings a pair at a cosine of 0.98 shares 26 filters of 34 on average among 5000 vectors
-#: (16 of 23 among 100,000), and none in fewer than one case in a thousand.
+#: Filters that a vector passes on average, in each of at least so many independent codes.
 PASSED, CODES = 2, 16
+#: The chance at most that a pair at the least cosine shares no filter.
+MISSED = 1e-4
+#: Random pairs, in each of so many codes, that the chance is measured on.
+PAIRS, TRIED = 100, 8
 #: Unrelated vectors in a filter, about.
 HELD = 50
 #: Code words of a part at most; more directions take more parts.
@@ -47,19 +53,57 @@ SEED = 97
 REACH = 0.8
 
 
-def cap(vectors: int) -> tuple[float, int, int]:
-    """Height of the cap in standard deviations of a projection, words of a part's code, and
-    parts.  Few parts of many words spread the directions best."""
+def tail(height: float, dims: int) -> float:
+    """The chance that a random unit vector's projection on a direction exceeds ``height``."""
+    if dims == 1:
+        return 0.5
+    angles = np.linspace(0.0, math.acos(height), 4001)
+    whole = math.exp(math.lgamma((dims - 1) / 2) - math.lgamma(dims / 2)) * math.sqrt(math.pi)
+    return float(np.trapezoid(np.sin(angles) ** (dims - 2), angles)) / whole
+
+
+def cap(vectors: int, dims: int) -> tuple[float, int, int]:
+    """Height of the cap, words of a part's code, and parts.  Few parts of many words spread
+    the directions best."""
     share = min(0.05, HELD / max(vectors, 1))
-    lo, hi = 0.0, 12.0
+    lo, hi = 0.0, REACH
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if math.erfc(mid / math.sqrt(2)) / 2 > share else (lo, mid)
-    parts = max(2, math.ceil(math.log(PASSED / share) / math.log(WORDS)))
-    return lo, max(2, math.ceil((PASSED / share) ** (1 / parts))), parts
-
-
-@lru_cache(maxsize=4 * CODES)
+        lo, hi = (mid, hi) if tail(mid, dims) > share else (lo, mid)
+    directions = PASSED / tail(lo, dims)
+    parts = max(1, min(max(2, math.ceil(math.log(directions) / math.log(WORDS))), dims // 4))
+    return lo, max(2, math.ceil(directions ** (1 / parts))), parts
+
+
+def missed(height: float, words: int, parts: int, dims: int, cosine: float) -> float:
+    """The chance (two standard errors above its measure) that a pair at ``cosine`` shares no
+    filter of one code."""
+    if dims == 1:
+        return 0.0
+    rng, none = np.random.RandomState(SEED), 0
+    for which in range(TRIED):
+        for _ in range(PAIRS):
+            x, y = rng.normal(size=(2, dims))
+            x /= np.linalg.norm(x)
+            y -= (x @ y) * x
+            y *= math.sqrt(max(0.0, 1 - cosine * cosine)) / np.linalg.norm(y)
+            both = [decode(v, height, words, parts, which) for v in (x, cosine * x + y)]
+            none += not len(np.intersect1d(*both))
+    n = TRIED * PAIRS
+    share = (none + 1) / (n + 2)
+    return share + 2 * math.sqrt(share * (1 - share) / n)
+
+
+@lru_cache(maxsize=64)
+def plan(vectors: int, dims: int, cosine: float = COSINE) -> tuple[float, int, int, int]:
+    """Height, words, parts, and the codes that leave a pair without a filter with a chance
+    below MISSED."""
+    height, words, parts = cap(vectors, dims)
+    one = missed(height, words, parts, dims, cosine)
+    return height, words, parts, max(CODES, math.ceil(math.log(MISSED) / math.log(one))) if one else CODES
+
+
+@lru_cache(maxsize=256)
 def _code(dims: int, words: int, parts: int, which: int) -> tuple[np.ndarray, list[np.ndarray]]:
     rng = np.random.RandomState(SEED + 1000 * which + dims)
     rotation = np.linalg.qr(rng.normal(size=(dims, dims)))[0]
@@ -75,7 +119,7 @@ def decode(vector: np.ndarray, height: float, words: int, parts: int, which: int
     dims = len(vector)
     rotation, codes = _code(dims, words, parts, which)
     x = rotation @ vector
-    reach, at, scores = min(height / math.sqrt(dims), REACH), 0, []
+    at, scores = 0, []
     for c in codes:
         scores.append(c @ x[at:at + c.shape[1]])
         at += c.shape[1]
@@ -83,7 +127,7 @@ def decode(vector: np.ndarray, height: float, words: int, parts: int, which: int
     ids, sums = np.zeros(1, dtype=np.int64), np.zeros(1)
     for s, more in zip(scores, rest):
         total = sums[:, None] + s[None, :]
-        i, j = np.nonzero(total >= reach - more)
+        i, j = np.nonzero(total >= height - more)
         ids, sums = ids[i] * words + j, total[i, j]
     return ids
 
@@ -98,9 +142,8 @@ def _usable(vectors: DataFrame) -> DataFrame:
                           F.when(F.coalesce(fine, F.lit(False)), v).alias("v"))
 
 
-def _filters(classes: DataFrame, vectors: int) -> DataFrame:
-    """The classes with their filters, in ascending order."""
-    height, words, parts = cap(vectors)
+def _filters(classes: DataFrame, plans: dict[int, tuple[float, int, int, int]]) -> DataFrame:
+    """The classes with their filters, in ascending order; ``plans`` by the dimensions."""
 
     def run(batches):
         import pyarrow as pa
@@ -111,7 +154,8 @@ def _filters(classes: DataFrame, vectors: int) -> DataFrame:
                 x = np.array(v.as_py())
                 x = x / np.abs(x).max()
                 x /= np.linalg.norm(x)
-                lists.append(np.sort(np.concatenate([decode(x, height, words, parts, c) * CODES + c for c in range(CODES)])))
+                *code, codes = plans[len(x)]
+                lists.append(np.sort(np.concatenate([decode(x, *code, c) * codes + c for c in range(codes)])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], names=[*batch.schema.names, "filters"])
 
     v = classes.schema["v"].dataType.simpleString()
@@ -181,10 +225,11 @@ def compare(task, group, cosine: float):
     return pa.table({"class": pa.array(ids[some], pa.int64()), "n": pa.array(counts[some], pa.int64()), "least": pa.array(least[some], pa.int64())})
 
 
-def links(classes: DataFrame, vectors: int, cosine: float = COSINE) -> DataFrame:
+def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """class, n (vectors of other classes linked to it), least (a class it is tied to); a row
     per class and filter in which it has links."""
-    found = materialise(_filters(classes, vectors), "filters")
+    largest = classes.groupBy("label", F.size("v").alias("dims")).count().groupBy("dims").agg(F.max("count").alias("n")).collect()
+    found = materialise(_filters(classes, {r["dims"]: plan(r["n"], r["dims"], cosine) for r in largest}), "filters")
     members = found.select("class", "label", F.explode("filters").alias("filter"), "filters", "size", "v")
     key = F.struct("label", "filter")
     sizes = members.groupBy(key.alias("bucket")).agg(F.count("*").alias("n")).where("n > 1")
@@ -202,8 +247,7 @@ def judge(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = (rows.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("class"), F.count("*").alias("size"))
                .select("class", "label", "v", "size"))
     classes = materialise(classes, "vector-classes")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    found = materialise(links(classes, largest, cosine), "vector-links")
+    found = materialise(links(classes, cosine), "vector-links")
     counts = found.groupBy("class").agg(F.sum("n").alias("n"))
     named = (rows.join(classes.select("class", F.col("label").alias("_l"), F.col("v").alias("_v"), "size"),
                        (F.col("label") == F.col("_l")) & (F.col("v") == F.col("_v")), "left").select("vec_id", "class", "size"))

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 
 import numpy as np
@@ -158,3 +159,16 @@ def test_blocks_of_a_large_filter_lose_no_pair(spark, monkeypatch):
     rows = [(k, [float(np.float32(x)) for x in base + rng.normal(size=16) * 0.02], 1, "", "") for k in range(60)]
     got = embeddings.judge(vectors(spark, rows)).collect()
     assert {(r["n_links"], r["component_id"]) for r in got} == {(59, 0)}
+
+
+def test_pairs_share_a_filter_at_any_number_of_vectors():
+    rng = np.random.default_rng(5)
+    for vectors in (5_000, 12_000_000):
+        for _ in range(150):
+            x, y = rng.normal(size=(2, 64))
+            x /= np.linalg.norm(x)
+            y -= (x @ y) * x
+            y = 0.98 * x + y * math.sqrt(1 - 0.98**2) / np.linalg.norm(y)
+            height, words, parts, codes = embeddings.plan(vectors, 64)
+            assert any(np.intersect1d(*(embeddings.decode(v, height, words, parts, c) for v in (x, y))).size for c in range(codes))
+    assert abs(embeddings.tail(0.5, 3) - 0.25) < 1e-6
