@@ -1,15 +1,15 @@
 """Personal data: fixed patterns, and terms that give protected entities away.
 
 An e-mail address, address of a machine, card or phone number found in a text is a protected
-entity.  The words around its mentions are counted over the corpus: a term discloses an
-entity if the pointwise mutual information of the two, log2(p(e|t) / p(e)), reaches a share
-of the entity's own information, -log2 p(e), with enough different contexts in support.
-Terms that disclose an entity mentioned in a document are generalised there like the entity
-itself.
+entity.  A term (a word outside the entities) discloses an entity if the pointwise mutual
+information of the two, log2(p(e|t) / p(e)), reaches a share of the entity's own information,
+-log2 p(e), with enough texts in support.  The two meet anywhere in a text.  Terms that
+disclose an entity mentioned in a document are generalised there like the entity itself.
 
-p(e|t) is estimated as different contexts of e with t over documents with t (so copies of one
-text are no support for each other), p(e) as documents with e over all documents.  Contexts
-and counts cover the whole corpus; they are combined by each task before they are shuffled.
+Everything is counted in different texts, so copies of one text count once: p(e|t) is texts
+with both over texts with t, p(e) texts with e over all texts.  Counts cover the whole corpus;
+they are combined by each task before they are shuffled.  A term in more texts than the bound
+allows for an entity is left out of its pairs early, which changes no result.
 
 Defined results: null texts are empty and have no spans (the sanitised text stays null);
 texts of any length are read whole; repeated rows are judged each; an empty table gives no
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from partcast.llm.base import materialise, unwrapped, whole_rows
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of a mention that make its context.
-CONTEXT = 8
-#: Different contexts in support of a term, and the share of the entity's information.
+#: Different texts in support of a term, and the share of the entity's information.
 SUPPORT, SHARE = 3, 0.9
+#: Terms of the highest counts that tasks know when they form pairs.
+COMMON = 20_000
 #: Terms counted by a task before it hands its counts on (bounds its memory).
 HELD_TERMS = 300_000
 
@@ -116,38 +116,31 @@ def named(spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int]]:
     return [(i, KINDS[k], j) for i, k, j in spans]
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Per mention its entity, a hash of its context, and the terms there."""
-    from bisect import bisect_left
+def _outside(text: str, spans):
+    """Matches of terms that no span (start, kind, end) touches."""
+    if not spans:
+        return _TERM.finditer(text)
+    covered = bytearray(len(text))
+    for i, _, j in spans:
+        covered[i:j] = b"\1" * (j - i)
+    return (m for m in _TERM.finditer(text) if covered.find(1, m.start(), m.end()) < 0)
 
-    from xxhash import xxh3_64_intdigest
 
-    inside = [(i, j) for i, _, j in spans]
-    terms = [m for m in _TERM.finditer(text) if not any(i < m.end() and m.start() < j for i, j in inside)] if len(inside) <= 4 else None
-    if terms is None:           # many mentions: mark what they cover
-        covered = bytearray(len(text))
-        for i, j in inside:
-            covered[i:j] = b"\1" * (j - i)
-        terms = [m for m in _TERM.finditer(text) if not any(covered[m.start():m.end()])]
-    starts = [m.start() for m in terms]
-    out = []
-    for i, kind, j in spans:
-        k = bisect_left(starts, i)
-        near = [m.group().lower() for m in terms[max(0, k - CONTEXT):k]] + [m.group().lower() for m in terms[bisect_left(starts, j):][:CONTEXT]]
-        out.append({"entity": f"{KINDS[kind]}:{text[i:j].lower()}", "context": xxh3_64_intdigest("\0".join(near)) >> 1, "terms": sorted(set(near))})
-    return out
+def terms_of(text: str, spans) -> set[str]:
+    words = {m.group() for m in _outside(text, spans)} if spans else set(_TERM.findall(text))
+    return {w.lower() for w in words}
 
 
-MENTIONS = "array<struct<entity:string,context:bigint,terms:array<string>>>"
+def entities_of(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
+    return sorted({f"{KINDS[kind]}:{text[i:j].lower()}" for i, kind, j in spans})
 
 
 def find(docs: DataFrame) -> DataFrame:
     """Per document (row number ``_row``): counts, base spans, and for those with mentions
-    the contexts and the text."""
+    the entities and the text."""
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.string()))]))
         for batch in batches:
             counts, base, mentions, texts = [[] for _ in KINDS], [], [], []
             for x in batch.column(2):
@@ -157,62 +150,105 @@ def find(docs: DataFrame) -> DataFrame:
                 for k in range(len(KINDS)):
                     counts[k].append(kinds.count(k))
                 base.append(listed(named(spans)))
-                mentions.append(contexts(text, spans) if spans else None)
+                mentions.append(entities_of(text, spans) if spans else None)
                 texts.append(text if spans else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()),
-                                              pa.array(mentions, kind), pa.array(texts, pa.string())],
+                                              pa.array(mentions, pa.list_(pa.string())), pa.array(texts, pa.string())],
                                              names=["_row", "doc_id", *(f"n_{k}" for k in KINDS), "base", "mentions", "text"])
 
-    schema = "_row long, doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + f", base string, mentions {MENTIONS}, text string"
+    schema = "_row long, doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + f", base string, mentions array<string>, text string"
     return docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def document_counts(docs: DataFrame) -> DataFrame:
-    """term, n: documents that hold each term.  Tasks count up to HELD_TERMS terms before
-    they hand them on; the sums are formed after the shuffle."""
-    def run(batches):
-        from collections import Counter
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
 
+
+def different_texts(docs: DataFrame) -> DataFrame:
+    """digest, copies, entities (null if none) of each different text."""
+    def run(batches):
         import pyarrow as pa
 
-        held: Counter = Counter()
+        for batch in batches:
+            found = ((t, base_spans(t)) for t in (x.as_py() for x in batch.column(1)))
+            entities = [entities_of(t, spans) if spans else None for t, spans in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(entities, pa.list_(pa.string()))], names=["digest", "entities"])
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
+    return (_texts(docs).mapInArrow(run, "digest binary, entities array<string>").groupBy("digest")
+            .agg(F.count("*").alias("copies"), F.first("entities").alias("entities")))
 
-        for batch in batches:
-            for x in batch.column(0):
-                text = x.as_py()
-                if text:
-                    held.update({w.lower() for w in set(_TERM.findall(text))})
-                    if len(held) > HELD_TERMS:
-                        yield out()
-                        held.clear()
-        yield out()
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def disclosing(found: DataFrame, docs: DataFrame, total: int, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """entity, term: the terms that give an entity away, of ``total`` documents."""
-    mentions = found.where("mentions IS NOT NULL").select("_row", F.explode("mentions").alias("m")).select("_row", "m.*")
-    with_entity = mentions.select("_row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = (mentions.select("entity", "context", F.explode("terms").alias("term")).distinct()
-             .groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support))
-    pairs = materialise(pairs, "pairs")
-    terms = pairs.select("term").distinct()
-    counts = document_counts(docs).join(terms, "term")
-    n = float(max(total, 1))
-    information = F.log2(F.lit(n) / F.col("n_e"))
-    shared = F.log2(F.least(F.lit(1.0), F.col("both") / F.col("n")) * n / F.col("n_e"))
-    return (pairs.join(counts, "term").join(with_entity, "entity")
-            .where((information > 0) & (shared >= share * information)).select("entity", "term"))
-
-
-def _with_terms(found: DataFrame, docs: DataFrame, total: int) -> DataFrame:
+
+def one_each(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """digest, text of each different text; only the copied ones are shuffled as texts."""
+    texts = _texts(docs)
+    return texts.join(copied, "digest", "left_anti").unionByName(texts.join(copied, "digest", "left_semi").dropDuplicates(["digest"]))
+
+
+def _counted(batches, keys_of, names):
+    """Counts of the keys (tuples) of a task's rows; keys_of gives them in parts."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    held: Counter = Counter()
+
+    def out():
+        columns = [list(c) for c in zip(*held)] or [[] for _ in names]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(list(held.values()), pa.int64())], names=[*names, "n"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(k) for k in range(batch.num_columns))):
+            for keys in keys_of(*(x.as_py() for x in row)):
+                held.update(keys)
+                if len(held) > HELD_TERMS:
+                    yield out()
+                    held.clear()
+    yield out()
+
+
+def text_counts(texts: DataFrame) -> DataFrame:
+    """term, n: different texts that hold each term.  Tasks count up to HELD_TERMS terms
+    before they hand them on; the sums are formed after the shuffle."""
+    def run(batches):
+        return _counted(batches, lambda text: [((t,) for t in terms_of(text, base_spans(text)))], ["term"])
+
+    return texts.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+    """entity, term: the terms that give an entity away."""
+    found = materialise(different_texts(docs), "different-texts")
+    total = float(max(found.count(), 1))
+    copied = materialise(found.where("copies > 1").select("digest"), "copied")
+    entities = found.select("digest", F.explode("entities").alias("entity"))
+    # all texts of an entity hold it, and a term needs the support of as many
+    with_entity = materialise(entities.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") < total)), "entities")
+    strong = materialise(entities.join(with_entity, "entity").groupBy("digest").agg(F.collect_list(F.struct("entity", "n_e")).alias("entities")), "texts-of-entities")
+    counts = materialise(text_counts(one_each(docs, copied)).where(F.col("n") >= support), "term-counts")
+    common = {r["term"]: r["n"] for r in counts.orderBy(F.desc("n"), "term").limit(COMMON).collect()}
+
+    def run(batches):
+        def pairs(text, entities):
+            terms = terms_of(text, base_spans(text))
+            for e in entities:
+                # p(e|t) is n_e / n at most, and has to reach (n_e / total) ** (1 - share)
+                most = e["n_e"] * (total / e["n_e"]) ** (1 - share) * (1 + 1e-9)
+                yield [(e["entity"], t) for t in terms if common.get(t, 0) <= most]
+
+        return _counted(batches, pairs, ["entity", "term"])
+
+    both = (one_each(docs, copied).join(strong, "digest").select("text", "entities").mapInArrow(run, "entity string, term string, n long")
+            .groupBy("entity", "term").agg(F.sum("n").alias("both")).where(F.col("both") >= support))
+    information = F.log2(F.lit(total) / F.col("n_e"))
+    shared = F.log2(F.col("both") / F.col("n") * total / F.col("n_e"))
+    return both.join(counts, "term").join(with_entity, "entity").where(shared >= share * information - 1e-12).select("entity", "term")
+
+
+def _with_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows of ``find`` that have mentions, with the terms to be generalised."""
-    told = (found.where("mentions IS NOT NULL").select("_row", F.explode("mentions").alias("m")).select("_row", "m.entity").distinct()
-            .join(disclosing(found, docs, total), "entity").groupBy("_row").agg(F.collect_set("term").alias("terms")))
+    told = (found.select("_row", F.explode("mentions").alias("entity"))
+            .join(disclosing(docs), "entity").groupBy("_row").agg(F.collect_set("term").alias("terms")))
     return found.where("mentions IS NOT NULL").join(told, "_row", "left")
 
 
@@ -220,10 +256,8 @@ def all_spans(text: str, base: list[tuple[int, str, int]], terms) -> list[tuple[
     """The base spans and, outside them, those of the terms."""
     if not terms:
         return base
-    terms, covered = set(terms), bytearray(len(text))
-    for i, _, j in base:
-        covered[i:j] = b"\1" * (j - i)
-    more = [(m.start(), "term", m.end()) for m in _TERM.finditer(text) if m.group().lower() in terms and not any(covered[m.start():m.end()])]
+    terms = set(terms)
+    more = [(m.start(), "term", m.end()) for m in _outside(text, base) if m.group().lower() in terms]
     return sorted(base + more, key=lambda s: (s[0], (*KINDS, "term").index(s[1])))
 
 
@@ -255,7 +289,7 @@ def judge(docs: DataFrame) -> DataFrame:
             spans = [listed(all_spans(t, parsed(b), w)) for t, b, w in zip(*(batch.column(c).to_pylist() for c in ("text", "base", "terms")))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*columns, "base"]), pa.array(spans, pa.string())], names=[*columns, "base", "spans"])
 
-    some = (_with_terms(found, docs, found.count()).select(*columns, "base", "text", "terms")
+    some = (_with_terms(found, docs).select(*columns, "base", "text", "terms")
             .mapInArrow(run, ", ".join(f"{c} long" for c in columns) + ", base string, spans string"))
     none = found.where("mentions IS NULL").select(*columns, "base", F.lit("").alias("spans"))
     return some.unionByName(none).select(*columns, sha.alias("base_sha256"), "spans")
@@ -275,7 +309,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
             new = [replaced(t, all_spans(t, parsed(b), w)) for t, b, w in zip(*(batch.column(c).to_pylist() for c in ("text", "base", "terms")))]
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(new, pa.string())], names=["_row", "_text"])
 
-    changed = _with_terms(found, docs, rows.count()).select("_row", "base", "text", "terms").mapInArrow(run, "_row long, _text string")
+    changed = _with_terms(found, rows.select("doc.text")).select("_row", "base", "text", "terms").mapInArrow(run, "_row long, _text string")
     new = {"text": F.coalesce("_text", F.col("doc.text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_text").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("doc.n_chars"))

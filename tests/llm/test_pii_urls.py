@@ -115,3 +115,25 @@ def test_a_host_of_bad_pages_is_blocked_and_a_small_one_is_not(spark):
     assert all(got[k] == "block" for k in range(60))
     assert all(got[k] == "allow" for k in range(100, 400))
     assert got[501] == "allow"
+
+
+def test_copies_of_texts_hide_no_term(spark):
+    rows = [(k, f"{prose(700 + k % 3, 20)} agent Zorblax writes from bob@corp.example.com") for k in range(60)]
+    rows += [(k, prose(k, 40)) for k in range(100, 200)]
+    got = {r["doc_id"]: r["spans"] for r in pii.judge(documents(spark, rows)).collect()}
+    at = rows[0][1].index("Zorblax")
+    assert f"term:{at}:{at + 7}" in got[0]
+
+
+def test_boilerplate_in_different_texts_is_support(spark):
+    line = " one two three four agent Zorblax writes here from bob@corp.example.com each day of the week come rain"
+    rows = [(k, prose(k, 30) + " x y z" + line) for k in range(20)] + [(k, prose(k, 40)) for k in range(100, 200)]
+    got = {r["doc_id"]: r["spans"] for r in pii.judge(documents(spark, rows)).collect()}
+    at = rows[0][1].index("Zorblax")
+    assert f"term:{at}:{at + 7}" in got[0]
+
+
+def test_a_term_far_from_the_address(spark):
+    rows = [(k, f"Zorblax {prose(k, 60)} bob@corp.example.com") for k in range(20)] + [(k, prose(k, 40)) for k in range(100, 200)]
+    got = {r["doc_id"]: r["spans"] for r in pii.judge(documents(spark, rows)).collect()}
+    assert "term:0:7" in got[0]
