@@ -147,12 +147,13 @@ def _sets(docs: DataFrame, ids: DataFrame, reps: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()),
-                                              pa.array(sets, pa.binary())], names=["rep", "digest", "shingles"])
+                                              pa.array(sets, pa.binary())], names=["doc", "digest", "shingles"])
 
-    found = (docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-             .join(ids, "rep", "left_semi").mapInArrow(run, "rep long, digest binary, shingles binary"))
+    named = reps.join(ids, "rep", "left_semi").select("rep", "doc", "digest")
+    found = (docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+             .join(named, "doc", "left_semi").mapInArrow(run, "doc long, digest binary, shingles binary"))
     # a doc_id may have rows with other texts
-    return found.join(reps.select("rep", "digest"), ["rep", "digest"], "left_semi").select("rep", "shingles").dropDuplicates(["rep"])
+    return found.join(named, ["doc", "digest"]).select("rep", "shingles").dropDuplicates(["rep"])
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, label: str) -> DataFrame:
@@ -262,9 +263,11 @@ def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
     rows = materialise(signed(docs), "signed")
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = materialise(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"),
+    # a class has a number of its own, as one doc_id may have several
+    reps = materialise(some.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n_shingles"),
                                                   F.min_by("bands", "doc_id").alias("bands"),
-                                                  F.min_by("signature", "doc_id").alias("signature")), "classes")
+                                                  F.min_by("signature", "doc_id").alias("signature"))
+                       .withColumn("rep", F.monotonically_increasing_id()), "classes")
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot <> last")
     members = materialise(keyed.join(shared, "key").select("key", "rep", "pivot"), "band-groups")
@@ -275,12 +278,14 @@ def judge(docs: DataFrame) -> DataFrame:
     sets = materialise(_sets(docs, clusters.select("rep"), reps), "sets")
     links = _ties(clusters, reps, sets)
     links = links.unionByName(_confirmed(_cross_pairs(members.select("key", "rep"), reps, clusters), docs, reps, "cross"))
+    x, y = (reps.select(F.col("rep").alias(k), F.col("doc").alias(f"doc_{k}")) for k in ("a", "b"))
+    links = links.join(x, "a").join(y, "b").where("doc_a <> doc_b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
     # documents with several texts
     several = (some.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
-               .join(some, "doc_id").join(reps.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    labels = components(links.unionByName(several), "components").withColumnRenamed("node", "rep")
+               .join(some, "doc_id").join(reps.select("digest", "doc"), "digest").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")))
+    labels = components(links.unionByName(several), "components").withColumnRenamed("node", "doc")
 
-    classes = reps.select("digest", "rep").join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    classes = reps.select("digest", "doc").join(labels, "doc", "left").select("digest", F.coalesce("component", "doc").alias("component"))
     return (rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
             .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
             .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))

@@ -172,3 +172,10 @@ def test_pairs_share_a_filter_at_any_number_of_vectors():
             height, words, parts, codes = embeddings.plan(vectors, 64)
             assert any(np.intersect1d(*(embeddings.decode(v, height, words, parts, c) for v in (x, y))).size for c in range(codes))
     assert abs(embeddings.tail(0.5, 3) - 0.25) < 1e-6
+
+
+def test_texts_of_one_doc_id_are_linked_each(spark):
+    other, text = prose(100, 150), prose(101, 150)
+    rows = [(5, text), (5, other), (7, edited(other, 0.01, 1)), (8, edited(text, 0.01, 2)), (9, prose(102, 150))]
+    got = {(r["doc_id"], r["component_id"]) for r in near_duplicates.judge(documents(spark, rows)).collect()}
+    assert got == {(5, 5), (7, 5), (8, 5), (9, 9)}
