@@ -1,9 +1,9 @@
-"""The ten operators as queries over the given tables, and their SQL where SQL says it."""
+"""The operators as queries over the given tables, and their SQL where SQL says it."""
 
 from __future__ import annotations
 
 from partcast.llm import (
-    embeddings, mixing, near_duplicates, packing, pii, quality, suffix_dedup, token_counts, token_files, urls,
+    embeddings, merkle, mixing, near_duplicates, packing, pii, quality, suffix_dedup, token_counts, token_files, urls,
 )
 from partcast.llm.base import table
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_pii": _documents(pii.judge),
     "op9_embedding_near_dedup": lambda spark, sf_dir: embeddings.judge(table(spark, sf_dir, "embeddings")),
     "op10_token_counts": _documents(token_counts.context_table),
+    "op11_merkle_manifest": _documents(merkle.prove),
 }
 
 ORACLES = {
