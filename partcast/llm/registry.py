@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from partcast.llm import (
-    embeddings, merkle, mixing, near_duplicates, packing, pii, quality, suffix_dedup, token_counts, token_files, urls,
+    embeddings, merkle, mixing, near_duplicates, packing, pii, quality, suffix_dedup, token_counts, token_files, urls, whitening,
 )
 from partcast.llm.base import table
 
@@ -24,6 +24,7 @@ QUERIES = {
     "op9_embedding_near_dedup": lambda spark, sf_dir: embeddings.judge(table(spark, sf_dir, "embeddings")),
     "op10_token_counts": _documents(token_counts.context_table),
     "op11_merkle_manifest": _documents(merkle.prove),
+    "op12_embedding_whitening": lambda spark, sf_dir: whitening.whiten(table(spark, sf_dir, "embeddings")),
 }
 
 ORACLES = {
