@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from partcast.llm import (
-    embeddings, merkle, mixing, near_duplicates, packing, pii, quality, suffix_dedup, token_counts, token_files, urls, whitening,
+    embeddings, merkle, mixing, near_duplicates, packing, pii, quality, secret_scan, suffix_dedup, token_counts, token_files, urls,
+    whitening,
 )
 from partcast.llm.base import table
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op10_token_counts": _documents(token_counts.context_table),
     "op11_merkle_manifest": _documents(merkle.prove),
     "op12_embedding_whitening": lambda spark, sf_dir: whitening.whiten(table(spark, sf_dir, "embeddings")),
+    "op13_secret_scan": _documents(secret_scan.judge),
 }
 
 ORACLES = {
