@@ -3,26 +3,30 @@
 An e-mail address, address of a machine, card or phone number found in a text is a protected
 entity.  A term (a word outside the entities) discloses an entity if the pointwise mutual
 information of the two, log2(p(e|t) / p(e)), reaches a share of the entity's own information,
--log2 p(e), with enough texts in support.  The two meet anywhere in a text.  Terms that
-disclose an entity mentioned in a document are generalised there like the entity itself.
+-log2 p(e), with enough texts in support.  The two meet anywhere in a text.  A term that discloses an
+entity is generalised in every document that holds it, whether the entity is mentioned there
+or not.
 
 Everything is counted in different texts, so copies of one text count once: p(e|t) is texts
 with both over texts with t, p(e) texts with e over all texts.  Counts cover the whole corpus;
 they are combined by each task before they are shuffled.  A term in more texts than the bound
-allows for an entity is left out of its pairs early, which changes no result.
+allows for an entity is left out of its pairs early, which changes no result.  Up to
+``TERMS_HELD`` disclosing terms travel to the tasks; more of them meet the documents' terms in
+a join.
 
 Defined results: null texts are empty and have no spans (the sanitised text stays null);
-texts of any length are read whole; repeated rows are judged each; an empty table gives no
-rows; extra columns are not read by ``judge`` and kept by ``sanitise``.
+texts of any length are read whole, in time proportional to it; spans that begin together
+are ordered by kind; repeated rows are judged each; an empty table gives no rows; extra
+columns are not read by ``judge`` and kept by ``sanitise``.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partcast.llm.base import materialise, unwrapped, whole_rows
 
@@ -31,13 +35,15 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT, SHARE = 3, 0.9
 #: Terms of the highest counts that tasks know when they form pairs.
 COMMON = 20_000
+#: Disclosing terms that tasks hold.
+TERMS_HELD = 100_000
 #: Terms counted by a task before it hands its counts on (bounds its memory).
 HELD_TERMS = 300_000
 
 # What the four kinds look like.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)+")
 _NUMBER = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -135,31 +141,6 @@ def entities_of(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
     return sorted({f"{KINDS[kind]}:{text[i:j].lower()}" for i, kind, j in spans})
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Per document (row number ``_row``): counts, base spans, and for those with mentions
-    the entities and the text."""
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            counts, base, mentions, texts = [[] for _ in KINDS], [], [], []
-            for x in batch.column(2):
-                text = x.as_py()
-                spans = base_spans(text)
-                kinds = [k for _, k, _ in spans]
-                for k in range(len(KINDS)):
-                    counts[k].append(kinds.count(k))
-                base.append(listed(named(spans)))
-                mentions.append(entities_of(text, spans) if spans else None)
-                texts.append(text if spans else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()),
-                                              pa.array(mentions, pa.list_(pa.string())), pa.array(texts, pa.string())],
-                                             names=["_row", "doc_id", *(f"n_{k}" for k in KINDS), "base", "mentions", "text"])
-
-    schema = "_row long, doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + f", base string, mentions array<string>, text string"
-    return docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
@@ -245,25 +226,34 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) ->
     return both.join(counts, "term").join(with_entity, "entity").where(shared >= share * information - 1e-12).select("entity", "term")
 
 
-def _with_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows of ``find`` that have mentions, with the terms to be generalised."""
-    told = (found.select("_row", F.explode("mentions").alias("entity"))
-            .join(disclosing(docs), "entity").groupBy("_row").agg(F.collect_set("term").alias("terms")))
-    return found.where("mentions IS NOT NULL").join(told, "_row", "left")
+def _with_terms(rows: DataFrame, docs: DataFrame, held: int = TERMS_HELD) -> tuple[DataFrame, frozenset]:
+    """The rows (a column ``text`` among others) with ``terms``, the disclosing terms each may
+    hold: null where the returned set applies to every row."""
+    terms = materialise(disclosing(docs).select("term").distinct(), "disclosing-terms")
+    if terms.count() <= held:
+        return rows.withColumn("terms", F.lit(None).cast("array<string>")), frozenset(r["term"] for r in terms.collect())
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
+    def run(batches):
+        import pyarrow as pa
 
-def all_spans(text: str, base: list[tuple[int, str, int]], terms) -> list[tuple[int, str, int]]:
-    """The base spans and, outside them, those of the terms."""
-    if not terms:
-        return base
-    terms = set(terms)
-    more = [(m.start(), "term", m.end()) for m in _outside(text, base) if m.group().lower() in terms]
-    return sorted(base + more, key=lambda s: (s[0], (*KINDS, "term").index(s[1])))
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1)):
+                own = sorted(terms_of(t, base_spans(t))) if (t := text.as_py()) else []
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(own), pa.int64()), pa.array(own, pa.string())], names=["_row", "term"])
 
+    told = rows.select("_row", "text").mapInArrow(run, "_row long, term string").join(terms, "term").groupBy("_row").agg(F.collect_set("term").alias("terms"))
+    return rows.join(told, "_row", "left").drop("_row"), frozenset()
 
-def parsed(base: str) -> list[tuple[int, str, int]]:
-    parts = (x.split(":") for x in base.split(",") if x)
-    return [(int(i), kind, int(j)) for kind, i, j in parts]
+
+def all_spans(text: str, base: list[tuple[int, int, int]], terms) -> list[tuple[int, str, int]]:
+    """The base spans and, outside them, those of the terms."""
+    out = named(base)
+    if terms and not terms_of(text, ()).isdisjoint(terms):
+        more = [(m.start(), "term", m.end()) for m in _outside(text, base) if m.group().lower() in terms]
+        out = sorted(out + more, key=lambda s: (s[0], (*KINDS, "term").index(s[1])))
+    return out
 
 
 def replaced(text: str, spans: list[tuple[int, str, int]]) -> str:
@@ -276,41 +266,51 @@ def replaced(text: str, spans: list[tuple[int, str, int]]) -> str:
     return "".join(out) + text[last:]
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, held: int = TERMS_HELD) -> DataFrame:
     """doc_id, counts, base_sha256 and all spans of each document."""
-    found = materialise(find(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")), "found")
-    sha = F.sha2(F.col("base"), 256)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, common = _with_terms(rows, docs, held)
     columns = ["doc_id", *(f"n_{k}" for k in KINDS)]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            spans = [listed(all_spans(t, parsed(b), w)) for t, b, w in zip(*(batch.column(c).to_pylist() for c in ("text", "base", "terms")))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*columns, "base"]), pa.array(spans, pa.string())], names=[*columns, "base", "spans"])
+            counts, base, spans = [[] for _ in KINDS], [], []
+            for x, own in zip(batch.column(1), batch.column(2)):
+                text = x.as_py() or ""
+                found = base_spans(text)
+                kinds = [k for _, k, _ in found]
+                for k in range(len(KINDS)):
+                    counts[k].append(kinds.count(k))
+                base.append(listed(named(found)))
+                spans.append(listed(all_spans(text, found, common or set(own.as_py() or ()))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(spans, pa.string())],
+                                             names=[*columns, "base", "spans"])
 
-    some = (_with_terms(found, docs).select(*columns, "base", "text", "terms")
-            .mapInArrow(run, ", ".join(f"{c} long" for c in columns) + ", base string, spans string"))
-    none = found.where("mentions IS NULL").select(*columns, "base", F.lit("").alias("spans"))
-    return some.unionByName(none).select(*columns, sha.alias("base_sha256"), "spans")
+    found = rows.select("doc_id", "text", "terms").mapInArrow(run, ", ".join(f"{c} long" for c in columns) + ", base string, spans string")
+    return found.select(*columns, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+def sanitise(docs: DataFrame, held: int = TERMS_HELD) -> DataFrame:
     """The documents, all columns as they are but for ``text`` with its spans replaced (and
     ``n_chars`` with its length)."""
-    rows = materialise(whole_rows(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = find(rows.select("_row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")))
-    found = materialise(found.where("mentions IS NOT NULL"), "found")
+    rows, common = _with_terms(whole_rows(docs).withColumn("text", F.col("doc.text").cast("string")), docs, held)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            new = [replaced(t, all_spans(t, parsed(b), w)) for t, b, w in zip(*(batch.column(c).to_pylist() for c in ("text", "base", "terms")))]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(new, pa.string())], names=["_row", "_text"])
+            new = []
+            for x, own in zip(batch.column(1), batch.column(2)):
+                text = x.as_py()
+                spans = all_spans(text, base_spans(text), common or set(own.as_py() or ())) if text else []
+                new.append(replaced(text, spans) if spans else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["doc", "_text"])
 
-    changed = _with_terms(found, rows.select("doc.text")).select("_row", "base", "text", "terms").mapInArrow(run, "_row long, _text string")
+    whole = rows.select("doc", "text", "terms")
+    changed = whole.mapInArrow(run, T.StructType([whole.schema["doc"], T.StructField("_text", T.StringType())]))
     new = {"text": F.coalesce("_text", F.col("doc.text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_text").isNotNull(), F.length("_text").cast("long")).otherwise(F.col("doc.n_chars"))
-    return unwrapped(rows.join(changed, "_row", "left"), docs.columns, new)
+    return unwrapped(changed, docs.columns, new)
