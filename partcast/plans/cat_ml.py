@@ -18,6 +18,7 @@ from partcast.operators import backtest as BT
 from partcast.operators import classify as K
 from partcast.operators import evaluate as E
 from partcast.operators import leadtime as L
+from partcast.operators import linear as N
 from partcast.operators import ml as M
 from partcast.operators import procure as Q
 from partcast.operators import quality as D
@@ -27,6 +28,7 @@ from partcast.plans.cat_procure import URGENT, WARN
 from partcast.plans.oracle_base import AS_OF, own_span
 from partcast.plans.registry import EP, P, register
 from partcast.plans.sqlkit import cte, sql
+from partcast.plans.sqlsolve import autoregression
 from partcast.session import cut_lineage, ensure_checkpoint_dir
 from partcast.sources import files as IO
 
@@ -123,17 +125,17 @@ def _ml_multiseries_subset(t):
     return fc.select("item_id", "h", "ds", "y", _fine())
 
 
+autoregression("single_fit", "total_pos", f"n - {P.horizon}", P.horizon)
+
+
 @register("ml_single_series", sql(f"""
-SELECT item_id, count(*) AS n_points, true AS fine FROM total_holdout WHERE item_id IN (
-  SELECT item_id FROM total_daily WHERE qty > 0 GROUP BY item_id HAVING count(*) >= {P.single_days})
-GROUP BY item_id""", "total_holdout", "total_daily"))
+SELECT item_id, count(*) AS n_points, avg(abs(qty - yhat)) AS mae, sqrt(avg((qty - yhat) * (qty - yhat))) AS rmse
+FROM single_fit WHERE item_id IN (SELECT item_id FROM total_daily WHERE qty > 0 GROUP BY item_id HAVING count(*) >= {P.single_days})
+GROUP BY item_id""", "single_fit", "total_daily"))
 def _ml_single_series(t):
-    """Per-item quality of the global boosted model, for items with enough demand days."""
-    model, sup = _holdout_model(t)
-    eligible = M.eligible_nonzero(R.dense_series(t, P, "total", "own"), P.single_days).select("item_id").distinct()
-    fc = M.recursive_forecast(model, sup.join(eligible, "item_id", "left_semi"), P, _train())
-    ev = E.error_metrics(_with_actual(t, fc), ("item_id",))
-    return ev.select("item_id", "n_points", _fine("mae"))
+    """A model of its own for every item with enough demand days, and its hold-out errors."""
+    dense = R.dense_series(t, P, "total", "own")
+    return N.single_series(M.eligible_nonzero(dense, P.single_days), P.horizon).drop("coef")
 
 
 cte("routed", """
@@ -319,3 +321,16 @@ FROM (SELECT item_id, method, fold, avg(abs(qty - yhat)) AS fold_mae FROM bt_row
 GROUP BY item_id, method""", "bt_rows"))
 def _backtest(t):
     return BT.backtest_baselines(R.dense_series(t, P, "parts", "fixed"))
+
+
+autoregression("refit", "parts_fixed_pos", "floor(n * 0.8)", 7)
+
+
+@register("backtest_refit", sql("""
+SELECT item_id, count(*) AS n_folds, avg(mae) AS mae_mean, stddev_samp(mae) AS mae_std, min(mae) AS mae_min, max(mae) AS mae_max,
+       avg(mape) AS mape_mean, stddev_samp(mape) AS mape_std, min(mape) AS mape_min, max(mape) AS mape_max
+FROM (SELECT item_id, part, avg(abs(qty - yhat)) AS mae, avg(abs(qty - round(yhat, 6)) / (qty + 1e-8)) * 100 AS mape
+      FROM refit GROUP BY item_id, part) f
+GROUP BY item_id""", "refit"))
+def _backtest_refit(t):
+    return N.backtest_refit(R.dense_series(t, P, "parts", "fixed"))
