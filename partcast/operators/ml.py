@@ -7,10 +7,9 @@ per-item z-scored demand, the ordinal item code and calendar columns.  The item
 code is the item's place among all items (range partitions, no list of items on
 the driver or in a model).
 
-Recursive multi-step forecasting keeps the last ``n_lags`` values per item in
-an array column; each of the ``horizon`` steps scores one row per item and
-appends the value forecast.  Lineage is cut with a reliable ``checkpoint()``
-into the shared checkpoint directory every few steps.
+Recursive multi-step forecasting is one pass over one row per item (``recursive_forecast``).
+Losses that Spark's learners lack (stock-out-penalised, Tweedie) are boosted in
+``operators.boosting``.
 """
 
 from __future__ import annotations
@@ -18,23 +17,22 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (
-    GBTRegressionModel, GBTRegressor, GeneralizedLinearRegression, GeneralizedLinearRegressionModel,
-)
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, GeneralizedLinearRegression
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from partcast.functions import calendar as C
 from partcast.functions.windows import by_item, item_all
+from partcast.operators.boosting import FITTED, Boosted, Expectile, Tweedie, boost
+from partcast.operators.forest import Forest
 from partcast.operators.ranks import ordinals
 from partcast.session import cut_lineage
 
-#: Output column of every fitted regressor.
-FITTED = "yhat_z"
 CAL_COLS = ("day_of_week", "day_of_month", "week_of_year", "month", "quarter", "is_weekend",
             "day_sin", "day_cos", "month_sin", "month_cos", "week_sin", "week_cos")
 
@@ -93,24 +91,47 @@ def _history(sup: DataFrame, n_lags: int, upto: Column) -> DataFrame:
     return sup.where(upto).groupBy("item_id").agg(F.max_by(row, "ds").alias("r")).select("item_id", "r.*")
 
 
-def recursive_forecast(model: PipelineModel, sup: DataFrame, p, upto: Column, horizon: int | None = None,
-                       checkpoint_every: int = 5) -> DataFrame:
+def recursive_forecast(model: PipelineModel, sup: DataFrame, p, upto: Column, horizon: int | None = None) -> DataFrame:
     """Roll the global model forward ``horizon`` days from each item's last row
-    satisfying ``upto``; returns (item_id, h, ds, yhat) on the original scale."""
+    satisfying ``upto``; returns (item_id, h, ds, yhat) on the original scale.
+
+    One pass over one row per item: its last ``n_lags`` values and the calendar columns of
+    the days ahead go to an Arrow batch, where the fitted trees (flat arrays) score all items
+    of the batch step by step, each forecast entering the lags of the next."""
     n_lags, horizon = p.n_lags, horizon or p.horizon
-    state = _history(sup, n_lags, upto).withColumn("ahead", F.array().cast("array<double>"))
-    for step in range(1, horizon + 1):
-        ds = F.date_add("last_ds", step)
-        feats = {f"lag_{k}": F.element_at("hist", -k) for k in range(1, n_lags + 1)}
-        scored = model.transform(state.withColumns({**feats, **calendar_cols(ds)}))
-        state = scored.select("item_id", "mu", "sd", "item_code", "last_ds",
-                              F.slice(F.concat("hist", F.array(FITTED)), 2, n_lags).alias("hist"),
-                              F.concat("ahead", F.array(FITTED)).alias("ahead"))
-        if step % checkpoint_every == 0 and step < horizon:
-            state = cut_lineage(state)
-    out = state.select("item_id", "mu", "sd", "last_ds", F.posexplode("ahead").alias("i", "z"))
-    return out.select("item_id", (F.col("i") + 1).alias("h"), F.date_add("last_ds", F.col("i") + 1).alias("ds"),
-                      F.greatest(F.col("z") * F.col("sd") + F.col("mu"), F.lit(0.0)).alias("yhat"))
+    forest = Forest.of(model.stages[-1])
+    names = model.stages[0].getInputCols()
+    place = {c: i for i, c in enumerate(names)}
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.array(*calendar_cols(F.date_add("last_ds", h)).values()))
+    state = _history(sup, n_lags, upto).select("item_id", "mu", "sd", "last_ds", "item_code", "hist", F.flatten(ahead).alias("days"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            size = len(batch)
+            if not size:
+                continue
+            col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            past = np.asarray(col["hist"].flatten(), dtype=float).reshape(size, n_lags)
+            days = np.asarray(col["days"].flatten()).reshape(size, horizon, len(CAL_COLS))
+            x, out = np.zeros((size, len(names))), np.zeros((size, horizon))
+            x[:, place["item_code"]] = np.asarray(col["item_code"])
+            for h in range(horizon):
+                for k in range(1, n_lags + 1):
+                    x[:, place[f"lag_{k}"]] = past[:, -k]
+                for i, c in enumerate(CAL_COLS):
+                    x[:, place[c]] = days[:, h, i]
+                out[:, h] = forest.predict(x)
+                past = np.column_stack([past[:, 1:], out[:, h]])
+            yhat = np.maximum(out * np.asarray(col["sd"])[:, None] + np.asarray(col["mu"])[:, None], 0.0)
+            each = pa.array(np.repeat(np.arange(size), horizon))
+            yield pa.RecordBatch.from_arrays([col["item_id"].take(each), pa.array(np.tile(np.arange(1, horizon + 1, dtype=np.int32), size)),
+                                              col["last_ds"].take(each), pa.array(yhat.reshape(-1))], names=["item_id", "h", "last_ds", "yhat"])
+
+    kind = sup.schema["item_id"].dataType.simpleString()
+    out = state.mapInArrow(run, f"item_id {kind}, h int, last_ds date, yhat double")
+    return out.select("item_id", "h", F.date_add("last_ds", F.col("h")).alias("ds"), "yhat")
 
 
 def at_least(dense: DataFrame, rows: int) -> DataFrame:
@@ -133,25 +154,10 @@ def eligible_nonzero(dense: DataFrame, min_nonzero: int = 30) -> DataFrame:
     return dense.withColumn("_nz", nz).where(F.col("_nz") >= min_nonzero).drop("_nz")
 
 
-def fit_asymmetric(train: DataFrame, p, penalty: float = 3.0, max_refits: int = 3, settled: float = 0.01,
-                   label: str = "y", base_model: PipelineModel | None = None) -> PipelineModel:
-    """Approximates a stock-out-penalised squared loss: refit with weight
-    ``penalty`` on rows the previous fit under-forecast (y > fitted), until no more
-    than a share ``settled`` of the rows changes sides (at most ``max_refits``
-    times).  Spark's GBT has no custom objective, so this is an approximation of
-    the boosted version (exact for linear models, see ``fit_expectile_linear``)."""
-    model, rows = base_model or fit_global_gbt(train, p, label), None
-    for _ in range(max_refits):
-        under = F.col(label) > F.col(FITTED)
-        before = F.col("w") if rows is not None else F.lit(None).cast("double")
-        scored = model.transform(rows if rows is not None else train).withColumn(
-            "_w", F.when(under, F.lit(penalty)).otherwise(F.lit(1.0))).withColumn("_moved", (F.col("_w") != before).cast("double"))
-        scored = cut_lineage(scored.select(*train.columns, F.col("_w").alias("w"), "_moved"))
-        if rows is not None and (scored.agg(F.avg("_moved")).first()[0] or 0.0) <= settled:
-            break
-        rows = scored.drop("_moved")
-        model = fit_global_gbt(rows, p, label, weight="w")
-    return model
+def fit_asymmetric(train: DataFrame, p, penalty: float = 3.0, label: str = "y", n_lags: int | None = None) -> Boosted:
+    """Boosting on the squared loss that costs ``penalty`` times as much where the forecast
+    lies below the demand."""
+    return boost(train, Expectile(penalty), p, label, names=tuple(feature_names(n_lags or p.n_lags)))
 
 
 def importance_summary(imp: DataFrame, k: int | None = 20) -> DataFrame:
@@ -261,7 +267,7 @@ class Routed:
 
     def save(self, spark, path: str) -> str:
         for route, part, model in self.parts():
-            model.write().save(f"{path}/{route}/{part}")
+            save_model(model, f"{path}/{route}/{part}")
         spark.createDataFrame([(self.names, sorted(self.models))], "names array<string>, routes array<string>").coalesce(1).write.json(f"{path}/contents")
         return path
 
@@ -273,7 +279,7 @@ class Routed:
             if route == "two_stage":
                 models[route] = (GBTClassificationModel.load(f"{path}/{route}/classifier"), GBTRegressionModel.load(f"{path}/{route}/regressor"))
             else:
-                models[route] = GeneralizedLinearRegressionModel.load(f"{path}/{route}/model")
+                models[route] = Boosted.load(spark, f"{path}/{route}/model")
         return cls(row["names"], models)
 
 
@@ -307,7 +313,7 @@ def _fit_route(train: DataFrame, p, power: float | None, penalty: float):
     """One route's model; with a penalty above 1 it is fitted again with that weight on the
     rows that the first fit under-forecasts."""
     def fit(rows, weight=None):
-        return fit_two_stage_on(rows, p, weight) if power is None else fit_tweedie_on(rows, power, weight=weight)
+        return fit_two_stage_on(rows, p, weight) if power is None else boost(rows, Tweedie(power), p, "qty", weight=weight)
 
     model = fit(train)
     if penalty > 1.0:
@@ -375,24 +381,38 @@ def train_all(daily: DataFrame, p, stock_codes: DataFrame | None = None, lead: D
     return out, Routed(names, models)
 
 
-def importances_of(routed: Routed | None, global_model: PipelineModel | None, spark) -> DataFrame:
-    """(model, feature, importance, kind) of every tree model (a two-stage route has two)."""
-    found = []
-    if routed is not None:
-        found += [(f"{route}_{part}", routed.names, m) for route, part, m in routed.parts()]
-    if global_model is not None:
-        found.append(("global_gbt", global_model.stages[0].getInputCols(), global_model.stages[-1]))
-    rows = [(name, f, float(v), "lag" if f.startswith(("lag_", "had_demand_lag_")) else "exog")
-            for name, names, m in found if hasattr(m, "featureImportances")
-            for f, v in zip(names, m.featureImportances.toArray().tolist())]
-    return spark.createDataFrame(rows, "model string, feature string, importance double, kind string")
+def catalogue(spark, path: str) -> list[tuple[str, str, list[str]]]:
+    """(model, path, feature names) of every model that ``Routed.save`` left under a path."""
+    row = spark.read.schema("names array<string>, routes array<string>").json(f"{path}/contents").first()
+    return [(f"{route}_{part}", f"{path}/{route}/{part}", row["names"]) for route in row["routes"]
+            for part in (("classifier", "regressor") if route == "two_stage" else ("model",))]
+
+
+def importances(spark, models: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """(model, feature, importance, kind) for each feature of each saved model: read from the
+    node tables of saved tree ensembles (the impurity taken off by a feature's splits, in
+    weighted rows, as a share of all splits'), or as boosting with own losses has kept them."""
+    out = None
+    for name, path, names in models:
+        if name.startswith("tweedie"):
+            found = spark.read.parquet(path).select(F.posexplode("importances").alias("i", "gain"))
+        else:
+            nodes = spark.read.parquet(f"{path}/data").select("nodeData.*").where(F.col("leftChild") >= 0)
+            found = nodes.groupBy(F.col("split.featureIndex").alias("i")).agg(F.sum(F.col("gain") * F.col("impurityStats")[0]).alias("gain"))
+        features = spark.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in names])).alias("i", "feature"))
+        all_of = F.sum("gain").over(Window.partitionBy(F.lit(0)))              # a row per feature
+        one = features.join(found, "i", "left").select(F.lit(name).alias("model"), "feature", F.coalesce(F.col("gain") / all_of, F.lit(0.0)).alias("importance"))
+        out = one if out is None else out.unionByName(one)
+    lag = F.col("feature").startswith("lag_") | F.col("feature").startswith("had_demand_lag_")
+    return out.withColumn("kind", F.when(lag, "lag").otherwise("exog"))
 
 
 # -- asymmetric (stock-out penalised) least squares: exact for linear models ----------
-def fit_expectile_linear(train: DataFrame, features: str, label: str, penalty: float, max_iter: int = 20):
+def fit_expectile_linear(train: DataFrame, features: str, label: str, penalty: float, max_iter: int = 100):
     """Minimise sum w_i (y_i - x_i b)^2 with w = penalty on under-forecasts, by
     iteratively re-weighted least squares until no row changes sides (the
-    asymmetric-least-squares / expectile fixed point)."""
+    asymmetric-least-squares / expectile fixed point).  Raises if that takes more than
+    ``max_iter`` fits."""
     from pyspark.ml.regression import LinearRegression
 
     lr = LinearRegression(featuresCol=features, labelCol=label, predictionCol=FITTED, weightCol="w", regParam=0.0)
@@ -404,14 +424,14 @@ def fit_expectile_linear(train: DataFrame, features: str, label: str, penalty: f
     for _ in range(max_iter):
         new = cut_lineage(model.transform(cur).select(*train.columns, F.col("w").alias("_before"), weight.alias("w")))
         if not new.where(F.col("w") != F.col("_before")).count():
-            break
+            return model
         cur = new.drop("_before")
         model = lr.fit(cur)
-    return model
+    raise RuntimeError(f"rows still change sides after {max_iter} fits")
 
 
 def tweedie_by_route(daily: DataFrame, p) -> DataFrame:
-    """Tweedie GLMs for the low-zero routes (power 1.3 below 50% zero days, 1.7
+    """Boosted Tweedie models for the low-zero routes (power 1.3 below 50% zero days, 1.7
     below 80%), 80/20 split per item; validation rows with the power used."""
     data, _ = routed_vectors(daily, p)
     routes = {r[0] for r in data.select("model_route").distinct().collect()}      # three at most
@@ -420,7 +440,7 @@ def tweedie_by_route(daily: DataFrame, p) -> DataFrame:
         if power is None or route not in routes:
             continue
         part = data.where(F.col("model_route") == route)
-        s = score(fit_tweedie_on(part.where(F.col("split") == "train"), power), part.where(F.col("split") == "validation"))
+        s = score(boost(part.where(F.col("split") == "train"), Tweedie(power), p, "qty"), part.where(F.col("split") == "validation"))
         s = s.select("item_id", "ds", "qty", "yhat", "tweedie_power")
         out = s if out is None else out.unionByName(s)
     return out
@@ -434,7 +454,9 @@ def one_step(model: PipelineModel, sup: DataFrame) -> DataFrame:
                     F.greatest(F.col(FITTED) * F.col("sd") + F.col("mu"), F.lit(0.0)).alias("yhat"))
 
 
-def save_model(model: PipelineModel, path: str) -> str:
+def save_model(model, path: str) -> str:
+    if isinstance(model, Boosted):
+        return model.save(SparkSession.getActiveSession(), path)
     model.write().save(path)
     return path
 

@@ -41,6 +41,8 @@ class Params:
     gbt_trees: int = 100
     gbt_depth: int = 5
     gbt_lr: float = 0.1
+    loss_trees: int = 20          # rounds and learning rate of boosting with own losses
+    loss_rate: float = 0.3
     seed: int = 42
 
     def with_(self, **kw) -> "Params":

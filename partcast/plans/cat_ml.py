@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from partcast.operators import ml as M
 from partcast.operators import procure as Q
 from partcast.operators import quality as D
 from partcast.operators import reshape as R
+from partcast.operators.boosting import Boosted
 from partcast.operators.extract import window_start
 from partcast.plans.cat_procure import URGENT, WARN
 from partcast.plans.oracle_base import AS_OF, own_span
@@ -39,7 +41,7 @@ def _train():
 
 def _sup(t, holdout=P.horizon, subset=False):
     """Supervised rows of total demand per item, written once to shared storage."""
-    dense = R.dense_series(t, P, "total", "own")
+    dense = cut_lineage(R.dense_series(t, P, "total", "own"))
     if subset:
         trainable = M.at_least(dense, P.n_lags + holdout + 1)
         cats = K.volume_class(R.demand_total(t, P), P.days_back + 1).join(trainable, "item_id", "left_semi")
@@ -47,17 +49,29 @@ def _sup(t, holdout=P.horizon, subset=False):
     return cut_lineage(M.supervised(dense, P.n_lags, holdout))
 
 
-def _fitted(t, name, rows, fit):
-    """The model of this name for these rows: saved in the shared folder under the session
-    and a fingerprint of the rows and parameters, and loaded by any later query for them."""
+def _place(t, name, rows):
+    """Where what is made of these rows is kept: the shared folder, under the session and a
+    fingerprint of the rows and parameters; and whether it is there."""
     print_of = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("item_id", "ds", "qty").cast("decimal(38,0)"))).first()
-    spark = t.spark
     key = hashlib.sha256(repr((name, tuple(print_of), P)).encode()).hexdigest()[:24]
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/partcast-models/{spark.sparkContext.applicationId}/{name}-{key}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        M.save_model(fit(), path)
-    return M.load_model(path)
+    path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/partcast-models/{t.spark.conf.get('spark.app.id')}/{name}-{key}"
+    try:
+        t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        return path, True
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return path, False
+
+
+def _fitted_at(t, name, rows, fit):
+    """Path of the model of this name for these rows, fitted by the first query that asks."""
+    path, there = _place(t, name, rows)
+    return path if there else M.save_model(fit(), path)
+
+
+def _fitted(t, name, rows, fit):
+    return M.load_model(_fitted_at(t, name, rows, fit))
 
 
 def _holdout_model(t):
@@ -170,10 +184,10 @@ def _ml_two_stage(t):
 
 @register("ml_asymmetric", sql("SELECT item_id, ds, qty, true AS fine FROM total_one_step", "total_one_step"))
 def _ml_asymmetric(t):
-    """Standard and penalised fits, one step ahead."""
+    """Standard and penalised boosted models, one step ahead."""
     model, sup = _holdout_model(t)
     rows = sup.where(_train())
-    asym = _fitted(t, "gbt_asymmetric", rows, lambda: M.fit_asymmetric(rows, P, 3.0, base_model=model))
+    asym = Boosted.load(t.spark, _fitted_at(t, "boosted_asymmetric", rows, lambda: M.fit_asymmetric(rows, P, 3.0)))
     std = M.one_step(model, sup)
     pen = M.one_step(asym, sup).select("item_id", "ds", F.col("yhat").alias("yhat_asymmetric"))
     both = std.join(pen, ["item_id", "ds"]).withColumn("least", F.least("yhat", "yhat_asymmetric"))
@@ -191,17 +205,59 @@ FROM (SELECT item_id, route AS model_route, z AS zero_pct, n, points, CASE WHEN
         WHEN n < {P.min_train} THEN 'insufficient_valid_data' ELSE 'success' END AS status
       FROM routed WHERE rn = 0) x""", "routed"))
 def _ml_train_all(t):
-    results, _ = M.train_all(R.demand_total(t, P), P, lead=_lead(t))
-    return results.select("part_id", "status", "zero_pct", "model_route", "train_samples", "val_samples", "error",
-                          F.coalesce(F.col("mae") >= 0, F.lit(False)).alias("has_mae"))
+    return _trained(t)[0].select("part_id", "status", "zero_pct", "model_route", "train_samples", "val_samples", "error",
+                                 F.coalesce(F.col("mae") >= 0, F.lit(False)).alias("has_mae"))
 
 
-@register("ml_importance", sql("SELECT unnest([" + ", ".join(f"'{c}'" for c in M.feature_names(P.n_lags)) + """]) AS feature,
-       1 AS n_models, true AS sums_to_one"""))
+def _trained(t):
+    """Results of training every part, and the path of the routes' models."""
+    daily = R.demand_total(t, P)
+    path, there = _place(t, "train_all", daily)
+    if not there:
+        results, routed = M.train_all(daily, P, lead=_lead(t))
+        routed.save(t.spark, f"{path}/models")
+        results.write.parquet(f"{path}/results")
+    return t.spark.read.parquet(f"{path}/results"), f"{path}/models"
+
+
+def _importances(t):
+    """Importances in all saved models: the global one and those of the routes."""
+    sup = _sup(t)
+    rows = sup.where(_train())
+    path = _fitted_at(t, "gbt_holdout", rows, lambda: M.fit_global_gbt(rows, P))
+    return M.importances(t.spark, [*M.catalogue(t.spark, _trained(t)[1]), ("global_gbt", f"{path}/stages/*GBT*", M.feature_names(P.n_lags))])
+
+
+_ROUTE_MODELS = {"tweedie_1.3": ("tweedie_1.3_model",), "tweedie_1.7": ("tweedie_1.7_model",), "two_stage": ("two_stage_classifier", "two_stage_regressor")}
+# The feature names of the routes' models.
+_ROUTE_FEATURES = [*(f"{k}lag_{n}" for n in (1, 7, 14, 30) for k in ("", "had_demand_")), *(f"rolling_{k}_{n}" for n in (7, 14, 30) for k in ("mean", "std", "max", "min", "zero_count", "nonzero_count")),
+                   *(f"intermittency_ratio_{n}" for n in (7, 14, 30)), "time_since_last_demand", "zero_run_length", "demand_run_length", "demand_concentration_7d",
+                   "demand_concentration_30d", "avg_demand_interval_30d", "demand_probability_7d", "demand_probability_30d"]
+# The business-day features among them.
+BUSINESS = ["day_of_week", "is_monday", "is_friday", "is_weekend", "business_day_of_month", "days_since_weekend", "days_until_weekend", "month", "quarter",
+            "is_month_start", "is_month_end", "is_quarter_start", "is_quarter_end", "day_sin", "day_cos", "month_sin", "month_cos"]
+_quoted = lambda names: ", ".join(f"'{c}'" for c in names)
+
+
+@register("ml_importance", sql(f"""
+SELECT model, feature, CASE WHEN feature LIKE 'lag@_%' ESCAPE '@' OR feature LIKE 'had@_demand@_lag@_%' ESCAPE '@' THEN 'lag' ELSE 'exog' END AS kind,
+       true AS sums_to_one
+FROM (SELECT 'global_gbt' AS model, unnest([{_quoted(M.feature_names(P.n_lags))}]) AS feature
+      UNION ALL SELECT model, unnest([{_quoted(_ROUTE_FEATURES)}, {_quoted(BUSINESS)}, 'item_code', 'lt_mean_days', 'lt_orders']) AS feature
+      FROM (""" + " UNION ALL ".join(f"SELECT '{r}' AS route, '{m}' AS model" for r, ms in _ROUTE_MODELS.items() for m in ms) + f""") m
+      WHERE route IN (SELECT route FROM routed WHERE points >= {P.train_points} AND n >= {P.min_train})) x""", "routed"))
 def _ml_importance(t):
-    model, _ = _holdout_model(t)
-    imp = M.importance_summary(M.importances_of(None, model, t.spark), None)
-    return imp.select("feature", "n_models", (F.abs(F.col("lag_share") + F.col("exog_share") - 1) < 1e-6).alias("sums_to_one"))
+    """Every feature in every saved model."""
+    imp = _importances(t)
+    whole = F.abs(F.sum("importance").over(Window.partitionBy("model")) - 1) < 1e-9
+    return imp.select("model", "feature", "kind", whole.alias("sums_to_one"))
+
+
+@register("ml_importance_top")
+def _ml_importance_top(t):
+    """The 20 features of the highest mean importance over all models, and the shares of lags
+    and of everything else."""
+    return M.importance_summary(_importances(t))
 
 
 @register("ml_forecast_future", sql(f"""

@@ -92,8 +92,8 @@ def test_seasonal_quirk(spark):
     assert vals[7:] == [30] * 7        # h >= 8 repeats the last value
 
 
-def test_importance_names_follow_assembler(spark):
-    """Importance rows carry the assembler's own column names, in order."""
+def test_importances_of_saved_models(spark, tmp_path):
+    """Read from the saved nodes, they are the model's own, under the assembler's names."""
     import datetime as dt
 
     from pyspark.sql import functions as F
@@ -106,9 +106,15 @@ def test_importance_names_follow_assembler(spark):
     dense = spark.createDataFrame(rows, "item_id long, ds date, qty double")
     sup = M.supervised(dense, p.n_lags, 5)
     model = M.fit_global_gbt(sup.where(F.col("split") == "train"), p)
-    imp = M.importances_of({"g": model}, spark).collect()
-    assert [r["feature"] for r in imp] == M.feature_names(p.n_lags)
-    assert {r["kind"] for r in imp if r["feature"].startswith("lag_")} == {"lag"}
+    path = M.save_model(model, f"file://{tmp_path}/model")
+    imp = M.importances(spark, [("g", f"{path}/stages/*GBT*", M.feature_names(p.n_lags))])
+    got = {r["feature"]: r for r in imp.collect()}
+    assert set(got) == set(M.feature_names(p.n_lags)) and imp.count() == len(got)
+    assert {r["kind"] for f, r in got.items() if f.startswith("lag_")} == {"lag"}
+    own = dict(zip(model.stages[0].getInputCols(), model.stages[-1].featureImportances.toArray()))
+    assert all(got[f]["importance"] == pytest.approx(v, abs=1e-12) for f, v in own.items())
+    top = M.importance_summary(imp).collect()
+    assert len(top) <= 20 and top[0]["lag_share"] + top[0]["exog_share"] == pytest.approx(1.0)
 
 
 def test_backtest_ml_small(spark):
@@ -120,6 +126,31 @@ def test_backtest_ml_small(spark):
     rows = [(i, dt.date(2024, 1, 1) + dt.timedelta(days=d), float((d * (i + 2)) % 4))
             for i in range(3) for d in range(30)]
     dense = spark.createDataFrame(rows, "item_id long, ds date, qty double")
-    res = {r["item_id"]: r for r in backtest_ml(dense, p, steps=3, max_folds=2).collect()}
+    # cut-offs at 24 and 27 of 30 days
+    res = {r["item_id"]: r for r in backtest_ml(dense, p, steps=3).collect()}
     assert set(res) == {0, 1, 2}
     assert all(r["n_folds"] == 2 and r["mae_mean"] >= 0 for r in res.values())
+
+
+def test_recursion_in_one_pass_is_the_recursion_day_by_day(spark):
+    """Each day scored by Spark's own model from the lags of the days before."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from partcast.operators import ml as M
+
+    p = Params().with_(gbt_trees=4, gbt_depth=3, n_lags=3)
+    rows = [(i, dt.date(2024, 1, 1) + dt.timedelta(days=d), float((d * (i + 2)) % 5)) for i in range(4) for d in range(40)]
+    sup = M.supervised(spark.createDataFrame(rows, "item_id long, ds date, qty double"), p.n_lags, 6).cache()
+    model = M.fit_global_gbt(sup.where(F.col("split") == "train"), p)
+    got = {(r["item_id"], r["h"]): (r["ds"], r["yhat"]) for r in M.recursive_forecast(model, sup, p, F.col("split") == "train", 6).collect()}
+    past = {i: [r["y"] for r in sup.where(f"item_id = {i} AND split = 'train'").orderBy("ds").collect()] for i in range(4)}
+    last = sup.where("split = 'train'").groupBy("item_id").agg(F.max_by(F.struct("mu", "sd", "item_code", "ds"), "ds").alias("r")).select("item_id", "r.*").collect()
+    for h in range(1, 7):
+        state = [(r["item_id"], r["mu"], r["sd"], r["item_code"], r["ds"] + dt.timedelta(days=h), *past[r["item_id"]][-1:-4:-1]) for r in last]
+        df = spark.createDataFrame(state, "item_id long, mu double, sd double, item_code double, ds date, lag_1 double, lag_2 double, lag_3 double")
+        for r in model.transform(df.withColumns(M.calendar_cols(F.col("ds")))).collect():
+            past[r["item_id"]].append(r[M.FITTED])
+            assert got[r["item_id"], h] == (r["ds"], pytest.approx(max(r[M.FITTED] * r["sd"] + r["mu"], 0.0), abs=1e-9))
+    assert len(got) == 24

@@ -59,8 +59,9 @@ def test_a_route_without_demand_is_an_error_row(spark):
 
 
 def test_penalty_lowers_underforecasts(spark):
-    p = Params().with_(min_train=30, train_points=6, gbt_trees=2)
-    rows = _series(2, [(i * 7 % 5) + 1 for i in range(80)])
+    # an irregular series and shallow trees: what cannot be learned is where a penalty counts
+    p = Params().with_(min_train=30, train_points=6, gbt_trees=2, gbt_depth=2, loss_trees=6)
+    rows = _series(2, [i * i * 7919 % 1009 % 9 + 1 for i in range(160)])
     daily = spark.createDataFrame(rows, "item_id long, ds date, qty double")
     data, _ = M.routed_vectors(daily, p)
     plain, strict = (M._fit_route(data, p, 1.3, x) for x in (1.0, 5.0))
