@@ -7,7 +7,8 @@ one rule rejects is not put to the dearer ones that follow.  The order changes t
 and the rule named, never the verdict.
 
 Defined results: null and empty texts have no words and fail ``min_words``; texts of any
-length are read whole; repeated rows are judged each; an empty table gives no rows; extra
+length are read whole, under the same rules (a text's different words are held against a
+tenth of its words and two and a half times their root, whichever is less); repeated rows are judged each; an empty table gives no rows; extra
 columns are kept by ``keep`` and not read.
 """
 
@@ -107,7 +108,7 @@ RULES = (
     Rule("capitals", lambda t: 100 * _count(t, "[A-Z]") > 50 * F.greatest(_count(t, "[A-Za-z]"), F.lit(1))),
     Rule("repeated_lines", lambda t: let(_lines(t), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > 40 * F.size(x))),
     Rule("word_length", lambda t: let(words(t), lambda w: let(F.length(F.array_join(w, "")), lambda n: (n < 2 * F.size(w)) | (n > 20 * F.size(w))))),
-    Rule("few_distinct", lambda t: let(words(t), lambda w: (F.size(w) < 2000) & (10 * F.size(F.array_distinct(w)) < F.size(w)))),
+    Rule("few_distinct", lambda t: let(words(t), lambda w: let(F.size(F.array_distinct(w)).cast("long"), lambda k: (10 * k < F.size(w)) & (4 * k * k < 25 * F.size(w))))),
 )
 
 
@@ -196,6 +197,6 @@ b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_fa
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (100 * n_symbols > 25 * n_words OR 100 * n_marks > 50 * n_words
            OR 100 * n_upper > 50 * greatest(n_letters, 1) OR 100 * n_dup_lines > 40 * n_lines
-           OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR (n_words < 2000 AND 10 * n_distinct < n_words)) AS kept
+           OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR (10 * n_distinct < n_words AND 4 * n_distinct * n_distinct < 25 * n_words)) AS kept
 FROM b
 """

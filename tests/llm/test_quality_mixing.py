@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from partcast.llm import mixing, quality
 
 from .util import EDGE, cells, documents, empty, prose
@@ -46,6 +48,25 @@ def test_keep_has_the_same_verdict_and_columns(spark):
     assert cells(kept, "doc_id", "text") == sorted(((d["doc_id"], d["text"]) for d in docs.collect() if 10 <= (d["doc_id"] or 0) < 20), key=repr)
 
 
+def test_few_distinct_words_at_any_length(spark):
+    """Words drawn from a hundred, in an order that repeats no window of three: rejected
+    whatever the length; from many words: kept."""
+    def salad(n, words):
+        x, out = 7, []
+        for _ in range(n):
+            x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
+            out.append(f"word{(x >> 33) % words}")
+        return " ".join(out)
+
+    lengths = (1_000, 1_999, 2_000, 20_000)
+    rows = [(k, salad(n, 70 if n == 1_000 else 100)) for k, n in enumerate(lengths)] + [(10 + k, salad(n, 5_000)) for k, n in enumerate(lengths)]
+    few = next(r for r in quality.RULES if r.name == "few_distinct")
+    got = {r["doc_id"]: r["x"] for r in documents(spark, rows).select("doc_id", few.rejects(F.col("text")).alias("x")).collect()}
+    assert got == {k: k < 10 for k in got}
+    kept = {r["doc_id"] for r in quality.keep(documents(spark, rows)).collect()}
+    assert kept == {10, 11, 12, 13}
+
+
 def test_order_is_by_rejection_per_cost():
     rules = [quality.Rule(x, None) for x in "abc"]
     measured = [quality.Measured(rules[0], 1.0, 0.5), quality.Measured(rules[1], 0.1, 0.2), quality.Measured(rules[2], 0.1, 0.01)]
