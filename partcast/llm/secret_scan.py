@@ -315,7 +315,8 @@ def costs(values: DataFrame, texts: DataFrame) -> DataFrame:
 
     counted = materialise(word_counts(texts), "word-counts")
     ranks = positions(counted, "n", descending=True).select(F.col("val").alias("_n"), (F.col("before") + F.col("ties")).cast("double").alias("guesses"))
-    known = values.mapInArrow(parts, "value_id binary, word string").join(counted, "word").distinct()
+    # many more parts than values: their number is not the values' that Spark would go by
+    known = values.mapInArrow(parts, "value_id binary, word string").hint("merge").join(counted, "word").distinct()
     # different counts are few: k of them add up to k (k + 1) / 2 words of text at least
     known = known.join(F.broadcast(ranks), F.col("n") == F.col("_n")).groupBy("value_id").agg(F.collect_list(F.struct("word", "guesses")).alias("words"))
 
