@@ -3,14 +3,15 @@
 A source's words, its documents laid end to end, fall into blocks of ``block`` words.  The
 targets say how many blocks (slots) each source fills.  Per output shard the numbers of
 slots of each source are drawn: a multinomial draw given the sources' totals, so that a
-source meets its target whatever the draw.  Running totals over the shards number a
-source's slots; slot j stands for pass j // n over its n blocks, and within a pass the
+source meets its target whatever the draw.  The mix is laid out by it: a shard holds the
+slots drawn for it, sources intermingled in a pseudorandom order of positions.  Running
+totals over the shards number a source's slots; slot j stands for pass j // n over its n blocks, and within a pass the
 slots go through a pseudorandom permutation of the block indices (a Feistel network, walked
 until it falls in range).  Blocks are then joined to slots by index.  The last slot of a
 source is cut where its target ends, and a source's short last block comes last in a pass.
 
 Defined results: a null source is a source of its own, last; null and empty texts have size
-0 and are taken 0 times; rows equal in doc_id are ordered by their size and are else
+0 and are taken 0 times; very long texts are counted and taken whole, block by block; rows equal in doc_id are ordered by their size and are else
 interchangeable; an empty table gives no rows; extra columns are not read.
 """
 
@@ -71,7 +72,8 @@ def permuted(index: Column, n: Column, *seed: Column) -> Column:
 
 
 def draw_slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 11) -> DataFrame:
-    """sid, shard, slot, pass, block, take: every slot of the mix and what it takes."""
+    """sid, shard, slot, pass, block, take, position: every slot of the mix, what it takes
+    and where it goes (by position within its shard)."""
     full = F.floor(F.col("source_size") / block).cast("long")
     plan = (sources.where("target >= 1").withColumn("full", full)
             .withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
@@ -93,7 +95,13 @@ def draw_slots(sources: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_
                               .otherwise(permuted(F.col("index"), F.col("full"), F.lit(seed), F.col("sid"), F.col("pass"))))
     words = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block") * block)
     take = F.when(F.col("pass") < F.col("passes"), words).otherwise(F.least(words, F.greatest(F.col("over") - F.col("index") * block, F.lit(0).cast("long"))))
-    return spread.select("sid", "shard", "slot", "pass", "block", take.alias("take"))
+    position = F.xxhash64(F.lit(seed), "sid", "slot", F.lit("position"))
+    return spread.select("sid", "shard", "slot", "pass", "block", take.alias("take"), position.alias("position"))
+
+
+def shard_counts(slots: DataFrame) -> DataFrame:
+    """sid, shard, slots: what the draw gave each shard."""
+    return slots.groupBy("sid", "shard").agg(F.count("*").alias("slots"))
 
 
 def _plan(docs: DataFrame, block: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -110,33 +118,38 @@ def _plan(docs: DataFrame, block: int, seed: int) -> tuple[DataFrame, DataFrame]
 
 
 def taken_parts(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows of documents of some size and the slots that take from them: pass, and the
-    document's words ``lo`` up to ``hi``."""
+    """Rows of documents of some size and the slots that take from them: pass, the document's
+    words ``lo`` up to ``hi``, and the slot's shard and position."""
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(
         F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long"))))
     lo = F.greatest(F.lit(0).cast("long"), F.col("block") * block - F.col("start"))
     hi = F.when(F.col("take").isNotNull(), F.least(F.col("size"), F.col("block") * block + F.col("take") - F.col("start")))
-    return (pieces.join(slots.select("sid", "block", "pass", "take"), ["sid", "block"], "left")
+    return (pieces.join(slots.select("sid", "block", "pass", "take", "shard", "position"), ["sid", "block"], "left")
             .withColumn("lo", lo).withColumn("hi", F.greatest(F.col("lo"), F.coalesce(hi, F.lit(0).cast("long")))))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target, taken, of every document."""
+    """doc_id, size, source_size, target, taken, of every document, and ``places``: the shard
+    and position of each part taken, and its words."""
     placed, slots = _plan(docs, block, seed)
     parts = taken_parts(placed, slots, block)
+    words = (F.col("hi") - F.col("lo")).cast("long")
+    place = F.when(words > 0, F.struct(F.col("shard").cast("long").alias("shard"), "position", words.alias("words")))
     some = (parts.groupBy("sid", "start", "doc_id", "size", "source_size", "target")
-            .agg(F.sum(F.col("hi") - F.col("lo")).cast("long").alias("taken")))
-    none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
+            .agg(F.sum(F.col("hi") - F.col("lo")).cast("long").alias("taken"), F.array_sort(F.collect_list(place)).alias("places")))
+    none = placed.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "places": F.array().cast("array<struct<shard:long,position:long,words:long>>")})
+    columns = ["doc_id", "size", "source_size", "target", "taken", "places"]
     return some.select(columns).unionByName(none.select(columns))
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """The mix as documents: a row per document and pass with the words that it takes there
-    (with the white space that follows them), and the other columns as they are."""
+    (with the white space that follows them), and the other columns as they are.  The rows
+    of a shard are together, in the order of the positions drawn (a document longer than a
+    block goes where its first part goes)."""
     placed, slots = _plan(docs, block, seed)
     passes = (taken_parts(placed, slots, block).where("hi > lo")
-              .groupBy("sid", "start", "doc_id", "size", "source", "pass").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+              .groupBy("sid", "start", "doc_id", "size", "source", "pass").agg(F.collect_list(F.struct("lo", "hi", "shard", "position")).alias("ranges"))
               .withColumn("key", F.to_json(F.struct("doc_id", "size", "source"))))
     # rows equal in doc_id, size and source are numbered on either side; any pairing of them is a mix
     ranges = (passes.groupBy("key", "sid", "start").agg(F.collect_list(F.array_sort("ranges")).alias("_passes"))
@@ -151,5 +164,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = 11) -> Data
     taken = F.aggregate("_pass", F.lit(0).cast("long"), lambda a, r: a + r["hi"] - r["lo"])
     cut = let(pieces, lambda w: F.array_join(F.flatten(F.transform("_pass", lambda r: F.slice(w, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), ""))
     out = rows.join(ranges, same).withColumn("_pass", F.explode("_passes"))
+    out = out.withColumns({"_shard": F.element_at("_pass", 1)["shard"], "_position": F.element_at("_pass", 1)["position"]})
+    out = out.repartition("_shard").sortWithinPartitions("_shard", "_position")
     out = out.withColumn("_text", F.when(taken == F.col("_size"), F.col("doc.text")).otherwise(cut))
     return unwrapped(out, docs.columns, {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")})

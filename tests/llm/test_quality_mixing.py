@@ -126,6 +126,56 @@ def test_mixed_documents_hold_what_the_mix_takes(spark):
     assert {k: v for k, v in want.items() if v} == dict(got)
 
 
+def plain_taken(rows, plan, block):
+    """Words taken from each document: slots laid over the blocks of its source by hand."""
+    by_source, taken = {}, Counter()
+    for doc_id, size, sid in rows:
+        by_source.setdefault(sid, []).append((doc_id, size))
+    for sid, docs in by_source.items():
+        words = [doc_id for doc_id, size in docs for _ in range(size)]
+        for s in plan[sid]:
+            taken.update(words[s["block"] * block:s["block"] * block + s["take"]])
+    return taken
+
+
+def test_taken_against_the_plain_way(spark):
+    rows = [(k, prose(k, 10 + 7 * (k % 90)), ("a", "b", "c", None)[k % 4]) for k in range(10, 150)]
+    docs = documents(spark, rows)
+    placed, slots = mixing._plan(docs, 64, 11)
+    laid = [(r["doc_id"], r["size"], r["sid"]) for r in placed.orderBy("sid", "start").collect()]
+    plan = {}
+    for s in slots.collect():
+        plan.setdefault(s["sid"], []).append(s)
+    want = plain_taken(laid, plan, 64)
+    got = {r["doc_id"]: (r["taken"], sum(p["words"] for p in r["places"])) for r in mixing.mix(docs, block=64).collect()}
+    assert got == {k: (want[k], want[k]) for k, *_ in rows}
+
+
+def test_the_draw_lays_out_the_shards(spark):
+    """Slots per shard follow a multinomial of equal chances, given each source's total; parts
+    go where their slot was drawn to, and the mix is written in that order."""
+    sources = spark.createDataFrame([(0, "a", 400_000, 600_000.0), (1, "b", 300_000, 200_000.0)], "sid int, source string, source_size long, target double")
+    slots = mixing.draw_slots(sources, block=64, shard_slots=400).cache()
+    counts = {(r["sid"], r["shard"]): r["slots"] for r in mixing.shard_counts(slots).collect()}
+    for sid, total in ((0, 9375), (1, 3125)):
+        own = [n for (s, _), n in sorted(counts.items()) if s == sid]
+        shards = 32                                                     # (9375 + 3125) / 400, rounded up
+        assert sum(own) == total and len(own) == shards
+        expected = total / shards
+        chi = sum((n - expected) ** 2 / expected for n in own)
+        assert 10 < chi < 62 and len(set(own)) > 5                      # 31 degrees of freedom, 1 in 1000 either side
+    rows = [(k, prose(k, 60), "ab"[k % 2]) for k in range(600)]
+    docs = documents(spark, rows)
+    _, drawn = mixing._plan(docs, 64, 11)
+    shard = {(r["shard"], r["position"]) for r in drawn.collect()}
+    places = [(p["shard"], p["position"]) for r in mixing.mix(docs, block=64).collect() for p in r["places"]]
+    assert set(places) <= shard and len(set(places)) > 500
+    order = [r["doc_id"] for r in mixing.mixed_documents(docs, block=64).coalesce(1).collect()]
+    first = {r["doc_id"]: {(p["shard"], p["position"]) for p in r["places"]} for r in mixing.mix(docs, block=64).collect()}
+    assert sum(not any(a <= b for a in first[x] for b in first[y]) for x, y in zip(order, order[1:])) == 0
+    assert sum(a % 2 != b % 2 for a, b in zip(order, order[1:])) > len(order) // 4      # the sources are intermingled
+
+
 def test_permutation(spark):
     from pyspark.sql import functions as F
 
