@@ -8,9 +8,12 @@ until demand, run lengths) become ``last`` / ``first`` with ``ignoreNulls``
 over row indices.
 
 Spark evaluates a bounded sliding frame by re-aggregating the whole frame for
-every row (O(rows x w)).  Sums, means, counts and shares are therefore taken
-from running totals instead -- ``cum(t) - cum(t - w)``, O(1) per row -- and
-only the non-invertible statistics (std, min, max, Gini) use sliding frames.
+every row (O(rows x w)), so none is used.  Sums, means, counts and shares come from
+running totals, ``cum(t) - cum(t - w)``; extremes and deviations by doubling (what 2k rows
+give comes from two runs of k rows; w rows are two overlapping runs for an extreme, and runs
+side by side for a deviation, so no value outside the frame touches it); and the Gini
+coefficient from the running total of what each row adds to the frame's sum of absolute
+differences, and takes off it.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partcast.functions import calendar as C
-from partcast.functions.windows import after, by_item, frame, upto
+from partcast.functions.windows import after, by_item, upto
 
 LAGS = (1, 7, 14, 30)
 ROLL = (7, 14, 30)
+CONCENTRATION = (7, 30)
 RUNNING = ("_cs_q", "_cs_zero", "_cs_pos")
 
 
@@ -64,26 +68,71 @@ def lag_cols(q: str = "qty") -> dict[str, Column]:
     return out
 
 
-def rolling_cols(q: str = "qty", windows=ROLL, counts: bool = True, stats: bool = True,
-                 running: bool = True) -> dict[str, Column]:
-    """Rolling statistics; with ``running`` the sums / means / counts read the
-    running totals of :func:`with_running` (which must have been applied)."""
+def with_runs(df: DataFrame, windows, q: str = "qty") -> DataFrame:
+    """Adds ``_min_k``, ``_max_k`` and ``_std_k`` (sample deviation, null for one row) of the last
+    k rows (needs :func:`with_running`).  Runs of 1, 2, 4, ... rows have their extremes, sum
+    and squared deviations from two of the runs before; a window takes two overlapping runs
+    for its extremes and, for its deviation, runs side by side.  A row before an item's first
+    counts for nothing."""
+    w = by_item()
+
+    def back(column: str, rows: int) -> Column:
+        return F.lag(column, rows).over(w) if rows else F.col(column)
+
+    def rows_of(length: int, ago: int) -> Column:
+        return F.least(F.col("_rn") + 1 - ago, F.lit(length)).cast("double")
+
+    def extremes(length: int, ago: int) -> tuple[Column, Column]:
+        return F.least(f"_lo_{length}", back(f"_lo_{length}", ago)), F.greatest(f"_hi_{length}", back(f"_hi_{length}", ago))
+
+    def merged(a: tuple, b: tuple) -> tuple[Column, Column, Column]:
+        """(rows, sum, squared deviations) of two runs; the second may lie before the first row."""
+        between = F.col(a[1]) / a[0] - F.col(b[1]) / b[0]
+        return (a[0] + F.greatest(b[0], F.lit(0.0)), F.col(a[1]) + F.coalesce(b[1], F.lit(0.0)),
+                F.col(a[2]) + F.coalesce(F.col(b[2]) + between * between * a[0] * b[0] / (a[0] + b[0]), F.lit(0.0)))
+
+    scratch = ["_lo_1", "_hi_1", "_s_1", "_d_1"]
+    df = df.withColumns({"_lo_1": F.col(q), "_hi_1": F.col(q), "_s_1": F.col(q), "_d_1": F.lit(0.0)})
+    length = 1
+    while 2 * length <= max(windows):
+        lo, hi = extremes(length, length)
+        df = df.withColumns({f"_lo_{2 * length}": lo, f"_hi_{2 * length}": hi, "_sb": back(f"_s_{length}", length), "_db": back(f"_d_{length}", length)})
+        _, total, dev = merged((rows_of(length, 0), f"_s_{length}", f"_d_{length}"), (rows_of(length, length), "_sb", "_db"))
+        length *= 2
+        df = df.withColumns({f"_s_{length}": total, f"_d_{length}": dev})
+        scratch += [f"_{x}_{length}" for x in ("lo", "hi", "s", "d")]
+    for k in windows:
+        largest = 1 << (k.bit_length() - 1)
+        lo, hi = extremes(largest, k - largest)
+        pieces, ago = [], 0
+        for bit in range(k.bit_length() - 1, -1, -1):
+            if k >> bit & 1:
+                pieces.append((1 << bit, ago))
+                ago += 1 << bit
+        df = df.withColumns({f"_min_{k}": lo, f"_max_{k}": hi} | {f"_{x}b{i}": back(f"_{x}_{n}", ago) for i, (n, ago) in enumerate(pieces) for x in "sd"})
+        n = rows_of(*pieces[0])
+        df = df.withColumns({"_sa": F.col("_sb0"), "_da": F.col("_db0")})
+        for i, piece in enumerate(pieces[1:], 1):
+            n, total, dev = merged((n, "_sa", "_da"), (rows_of(*piece), f"_sb{i}", f"_db{i}"))
+            df = df.withColumns({"_sa": total, "_da": dev})
+        df = df.withColumn(f"_std_{k}", F.when(n > 1, F.sqrt(F.col("_da") / (n - 1))))
+        df = df.drop("_sa", "_da", *[f"_{x}b{i}" for i in range(len(pieces)) for x in "sd"])
+    return df.drop("_sb", "_db", *scratch)
+
+
+def rolling_cols(windows=ROLL, counts: bool = True, stats: bool = True) -> dict[str, Column]:
+    """Rolling statistics (need :func:`with_running`, and :func:`with_runs` for ``stats``)."""
     out = {}
     for k in windows:
-        f = frame(k)
         if stats:
-            out[f"rolling_mean_{k}"] = (roll_sum("_cs_q", k) / rows_in(k)) if running else F.avg(q).over(f)
-            out[f"rolling_std_{k}"] = F.stddev_samp(q).over(f)
-            out[f"rolling_max_{k}"] = F.max(q).over(f)
-            out[f"rolling_min_{k}"] = F.min(q).over(f)
+            out[f"rolling_mean_{k}"] = roll_sum("_cs_q", k) / rows_in(k)
+            out[f"rolling_std_{k}"] = F.col(f"_std_{k}")
+            out[f"rolling_max_{k}"] = F.col(f"_max_{k}")
+            out[f"rolling_min_{k}"] = F.col(f"_min_{k}")
         if counts:
-            if running:
-                zc, nz = roll_sum("_cs_zero", k), roll_sum("_cs_pos", k)
-            else:
-                zc = F.sum(F.when(F.col(q) == 0, 1).otherwise(0)).over(f)
-                nz = F.sum(F.when(F.col(q) > 0, 1).otherwise(0)).over(f)
+            zc = roll_sum("_cs_zero", k)
             out[f"rolling_zero_count_{k}"] = zc
-            out[f"rolling_nonzero_count_{k}"] = nz
+            out[f"rolling_nonzero_count_{k}"] = roll_sum("_cs_pos", k)
             out[f"intermittency_ratio_{k}"] = zc / F.lit(float(k))
     return out
 
@@ -110,14 +159,26 @@ def run_cols(q: str = "qty") -> dict[str, Column]:
     }
 
 
-def gini_col(q: str, k: int) -> Column:
-    """Rolling Gini coefficient over the last k rows; 0 when the frame sums to 0."""
-    f = frame(k)
-    arr = F.array_sort(F.collect_list(q).over(f))
-    n = F.size(arr).cast("double")
-    s = F.sum(q).over(f)
-    weighted = F.aggregate(F.transform(arr, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
-    return F.when(s == 0, F.lit(0.0)).otherwise(F.lit(2.0) * weighted / (n * s) - (n + 1) / n)
+def with_differences(df: DataFrame, windows=CONCENTRATION, q: str = "qty") -> DataFrame:
+    """Adds ``_diff_k``, the sum of absolute differences of all pairs within the last k rows: a
+    row brings its differences to the k - 1 before it, and ends those of the row that leaves."""
+    w, back = by_item(), {0: F.col(q)} | {j: F.col(f"_back_{j}") for j in range(1, max(windows) + 1)}
+    df = df.withColumns({f"_back_{j}": F.lag(q, j).over(w) for j in back if j})
+    change = {}
+    for k in windows:
+        brought = sum((F.coalesce(F.abs(back[0] - back[j]), F.lit(0.0)) for j in range(1, k)), F.lit(0.0))
+        ended = sum((F.abs(back[k] - back[j]) for j in range(1, k)), F.lit(0.0))
+        change[f"_change_{k}"] = brought - F.coalesce(ended, F.lit(0.0))
+    df = df.withColumns(change).drop(*[f"_back_{j}" for j in back if j])
+    return df.withColumns({f"_diff_{k}": F.sum(f"_change_{k}").over(upto()) for k in windows}).drop(*change)
+
+
+def gini_col(k: int) -> Column:
+    """Rolling Gini coefficient over the last k rows (needs :func:`with_running` and
+    :func:`with_differences`); 0 when the frame sums to 0."""
+    n, s = rows_in(k), roll_sum("_cs_q", k)
+    ranked = F.col(f"_diff_{k}") + (n + 1) * s          # twice the sum of rank times value
+    return F.when((s == 0) | (roll_sum("_cs_zero", k) == n), F.lit(0.0)).otherwise(ranked / (n * s) - (n + 1) / n)
 
 
 def probability_cols(q: str = "qty") -> dict[str, Column]:
@@ -136,9 +197,11 @@ def intermittent_cols(q: str = "qty", include_lookahead: bool = True) -> dict[st
     if include_lookahead:
         out["time_until_next_demand"] = until_col(q)
     out.update(run_cols(q))
-    out["demand_concentration_7d"] = gini_col(q, 7)
-    out["demand_concentration_30d"] = gini_col(q, 30)
-    return out
+    return out | concentration_cols()
+
+
+def concentration_cols() -> dict[str, Column]:
+    return {f"demand_concentration_{k}d": gini_col(k) for k in CONCENTRATION}
 
 
 def _add(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
@@ -146,7 +209,7 @@ def _add(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
 
 
 def _clean(df: DataFrame) -> DataFrame:
-    return df.drop("_rn", "_cs_since", *RUNNING)
+    return df.drop("_rn", "_cs_since", *RUNNING, *[f"_{x}_{k}" for x in ("min", "max", "std", "diff") for k in (*ROLL, *CONCENTRATION)])
 
 
 # -- public operators (DataFrame -> DataFrame) --------------------------------------
@@ -155,7 +218,7 @@ def lags(dense: DataFrame) -> DataFrame:
 
 
 def rolling_stats(dense: DataFrame) -> DataFrame:
-    return _clean(_add(with_running(dense), rolling_cols(counts=False)))
+    return _clean(_add(with_runs(with_running(dense), ROLL), rolling_cols(counts=False)))
 
 
 def rolling_counts(dense: DataFrame) -> DataFrame:
@@ -175,8 +238,7 @@ def run_lengths(dense: DataFrame) -> DataFrame:
 
 
 def concentration(dense: DataFrame) -> DataFrame:
-    return _add(dense, {"demand_concentration_7d": gini_col("qty", 7),
-                        "demand_concentration_30d": gini_col("qty", 30)})
+    return _clean(_add(with_differences(with_running(dense)), concentration_cols()))
 
 
 def demand_prob(dense: DataFrame) -> DataFrame:
@@ -188,7 +250,7 @@ def demand_prob(dense: DataFrame) -> DataFrame:
 def all_features(dense: DataFrame, include_lookahead: bool = True) -> DataFrame:
     """Lags (8) + rolling (21) + intermittent (9) + business-day (17) = 55 columns.
     ``include_lookahead=False`` drops ``time_until_next_demand`` (it leaks the target)."""
-    df = with_running(dense)
+    df = with_differences(with_runs(with_running(dense), ROLL))
     cols: dict[str, Column] = {}
     cols.update(lag_cols())
     cols.update(rolling_cols())
@@ -204,14 +266,14 @@ def light_features(dense: DataFrame) -> DataFrame:
     """dow/dom/week/month + cyclic dow and month + rolling mean 7, std 7 (NULL -> 0), mean 30."""
     ds = F.col("ds")
     d, m = C.dow(ds), F.month(ds)
-    return dense.withColumns({
+    return _clean(with_runs(with_running(dense), (7,)).withColumns({
         "dayofweek": d, "day": F.dayofmonth(ds), "week": F.weekofyear(ds), "month": m,
         "dayofweek_sin": C.cyc(d, 7, F.sin), "dayofweek_cos": C.cyc(d, 7, F.cos),
         "month_sin": C.cyc(m, 12, F.sin), "month_cos": C.cyc(m, 12, F.cos),
-        "rolling_mean_7": F.avg("qty").over(frame(7)),
-        "rolling_std_7": F.coalesce(F.stddev_samp("qty").over(frame(7)), F.lit(0.0)),
-        "rolling_mean_30": F.avg("qty").over(frame(30)),
-    })
+        "rolling_mean_7": roll_sum("_cs_q", 7) / rows_in(7),
+        "rolling_std_7": F.coalesce("_std_7", F.lit(0.0)),
+        "rolling_mean_30": roll_sum("_cs_q", 30) / rows_in(30),
+    }))
 
 
 # -- calendar operators over the rows of a series ------------------------------------
