@@ -1,12 +1,7 @@
-"""Calendar column expressions (scalar, codegen-friendly, no joins).
-
-The holiday list is a parameter: it becomes an array literal, so nearest
-holiday distances are array expressions evaluated per row instead of a join.
-"""
+"""Calendar column expressions (scalar, codegen-friendly, no joins)."""
 
 from __future__ import annotations
 
-import datetime as dt
 import math
 
 from pyspark.sql import Column
@@ -46,17 +41,13 @@ def cyclic(ds: Column) -> dict[str, Column]:
     }
 
 
-def holiday(ds: Column, holidays: tuple[dt.date, ...], default: int = 999, cap: int = 30) -> dict[str, Column]:
-    """is_holiday, days_to_holiday (next holiday strictly after), days_from_holiday
-    (latest holiday on or before); missing -> ``default``, then capped at ``cap``."""
-    hol = F.array(*[F.lit(h) for h in holidays]) if holidays else F.array().cast("array<date>")
-    diffs = F.transform(hol, lambda h: F.datediff(ds, h))
-    since = F.array_min(F.filter(diffs, lambda x: x >= 0))
-    until = F.array_min(F.transform(F.filter(diffs, lambda x: x < 0), lambda x: -x))
+def holiday(ds: Column, before: Column, after: Column, default: int = 999, cap: int = 30) -> dict[str, Column]:
+    """is_holiday, days_to_holiday and days_from_holiday from the latest holiday on or
+    before a day and the first after it; none -> ``default``, then capped at ``cap``."""
     return {
-        "is_holiday": F.when(F.array_contains(hol, ds), 1).otherwise(0),
-        "days_to_holiday": F.least(F.coalesce(until, F.lit(default)), F.lit(cap)),
-        "days_from_holiday": F.least(F.coalesce(since, F.lit(default)), F.lit(cap)),
+        "is_holiday": F.when(before == ds, 1).otherwise(0),
+        "days_to_holiday": F.least(F.coalesce(F.datediff(after, ds), F.lit(default)), F.lit(cap)),
+        "days_from_holiday": F.least(F.coalesce(F.datediff(ds, before), F.lit(default)), F.lit(cap)),
     }
 
 

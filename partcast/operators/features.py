@@ -18,7 +18,7 @@ differences, and takes off it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partcast.functions import calendar as C
@@ -285,8 +285,36 @@ def calendar_cyclic(df: DataFrame) -> DataFrame:
     return df.withColumns(C.cyclic(F.col("ds")))
 
 
-def calendar_holiday(df: DataFrame, holidays) -> DataFrame:
-    return df.withColumns(C.holiday(F.col("ds"), tuple(holidays)))
+def calendar_holiday(df: DataFrame, holidays, country: str | None = None) -> DataFrame:
+    """Holiday flag and distances of every row, after the holidays of its ``country`` (a column
+    of both; all rows share the holidays where it is None).  ``holidays`` is a table with
+    ``ds``, or a list of dates."""
+    marks = holiday_table(df.sparkSession, holidays)
+    key = F.col(country).cast("string") if country else F.lit("")
+    days = df.select(key.alias("_country"), F.col("ds").alias("_ds")).distinct()
+    near = nearest(days, marks.select((F.col(country).cast("string") if country else F.lit("")).alias("_country"), F.col("ds").alias("_ds")), ["_country"], "_ds")
+    out = df.join(near, key.eqNullSafe(F.col("_country")) & F.col("ds").eqNullSafe(F.col("_ds")), "left")
+    return out.withColumns(C.holiday(F.col("ds"), F.col("_before"), F.col("_after"))).drop("_country", "_ds", "_before", "_after")
+
+
+def holiday_table(spark, holidays) -> DataFrame:
+    if isinstance(holidays, DataFrame):
+        return holidays
+    return spark.createDataFrame([(h,) for h in holidays], "ds date")
+
+
+def nearest(days: DataFrame, marks: DataFrame, by: list[str], on: str) -> DataFrame:
+    """As-of join of the days with the marks of their group: ``_before``, the latest mark on or
+    before, and ``_after``, the first after.  Both sides are united, a day and a mark that
+    coincide being one row, and the marks carried along; a group has one row per day."""
+    both = (days.select(*by, on, F.lit(None).cast("date").alias("_mark"), F.lit(True).alias("_asked"))
+            .unionByName(marks.select(*by, on, F.col(on).alias("_mark"), F.lit(False).alias("_asked")))
+            .groupBy(*by, on).agg(F.max("_mark").alias("_mark"), F.max("_asked").alias("_asked")))
+    w = Window.partitionBy(*by).orderBy(on)
+    carried = both.withColumns({
+        "_before": F.last("_mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "_after": F.first("_mark", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    return carried.where("_asked").select(*by, on, "_before", "_after")
 
 
 def bday_flags(df: DataFrame) -> DataFrame:
@@ -307,4 +335,4 @@ def calendar_exog(dense: DataFrame, horizon: int, holidays) -> DataFrame:
     span = dense.agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
     days = span.select(F.explode(F.sequence("lo", F.date_add("hi", horizon))).alias("ds"))
     ds = F.col("ds")
-    return days.withColumns({**C.basic(ds), **C.cyclic(ds), **C.holiday(ds, tuple(holidays))})
+    return calendar_holiday(days.withColumns({**C.basic(ds), **C.cyclic(ds)}), holidays)
