@@ -26,9 +26,9 @@ from partcast.operators import quality as D
 from partcast.operators import reshape as R
 from partcast.operators.boosting import Boosted
 from partcast.operators.extract import window_start
-from partcast.plans.cat_procure import URGENT, WARN
+from partcast.plans import cat_procure, cat_quality  # noqa: F401  (queries of the report's sheets)
 from partcast.plans.oracle_base import AS_OF, own_span
-from partcast.plans.registry import EP, P, register
+from partcast.plans.registry import EP, P, REGISTRY, register
 from partcast.plans.sqlkit import cte, sql
 from partcast.plans.sqlsolve import autoregression
 from partcast.session import cut_lineage, ensure_checkpoint_dir
@@ -332,12 +332,28 @@ def _model_io(t):
                                                good.alias("saved_successes"))
 
 
-@register("report_tables", sql(f"""
-SELECT 'urgent_orders' AS sheet, (SELECT count(*) FROM (SELECT item_id FROM fut_ss WHERE ds <= {URGENT} GROUP BY 1 HAVING sum(predicted_demand) > 0) u) AS rows
-UNION ALL SELECT 'warning_orders', (SELECT count(*) FROM (SELECT item_id FROM fut_ss WHERE ds > {URGENT} AND ds <= {WARN} GROUP BY 1
-                                                          HAVING sum(predicted_demand) > 0) w)
-UNION ALL SELECT 'summary', 1 UNION ALL SELECT 'historical_analysis', (SELECT count(DISTINCT item_id) FROM parts_dense)
-UNION ALL SELECT 'forecasts', (SELECT count(*) FROM fut_ss)""", "fut_ss", "parts_dense"))
+# The sheets of the procurement report, the query each holds, and its columns
+# (n number, d date, t text).
+_ORDERS = "item_id:n total_demand:n safety_stock:n order_by_date:d priority:t"
+_SHEETS = {
+    "urgent_orders": ("urgent_orders", _ORDERS), "warning_orders": ("warning_orders", _ORDERS),
+    "summary": ("procurement_summary", "total_items:n total_predicted_demand:n items_with_demand:n avg_daily_demand:n peak_demand_date:d forecast_horizon:n"),
+    "historical_analysis": ("historical_summary", "part_id:n consumption_mean:n consumption_std:n consumption_min:n consumption_max:n consumption_count:n date_min:d date_max:d"),
+    "forecasts": ("safety_stock", "item_id:n h:n ds:d predicted_demand:n safety_stock:n"),
+}
+_AS_NUMBER = {"n": "{0}", "d": "date_diff('day', DATE '1970-01-01', {0})", "t": "length({0})"}
+
+
+def _sheet_sums() -> str:
+    parts = []
+    for sheet, (key, columns) in _SHEETS.items():
+        for column, kind in (c.split(":") for c in columns.split()):
+            parts.append(f"SELECT '{sheet}' AS sheet, '{column}' AS \"column\", count(*) AS rows, count({column}) AS filled, "
+                         f"CAST(sum({_AS_NUMBER[kind].format(column)}) AS DOUBLE) AS total FROM ({REGISTRY[key].sql.body}) s")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("report_tables", sql(_sheet_sums(), "fut_ss", "parts_dense"))
 def _report_tables(t):
     fc = Q.safety_stock(Q.future_forecast(R.demand_parts(t, P), P, "MA_NonZero", window_start(P), P.as_of), P.safety_factor)
     sheets = {
@@ -347,7 +363,7 @@ def _report_tables(t):
         "historical_analysis": D.historical_summary(R.dense_series(t, P, "parts", "own")),
         "forecasts": fc,
     }
-    return IO.report_tables(sheets, "procurement_report").select("sheet", "rows")
+    return IO.report_tables(sheets, "procurement_report")
 
 
 W = "PARTITION BY item_id ORDER BY ds"
