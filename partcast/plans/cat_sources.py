@@ -10,18 +10,25 @@ from partcast.plans import cat_reshape  # noqa: F401  (top_fixed CTE)
 from partcast.plans.registry import P, register
 from partcast.plans.sqlkit import sql
 from partcast.sources import files as IO
+from partcast.sources.bounded import BoundedTables
 
-LOGICAL = ("jo_txn", "jo_item", "sorder_txn", "sorder_item", "porder_txn", "porder_item", "product_code")
+# The logical tables and their columns (n number, d day, t text).
+LOGICAL = {
+    "jo_txn": "txn_id:n txn_date:d doc_ref:t void:t", "jo_item": "txn_id:n item_id:n stk_id:n qty:n in_out:t void:t",
+    "sorder_txn": "txn_id:n txn_date:d cust_id:n void:t", "sorder_item": "txn_id:n item_id:n qty:n void:t",
+    "porder_txn": "txn_id:n txn_date:d void:t", "porder_item": "txn_id:n item_id:n supp_id:n qty:n eta_date:d line_no:n void:t",
+    "product_code": "item_id:n stk_id:n stk_code:t prod_name:t deleted:t",
+}
+_AS_NUMBER = {"n": "{0}", "d": "date_diff('day', DATE '1970-01-01', CAST({0} AS DATE))", "t": "length({0})"}
 
 
 @register("scan_tables", sql("\nUNION ALL\n".join(
-    f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in LOGICAL), *LOGICAL))
+    f"SELECT '{n}' AS table_name, '{c}' AS \"column\", count(*) AS rows, count({c}) AS filled, CAST(sum({_AS_NUMBER[k].format(c)}) AS DOUBLE) AS total FROM {n}"
+    for n, columns in LOGICAL.items() for c, k in (x.split(":") for x in columns.split())), *LOGICAL))
 def _scan_tables(t):
-    out = None
-    for n in LOGICAL:
-        part = getattr(t, n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """What the seven tables hold, read by schema and key bounds."""
+    bounded = BoundedTables(t.spark, t.sf_dir)
+    return IO.contents({n: getattr(bounded, n) for n in LOGICAL}).withColumnRenamed("sheet", "table_name")
 
 
 @register("scan_coerce", sql("""
