@@ -217,3 +217,42 @@ def prove(docs: DataFrame, span: int = LEVELS, spread: int = SPREAD) -> DataFram
     return _climb(start, nodes, spread).select(
         "doc_id", text("leaf").alias("leaf"), text("subroot").alias("subroot"), top.alias("root"),
         F.sha2(text("proof"), 256).alias("proof_sha256"), text("folded").alias("folded_root"), (text("folded") == top).alias("verified"))
+
+
+def _oracle() -> str:
+    """The manifest node by node: trees level by level, then a climb from every leaf."""
+    field = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("id", "source", "lang", "size", text)) + ")"
+    # the last bit of crc32, bit by bit: a byte is added, then shifted out eight times
+    crc = ("list_reduce([4294967295] || flatten(list_transform(range(1, length(id) + 1), lambda i: [ascii(substr(id, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1])), "
+           "lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)")
+    siblings = """coalesce(lag(h, 2) OVER w, '') || coalesce(lag(h, 1) OVER w, '') AS before, coalesce(lead(h, 1) OVER w, '') || coalesce(lead(h, 2) OVER w, '') AS after"""
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, CAST(doc_id AS VARCHAR) AS id, source, lang, CAST(n_chars AS VARCHAR) AS size, text,
+                            replace(text, chr(10), '') AS cut FROM documents),
+l AS (SELECT rid, doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, {leaf("text")} AS leaf,
+             CASE WHEN id IS NOT NULL AND ({crc}) & 1 = 1 THEN {leaf("cut")} ELSE {leaf("text")} END AS changed FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM l),
+lv AS (SELECT tree, 0 AS lvl, idx, leaf AS h, n FROM p
+       UNION ALL SELECT tree, lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM lv WHERE n > 1 GROUP BY tree, lvl, idx // 3, n),
+sr AS (SELECT tree, h FROM lv WHERE n = 1),
+tv AS (SELECT 0 AS lvl, tree AS idx, h, (SELECT count(*) FROM sr) AS n FROM sr
+       UNION ALL SELECT lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM tv WHERE n > 1 GROUP BY lvl, idx // 3, n),
+ls AS (SELECT tree, lvl, idx, {siblings} FROM lv WHERE n > 1 WINDOW w AS (PARTITION BY tree, lvl, idx // 3 ORDER BY idx)),
+ts AS (SELECT lvl, idx, {siblings} FROM tv WHERE n > 1 WINDOW w AS (PARTITION BY lvl, idx // 3 ORDER BY idx)),
+up AS (SELECT rid, tree, 0 AS lvl, idx, changed AS folded, '' AS proof FROM p
+       UNION ALL SELECT u.rid, u.tree, u.lvl + 1, u.idx // 3, sha256(s.before || u.folded || s.after), u.proof || s.before || s.after
+       FROM up u JOIN ls s ON u.tree = s.tree AND u.lvl = s.lvl AND u.idx = s.idx),
+high AS (SELECT rid, tree, max(lvl) AS lvl FROM up GROUP BY rid, tree),
+tup AS (SELECT u.rid, 0 AS lvl, u.tree AS idx, u.folded, u.proof FROM up u JOIN high m ON u.rid = m.rid AND u.lvl = m.lvl
+        UNION ALL SELECT u.rid, u.lvl + 1, u.idx // 3, sha256(s.before || u.folded || s.after), u.proof || s.before || s.after
+        FROM tup u JOIN ts s ON u.lvl = s.lvl AND u.idx = s.idx),
+top AS (SELECT rid, max(lvl) AS lvl FROM tup GROUP BY rid),
+root AS (SELECT h FROM tv WHERE n = 1)
+SELECT p.doc_id, p.leaf, sr.h AS subroot, (SELECT h FROM root) AS root, sha256(u.proof) AS proof_sha256, u.folded AS folded_root,
+       u.folded = (SELECT h FROM root) AS verified
+FROM p JOIN sr ON p.tree = sr.tree JOIN top ON p.rid = top.rid JOIN tup u ON u.rid = top.rid AND u.lvl = top.lvl
+"""
+
+
+ORACLE = _oracle()

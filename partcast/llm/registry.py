@@ -35,6 +35,7 @@ ORACLES = {
     "op6_url_filters": urls.ORACLE,
     "op7_minhash_near_dedup": near_duplicates.ORACLE,
     "op9_embedding_near_dedup": embeddings.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
 
 
