@@ -124,7 +124,9 @@ def taken_parts(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> Data
         F.floor(F.col("start") / block).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / block).cast("long"))))
     lo = F.greatest(F.lit(0).cast("long"), F.col("block") * block - F.col("start"))
     hi = F.when(F.col("take").isNotNull(), F.least(F.col("size"), F.col("block") * block + F.col("take") - F.col("start")))
-    return (pieces.join(slots.select("sid", "block", "pass", "take", "shard", "position"), ["sid", "block"], "left")
+    # there are as many slots as blocks, though they come from the small table of sources
+    drawn = slots.select("sid", "block", "pass", "take", "shard", "position").hint("merge")
+    return (pieces.join(drawn, ["sid", "block"], "left")
             .withColumn("lo", lo).withColumn("hi", F.greatest(F.col("lo"), F.coalesce(hi, F.lit(0).cast("long")))))
 
 
