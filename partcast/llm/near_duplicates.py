@@ -16,7 +16,8 @@ At a similarity of 0.75 a pair misses all bands with a chance of 5e-6, and the s
 bound (0.58) with one of 3e-6.
 
 Defined results: null or empty texts, and those without a word, have an empty set, link with
-nothing and are kept; fewer words than a shingle are one shingle; rows with one doc_id are
+nothing and are kept; very long texts are shingled whole; of equally similar documents none
+comes first, links are kept and the least doc_id stays; fewer words than a shingle are one shingle; rows with one doc_id are
 one document, linked by any of their texts; rows with a null doc_id take no part (component
 null, kept); an empty table gives no rows; extra columns are not read by ``judge`` and kept
 by ``keep``.

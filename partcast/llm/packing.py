@@ -12,8 +12,9 @@ lengths (at most ``capacity`` rows, whatever the number of documents) and then d
 3. Every piece gets its rank among those of its length (two-level prefix sums), and the
    rank its place in the plan.
 
-Defined results: null and empty texts are the end token alone; repeated rows are packed
-each; an empty table gives no rows; a doc_id may be null; extra columns are not read.
+Defined results: null and empty texts are the end token alone; very long texts are encoded
+whole and cut into pieces; pieces of equal length are interchangeable and dealt out in the order
+of their documents; repeated rows are packed each; an empty table gives no rows; a doc_id may be null; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ into buckets of bounded size, a task each, and what leaves a bucket is combined
 All of it is one plan: the documents are shuffled once, and Spark uses that shuffle again
 in every step.  A lost executor's part is recomputed from the input.
 
-Defined results: null texts are empty; documents under 50 bytes stay whole; rows with a null
+Defined results: null texts are empty; documents under 50 bytes stay whole; very long texts are
+searched whole, segment by segment; rows with a null
 doc_id are neither searched nor sources; rows with one doc_id don't count as earlier than each
 other; an empty table gives no rows; extra columns are not read.
 """

@@ -6,7 +6,8 @@ lengths, so that no task needs the whole histogram) give, for any context limit,
 documents at least that long, the total, the total after truncation, and quantiles.
 
 Defined results: a null or empty text has the length of its end token alone (0 without
-one); repeated rows count each time; an empty table gives no rows (and null totals);
+one); very long texts are encoded whole; documents of equal length are one row of the
+histogram, counted each; repeated rows count each time; an empty table gives no rows (and null totals);
 extra columns are not read.
 """
 

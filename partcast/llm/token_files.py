@@ -8,8 +8,8 @@ nearly constant and shrink to almost nothing.  Chunks are rows of Parquet files
 further compression, so any store that Spark reaches will do.  A chunk's index columns name
 the shard, the chunk, its number of ids, and the documents in it with their places.
 
-Defined results: a null or empty text is the end id alone; rows with one doc_id are written
-in the order of their texts; null doc_ids come first; an empty table gives files without
+Defined results: a null or empty text is the end id alone; very long texts are encoded whole,
+over as many blocks as they take; rows with one doc_id are written in the order of their texts; null doc_ids come first; an empty table gives files without
 rows; extra columns are not read.
 """
 

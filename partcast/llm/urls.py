@@ -9,7 +9,9 @@ threshold is blocked.  Hosts without labels have their domain's posterior, and s
 Rules are a short hand-written list (``MAX_RULES``), tried longest first.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, and
-the overall reputation; an empty host is a group of its own; rows of one page_id are judged
+the overall reputation; an empty host is a group of its own; very long urls, hosts and
+paths are read whole; of rules that fit, the longest decides (of equally long ones the later by
+code point); rows of one page_id are judged
 each, and a page_id labelled several times counts each label; without labels nothing is
 blocked but by rules; an empty table gives no rows; extra columns are not read.
 """
@@ -48,11 +50,11 @@ def _rest(url: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    return F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0)
+    return F.substring_index(host, ".", -2)
 
 
 def suffix_of(host: Column) -> Column:
-    return F.regexp_extract(host, r"[^.]*$", 0)
+    return F.substring_index(host, ".", -1)
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:

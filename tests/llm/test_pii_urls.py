@@ -174,3 +174,12 @@ def test_disclosure_against_the_plain_way(spark):
                      if m.group().lower() in hidden and not any(i < m.end() and m.start() < j for i, _, j in base)]
             expected = sorted([(i, k, pii.KINDS[k], j) for i, k, j in base] + [(i, 9, "term", j) for i, j in terms])
             assert r["spans"] == ",".join(f"{kind}:{i}:{j}" for i, _, kind, j in expected)
+
+
+def test_long_urls(spark):
+    """Hosts, paths and queries of any length are read whole."""
+    long = "a" * 60_000
+    rows = [(1, f"http://{long}.example.org/en/1{long}?{long}", "", ""), (2, f"http://h.net/{long}#x", "", ""), (3, "x" * 100_000, "", ""), (4, "://" * 30_000, "", "")]
+    got = {r["page_id"]: r for r in urls.judge(pages(spark, rows), labels(spark, [])).collect()}
+    assert got[1]["host"] == f"{long}.example.org" and got[1]["path"] == f"/en/1{long}" and got[1]["rule"] == "example.org/en/1" and got[1]["verdict"] == "block"
+    assert got[2]["path"] == f"/{long}" and got[3]["host"] == got[3]["path"] == "" and got[4]["host"] == ":"
