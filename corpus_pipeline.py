@@ -3,6 +3,12 @@
 ``STAGES`` run in order; each takes (spark, docs, sf_dir) and returns a DataFrame, which
 ``run`` writes as Parquet into the shared folder and reads again as the next one's docs.
 All but the last return the columns of documents.
+
+Defined results, by what a stage's operator defines (its module states every case): rows without
+words, null and empty texts among them, fail the quality rules; texts of any length are read
+whole in every stage; of repeated rows and near copies one row of the least doc_id stays, and
+rows without a doc_id take no part in that; an empty table passes through as
+one; extra columns, whatever their names, are carried to the mix.
 """
 
 from __future__ import annotations
