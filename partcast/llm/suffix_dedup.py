@@ -11,17 +11,19 @@ into buckets of bounded size, a task each, and what leaves a bucket is combined
 
 1. Shortened keys of every bucket meet by key range; a bucket learns by a bit for each key
    whether another bucket has it as well.
-2. The shared keys meet again in full, with the segments' hash and the least and greatest
-   document.  Where all segments of a key are one string, the least document settles it.
-3. Of the other keys the segments themselves meet.  There all their 50-byte suffixes are
-   sorted, ties by document, so that the previous smaller position of a suffix lies in its
-   run of equal 50-byte prefixes if its longest previous factor reaches 50; the bucket gets
-   the least document of each suffix's run.  A key with very many segments is split by the
-   hashes of its windows.
+2. The shared keys meet again in full, with a 128-bit BLAKE2 digest of their segments and the
+   least and greatest document.  Where all segments of a key are one string, the longest
+   previous factors are those of that string's first document, which settles it.
+3. Of the other keys the segments themselves meet.  There their suffixes are put in order, with
+   the common bytes of neighbours; the previous and next smaller positions (nearest suffixes of
+   smaller documents before and after) give the longest previous factor of each, and the
+   bucket gets a bit that says whether it reaches 50.  A key with very many segments is split
+   by the hashes of its windows.
 4. Each bucket marks its matches and cuts its documents.
 
-All of it is one plan: the documents are shuffled once, and Spark uses that shuffle again
-in every step.  A lost executor's part is recomputed from the input.
+All of it is one plan: the documents are shuffled once, into as many partitions as there are
+buckets, and Spark uses that shuffle again in every step.  A lost executor's part is
+recomputed from the input.
 
 Defined results: null texts are empty; documents under 50 bytes stay whole; very long texts are
 searched whole, segment by segment; rows with a null
@@ -47,7 +49,7 @@ CHUNK = 250_000                 # bytes hashed at a time
 
 _rng = np.random.RandomState(5417)
 _BYTE = _rng.randint(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = _rng.randint(0, 2**63, 8, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = _rng.randint(0, 2**63, 4, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -85,22 +87,20 @@ def unpack_sorted(raw: bytes, n: int) -> np.ndarray:
 
 @dataclass
 class Segments:
-    """Segments of a bucket: document (row), first byte there, windows, key and hash."""
+    """Segments of a bucket: document (row), first byte there, windows and key."""
     doc: np.ndarray
     start: np.ndarray
     windows: np.ndarray
     key: np.ndarray
-    sign: np.ndarray
 
 
 def _segments_of(data: np.ndarray, ends: np.ndarray, match: int) -> tuple[np.ndarray, ...]:
-    """Of documents laid end to end: first byte, windows, key and hash of each segment."""
+    """Of documents laid end to end: first byte, windows and key of each segment."""
     n = len(data)
     h, width, levels = _BYTE[data], 1, 0
     while width < GRAM:
         h = h[:-width] * _STEP[levels] + h[width:]
         width, levels = 2 * width, levels + 1
-    twice = h[:-GRAM] * _STEP[levels] + h[GRAM:]         # hashes of 32 bytes
     low, span, grams = _mix(h) >> np.uint64(1), 1, match - GRAM + 1
     while 2 * span <= grams:
         low = np.minimum(low[:-span], low[span:])
@@ -120,12 +120,7 @@ def _segments_of(data: np.ndarray, ends: np.ndarray, match: int) -> tuple[np.nda
     windows = np.diff(np.append(at, len(valid)))
     own = valid[at]
     at, windows = at[own], windows[own]
-    length = windows + match - 1
-    sign = _mix(twice[at]) * _STEP[5] + _mix(twice[at + length - 2 * GRAM]) * _STEP[6]
-    sign = _mix(sign + _mix(twice[at + length // 2 - GRAM]) * _STEP[7] + length.astype(np.uint64))
-    for i in np.flatnonzero(length > 6 * GRAM):          # three hashes don't cover these
-        sign[i] = int.from_bytes(hashlib.blake2b(data[at[i]:at[i] + length[i]].tobytes(), digest_size=8).digest(), "little")
-    return at, windows, low[at].astype(np.int64), sign.view(np.int64)
+    return at, windows, low[at].astype(np.int64)
 
 
 def segments(texts: list[bytes], rows: np.ndarray, match: int = MATCH) -> Segments:
@@ -140,10 +135,10 @@ def segments(texts: list[bytes], rows: np.ndarray, match: int = MATCH) -> Segmen
             size += len(texts[long[at]])
             at += 1
         ends = np.cumsum([len(texts[i]) for i in part])
-        place, windows, key, sign = _segments_of(np.frombuffer(b"".join(texts[i] for i in part), dtype=np.uint8), ends, match)
+        place, windows, key = _segments_of(np.frombuffer(b"".join(texts[i] for i in part), dtype=np.uint8), ends, match)
         k = np.searchsorted(ends, place, side="right")
-        out.append((np.array(part)[k], place - np.concatenate([[0], ends[:-1]])[k], windows, key, sign))
-    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, dtype=np.int64)] * 5
+        out.append((np.array(part)[k], place - np.concatenate([[0], ends[:-1]])[k], windows, key))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, dtype=np.int64)] * 4
     return Segments(*columns)
 
 
@@ -155,25 +150,43 @@ class Bucket:
     def __init__(self, table, match: int):
         ids = table.column("doc_id")
         self.match = match
-        self.texts = [x.as_py().encode() if x.is_valid else b"" for x in table.column("text")]
-        self.null = np.array(ids.is_null())
-        self.ids = ids.fill_null(0).to_numpy()
+        texts = [x.as_py().encode() if x.is_valid else b"" for x in table.column("text")]
+        # a shuffle's rows come in any order; each step has to see the same
+        rows = sorted(zip(ids.is_null().to_pylist(), ids.fill_null(0).to_pylist(), texts))
+        self.null = np.array([r[0] for r in rows], dtype=bool)
+        self.ids = np.array([r[1] for r in rows], dtype=np.int64)
+        self.texts = [r[2] for r in rows]
         s = self.segments = segments(self.texts, np.flatnonzero(~self.null), match)
         self.keys, self.of = np.unique(s.key, return_inverse=True)
         n = len(self.keys)
-        order = np.lexsort((s.sign, self.of))
-        key, sign, doc = self.of[order], s.sign[order], self.ids[s.doc[order]]
-        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        order = np.argsort(self.of, kind="stable")
+        doc = self.ids[s.doc[order]]
+        starts = np.flatnonzero(np.diff(self.of[order], prepend=-1))
         self.least = np.minimum.reduceat(doc, starts) if n else doc
         self.greatest = np.maximum.reduceat(doc, starts) if n else doc
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (sign[1:] != sign[:-1])
-        self.strings = np.add.reduceat(new.astype(np.int64), starts) if n else starts
-        self.sign = sign[starts]
 
-    def bounds(self, step: int, ranges: int) -> np.ndarray:
-        """Places in ``keys`` where the key ranges begin."""
-        return np.append(np.searchsorted(self.keys, np.array([r * step for r in range(ranges)], dtype=np.int64)), len(self.keys))
+    def text(self, i: int) -> bytes:
+        """The bytes of segment ``i``."""
+        begin = self.segments.start[i]
+        return self.texts[self.segments.doc[i]][begin:begin + self.segments.windows[i] + self.match - 1]
+
+    def digests(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each chosen key: the least digest (two numbers) and the number of different ones."""
+        own = np.flatnonzero(chosen[self.of])
+        raw = b"".join([hashlib.blake2b(self.text(i), digest_size=16).digest() for i in own.tolist()])
+        digest = np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
+        order = np.lexsort((digest[:, 1], digest[:, 0], self.of[own]))
+        key, digest = self.of[own][order], digest[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        new = np.ones(len(key), dtype=np.int64)
+        new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1]).any(axis=1)
+        return digest[starts], np.add.reduceat(new, starts)
+
+    def ranges(self, step: int) -> list[tuple[int, int, int]]:
+        """The key ranges that the bucket has keys in, and where they begin and end in ``keys``."""
+        of = self.keys // step
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        return list(zip(of[starts].tolist(), starts.tolist(), np.append(starts[1:], len(of)).tolist()))
 
 
 def _rows(kinds, columns):
@@ -212,11 +225,10 @@ def short_keys(plan: Plan):
         import pyarrow as pa
 
         b = Bucket(table, plan.match)
-        cut, out = b.bounds(plan.step, plan.ranges), []
-        for r in range(plan.ranges):
-            k = np.unique(b.keys[cut[r]:cut[r + 1]] >> plan.drop)
-            if len(k):
-                out.append((r, table.column("bucket")[0].as_py(), len(k), pack_sorted(k)))
+        out = []
+        for r, i, j in b.ranges(plan.step):
+            k = np.unique(b.keys[i:j] >> plan.drop)
+            out.append((r, table.column("bucket")[0].as_py(), len(k), pack_sorted(k)))
         return _rows([("range", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())], zip(*out) if out else [[]] * 4)
     return run, "range long, bucket long, n long, keys binary"
 
@@ -237,7 +249,7 @@ def shared_bits(table):
     return _rows([("range", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())], [[r["range"] for r in rows], [r["bucket"] for r in rows], bits])
 
 
-_FULL = [("range", "long"), ("bucket", "long"), ("all", "long"), ("n", "long"), ("chosen", "binary"), ("keys", "binary"), ("signs", "binary"),
+_FULL = [("range", "long"), ("bucket", "long"), ("all", "long"), ("n", "long"), ("chosen", "binary"), ("keys", "binary"), ("digests", "binary"),
          ("least", "binary"), ("greatest", "binary"), ("strings", "binary")]
 
 
@@ -250,19 +262,19 @@ def shared_keys(plan: Plan):
         if not table.num_rows:
             return _rows([(n, pa.int64() if t == "long" else pa.binary()) for n, t in _FULL], [[]] * len(_FULL))
         b = Bucket(table, plan.match)
-        cut, answers, out = b.bounds(plan.step, plan.ranges), _answers(flags), []
-        for r in range(plan.ranges):
-            mine = slice(cut[r], cut[r + 1])
-            full = b.keys[mine]
-            if not len(full):
-                continue
-            short, back = np.unique(full >> plan.drop, return_inverse=True)
-            bits = np.unpackbits(np.frombuffer(answers[r]["bits"], dtype=np.uint8), count=len(short)).astype(bool)
-            chosen = bits[back] | (b.least[mine] != b.greatest[mine])
-            if chosen.any():
-                k = full[chosen]
-                out.append((r, key[0].as_py(), len(full), len(k), np.packbits(chosen).tobytes(), pack_sorted(k), b.sign[mine][chosen].tobytes(),
-                            pack(b.least[mine][chosen]), pack(b.greatest[mine][chosen]), pack(b.strings[mine][chosen])))
+        parts, answers, out = b.ranges(plan.step), _answers(flags), []
+        chosen = b.least != b.greatest
+        for r, i, j in parts:
+            short, back = np.unique(b.keys[i:j] >> plan.drop, return_inverse=True)
+            chosen[i:j] |= np.unpackbits(np.frombuffer(answers[r]["bits"], dtype=np.uint8), count=len(short)).astype(bool)[back]
+        if chosen.any():
+            digest, strings = b.digests(chosen)
+            before = np.concatenate([[0], np.cumsum(chosen)])
+            for r, i, j in parts:
+                own, of = chosen[i:j], slice(before[i], before[j])
+                if own.any():
+                    out.append((r, key[0].as_py(), j - i, before[j] - before[i], np.packbits(own).tobytes(), pack_sorted(b.keys[i:j][own]), digest[of].tobytes(),
+                                pack(b.least[i:j][own]), pack(b.greatest[i:j][own]), pack(strings[of])))
         return _rows([(n, pa.int64() if t == "long" else pa.binary()) for n, t in _FULL], zip(*out) if out else [[]] * len(_FULL))
     return run, ", ".join(f"{n} {t}" for n, t in _FULL)
 
@@ -282,13 +294,14 @@ def settle(table):
     """Step 2 in a key range: state and least document of every key."""
     rows = table.to_pylist()
     keys = np.concatenate([unpack_sorted(r["keys"], r["n"]) for r in rows])
-    signs = np.concatenate([np.frombuffer(r["signs"], dtype=np.int64) for r in rows])
+    digests = np.concatenate([np.frombuffer(r["digests"], dtype="<i8").reshape(-1, 2) for r in rows])
     least, greatest, strings = (np.concatenate([unpack(r[c], r["n"]) for r in rows]) for c in ("least", "greatest", "strings"))
     order = np.argsort(keys, kind="stable")
     starts = np.flatnonzero(np.diff(keys[order], prepend=np.int64(-1)))
     group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
     lo, hi = np.minimum.reduceat(least[order], starts), np.maximum.reduceat(greatest[order], starts)
-    one = (np.minimum.reduceat(signs[order], starts) == np.maximum.reduceat(signs[order], starts)) & (np.maximum.reduceat(strings[order], starts) == 1)
+    one = ((np.minimum.reduceat(digests[order], starts) == np.maximum.reduceat(digests[order], starts)).all(axis=1)
+           & (np.maximum.reduceat(strings[order], starts) == 1))
     total = np.add.reduceat(strings[order], starts)
     state = np.where(lo == hi, ONE_DOCUMENT, np.where(one, ONE_STRING, np.where(total <= HOT, SEVERAL, MANY))).astype(np.uint8)
     state_of, least_of = np.empty(len(keys), dtype=np.uint8), np.empty(len(keys), dtype=np.int64)
@@ -301,10 +314,10 @@ def settle(table):
 def _states(b: Bucket, plan: Plan, answers) -> tuple[np.ndarray, np.ndarray]:
     """State and least document of each of the bucket's keys."""
     state, least = np.zeros(len(b.keys), dtype=np.uint8), np.zeros(len(b.keys), dtype=np.int64)
-    cut = b.bounds(plan.step, plan.ranges)
+    begin = {r: i for r, i, _ in b.ranges(plan.step)}
     for a in answers:
         if a["kind"] == 0:
-            at = cut[a["range"]] + np.flatnonzero(np.unpackbits(np.frombuffer(a["chosen"], dtype=np.uint8), count=a["all"]))
+            at = begin[a["range"]] + np.flatnonzero(np.unpackbits(np.frombuffer(a["chosen"], dtype=np.uint8), count=a["all"]))
             state[at], least[at] = unpack(a["state"], a["n"]), unpack(a["least"], a["n"])
     return state, least
 
@@ -325,39 +338,39 @@ def _pieces(b: Bucket, state: np.ndarray, plan: Plan):
     several, many = np.flatnonzero(state_of == SEVERAL), np.flatnonzero(state_of == MANY)
     docs = b.ids[s.doc]
 
-    def text(i, skip=0, n=None):
-        begin = s.start[i] + skip
-        return b.texts[s.doc[i]][begin:begin + (s.windows[i] if n is None else n) + plan.match - 1]
-
-    order = several[np.lexsort((s.sign[several], s.key[several]))]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (s.key[order][1:] != s.key[order][:-1]) | (s.sign[order][1:] != s.sign[order][:-1])
-    starts = np.flatnonzero(new)
-    texts = [text(i) for i in order[starts]]
-    least = np.minimum.reduceat(docs[order], starts) if len(order) else np.empty(0, dtype=np.int64)
-    task = (_mix(s.key[order[starts]].astype(np.uint64)) % np.uint64(plan.pieces)).astype(np.int64)
-    piece_of = np.cumsum(new) - 1
-
-    found: dict[bytes, int] = {}
-    extra_least, many_pieces = [], []
-    for i in many.tolist():
+    found: dict[tuple[int, bytes], int] = {}
+    least, of = [], []
+    for i in several.tolist():                           # segments by their bytes
+        k = found.setdefault((s.key[i], b.text(i)), len(found))
+        if k == len(least):
+            least.append(docs[i])
+        elif docs[i] < least[k]:
+            least[k] = docs[i]
+        of.append(k)
+    task = (_mix(np.array([k for k, _ in found], dtype=np.int64).astype(np.uint64)) % np.uint64(plan.pieces)).astype(np.int64)
+    texts = [w for _, w in found]
+
+    single: dict[bytes, int] = {}
+    single_least, single_of = [], []
+    for i in many.tolist():                              # windows by their bytes
+        whole = b.text(i)
         for skip in range(int(s.windows[i])):
-            w = text(i, skip, 1)
-            k = found.setdefault(w, len(found))
-            if k == len(extra_least):
-                extra_least.append(docs[i])
-            elif docs[i] < extra_least[k]:
-                extra_least[k] = docs[i]
-            many_pieces.append(k)
-    extra = list(found)
+            w = whole[skip:skip + plan.match]
+            k = single.setdefault(w, len(single))
+            if k == len(single_least):
+                single_least.append(docs[i])
+            elif docs[i] < single_least[k]:
+                single_least[k] = docs[i]
+            single_of.append(k)
+    extra = list(single)
     extra_task = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") % plan.pieces for w in extra], dtype=np.int64)
     all_task = np.concatenate([task, extra_task])
     by_task = np.argsort(all_task, kind="stable")
     place = np.empty(len(by_task), dtype=np.int64)
     place[by_task] = np.arange(len(by_task))
     every = texts + extra
-    pieces = Pieces([every[k] for k in by_task], np.concatenate([least, np.array(extra_least, dtype=np.int64)])[by_task], all_task[by_task])
-    return pieces, (order, place[:len(texts)][piece_of]), (many, place[len(texts):][np.array(many_pieces, dtype=np.int64)])
+    pieces = Pieces([every[k] for k in by_task], np.array(least + single_least, dtype=np.int64)[by_task], all_task[by_task])
+    return pieces, (several, place[np.array(of, dtype=np.int64)]), (many, place[len(texts):][np.array(single_of, dtype=np.int64)])
 
 
 def open_pieces(plan: Plan):
@@ -371,35 +384,60 @@ def open_pieces(plan: Plan):
         if table.num_rows and answers.num_rows:
             b = Bucket(table, plan.match)
             p, _, _ = _pieces(b, _states(b, plan, answers.to_pylist())[0], plan)
-            cut = np.searchsorted(p.task, np.arange(plan.pieces + 1))
-            for t in np.unique(p.task):
-                i, j = cut[t], cut[t + 1]
+            starts = np.flatnonzero(np.diff(p.task, prepend=-1))
+            for t, i, j in zip(p.task[starts], starts, np.append(starts[1:], len(p.task))):
                 out.append((t, key[0].as_py(), j - i, zstandard.ZstdCompressor(level=3).compress(b"".join(p.text[i:j])),
                             pack(np.array([len(x) for x in p.text[i:j]])), pack(p.least[i:j])))
         return _rows(kinds, zip(*out) if out else [[]] * 6)
     return run, "task long, bucket long, n long, text binary, lengths binary, least binary"
 
 
-def least_in_runs(data: np.ndarray, places: np.ndarray, docs: np.ndarray, match: int) -> np.ndarray:
-    """For suffixes at ``places`` with their documents, the least document among those that
-    agree with it in ``match`` bytes.  In suffix order, ties by document, the first of a run
-    of equal prefixes is the previous smaller position of all later ones of other documents."""
+def suffix_order(data: np.ndarray, places: np.ndarray, docs: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ``places`` in the order of their first ``match`` bytes, ties by
+    document, and the bytes (``match`` at most) that each has in common with the one before."""
     by_doc = np.argsort(docs, kind="stable")
-    prefixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, match)[places[by_doc]]).view(f"S{match}").reshape(-1)
-    order = np.argsort(prefixes, kind="stable")
-    ranked = prefixes[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    starts = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    out = np.empty(len(order), dtype=np.int64)
-    suffix = by_doc[order]
-    out[suffix] = docs[suffix[starts]][run]
+    prefixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, match)[places[by_doc]])
+    order = np.argsort(prefixes.view(f"S{match}").reshape(-1), kind="stable")
+    prefixes = prefixes[order]
+    common = np.zeros(len(order), dtype=np.int64)
+    for i in range(1, len(order), CHUNK):
+        j = min(i + CHUNK, len(order))
+        differ = prefixes[i:j] != prefixes[i - 1:j - 1]
+        first = differ.argmax(axis=1)
+        common[i:j] = np.where(differ[np.arange(j - i), first], first, match)
+    return by_doc[order], common
+
+
+def previous_smaller(docs: np.ndarray, common: np.ndarray, floor: int) -> np.ndarray:
+    """Bytes that each suffix, in suffix order, shares with its previous smaller position: the
+    nearest one before it of a smaller document.  Pointers jump over ranges whose documents
+    are no smaller, and a search ends where fewer than ``floor`` bytes are shared (the result
+    is then below ``floor``)."""
+    to, shared = np.arange(-1, len(docs) - 1), common.copy()
+    open_ = np.flatnonzero(shared >= max(1, floor))
+    while len(open_):
+        open_ = open_[docs[to[open_]] >= docs[open_]]
+        over = to[open_]
+        here = np.minimum(shared[open_], shared[over])
+        to[open_], shared[open_] = to[over], here
+        open_ = open_[here >= max(1, floor)]
+    return shared
+
+
+def longest_previous_factors(data: np.ndarray, places: np.ndarray, docs: np.ndarray, match: int, floor: int) -> np.ndarray:
+    """The longest prefix, ``match`` bytes at most, that the suffix at each place shares with a
+    suffix of a smaller document; exact where it reaches ``floor``, else below ``floor``."""
+    order, common = suffix_order(data, places, docs, match)
+    ranked, after = docs[order], np.zeros_like(common)
+    after[1:] = common[1:][::-1]
+    out = np.empty_like(common)
+    out[order] = np.maximum(previous_smaller(ranked, common, floor), previous_smaller(ranked[::-1], after, floor)[::-1])
     return out
 
 
 def previous_factors(plan: Plan):
-    """Step 3 in a task: the least document of every 50-byte suffix of its strings."""
+    """Step 3 in a task: for every suffix of its strings, whether its longest previous factor
+    reaches the match."""
     def run(table):
         import zstandard
 
@@ -412,12 +450,12 @@ def previous_factors(plan: Plan):
         count = size - plan.match + 1
         ends = np.cumsum(count)
         places = np.repeat(begins - (ends - count), count) + np.arange(ends[-1])
-        found = least_in_runs(np.concatenate(texts), places, np.repeat(least, count), plan.match)
+        found = longest_previous_factors(np.concatenate(texts), places, np.repeat(least, count), plan.match, plan.match) >= plan.match
         split = np.cumsum([int(x.sum()) - (plan.match - 1) * len(x) for x in lengths])
         parts = np.split(found, split[:-1])
         none = [b""] * len(rows)
         return _answer_rows([[1] * len(rows), [r["bucket"] for r in rows], [r["task"] for r in rows], [len(x) for x in parts], [r["n"] for r in rows],
-                             none, none, [pack(x) for x in parts]])
+                             none, none, [np.packbits(x).tobytes() for x in parts]])
     return run, _ANSWER
 
 
@@ -443,17 +481,17 @@ def cut(plan: Plan, with_text: bool):
         of = b.of if len(b.keys) else np.empty(0, dtype=np.int64)
         begin = np.cumsum(s.windows) - s.windows
         matched = np.repeat((state[of] == ONE_STRING) & (least[of] < docs), s.windows)
-        thresholds = {r["range"]: unpack(r["least"], r["all"]) for r in rows if r["kind"] == 1}
-        if thresholds:
+        repeated = {r["range"]: np.unpackbits(np.frombuffer(r["least"], dtype=np.uint8), count=r["all"]).astype(bool) for r in rows if r["kind"] == 1}
+        if repeated:
             p, (order, piece), (many, windows) = _pieces(b, state, plan)
             count = np.array([len(x) - plan.match + 1 for x in p.text])
             first = np.cumsum(count) - count
-            found = np.concatenate([thresholds[t] for t in np.unique(p.task)])
+            found = np.concatenate([repeated[t] for t in np.unique(p.task)])
             at = np.repeat(begin[order] - np.cumsum(s.windows[order]) + s.windows[order], s.windows[order]) + np.arange(int(s.windows[order].sum()))
             source = at - np.repeat(begin[order], s.windows[order]) + np.repeat(first[piece], s.windows[order])
-            matched[at] = found[source] < np.repeat(docs[order], s.windows[order])
+            matched[at] = found[source] | np.repeat(p.least[piece] < docs[order], s.windows[order])
             at = np.repeat(begin[many] - np.cumsum(s.windows[many]) + s.windows[many], s.windows[many]) + np.arange(int(s.windows[many].sum()))
-            matched[at] = found[first[windows]] < np.repeat(docs[many], s.windows[many])
+            matched[at] = found[first[windows]] | (p.least[windows] < np.repeat(docs[many], s.windows[many]))
         # a document's segments follow each other and cover all its windows
         ends = np.cumsum(np.bincount(s.doc, weights=s.windows, minlength=len(b.texts))).astype(np.int64)
         out, last = [], 0
@@ -481,12 +519,15 @@ def dedup(docs: DataFrame, match: int = MATCH, with_text: bool = True) -> DataFr
     buckets = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(plan.buckets)))
 
     def grouped(df: DataFrame):
-        return df.groupBy("bucket")
+        return df.repartition(plan.buckets, "bucket").groupBy("bucket")
+
+    def met(df: DataFrame, key: str):
+        return df.repartition(plan.ranges, key).groupBy(key)
 
-    bits = grouped(buckets).applyInArrow(*short_keys(plan)).groupBy("range").applyInArrow(shared_bits, "range long, bucket long, bits binary")
-    answers = grouped(buckets).cogroup(grouped(bits)).applyInArrow(*shared_keys(plan)).groupBy("range").applyInArrow(settle, _ANSWER)
-    factors = (grouped(buckets).cogroup(grouped(answers)).applyInArrow(*open_pieces(plan))
-               .groupBy("task").applyInArrow(*previous_factors(plan)))
+    bits = met(grouped(buckets).applyInArrow(*short_keys(plan)), "range").applyInArrow(shared_bits, "range long, bucket long, bits binary")
+    answers = met(grouped(buckets).cogroup(grouped(bits)).applyInArrow(*shared_keys(plan)), "range").applyInArrow(settle, _ANSWER)
+    pieces = grouped(buckets).cogroup(grouped(answers)).applyInArrow(*open_pieces(plan))
+    factors = met(pieces, "task").applyInArrow(*previous_factors(plan))
     return grouped(buckets).cogroup(grouped(answers.unionByName(factors))).applyInArrow(*cut(plan, with_text))
 
 

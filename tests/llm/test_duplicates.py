@@ -112,6 +112,40 @@ def test_passages_go_as_by_brute_force(spark, monkeypatch, hot):
     assert suffix_dedup.judge(empty(spark)).count() == 0
 
 
+def test_longest_previous_factors_by_brute_force():
+    rng = np.random.RandomState(3)
+    for letters, n, docs in ((2, 400, 5), (2, 400, 40), (3, 300, 1), (1, 120, 7), (26, 200, 3)):
+        data = rng.randint(97, 97 + letters, n).astype(np.uint8)
+        of = np.sort(rng.randint(0, docs, n))
+        match = 12
+        places = np.array([p for p in range(n - match + 1) if of[p] == of[p + match - 1]], dtype=np.int64)
+        rng.shuffle(places)
+        names = rng.permutation(docs)[of]                  # documents in no order
+        words = {p: data[p:p + match].tobytes() for p in places.tolist()}
+
+        def shared(a, b):
+            return next((k for k in range(match) if a[k] != b[k]), match)
+
+        want = [max([shared(words[p], words[q]) for q in places.tolist() if names[q] < names[p]], default=0) for p in places.tolist()]
+        got = suffix_dedup.longest_previous_factors(data, places, names[places], match, 1)
+        assert got.tolist() == want
+        cut = suffix_dedup.longest_previous_factors(data, places, names[places], match, match)
+        assert (cut >= match).tolist() == [w >= match for w in want]
+
+
+def test_rows_of_a_bucket_in_any_order():
+    """Steps of a bucket agree on its pieces though a shuffle's rows come in any order."""
+    import pyarrow as pa
+
+    rows = [(7, "b" * 60), (7, "a" * 60), (None, "c"), (2, None), (1, prose(3, 40))]
+    def bucket(order):
+        b = suffix_dedup.Bucket(pa.table({"doc_id": pa.array([rows[i][0] for i in order], pa.int64()), "text": pa.array([rows[i][1] for i in order], pa.string())}), 50)
+        plan = suffix_dedup.make_plan(1000)
+        p, several, many = suffix_dedup._pieces(b, np.full(len(b.keys), suffix_dedup.SEVERAL, dtype=np.uint8), plan)
+        return p.text, p.least.tolist(), p.task.tolist(), [x.tolist() for x in several + many]
+    assert bucket([0, 1, 2, 3, 4]) == bucket([4, 3, 2, 1, 0]) == bucket([2, 0, 4, 1, 3])
+
+
 def test_kept_text(spark):
     text = prose(5, 100)
     got = {r["doc_id"]: bytes(r["kept_text"]).decode() for r in suffix_dedup.dedup(documents(spark, [(1, text), (2, "head " + text + " tail")])).collect()}
