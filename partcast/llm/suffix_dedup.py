@@ -120,7 +120,7 @@ def _segments_of(data: np.ndarray, ends: np.ndarray, match: int) -> tuple[np.nda
     windows = np.diff(np.append(at, len(valid)))
     own = valid[at]
     at, windows = at[own], windows[own]
-    return at, windows, low[at].astype(np.int64)
+    return at, windows, (_mix(low[at]) >> np.uint64(1)).astype(np.int64)      # least hashes are small; mixed, they fill all ranges
 
 
 def segments(texts: list[bytes], rows: np.ndarray, match: int = MATCH) -> Segments:
