@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 LIMIT = 1500
 
 
-def split_groups(members: DataFrame, key: str, member: str, sizes: DataFrame, limit: int = LIMIT) -> DataFrame:
+def split_groups(members: DataFrame, key: str, member: str, sizes: DataFrame, limit: int = LIMIT,
+                 how: str = "inner") -> DataFrame:
     """Add ``task`` (struct of key, i, j) and ``block``: a group of up to ``limit`` is one
     task (0, 0); one of more has its members hashed into blocks, and each pair of blocks
-    i <= j is a task.  ``sizes`` has (key, n) and says which keys take part."""
+    i <= j is a task.  ``sizes`` has (key, n) and says which keys take part; with ``how``
+    "left" it need only have those above ``limit``."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / limit)).cast("int")
-    out = (members.join(sizes.select(F.col(key).alias("_key"), "n"), F.col(key) == F.col("_key"))
+    out = (members.join(sizes.select(F.col(key).alias("_key"), "n"), F.col(key) == F.col("_key"), how)
            .withColumn("_blocks", blocks)
            .withColumn("block", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))))

@@ -6,16 +6,19 @@ code word a part is a direction.  A vector is list-decoded to all directions on
 projection exceeds the cap, by sorting its projections in each part and dropping what can
 no longer reach it.  Vectors are joined on (label, direction), and pairs within a filter are
 verified by cosine in double precision.  The cap follows the number of vectors, by the exact
-tail of a projection on the unit sphere of their dimensions, so that a filter holds a few of
-unrelated ones at any size; filters that hold many are compared in blocks of bounded size.
+tail of a projection on the unit sphere of their dimensions, so that a filter holds a few hundred
+unrelated ones at any size; filters that hold many are compared in blocks of bounded size.  A vector beyond
+all caps of a code goes to the nearest direction's filter, so each has a filter in every code.
 
 Codes are independent, so a pair shares no filter in any of k codes with the chance that it
 shares none in one, to the power k.  That chance is measured on random pairs at the cosine
 itself, for the cap at hand, and as many codes are taken as bring the power below MISSED.
 
 Equal vectors of a label are one class.  A pair of classes is counted in the first filter
-that both pass, so links need no list of pairs; within a filter, components are formed at
-once and only their links to the least class leave it.
+that both pass, so links need no list of pairs: a class comes to a filter with its vector and
+its filters before that one, in one shuffle (only filters that hold many are looked up
+first).  Within a filter, components are formed at once and only their links to the least
+class leave it.
 
 Defined results: vectors that are null, empty, zero, or hold a null or non-finite component,
 and those with a null label, link with nothing; vectors of other lengths are compared among
@@ -34,18 +37,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partcast.llm.base import materialise
-from partcast.llm.blocks import sides, split_groups
+from partcast.llm.blocks import LIMIT, sides, split_groups
 from partcast.llm.components import components
 
 COSINE = 0.98
-#: Filters that a vector passes on average, in each of at least so many independent codes.
-PASSED, CODES = 2, 16
+#: Caps that a vector lies in on average, in each of at least so many independent codes.
+PASSED, CODES = 0.5, 4
 #: The chance at most that a pair at the least cosine shares no filter.
-MISSED = 1e-4
+MISSED = 1e-6
 #: Random pairs, in each of so many codes, that the chance is measured on.
 PAIRS, TRIED = 100, 8
 #: Unrelated vectors in a filter, about.
-HELD = 50
+HELD = 200
 #: Code words of a part at most; more directions take more parts.
 WORDS = 1024
 SEED = 97
@@ -115,7 +118,8 @@ def _code(dims: int, words: int, parts: int, which: int) -> tuple[np.ndarray, li
 
 
 def decode(vector: np.ndarray, height: float, words: int, parts: int, which: int) -> np.ndarray:
-    """All directions of a code on which the unit vector's projection exceeds the cap."""
+    """All directions of a code on which the unit vector's projection exceeds the cap; the
+    nearest direction, if it exceeds the cap on none."""
     dims = len(vector)
     rotation, codes = _code(dims, words, parts, which)
     x = rotation @ vector
@@ -129,6 +133,8 @@ def decode(vector: np.ndarray, height: float, words: int, parts: int, which: int
         total = sums[:, None] + s[None, :]
         i, j = np.nonzero(total >= height - more)
         ids, sums = ids[i] * words + j, total[i, j]
+    if not len(ids):
+        ids = np.array([sum(int(s.argmax()) * words ** k for k, s in enumerate(scores[::-1]))], dtype=np.int64)
     return ids
 
 
@@ -162,10 +168,9 @@ def _filters(classes: DataFrame, plans: dict[int, tuple[float, int, int, int]])
     return classes.mapInArrow(run, f"class long, label string, v {v}, size long, filters array<long>")
 
 
-def _meet_before(filters: list[np.ndarray], bucket: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For rows a and b, whether each pair (a, b) shares a filter less than ``bucket``."""
-    earlier = [f[f < bucket] for f in filters]
-    row = np.repeat(np.arange(len(filters)), [len(f) for f in earlier])
+def _meet_before(earlier: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows a and b, whether each pair (a, b) shares an earlier filter."""
+    row = np.repeat(np.arange(len(earlier)), [len(f) for f in earlier])
     flat = np.concatenate([*earlier, np.empty(0, dtype=np.int64)])
     found, column, times = np.unique(flat, return_inverse=True, return_counts=True)
     out = np.zeros((len(a), len(b)), dtype=bool)
@@ -174,7 +179,7 @@ def _meet_before(filters: list[np.ndarray], bucket: int, a: np.ndarray, b: np.nd
         part = np.full(len(found), -1)
         part[shared[at:at + 2000]] = np.arange(len(shared[at:at + 2000]))
         mine = part[column] >= 0
-        holds = np.zeros((len(filters), len(shared[at:at + 2000])), dtype=np.float32)
+        holds = np.zeros((len(earlier), len(shared[at:at + 2000])), dtype=np.float32)
         holds[row[mine], part[column[mine]]] = 1
         out |= holds[a] @ holds[b].T > 0
     return out
@@ -185,10 +190,10 @@ def compare(task, group, cosine: float):
     of its component here.  Pairs that meet in an earlier filter are left to that."""
     import pyarrow as pa
 
-    bucket, i, j = (x.as_py() for x in task[-3:])
+    i, j = (x.as_py() for x in task[-2:])
     ids, size, block = (group.column(c).to_numpy() for c in ("class", "size", "block"))
     raw = [np.array(x) for x in group.column("v").to_pylist()]
-    filters = [np.array(x, dtype=np.int64) for x in group.column("filters").to_pylist()]
+    earlier = [np.array(x, dtype=np.int64) for x in group.column("earlier").to_pylist()]
     lens = np.array([len(x) for x in raw])
     counts, least = np.zeros(len(ids), dtype=np.int64), ids.copy()
     pairs = []
@@ -208,7 +213,7 @@ def compare(task, group, cosine: float):
                 continue
             x, y = left[at:at + 256][rows], right[columns]
             some, where = np.unique(np.concatenate([x, y]), return_inverse=True)
-            met = _meet_before([filters[k] for k in some], bucket, where[:len(x)], where[len(x):])
+            met = _meet_before([earlier[k] for k in some], where[:len(x)], where[len(x):])
             p, q = np.nonzero(near[np.ix_(rows, columns)] & ~met)
             pairs.append((x[p], y[q]))
     if pairs:
@@ -230,12 +235,14 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     per class and filter in which it has links."""
     largest = classes.groupBy("label", F.size("v").alias("dims")).count().groupBy("dims").agg(F.max("count").alias("n")).collect()
     found = materialise(_filters(classes, {r["dims"]: plan(r["n"], r["dims"], cosine) for r in largest}), "filters")
-    members = found.select("class", "label", F.explode("filters").alias("filter"), "filters", "size", "v")
-    key = F.struct("label", "filter")
-    sizes = members.groupBy(key.alias("bucket")).agg(F.count("*").alias("n")).where("n > 1")
-    tasks = split_groups(members.withColumn("bucket", key), "bucket", "class", sizes)
+    key = F.struct("label", "filter").alias("bucket")
+    held = found.select("label", F.explode("filters").alias("filter")).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > LIMIT)
+    held = materialise(held, "filters-held")          # its size is known, so the vectors are shuffled once
+    members = (found.select("class", "label", F.posexplode("filters").alias("place", "filter"), "filters", "size", "v")
+               .select(key, "class", "size", "v", F.expr("slice(filters, 1, place)").alias("earlier")))
+    tasks = split_groups(members, "bucket", "class", held, LIMIT, "left")
     flat = tasks.select(F.col("task.key.label").alias("label"), F.col("task.key.filter").alias("filter"), F.col("task.i").alias("i"),
-                        F.col("task.j").alias("j"), "class", "size", "block", "v", "filters")
+                        F.col("task.j").alias("j"), "class", "size", "block", "v", "earlier")
     return flat.groupBy("label", "filter", "i", "j").applyInArrow(lambda task, group: compare(task, group, cosine),
                                                                   "class long, n long, least long")
 

@@ -187,7 +187,7 @@ def test_embeddings_against_all_pairs(spark):
 
 
 def test_blocks_of_a_large_filter_lose_no_pair(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "split_groups", lambda *a: __import__("partcast.llm.blocks", fromlist=["x"]).split_groups(*a, limit=7))
+    monkeypatch.setattr(embeddings, "LIMIT", 7)
     rng = np.random.default_rng(1)
     base = rng.normal(size=16)
     rows = [(k, [float(np.float32(x)) for x in base + rng.normal(size=16) * 0.02], 1, "", "") for k in range(60)]
