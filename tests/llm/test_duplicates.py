@@ -213,3 +213,10 @@ def test_texts_of_one_doc_id_are_linked_each(spark):
     rows = [(5, text), (5, other), (7, edited(other, 0.01, 1)), (8, edited(text, 0.01, 2)), (9, prose(102, 150))]
     got = {(r["doc_id"], r["component_id"]) for r in near_duplicates.judge(documents(spark, rows)).collect()}
     assert got == {(5, 5), (7, 5), (8, 5), (9, 9)}
+
+
+def test_tables_of_null_ids_only(spark):
+    rows = [(None, prose(1, 60)), (None, prose(1, 60)), (None, None)]
+    got = suffix_dedup.judge(documents(spark, rows))
+    assert cells(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == cut_brute(rows)
+    assert near_duplicates.keep(documents(spark, rows)).count() == 3
