@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from partcast.plans.registry import queries
 from partcast.sources.bounded import BoundedReader, BoundedTable, BoundedTables, KeyRange, ranges
 from partcast.sources.tables import Tables
 from tests.conftest import SMALL
@@ -38,6 +39,20 @@ def test_bounds_filters_and_nulls(spark, tmp_path):
         spark.read.format("bounded").option("path", path).load()
 
 
+def test_a_session_without_pushdown_reads_the_same(spark):
+    """Spark's default: it refuses a reader that takes filters."""
+    key = "spark.sql.python.filterPushdown.enabled"
+    spark.conf.set(key, "false")
+    try:
+        plain, bounded = Tables(spark, SMALL).jo_item, BoundedTables(spark, SMALL, parts=3).jo_item
+        assert bounded.count() == plain.count() > 0
+        some = [df.where("qty > 20 AND txn_id <= 900 AND stk_id IS NOT NULL") for df in (plain, bounded)]
+        assert some[0].exceptAll(some[1]).count() == 0 and some[0].count() == some[1].count() > 0
+        assert {r["rows"] for r in queries()["scan_tables"](spark, SMALL).collect()} >= {plain.count()}
+    finally:
+        spark.conf.set(key, "true")
+
+
 def test_the_scan_reads_its_range_only(spark, tmp_path):
     spark.range(100).selectExpr("id AS k").write.parquet(f"{tmp_path}/t")
     schema = spark.read.parquet(f"{tmp_path}/t").schema
