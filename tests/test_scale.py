@@ -1,14 +1,17 @@
 """Work and memory that stay in proportion: partitions of filled series, sorts of dense rows."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from partcast.operators import baselines as B
 from partcast.operators import linear as N
+from partcast.operators import ml as M
 from partcast.operators import reshape as R
 from partcast.plans.registry import P
+from partcast.session import written
 
 START = dt.date(2001, 1, 1)
 
@@ -77,3 +80,25 @@ def test_refits_sort_no_wide_rows(spark):
     dense = R.densify_fixed_window(daily(spark, 3, 100), START, START + dt.timedelta(days=99))
     plan = N.backtest_refit(dense)._jdf.queryExecution().sparkPlan().toString()
     assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
+def test_expectile_fits_write_nothing(spark):
+    """A row's weight follows from the fit before: no copy of the rows per fit."""
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(Vectors.dense([float(i % 7), float(i % 5)]), float((i * i) % 11)) for i in range(200)]
+    train = spark.createDataFrame(rows, ["features", "y"])
+    kept = spark.conf.get("spark.checkpoint.dir")
+    files = lambda: sum(len(f) for _, _, f in os.walk(kept.removeprefix("file:")))
+    before = files()
+    model = M.fit_expectile_linear(train, "features", "y", 3.0)
+    assert files() == before
+    off = [(y - model.predict(x), x) for x, y in rows]
+    for c in (lambda x: 1.0, lambda x: x[0], lambda x: x[1]):            # the weighted residuals are balanced
+        assert sum((3.0 if r > 0 else 1.0) * r * c(x) for r, x in off) == pytest.approx(0.0, abs=1e-6)
+
+
+def test_written_rows_are_the_same(spark):
+    df = daily(spark, 4).withColumn("lag", F.lit(-0.25))
+    back = written(df)
+    assert back.columns == df.columns and back.exceptAll(df).count() == 0 and back.count() == df.count()
