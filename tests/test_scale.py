@@ -82,6 +82,20 @@ def test_refits_sort_no_wide_rows(spark):
     assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
 
 
+def test_refits_move_the_series_only(spark):
+    """The sums and the days of a fold meet where they are: no exchange but the series' own."""
+    dense = R.densify_fixed_window(daily(spark, 3, 100), START, START + dt.timedelta(days=99))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = N.backtest_refit(dense)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "SortMergeJoin" in plan and ", part#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    assert all("item_id" in x or "_item" in x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+
+
 def test_expectile_fits_write_nothing(spark):
     """A row's weight follows from the fit before: no copy of the rows per fit."""
     from pyspark.ml.linalg import Vectors
