@@ -61,3 +61,24 @@ def test_the_scan_reads_its_range_only(spark, tmp_path):
     assert [sorted(p) for p in parts] == [list(range(25 * i, 25 * i + 25)) for i in range(4)]
     reader.pushed = [("k", ">", 90)]
     assert sorted(v for p in reader.partitions() for b in reader.read(p) for v in b.column(0).to_pylist()) == list(range(91, 100))
+
+
+def test_the_scan_does_not_run_ahead(spark, tmp_path):
+    """While Spark works on a batch, no further row groups are decoded."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n, rng = 1_500_000, np.random.default_rng(1)
+    path = f"{tmp_path}/wide.parquet"
+    pq.write_table(pa.table({"k": np.arange(n), "x": rng.random(n), "y": rng.random(n)}), path, row_group_size=100_000)
+    reader = BoundedReader(path, spark.read.parquet(path).schema, "k", 0, n - 1, 1)
+    before, rows, most = pa.total_allocated_bytes(), 0, 0
+    for k, batch in enumerate(reader.read(KeyRange(None, None))):
+        rows += len(batch)
+        if k < 3:
+            time.sleep(0.3)
+            most = max(most, pa.total_allocated_bytes() - before)
+    assert rows == n and most < 8e6
