@@ -84,3 +84,43 @@ def test_jobs_do_not_grow_with_folds(spark):
     dense = multi(spark, {1: series(1, 200)})
     plans = [N.backtest_refit(dense, steps, 0.8, LAGS)._jdf.queryExecution().executedPlan().toString().count("Exchange") for steps in (20, 2)]
     assert plans[0] == plans[1]
+
+
+def test_days_without_demand_are_not_sent_on(spark):
+    """Rows with demand, one row of an item without any; neither sums nor lists of days are made
+    of the filled days."""
+    data = {1: [0.0] * 50 + [3.0] + [0.0] * 49, 2: [0.0] * 60, 3: [1.0] * 40, 4: [1.0] * 9}
+    rows = N.series(multi(spark, data), F.floor(F.col("n") * 0.8))
+    assert {r["item_id"]: r["count"] for r in rows.groupBy("item_id").count().collect()} == {1: 1, 2: 1, 3: 40}
+    plan = N.backtest_refit(multi(spark, data))._jdf.queryExecution().sparkPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan
+
+
+def test_blocks_do_not_matter(spark, monkeypatch):
+    data = {i: series(i, 40 + 7 * i) for i in range(8)}
+    fits = lambda: {(r["item_id"], r["fold"]): r["coef"] for r in N.autoregressions(multi(spark, data), F.floor(F.col("n") * 0.8), 7, LAGS).collect()}
+    whole = fits()
+    monkeypatch.setattr(N, "ROWS", 30)
+    small = fits()
+    assert set(small) == set(whole) and all(small[k] == pytest.approx(whole[k], abs=1e-12) for k in whole)
+
+
+def test_unknown_demand_counts_in_no_sum(spark):
+    """Products with an unknown day are left out, and its own error is."""
+    values = series(3, 60)
+    start = dt.date(2024, 1, 1)
+    rows = [(1, start + dt.timedelta(days=t), None if t in (20, 50) else v) for t, v in enumerate(values)]
+    got = N.autoregressions(spark.createDataFrame(rows, "item_id long, ds date, qty double"), F.floor(F.col("n") * 0.8), 7, LAGS).orderBy("fold").first()
+    q = np.array([np.nan if t in (20, 50) else v for t, v in enumerate(values)])
+    y = (q - np.nanmean(q[:48])) / np.nanstd(q[:48])
+    day = [(start + dt.timedelta(days=t)).weekday() * 2 * math.pi / 7 for t in range(60)]
+    X = np.array([[1.0, *(y[t - k] for k in LAGS), math.sin(day[t]), math.cos(day[t])] for t in range(7, 48)])
+    gram = np.nansum(X[:, :, None] * X[:, None, :], axis=0) + np.diag([0, 1, 1, 1, 1, 1])
+    assert got["coef"] == pytest.approx(np.linalg.solve(gram, np.nansum(X * y[7:48, None], axis=0)), abs=1e-9)
+    assert [d["qty"] for d in got["days"]] == [None if t == 50 else values[t] for t in range(48, 55)]
+
+
+def test_a_gap_is_an_error(spark):
+    rows = [(1, dt.date(2024, 1, 1) + dt.timedelta(days=t), 1.0 + t % 3) for t in range(60) if t != 30]
+    with pytest.raises(Exception, match="a day missing"):
+        N.autoregressions(spark.createDataFrame(rows, "item_id long, ds date, qty double"), F.floor(F.col("n") * 0.8), 7, LAGS).collect()
