@@ -161,3 +161,10 @@ def test_two_models_score_in_one_pass(spark):
     got = {(r["item_id"], r["ds"]): (r["yhat"], r["yhat_1"]) for r in both.collect()}
     alone = [{(r["item_id"], r["ds"]): r["yhat"] for r in M.one_step(m, sup).collect()} for m in (one, other)]
     assert got == {k: (alone[0][k], alone[1][k]) for k in alone[0]} and len(got) == 6 * p.horizon
+
+
+def test_routed_features_are_spread(merging):
+    """The parts that may train are picked by a join; the features are still made in all partitions."""
+    few = daily(merging, 30, 60).groupBy("item_id", "ds").agg(F.sum("qty").alias("qty"))
+    data, _ = M.routed_vectors(few, P)
+    assert data.rdd.getNumPartitions() >= 6 and data.select("item_id").distinct().count() == 30
